@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import benchmark_matches
+from .langid import fit_languages, predict_languages
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import BASE_KINDS, credential_spans, spans_text
@@ -15,6 +17,16 @@ from .simhash import simhash_components
 from .url_filter import judge_urls
 
 
+def _held_out(modulus: int) -> Column:
+    """Whether a document is set aside: the same rows in every run."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2, F.lit(False))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", F.col("start").alias("match_start"), F.col("end").alias("match_end"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -48,12 +60,20 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _held_out(4))
+    models = fit_languages(docs.where(~F.col("held_out")))
+    return predict_languages(docs, models, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_packing": op7_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
