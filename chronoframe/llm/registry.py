@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import BASE_KINDS, credential_spans, spans_text
 from .simhash import simhash_components
+from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 
 
@@ -60,6 +61,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _held_out(4))
+    return toxicity_scores(docs, table(spark, sf_dir, "labels"), "held_out").select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", _held_out(4))
     models = fit_languages(docs.where(~F.col("held_out")))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_packing": op7_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
