@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import benchmark_matches
 from .langid import fit_languages, predict_languages
+from .lm_score import score_texts
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import BASE_KINDS, credential_spans, spans_text
@@ -32,6 +33,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").withColumn("held_out", _held_out(7)), "held_out")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,6 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
+    "op4_lm_scores": op4_lm_scores,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_packing": op7_packing,
