@@ -150,3 +150,13 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     held = F.when(F.col("host_rate") > SUSPECT_RATE, F.col("strict_failed")).otherwise(F.col("rules_failed"))
     ok = ~F.col("base_failed") & (held == 0) & (F.col("host_rate") <= REJECT_RATE)
     return joined.drop("host").withColumn("kept", ok)
+
+
+def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` without the rows that :func:`quality_verdicts` rejects, told by id, host and text."""
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")).alias("_key"), F.col(text_col), F.col(host_col))
+    kept = quality_verdicts(keyed, "_key", text_col, host_col).where("kept")
+    kept = kept.select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_hash"), F.col(host_col).alias("_host")).distinct()
+    same = docs[id_col].eqNullSafe(kept["_id"]) & (text_hash == kept["_hash"]) & docs[host_col].eqNullSafe(kept["_host"])
+    return docs.join(kept, same, "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import benchmark_matches
 from .langid import fit_languages, predict_languages
+from .licenses import license_matches
 from .lm_score import score_texts
 from .packing import pack_documents
 from .quality import quality_verdicts
@@ -24,6 +25,11 @@ def _held_out(modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == 2, F.lit(False))
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "containment", "start_word", "end_word")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "distance", F.col("start").alias("match_start"), F.col("end").alias("match_end"))
@@ -78,6 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_lm_scores": op4_lm_scores,

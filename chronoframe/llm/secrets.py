@@ -116,10 +116,11 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", length_col: str | None = None) -> DataFrame:
     """``docs`` with each reported span of its text replaced by ``mark``; overlapping spans by one mark.
 
-    No row goes. Only texts in which a part was found travel through the join.
+    No row goes. Only texts in which a part was found travel through the join. ``length_col``, if
+    given, gets the new length of a changed text.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = credential_spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates([id_col, "text_hash"])
@@ -136,4 +137,8 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
     clean = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean)
-    return joined.withColumn(text_col, clean).select(docs.columns).unionByName(docs.where(~has))
+    changed = joined.withColumn(text_col, clean)
+    if length_col:
+        kind = docs.schema[length_col].dataType
+        changed = changed.withColumn(length_col, F.when(F.col("spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
+    return changed.select(docs.columns).unionByName(docs.where(~has))
