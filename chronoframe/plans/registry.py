@@ -36,12 +36,17 @@ def r(column, digits: int = 6):
     return F.round(column, digits)
 
 
+def cut(column, digits: int = 4):
+    """So many digits, downward; the offset keeps quotients off the steps, where engines would differ."""
+    return F.floor(column * 10**digits + 0.123456) / 10**digits
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars ``(security_id, session, close, high, low, volume)``."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("security_id"), F.to_date("l_shipdate").alias("session")).agg(
-        r(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"), r(F.max(price), 4).alias("high"), r(F.min(price), 4).alias("low"), F.sum("l_quantity").alias("volume")
+        cut(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), cut(F.max(price)).alias("high"), cut(F.min(price)).alias("low"), F.sum("l_quantity").alias("volume")
     )
 
 
@@ -55,7 +60,7 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A monthly panel ``(security_id, month, price, turnover, bars, sector)``."""
     b = bars(spark, sf_dir)
     m = b.groupBy("security_id", F.to_date(F.date_trunc("month", "session")).alias("month")).agg(
-        F.max_by("close", "session").alias("price"), r(F.sum(F.col("close") * F.col("volume")), 2).alias("turnover"), F.count("*").alias("bars")
+        F.max_by("close", "session").alias("price"), cut(F.sum(F.col("close") * F.col("volume")), 2).alias("turnover"), F.count("*").alias("bars")
     )
     return m.join(securities(spark, sf_dir).select("security_id", "sector"), "security_id")
 
@@ -90,11 +95,11 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FRAMES = {
-    "bars": """bars AS (SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS session, round(sum(l_extendedprice)/sum(l_quantity),4) AS close,
- round(max(l_extendedprice/l_quantity),4) AS high, round(min(l_extendedprice/l_quantity),4) AS low, sum(l_quantity) AS volume FROM lineitem GROUP BY 1,2)""",
+    "bars": """bars AS (SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS session, floor(sum(l_extendedprice)/sum(l_quantity)*10000+0.123456)/10000 AS close,
+ floor(max(l_extendedprice/l_quantity)*10000+0.123456)/10000 AS high, floor(min(l_extendedprice/l_quantity)*10000+0.123456)/10000 AS low, sum(l_quantity) AS volume FROM lineitem GROUP BY 1,2)""",
     "securities": "securities AS (SELECT s_suppkey AS security_id, s_nationkey AS sector, s_name AS name, s_acctbal AS balance FROM supplier)",
     "months": """months AS (SELECT b.security_id, CAST(date_trunc('month', session) AS DATE) AS month, max_by(close, session) AS price,
- round(sum(close*volume),2) AS turnover, count(*) AS bars, any_value(s.sector) AS sector FROM bars b JOIN securities s USING (security_id) GROUP BY 1,2)""",
+ floor(sum(close*volume)*100+0.123456)/100 AS turnover, count(*) AS bars, any_value(s.sector) AS sector FROM bars b JOIN securities s USING (security_id) GROUP BY 1,2)""",
     "quarters": """quarters AS (SELECT o_custkey AS company_id, CAST(year(o_orderdate)*4+quarter(o_orderdate)-1 AS BIGINT) AS q, round(sum(o_totalprice),2) AS revenue,
  count(*) AS orders, CAST(max(o_orderdate) AS DATE) AS published FROM orders GROUP BY 1,2)""",
     "facts": "facts AS (SELECT l_orderkey AS cik, l_linenumber AS tag, CAST(l_shipdate AS DATE) AS accepted, l_partkey*100000+l_suppkey AS adsh, l_quantity AS value FROM lineitem)",
