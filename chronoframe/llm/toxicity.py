@@ -141,21 +141,28 @@ class Grammar:
         return total, number
 
 
-def learn_stems(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> dict[str, float]:
-    """Word beginnings that mark toxic texts, with their log-odds; from about ``sample_docs`` texts of each label.
+def sample_labelled(docs: DataFrame, known: DataFrame, id_col: str, label_col: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """About ``sample_docs`` rows of ``docs`` of each label in ``known``, chosen by the id's hash, with their label.
+
+    The chosen labels are bounded by the sample and broadcast, so no text is shuffled.
+    """
+    number = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}  # one row a label
+    share = F.lit(0)
+    for label, n in number.items():
+        share = F.when(F.col(label_col) == label, int(1_000_000 * min(1.0, sample_docs / n))).otherwise(share)
+    chosen = known.where(F.pmod(F.xxhash64(id_col, F.lit("toxicity")), F.lit(1_000_000)) < share)
+    return docs.join(F.broadcast(chosen), id_col)
+
+
+def learn_stems(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
+    """Word beginnings that mark toxic texts among the ``labelled`` ones, with their log-odds.
 
     A text counts for a beginning only by occurrences whose neighbouring words no other text has, so
     that copies of one text count once. Of beginnings of one another the shortest that qualifies stands, drawn
     out as far as it keeps its texts.
     """
     rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
-    number = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if set(number) != {0, 1}:
-        return {}
-    share = F.lit(0)
-    for label, n in number.items():
-        share = F.when(F.col("toxic") == label, int(1_000_000 * min(1.0, sample_docs / n))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("toxicity")), F.lit(1_000_000)) < share).dropDuplicates(["text", "toxic"])
+    sample = rows.dropDuplicates(["text", "toxic"])
     words = sample.select("toxic", F.xxhash64("text").alias("doc"), F.split(F.lower("text"), r"[^\p{L}\p{N}']+").alias("w"))
     at = words.select("toxic", "doc", F.posexplode("w").alias("i", "word"), "w")
     at = at.where(F.length("word") >= STEM_LENGTHS[0]).select("toxic", "doc", "word", F.xxhash64(F.get("w", F.col("i") - 1), F.get("w", F.col("i") + 1)).alias("near"))
@@ -226,12 +233,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: str, id_col: s
     labelled twice has its higher label. The score is a function of the text alone. Null and empty
     texts get the score of a text without a matched clause. An empty table gives an empty result.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).alias("_label"))
-    train = docs.where(~F.col(held_out)).join(known, F.col(id_col) == F.col("_label_id"))
-    stems = {w: 2.0 for w in SEED_INSULTS} | learn_stems(train.select(text_col, "_label"), text_col, "_label")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
+    train = sample_labelled(docs.where(~F.col(held_out)).select(id_col, text_col), known, id_col, "_label")
+    stems = {w: 2.0 for w in SEED_INSULTS} | learn_stems(train, text_col, "_label")
     weighed = materialise(clause_weights(docs, stems, id_col, text_col, keep=(held_out,)), "toxicity")
     step = F.floor(F.least(F.col("weight"), F.lit(MOST)) / STEP).cast("int")
-    seen = weighed.where(~F.col(held_out)).join(known, F.col(id_col) == F.col("_label_id"))
+    seen = weighed.where(~F.col(held_out)).join(known, id_col)
     rows = seen.groupBy(step.alias("step")).agg(F.sum("_label").alias("ones"), F.count("*").alias("n")).collect()  # one row a step
     chances = calibrate({r["step"]: (r["ones"], r["n"]) for r in rows})
     score = F.element_at(F.array(*(F.lit(float(c)) for c in chances)), step + 1)
