@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Letters that the contracts lower-case; all others stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_id(column: str) -> Column:
+    """An id as text: pandas would turn a column of integers with nulls into floats."""
+    return F.col(column).cast("string").alias("_id")
+
+
+def restored_id(out: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """``out`` with its first column ``_id`` as the id column that ``docs`` has."""
+    rest = [F.col(c) for c in out.columns if c != "_id"]
+    return out.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), *rest)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, restored_id, text_id
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
@@ -137,8 +137,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     known = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("_item"), F.col(item_text).cast("string").alias("_text")).distinct()
     blocks = max(1, math.ceil((known.agg(F.sum(F.length("_text"))).first()[0] or 0) / INDEX_CHARS))
-    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
-    kinds = f"_id {docs.schema[id_col].dataType.simpleString()}, _hash long, _item {items.schema[item_id].dataType.simpleString()}, distance int, start int, end int"
+    rows = docs.where(F.length(text_col) > 0).select(text_id(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    kinds = f"_id string, _hash long, _item {items.schema[item_id].dataType.simpleString()}, distance int, start int, end int"
     out = None
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block).collect()
@@ -156,7 +156,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
         each = rows.mapInPandas(run, kinds)
         out = each if out is None else out.unionByName(each)
-    return out.distinct().withColumnsRenamed({"_id": id_col, "_hash": "text_hash", "_item": item_id})
+    return restored_id(out.distinct(), docs, id_col).withColumnsRenamed({"_hash": "text_hash", "_item": item_id})
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

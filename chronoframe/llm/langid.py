@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored_id, text_id
+
 ORDER = 4
 DISCOUNT = 0.75
 #: Documents of each language, about, that a model is fitted to; they are chosen by the text's hash.
@@ -241,6 +243,6 @@ def predict_languages(docs: DataFrame, models: CharModels | None, id_col: str =
             yield pd.DataFrame({"_id": b["_id"]} | {k: b[k] for k in keep} | {"lang_pred": lang, "score": score, "cross_entropy": entropy, "rejected": rejected})
 
     kinds = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    rows = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).cast("string").alias("_text"))
-    out = rows.mapInPandas(run, f"_id {docs.schema[id_col].dataType.simpleString()}, {kinds}lang_pred string, score double, cross_entropy double, rejected boolean")
-    return out.withColumnRenamed("_id", id_col)
+    rows = docs.select(text_id(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
+    out = rows.mapInPandas(run, f"_id string, {kinds}lang_pred string, score double, cross_entropy double, rejected boolean")
+    return restored_id(out, docs, id_col)

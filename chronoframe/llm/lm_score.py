@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_id
 
 #: Sizes of the model: words with a class of their own, classes of other words, classes seen before, features.
 OWN_WORDS, SUFFIXES, CONTEXT, FEATURES = 447, 64, 3, 16
@@ -345,14 +345,13 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
                 yield pd.DataFrame({"_row": np.arange(row, row + n), "_id": b["_id"].iloc[at:end].array, "_held": b["_held"].iloc[at:end].array, "n_tokens": size + 1, "held": held, "base": base, "model": neural + inside, "rare": rare, "often": often})
                 row += n
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(held_out).alias("_held"), F.col(text_col).cast("string").alias("_text"))
-    scored = materialise(rows.mapInPandas(run, f"_row long, _id {kind}, _held boolean, n_tokens long, held long, base double, model double, rare array<string>, often array<long>"), "lm-scores")
+    rows = docs.select(text_id(id_col), F.col(held_out).alias("_held"), F.col(text_col).cast("string").alias("_text"))
+    scored = materialise(rows.mapInPandas(run, "_row long, _id string, _held boolean, n_tokens long, held long, base double, model double, rare array<string>, often array<long>"), "lm-scores")
     rare = scored.select("_row", F.explode(F.arrays_zip("rare", "often")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.often").alias("k"))
     more = rare.join(counts, "word").groupBy("_row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_log"))  # an unknown word adds log10(1)
     more_log = F.coalesce("more_log", F.lit(0.0))
     return scored.join(more, "_row", "left").select(
-        F.col("_id").alias(id_col), F.col("_held").alias(held_out), "n_tokens",
+        F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_held").alias(held_out), "n_tokens",
         (F.col("held") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more_log - F.col("n_tokens") * math.log10(v.tokens + v.distinct + 1)).alias("base_score"),
         (F.col("model") + more_log).alias("score"),

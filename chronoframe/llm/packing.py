@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored_id, text_id
+
 LENGTH = 4096
 END_ID = 2
 #: Costs in tokens of padding: of a sequence, of a cut between two sentences of a document, of a cut within one.
@@ -202,7 +204,6 @@ def pack_documents(docs: DataFrame, tokenizer_file: str | None = None, id_col: s
         if streams:
             yield _packed(names, streams, enders, first, length)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    out = rows.mapInPandas(run, f"_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return out.withColumnRenamed("_id", id_col)
+    rows = docs.select(text_id(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    out = rows.mapInPandas(run, "_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return restored_id(out, docs, id_col)

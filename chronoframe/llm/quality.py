@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, restored_id, text_id
 
 MIN_WORDS = 10
 #: Per cent of words in repeated windows beyond which a text fails.
@@ -92,10 +92,9 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pd.DataFrame({"_id": b["_id"].iloc[at:end].array, "_host": b["_host"].iloc[at:end].array} | _measure(texts[at:end], window))
                 at = end
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), F.col(text_col).cast("string").alias("_text"))
-    out = rows.mapInPandas(run, f"_id {kind}, _host string, " + ", ".join(f"{c} long" for c in COUNTS))
-    return out.withColumnsRenamed({"_id": id_col, "_host": host_col})
+    rows = docs.select(text_id(id_col), F.col(host_col).cast("string").alias("_host"), F.col(text_col).cast("string").alias("_text"))
+    out = rows.mapInPandas(run, "_id string, _host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return restored_id(out, docs, id_col).withColumnRenamed("_host", host_col)
 
 
 def _rules(m: DataFrame) -> DataFrame:
@@ -140,23 +139,21 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     word and fail; repeated rows are judged alike; an empty table gives an empty result.
     """
     measured = materialise(_rules(text_measures(docs, id_col, text_col, host_col)), "quality")
-    verdicts = host_verdicts(measured, host_col).select(F.col("host"), F.col("rate").alias("host_rate"))
+    verdicts = host_verdicts(measured, host_col).select(F.col("host").alias("_v_host"), F.col("rate").alias("host_rate"))
     if verdicts.count() <= BROADCAST_HOSTS:
-        joined = measured.join(F.broadcast(verdicts), measured[host_col].eqNullSafe(verdicts["host"]), "left")
+        joined = measured.join(F.broadcast(verdicts), measured[host_col].eqNullSafe(verdicts["_v_host"]), "left")
     else:
         salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         left = measured.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, left[host_col].eqNullSafe(salted["host"]) & (left["salt"] == salted["salt"]), "left").drop("salt")
+        joined = left.join(salted, left[host_col].eqNullSafe(salted["_v_host"]) & (left["salt"] == salted["salt"]), "left").drop("salt")
     held = F.when(F.col("host_rate") > SUSPECT_RATE, F.col("strict_failed")).otherwise(F.col("rules_failed"))
     ok = ~F.col("base_failed") & (held == 0) & (F.col("host_rate") <= REJECT_RATE)
-    return joined.drop("host").withColumn("kept", ok)
+    return joined.drop("_v_host").withColumn("kept", ok)
 
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` without the rows that :func:`quality_verdicts` rejects, told by id, host and text."""
-    text_hash = F.xxhash64(F.col(text_col).cast("string"))
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")).alias("_key"), F.col(text_col), F.col(host_col))
-    kept = quality_verdicts(keyed, "_key", text_col, host_col).where("kept")
-    kept = kept.select(F.col("_key.id").alias("_id"), F.col("_key.hash").alias("_hash"), F.col(host_col).alias("_host")).distinct()
-    same = docs[id_col].eqNullSafe(kept["_id"]) & (text_hash == kept["_hash"]) & docs[host_col].eqNullSafe(kept["_host"])
-    return docs.join(kept, same, "left_semi")
+    key = F.to_json(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(host_col).alias("host")))
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
+    kept = quality_verdicts(keyed, "_key", "_text", "_host").where("kept").select("_key").distinct()
+    return docs.join(kept, key == kept["_key"], "left_semi")

@@ -124,21 +124,23 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = credential_spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates([id_col, "text_hash"])
-    found = found.select(F.col(id_col).alias("f_id"), F.col("text_hash").alias("f_hash"), "spans")
+    found = found.select(F.col(id_col).alias("_f_id"), F.col("text_hash").alias("_f_hash"), F.col("spans").alias("_spans"))
     has = F.exists(_parts(text), lambda x: F.size(x) > 0)
-    with_parts = docs.where(has).withColumn("_hash", F.xxhash64(text))
-    joined = with_parts.join(found, with_parts[id_col].eqNullSafe(found["f_id"]) & (with_parts["_hash"] == found["f_hash"]), "left")
+    whole = docs.where(has).select(F.col(id_col).alias("_k_id"), F.xxhash64(text).alias("_k_hash"), F.struct("*").alias("_doc"))  # names of other columns cannot clash
+    joined = whole.join(found, F.col("_k_id").eqNullSafe(F.col("_f_id")) & (F.col("_k_hash") == F.col("_f_hash")), "left")
+    own = F.col("_doc").getField(text_col)
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        piece = F.when(fresh, F.concat(acc["out"], F.substring(own, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(piece.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    clean = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean)
-    changed = joined.withColumn(text_col, clean)
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(own, acc["at"] + 1, F.length(own))))
+    untouched = F.col("_spans").isNull()
+    values = {c: F.col("_doc").getField(c) for c in docs.columns}
+    values[text_col] = F.when(untouched, own).otherwise(clean)
     if length_col:
         kind = docs.schema[length_col].dataType
-        changed = changed.withColumn(length_col, F.when(F.col("spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
-    return changed.select(docs.columns).unionByName(docs.where(~has))
+        values[length_col] = F.when(untouched, values[length_col]).otherwise(F.length(values[text_col]).cast(kind))
+    return joined.select(*(v.alias(c) for c, v in values.items())).unionByName(docs.where(~has))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, restored_id, text_id
 from .components import connected_components
 
 MAX_BITS = 3
@@ -55,8 +55,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([_fingerprint(t, shingle) for t in b["_text"]], dtype=np.uint64).astype(np.int64)
             yield pd.DataFrame({"_id": b["_id"], "fp": fp})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(run, f"_id {kind}, fp long").withColumnRenamed("_id", id_col)
+    out = docs.select(text_id(id_col), F.col(text_col).cast("string").alias("_text")).mapInPandas(run, "_id string, fp long")
+    return restored_id(out, docs, id_col)
 
 
 def _links(groups: list[np.ndarray], bits: int) -> tuple[list[int], list[int]]:

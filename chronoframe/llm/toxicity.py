@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, restored_id, text_id
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, FUTURE, OTHER = "itgnrfo"
 SYMBOLS = INSULT + THREAT + TARGET + NEGATION + REPORT + FUTURE + OTHER
@@ -205,8 +205,8 @@ def clause_weights(docs: DataFrame, stems: dict[str, float], id_col: str = "doc_
             yield pd.DataFrame({"_id": b["_id"]} | {k: b[k] for k in keep} | {"weight": [round(w, 6) for w, _ in found], "clauses": [n for _, n in found]})
 
     kinds = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    rows = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInPandas(run, f"_id {docs.schema[id_col].dataType.simpleString()}, {kinds}weight double, clauses int").withColumnRenamed("_id", id_col)
+    rows = docs.select(text_id(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
+    return restored_id(rows.mapInPandas(run, f"_id string, {kinds}weight double, clauses int"), docs, id_col)
 
 
 def calibrate(histogram: dict[int, tuple[int, int]]) -> list[float]:

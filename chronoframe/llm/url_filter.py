@@ -67,15 +67,17 @@ def _log_probability(grams: DataFrame, counts: DataFrame, label: str, alphabet:
 
 
 def _limit(histogram: list) -> float:
-    """The score under which a URL is blocked: where the sum of both classes' error rates is least."""
+    """The score under which a URL is blocked: where the sum of both classes' error rates is least, amid the gap there."""
     allow, block = sum(r["allow"] for r in histogram), sum(r["block"] for r in histogram)
     if not allow or not block:
-        return -MOST if allow or not block else MOST
+        return MOST + 1 if block else -MOST
     best, limit, lost, caught = block * allow, -MOST, 0, 0
-    for r in sorted(histogram, key=lambda r: r["bin"]):
+    rows = sorted(histogram, key=lambda r: r["bin"])
+    for r, after in zip(rows, [*rows[1:], None], strict=True):
         lost, caught = lost + r["allow"], caught + r["block"]
         if (error := lost * block + (block - caught) * allow) < best:
-            best, limit = error, (r["bin"] + 1) * BIN
+            edge = r["bin"] + 1
+            best, limit = error, (edge + (after["bin"] if after else edge)) / 2 * BIN
     return limit
 
 
