@@ -14,21 +14,27 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _watermarked(stream: DataFrame, time: str, lateness: str) -> DataFrame:
+    """With a watermark; a time without a zone is read in the session's."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, lateness)
+
+
 def new_filings(stream: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
     """Rows whose key was not seen within the watermark; in a batch, the same without a watermark."""
     if not stream.isStreaming:
         return stream.dropDuplicates([key])
-    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+    return _watermarked(stream, time, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(stream: DataFrame, time: str, key: Sequence[str], value: str, length: str, slide: str | None = None, lateness: str | None = None) -> DataFrame:
     """Counts and sums by event-time window; late rows within the watermark are counted."""
-    rows = stream.withWatermark(time, lateness) if lateness else stream
+    rows = _watermarked(stream, time, lateness) if lateness else stream
     return rows.groupBy(F.window(time, length, slide), *key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 def sessions(stream: DataFrame, time: str, key: Sequence[str], gap: str, lateness: str | None = None) -> DataFrame:
-    rows = stream.withWatermark(time, lateness) if lateness else stream
+    rows = _watermarked(stream, time, lateness) if lateness else stream
     return rows.groupBy(F.session_window(time, gap), *key).agg(F.count("*").alias("n"))
 
 
@@ -69,7 +75,7 @@ def alert_once(stream: DataFrame, key: Sequence[str], time: str, condition, late
         from ..operators.history import keep_first
 
         return keep_first(hit, key, time)
-    return hit.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(key))
+    return _watermarked(hit, time, lateness).dropDuplicatesWithinWatermark(list(key))
 
 
 def live_quotes(stream: DataFrame, universe: DataFrame, key: str) -> DataFrame:
