@@ -96,4 +96,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(5) AS x(k) GROUP BY 1),
+m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN cov USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  CAST(n_symbols > 0.3 * n_words AS INT) + CAST(n_dup_lines > 0.5 * n_lines AS INT) + CAST(word_chars > 25 * n_words AS INT) AS own,
+  CAST(n_symbols > 0.15 * n_words AS INT) + CAST(n_dup_lines > 0.25 * n_lines AS INT) + CAST(word_chars > 12.5 * n_words AS INT) AS strict FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR own > 0) AS f FROM v GROUP BY 1),
+p AS (SELECT avg(f / n) AS mean, coalesce(var_samp(f / n), 0) AS spread, avg(1.0 / n) AS inv FROM h),
+s AS (SELECT mean, CASE WHEN mean * (1 - mean) <= 0 THEN 1.0 WHEN spread - mean * (1 - mean) * inv <= mean * (1 - mean) / 10001 THEN 10000.0 ELSE greatest(1.0, mean * (1 - mean) / (spread - mean * (1 - mean) * inv) - 1) END AS strength FROM p),
+hv AS (SELECT source AS host, (f + mean * strength) / (n + strength) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND CASE WHEN rate > 0.5 THEN strict ELSE own END = 0 AND rate <= 0.9 AS kept
+FROM v JOIN hv ON hv.host IS NOT DISTINCT FROM v.source
+"""
+
+ORACLES: dict[str, str] = {"op5_quality_rules": _OP5_SQL}
