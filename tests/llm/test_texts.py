@@ -11,7 +11,8 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from chronoframe.llm import components, decontam, packing, quality, simhash
+from chronoframe.llm import decontam, packing, quality, simhash
+from chronoframe.operators import components
 
 SF = "/root/testdata/sf0.001"
 
