@@ -105,3 +105,26 @@ def sentiment_groups(df: DataFrame, key: Sequence[str], tone: str, text: str, ti
     rows = F.array_sort(F.collect_list(F.when(F.col(tone) > 0, F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), F.col(text).alias("x")))))
     g = df.groupBy(*key).agg(F.count_if(F.col(tone) > 0).alias("positive"), F.count_if(F.col(tone) < 0).alias("negative"), F.slice(rows, 1, top).alias("_h"))
     return g.select(*key, "positive", "negative", F.array_join(F.transform("_h", lambda h: h["x"].cast("string")), ",").alias("headlines"))
+
+
+def replace_correlated(chosen: DataFrame, pairs: DataFrame, score: str, entity: str, most: float) -> DataFrame:
+    """``chosen`` and ``dropped``: the weaker of each pair that correlates over ``most``; equal scores drop the greater id."""
+    a = chosen.select(F.col(entity).alias("a"), F.col(score).alias("_sa"))
+    b = chosen.select(F.col(entity).alias("b"), F.col(score).alias("_sb"))
+    high = pairs.where(F.col("corr") > most).join(a, "a").join(b, "b")
+    weak = high.select(F.when(F.col("_sa") < F.col("_sb"), F.col("a")).otherwise(F.col("b")).alias(entity)).distinct()
+    return chosen.join(weak.withColumn("dropped", F.lit(True)), entity, "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+
+
+def single_regime(candidates: DataFrame, key: Sequence[str], facts: DataFrame, entity: str, holds: Column) -> DataFrame:
+    """``(key, regime)``: all, some or none of a row's candidates satisfy a condition; unknown where none has facts."""
+    j = candidates.join(facts, entity, "left")
+    known = F.count(holds)
+    return j.groupBy(*key).agg(F.when(known == 0, "unknown").when(F.count_if(holds) == known, "all").when(F.count_if(holds) > 0, "some").otherwise("none").alias("regime"))
+
+
+def conviction(parts: Sequence[tuple[Column, float]], penalty: Column) -> Column:
+    """A weighted score less a penalty, within 0..100."""
+    from .cross_section import weighted_mean
+
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), weighted_mean(parts) - penalty))

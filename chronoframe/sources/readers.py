@@ -154,3 +154,43 @@ def xml_facts(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
 
     out = docs.select(F.col(id_col).alias("_id"), F.col(xml_col).alias("_xml")).mapInPandas(parse, f"_id {kind}, name string, context string, unit string, decimals string, value string")
     return out.withColumnRenamed("_id", id_col)
+
+
+def tag_view(df: DataFrame, view: str) -> DataFrame:
+    """``df`` with the name of its view in the metadata of its first column; Parquet keeps it."""
+    first = df.columns[0]
+    return df.withMetadata(first, {**df.schema[first].metadata, "view": view})
+
+
+def read_pit_as_of(df: DataFrame, cutoff: Column, available: str, columns: Sequence[str]) -> DataFrame:
+    """Facts of a view tagged ``pit`` known at a cutoff; another view or an unknown column is refused."""
+    if df.schema[0].metadata.get("view") != "pit":
+        raise ValueError("not a point-in-time view")
+    if unknown := sorted(set(columns) - set(df.columns)):
+        raise ValueError(f"unknown columns: {unknown}")
+    return df.where(F.col(available) <= cutoff).select(*columns)
+
+
+def requested_symbols(rows: DataFrame, wanted: DataFrame, symbol: str, file_symbol: Column) -> DataFrame:
+    """Rows of wanted symbols; a row whose symbol is not its file's fails the query that reads it."""
+    same = F.when(F.col(symbol) != file_symbol, F.raise_error(F.lit("a row's symbol is not its file's")).isNull()).otherwise(True)
+    return rows.where(same).join(wanted.select(symbol).distinct(), symbol, "left_semi")
+
+
+def declared_actions(pages: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """``(symbol, day, action, amount)`` from one array column a kind: name -> (date field, amount field)."""
+    out = None
+    for kind, (day, amount) in kinds.items():
+        one = pages.select(F.explode(kind).alias("x")).select(F.col("x.symbol").alias("symbol"), F.to_date(F.col(f"x.{day}")).alias("day"), F.lit(kind).alias("action"), F.col(f"x.{amount}").cast("double").alias("amount"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def associations(docs: DataFrame, json_col: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents of named fields and arrays of values, and the number of unusable ones (a null among them)."""
+    rows = docs.select(F.explode(F.from_json(json_col, "data array<array<string>>")["data"]).alias("v"))
+    named = rows.select(*(F.get("v", i).alias(f) for i, f in enumerate(fields)))
+    whole = F.lit(True)
+    for f in fields:
+        whole = whole & F.col(f).isNotNull()
+    return named.where(whole), named.agg(F.count_if(~whole).alias("unusable"))
