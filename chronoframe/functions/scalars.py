@@ -81,7 +81,7 @@ def document_text(html: Column, limit: int) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(bare, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
     bare = F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[ \t\r]+", " ")
-    lines = F.filter(F.transform(F.split(bare, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(bare, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.left(F.array_join(lines, "\n"), F.lit(limit))
 
 

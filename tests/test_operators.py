@@ -163,3 +163,34 @@ def test_xml_and_bars(spark):
     pages = spark.createDataFrame([('{"A":[{"t":"2024-01-02T00:00:00Z","o":1,"h":2,"l":1,"c":2,"v":5},{"t":"2024-01-03T00:00:00Z","o":1,"h":0.5,"l":1,"c":2,"v":5}]}',)], "j string")
     good, bad = readers.bar_pages(pages, "j")
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_stems_texts_and_negations(spark):
+    from chronoframe.functions import scalars as sc
+
+    names = [("The Ácme Holdings, Inc.", "acme"), ("Acme Corp class A", "acme"), ("Theatre Co", "theatre"), ("", "")]
+    df = spark.createDataFrame(names, "n string, w string")
+    assert all(r["s"] == r["w"] for r in df.withColumn("s", sc.name_stem(F.col("n"))).collect())
+    html = "<html><style>p{}</style><p>One &amp; <b>two</b></p>\n\n<script>x</script><div> three </div></html>"
+    got = spark.createDataFrame([(html,)], "h string").select(sc.document_text(F.col("h"), 100).alias("t")).first()["t"]
+    assert got == "One &amp; two\nthree"
+    rows = [("there is no going concern here", False), ("a going concern. " + "x" * 400 + " no", True), ("no going concern " + "x" * 700 + " going concern", True), ("fine", False), (None, None)]
+    f = sc.phrase_without_negation(F.col("t"), "going concern", r"\bno\b")
+    assert [r["v"] for r in spark.createDataFrame(rows, "t string, w boolean").select(f.alias("v")).collect()][:4] == [w for _, w in rows][:4]
+
+
+def test_correlated_pairs_lose_the_weaker(spark):
+    from chronoframe.operators import screening
+
+    chosen = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 3.0)], "e int, s double")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.1), (1, 3, 0.2)], "a int, b int, corr double")
+    got = {r["e"]: r["dropped"] for r in screening.replace_correlated(chosen, pairs, "s", "e", 0.8).collect()}
+    assert got == {1: False, 2: True, 3: False}
+
+
+def test_safe_scan_refuses_other_views(spark):
+    df = readers.tag_view(spark.createDataFrame([(1, DAY)], "k int, t date"), "latest")
+    with pytest.raises(ValueError, match="point-in-time"):
+        readers.read_pit_as_of(df, F.lit(DAY), "t", ["k"])
+    with pytest.raises(ValueError, match="unknown"):
+        readers.read_pit_as_of(readers.tag_view(df, "pit"), F.lit(DAY), "t", ["z"])
