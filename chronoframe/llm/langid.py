@@ -224,7 +224,7 @@ def predict_languages(docs: DataFrame, models: CharModels | None, id_col: str =
                 parts, at = [], 0
                 while at < n:  # a bounded number of characters at a time
                     end, size = at, 0
-                    while end < n and (end == at or size + len(texts[end]) < 4_000_000):
+                    while end < n and (end == at or size + len(texts[end]) < 2_000_000):
                         size += len(texts[end])
                         end += 1
                     parts.append(_scorers[key].texts(texts[at:end]))
