@@ -4,6 +4,10 @@ Two 64-bit fingerprints that differ in three bits at most differ in one bit at m
 their two 32-bit halves. Each half is therefore indexed under its 32 variants in which one bit
 is a wildcard; an equality on such a variant finds every pair, and the Hamming distance of the
 whole fingerprints verifies it.
+
+Near copies in the sense of a shingle similarity of 0.8 lie further apart than three of 64 bits. They
+are found in the same way on wide fingerprints: 32-bit segments of a fingerprint of short shingles,
+indexed under their one-wildcard variants, and a fingerprint of five-word shingles to verify.
 """
 
 from __future__ import annotations
@@ -150,12 +154,152 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(by_fp, "fp").select(id_col, "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id; its repeated rows stay once.
+# Near copies: five-word shingles at a similarity of 0.8 or more, by wide fingerprints.
+
+#: Words of a shingle, and the least Jaccard similarity that links two texts.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Words of the shingles behind the segments: the shorter, the less of them an edit touches.
+KEY_SHINGLE = 2
+#: Segments of 32 bits each, of which one must differ in one bit at most. A wildcard covers four bits, so a segment
+#: has 8 variants and may differ in all four. At a similarity of 0.8 with scattered edits a bit differs with a
+#: chance of 0.095: no segment fits with a chance of 0.005; at 0.9 with under 0.0001.
+SEGMENTS, WILDCARD = 24, 4
+#: 64-bit parts of the fingerprint of five-word shingles that verifies a pair.
+CHECK_PARTS = 32
+#: Texts of one group that are compared in one task.
+COPY_BLOCK = 512
+
+#: Odd factors that draw independent parts from one hash.
+_ODD = np.arange(1, 65, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _wide(words: np.ndarray, size: int, parts: int) -> np.ndarray:
+    """Fingerprint of ``parts`` times 64 bits of the set of shingles; words: their hashes."""
+    if not len(words):
+        return np.zeros(parts, dtype=np.uint64)
+    size = min(size, len(words))
+    rank = np.zeros(len(words) - size + 1, dtype=np.uint64)
+    for k in range(size):
+        rank = _mix(rank + words[k : k + len(rank)] + np.uint64(k))
+    rank = np.unique(rank)
+    counts = np.zeros(64 * parts, dtype=np.int64)
+    for at in range(0, len(rank), 255 * 64):
+        bits = np.unpackbits(_mix(rank[at : at + 255 * 64, None] * _ODD[:parts] + _ODD[parts - 1]).view(np.uint8), axis=1)
+        for part in range(0, len(bits), 255):  # a byte holds the sum of so many bits
+            counts += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(rank)).view(np.uint64)
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, words, segments, parts)``, one row per row of ``docs``.
+
+    words is a hash of the sequence of words (A-Z lower-cased, ASCII white space), alike for texts that
+    differ in neither; segments are :data:`SEGMENTS` values of 32 bits and parts 64-bit longs. A null
+    or wordless text is the empty sequence.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for t in b["_text"]:
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                own = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+                hashes = np.fromiter((own[w] for w in words), dtype=np.uint64, count=len(words))
+                segments = _wide(hashes, KEY_SHINGLE, SEGMENTS // 2).view(np.uint32).astype(np.int64)
+                whole = np.array([xxhash.xxh64_intdigest(b" ".join(words), 5)], dtype=np.uint64).view(np.int64)[0]
+                rows.append((whole, segments, _wide(hashes, COPY_SHINGLE, CHECK_PARTS).view(np.int64)))
+            yield pd.DataFrame({"_id": b["_id"].array, "words": [r[0] for r in rows], "segments": [r[1] for r in rows], "parts": [r[2] for r in rows]})
+
+    rows = docs.select(text_id(id_col), F.col(text_col).cast("string").alias("_text"))
+    return restored_id(rows.mapInPandas(run, "_id string, words long, segments array<long>, parts array<long>"), docs, id_col)
+
+
+def _copy_bits(similarity: float) -> int:
+    """Differing bits of the verifying fingerprint that stand for a Jaccard similarity of sets of one size."""
+    return int(64 * CHECK_PARTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _near_in_groups(groups: DataFrame, bits: int) -> DataFrame:
+    """Edges ``(u, v)`` that span what is near within each row's array ``members`` of ``(words, parts)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for members in b["members"]:
+                names = np.array([m["words"] for m in members], dtype=np.int64)
+                parts = np.array([m["parts"] for m in members], dtype=np.int64).view(np.uint64)
+                rest = np.arange(len(names))
+                while len(rest) > 1:
+                    queue, rest = [rest[0]], rest[1:]
+                    while queue and len(rest):
+                        x = queue.pop()
+                        near = np.bitwise_count(parts[rest] ^ parts[x]).sum(axis=1, dtype=np.int64) <= bits
+                        found.extend((int(names[x]), int(names[y])) for y in rest[near])
+                        queue.extend(rest[near])
+                        rest = rest[~near]
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return groups.select("members").mapInPandas(run, "u long, v long")
+
+
+def _rooted(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(words, root)`` of every row of ``names``."""
+    roots = connected_components(edges)
+    return names.select("words").join(roots, names["words"] == roots["node"], "left").select("words", F.coalesce("root", "words").alias("root"))
+
+
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
+    """``(id_col, component)``: one row per row of ``docs`` with the smallest id it is linked to.
+
+    Texts link if their wide fingerprints share a one-wildcard variant of a segment and the
+    verifying fingerprints differ in no more bits than ``similarity`` stands for. Texts of the same
+    words meet before any comparison. Every text is first compared with one other text of each of its
+    variants, which joins almost all of a large group without forming its pairs; only variants that still
+    hold several components are compared in full, in blocks of ``block`` texts whatever their size.
+    Null and wordless texts are copies of one another; null ids never name a component. Repeated
+    rows each get their row; an empty table gives an empty result.
+    """
+    own = materialise(wide_fingerprints(docs.select(id_col, text_col), id_col, text_col), "copies")
+    texts = materialise(own.groupBy("words").agg(F.min(id_col).alias("lowest"), F.first("segments").alias("segments"), F.first("parts").alias("parts")), "copies-texts")
+    parts = texts.select("words", "parts")
+    variant = texts.select("words", F.posexplode("segments").alias("s", "value")).select("words", "s", "value", F.explode(F.sequence(F.lit(0), F.lit(32 // WILDCARD - 1))).alias("i"))
+    variant = variant.selectExpr("words", f"shiftleft(cast(s * 32 + i AS long), 32) | (value & ~shiftleft({(1 << WILDCARD) - 1}L, {WILDCARD} * i)) AS key")
+    group = Window.partitionBy("key")
+    shared = variant.withColumn("first", F.min("words").over(group)).withColumn("last", F.max("words").over(group)).where("first <> last").select("key", "words", "first")
+    shared = materialise(shared, "copies-shared")
+    bits = _copy_bits(similarity)
+    stars = shared.where("words <> first").select("words", "first").distinct().join(parts, "words")
+    stars = stars.join(parts.select(F.col("words").alias("first"), F.col("parts").alias("of_first")), "first")
+    apart = F.aggregate(F.zip_with("parts", "of_first", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    stars = materialise(stars.where(apart <= bits).select(F.col("words").alias("u"), F.col("first").alias("v")), "copies-stars")
+    roots = materialise(_rooted(texts, stars), "copies-roots")
+    split = shared.join(roots, "words").withColumn("n", F.count("*").over(group)).withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
+    split = split.where("low <> high").select("key", "words", F.ceil(F.col("n") * 2 / block).alias("blocks"))
+    own_block = F.pmod(F.xxhash64("words"), F.col("blocks"))
+    split = split.withColumn("a", own_block).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # every two blocks meet once: a pair of texts is compared whatever blocks they are in
+    split = split.select("key", "words", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = split.join(parts, "words").groupBy("key", "a", "b").agg(F.collect_list(F.struct("words", "parts")).alias("members")).where(F.size("members") > 1)
+    edges = stars.unionByName(_near_in_groups(members, bits)).distinct()
+    named = materialise(texts.select("words", "lowest").join(_rooted(texts, edges), "words"), "copies-named")
+    lowest = named.groupBy("root").agg(F.min("lowest").alias("component"))
+    return own.select(id_col, "words").join(named.join(lowest, "root").select("words", "component"), "words").select(id_col, "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that of the smallest id; its repeated rows stay once.
 
     Rows without an id stay, as nothing names them.
     """
-    found = simhash_components(docs, id_col, text_col)
+    found = near_copy_components(docs, id_col, text_col, similarity)
     keep = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
     kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
     return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

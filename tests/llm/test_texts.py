@@ -164,6 +164,71 @@ def test_near_duplicates_leave_one(nasty, empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def _shingles(text):
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def _copies(texts, ids, similarity=0.8):
+    """The smallest id that each text reaches through pairs of at least this Jaccard similarity."""
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [_shingles(t) for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    low = {}
+    for i, x in enumerate(ids):
+        low[find(i)] = min(low.get(find(i), x), x)
+    return [low[find(i)] for i in range(len(ids))]
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_copies_equal_all_pairs(spark, block):
+    rng = random.Random(block)
+    vocabulary = ["".join(rng.choice("abcdeiou") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 400))]
+        for copy in range(6):  # two edits in a hundred words at most: a similarity over 0.8, and mostly over 0.9
+            text = list(base)
+            for _ in range(copy * len(base) // 500):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append(" ".join(text))
+        rows.append(" ".join(base[: len(base) // 2]))  # half of it is no copy
+        rows.append(" ".join(rng.sample(base, len(base))))  # nor are its words in another order
+    crowd = [rng.choice(vocabulary) for _ in range(300)]
+    rows += [" ".join(crowd[:i] + [rng.choice(vocabulary)] + crowd[i + 1 :]) for i in range(0, 300, 3)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copy_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), block=block).collect()}
+    want = _copies(rows, range(len(rows)))
+    assert [got[i] for i in range(len(rows))] == want
+    assert len(set(want)) == 12 * 3 + 1
+
+
+def test_groups_without_a_shared_neighbour_are_compared_in_full(spark):
+    rng = random.Random(3)
+    own = lambda: [rng.getrandbits(64) for _ in range(simhash.CHECK_PARTS)]
+    one = own()
+    members = [[(i, [x - (1 << 63) for x in (one if i % 7 == 0 else own())]) for i in range(50)]]
+    df = spark.createDataFrame([(m,) for m in members], "members array<struct<words:long,parts:array<long>>>")
+    roots = components.connected_components(simhash._near_in_groups(df, 100)).collect()
+    assert {r["node"] for r in roots} == set(range(0, 50, 7)) and {r["root"] for r in roots} == {0}
+
+
+def test_near_copy_edges(spark, nasty, empty):
+    got = sorted((str(r["doc_id"]), str(r["component"])) for r in simhash.near_copy_components(nasty).collect())
+    assert len(got) == nasty.count() and simhash.near_copy_components(empty).count() == 0
+    assert {c for i, c in got if i in ("1", "2", "3")} == {"1"} and {c for i, c in got if i in ("4", "5", "6")} == {"4"}
+    assert {i for i, c in got if i == c} >= {"7", "8", "10", "11", str(2**60 + 1)}
+
+
 def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -234,8 +299,7 @@ def test_pipeline_equals_its_parts(spark, sf):
     kept = {r["doc_id"] for r in quality.quality_verdicts(docs).where("kept").collect()}
     assert all(10 <= _measures(rows[i])[0] for i in kept)
     ids = sorted(kept)
-    fps = [_fingerprint(rows[i]) for i in ids]
-    alone = [i for i, c in zip(ids, _components(fps, ids), strict=True) if i == c]
+    alone = [i for i, c in zip(ids, _copies([rows[i] for i in ids], ids), strict=True) if i == c]
     clean = [i for i in alone if not any(b in decontam.normalise(rows[i]) for b in bench)]
     out = p.run(spark, sf)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(clean)
