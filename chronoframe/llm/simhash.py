@@ -261,9 +261,10 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts link if their wide fingerprints share a one-wildcard variant of a segment and the
     verifying fingerprints differ in no more bits than ``similarity`` stands for. Texts of the same
-    words meet before any comparison. Every text is first compared with one other text of each of its
-    variants, which joins almost all of a large group without forming its pairs; only variants that still
-    hold several components are compared in full, in blocks of ``block`` texts whatever their size.
+    words meet before any comparison. Every text is first compared with the most central text of each of
+    its variants, which joins almost all of a large group without forming its pairs. What a variant holds
+    beyond that text's component is then compared with all of the variant; variants of over ``block``
+    texts are compared in pairs of blocks.
     Null and wordless texts are copies of one another; null ids never name a component. Repeated
     rows each get their row; an empty table gives an empty result.
     """
@@ -273,21 +274,30 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     variant = texts.select("words", F.posexplode("segments").alias("s", "value")).select("words", "s", "value", F.explode(F.sequence(F.lit(0), F.lit(32 // WILDCARD - 1))).alias("i"))
     variant = variant.selectExpr("words", f"shiftleft(cast(s * 32 + i AS long), 32) | (value & ~shiftleft({(1 << WILDCARD) - 1}L, {WILDCARD} * i)) AS key")
     group = Window.partitionBy("key")
-    shared = variant.withColumn("first", F.min("words").over(group)).withColumn("last", F.max("words").over(group)).where("first <> last").select("key", "words", "first")
-    shared = materialise(shared, "copies-shared")
+    shared = materialise(variant.withColumn("n", F.count("*").over(group)).where("n > 1"), "copies-shared")
+    # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
+    central = shared.groupBy("words").agg(F.sum("n").alias("crowd"))
+    led = shared.drop("n").join(central, "words").withColumn("first", F.max(F.struct("crowd", "words")).over(group)["words"])
+    shared = materialise(led.select("key", "words", "first"), "copies-led")
     bits = _copy_bits(similarity)
     stars = shared.where("words <> first").select("words", "first").distinct().join(parts, "words")
     stars = stars.join(parts.select(F.col("words").alias("first"), F.col("parts").alias("of_first")), "first")
     apart = F.aggregate(F.zip_with("parts", "of_first", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     stars = materialise(stars.where(apart <= bits).select(F.col("words").alias("u"), F.col("first").alias("v")), "copies-stars")
     roots = materialise(_rooted(texts, stars), "copies-roots")
-    split = shared.join(roots, "words").withColumn("n", F.count("*").over(group)).withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
-    split = split.where("low <> high").select("key", "words", F.ceil(F.col("n") * 2 / block).alias("blocks"))
-    own_block = F.pmod(F.xxhash64("words"), F.col("blocks"))
-    split = split.withColumn("a", own_block).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    # every two blocks meet once: a pair of texts is compared whatever blocks they are in
-    split = split.select("key", "words", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    members = split.join(parts, "words").groupBy("key", "a", "b").agg(F.collect_list(F.struct("words", "parts")).alias("members")).where(F.size("members") > 1)
+    joined = F.col("root") == F.max(F.when(F.col("words") == F.col("first"), F.col("root"))).over(group)
+    split = shared.join(roots, "words").withColumn("joined", joined)
+    split = split.withColumn("near", F.count_if("joined").over(group)).withColumn("far", F.count_if(~F.col("joined")).over(group)).where("far > 0")
+    whole = split.where(F.col("near") + F.col("far") <= block).select("key", "words")
+    blocks = lambda n: F.ceil(F.col(n) * 2 / block)
+    # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
+    large = split.where(F.col("near") + F.col("far") > block).select("key", "words", "joined", blocks("far").alias("far"), blocks("near").alias("near"))
+    large = large.withColumn("a", F.when(F.col("joined"), F.col("far") + F.pmod(F.xxhash64("words"), F.col("near"))).otherwise(F.pmod(F.xxhash64("words"), F.col("far"))))
+    large = large.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("far")).otherwise(F.col("far") + F.col("near")) - 1)))
+    large = large.select("key", "words", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    listed = F.collect_list(F.struct("words", "parts")).alias("members")
+    members = whole.join(parts, "words").groupBy("key").agg(listed).select("members")
+    members = members.unionByName(large.join(parts, "words").groupBy("key", "a", "b").agg(listed).where(F.size("members") > 1).select("members"))
     edges = stars.unionByName(_near_in_groups(members, bits)).distinct()
     named = materialise(texts.select("words", "lowest").join(_rooted(texts, edges), "words"), "copies-named")
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component"))
