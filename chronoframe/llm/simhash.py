@@ -5,9 +5,9 @@ their two 32-bit halves. Each half is therefore indexed under its 32 variants in
 is a wildcard; an equality on such a variant finds every pair, and the Hamming distance of the
 whole fingerprints verifies it.
 
-Near copies in the sense of a shingle similarity of 0.8 lie further apart than three of 64 bits. They
-are found in the same way on wide fingerprints: 32-bit segments of a fingerprint of short shingles,
-indexed under their one-wildcard variants, and a fingerprint of five-word shingles to verify.
+Near copies in the sense of a shingle similarity of 0.8 lie further apart than three of 64 bits. Two
+sets that alike share one of their first shingles in any common order, so an equality on those finds
+every pair; a wide fingerprint discards pairs that are far apart, and a recount of shingles verifies.
 """
 
 from __future__ import annotations
@@ -154,20 +154,20 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(by_fp, "fp").select(id_col, "fp", "component")
 
 
-# Near copies: five-word shingles at a similarity of 0.8 or more, by wide fingerprints.
+# Near copies: five-word shingles at a similarity of 0.8 or more, by their first shingles in a common order.
 
 #: Words of a shingle, and the least Jaccard similarity that links two texts.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: Words of the shingles behind the segments: the shorter, the less of them an edit touches.
-KEY_SHINGLE = 2
-#: Segments of 32 bits each, of which one must differ in one bit at most. A wildcard covers four bits, so a segment
-#: has 8 variants and may differ in all four. At a similarity of 0.8 with scattered edits a bit differs with a
-#: chance of 0.095: no segment fits with a chance of 0.005; at 0.9 with under 0.0001.
-SEGMENTS, WILDCARD = 24, 4
-#: 64-bit parts of the fingerprint of five-word shingles that verifies a pair.
+#: 64-bit parts of the fingerprint that discards pairs before their shingles are counted.
 CHECK_PARTS = 32
+#: What sets of few shingles add at most to the share of differing bits, and the deviations beyond which a pair is
+#: discarded: a pair of the least similarity is, with a chance of 1e-9.
+FEW_SHINGLES, DISCARD_SIGMAS = 0.04, 6.0
 #: Texts of one group that are compared in one task.
 COPY_BLOCK = 512
+#: Texts, about, whose shingles tell which are common, and how many of these come last in the order. Neither changes
+#: what is found, only how large the groups are.
+ORDER_DOCS, ORDER_SHINGLES = 4000, 500_000
 
 #: Odd factors that draw independent parts from one hash.
 _ODD = np.arange(1, 65, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -179,77 +179,132 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _wide(words: np.ndarray, size: int, parts: int) -> np.ndarray:
-    """Fingerprint of ``parts`` times 64 bits of the set of shingles; words: their hashes."""
+def _words(text: str | None) -> tuple[int, np.ndarray]:
+    """A hash of the sequence of words, as a signed long, and the hashes of the words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    own = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    whole = np.array([xxhash.xxh64_intdigest(b" ".join(words), 5)], dtype=np.uint64).view(np.int64)[0]
+    return whole, np.fromiter((own[w] for w in words), dtype=np.uint64, count=len(words))
+
+
+def _shingle_set(words: np.ndarray, size: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; words: their hashes."""
     if not len(words):
-        return np.zeros(parts, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     size = min(size, len(words))
     rank = np.zeros(len(words) - size + 1, dtype=np.uint64)
     for k in range(size):
         rank = _mix(rank + words[k : k + len(rank)] + np.uint64(k))
-    rank = np.unique(rank)
+    return np.unique(rank)
+
+
+def _wide(shingles: np.ndarray, parts: int) -> np.ndarray:
+    """Fingerprint of ``parts`` times 64 bits of a set of shingles."""
+    if not len(shingles):
+        return np.zeros(parts, dtype=np.uint64)
     counts = np.zeros(64 * parts, dtype=np.int64)
-    for at in range(0, len(rank), 255 * 64):
-        bits = np.unpackbits(_mix(rank[at : at + 255 * 64, None] * _ODD[:parts] + _ODD[parts - 1]).view(np.uint8), axis=1)
+    for at in range(0, len(shingles), 255 * 64):
+        bits = np.unpackbits(_mix(shingles[at : at + 255 * 64, None] * _ODD[:parts] + _ODD[parts - 1]).view(np.uint8), axis=1)
         for part in range(0, len(bits), 255):  # a byte holds the sum of so many bits
             counts += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(rank)).view(np.uint64)
+    return np.packbits(counts * 2 > len(shingles)).view(np.uint64)
+
+
+def _first_shingles(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """So many shingles, uncommon ones first, that a set at ``similarity`` or more has one of its own first ones among them."""
+    number = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    rank = np.zeros(len(shingles), dtype=np.int64)
+    if len(common) and len(shingles):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, level[at], 0)
+    return shingles[np.lexsort((shingles, rank))[:number]]
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, words, segments, parts)``, one row per row of ``docs``.
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that a sample of column ``_text`` holds more than once, and in how many of its texts."""
+    share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 100):
+                sets = [_shingle_set(_words(t)[1]) for t in b["_text"].iloc[at : at + 100]]
+                yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64)})
+
+    counts = texts.sample(share, seed=5).distinct().mapInPandas(run, "shingle long").groupBy("shingle").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()  # bounded by the limit
+    names, number = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(names)
+    return names[order], number[order]
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(id_col, words, keys, parts, body)``, one row per row of ``docs``.
 
     words is a hash of the sequence of words (A-Z lower-cased, ASCII white space), alike for texts that
-    differ in neither; segments are :data:`SEGMENTS` values of 32 bits and parts 64-bit longs. A null
-    or wordless text is the empty sequence.
+    differ in neither; keys are the first of the text's shingles, of which texts at ``similarity`` share
+    one; parts are 64-bit longs and body is the text. A null or wordless text is the empty sequence.
     """
+    rows = docs.select(text_id(id_col), F.col(text_col).cast("string").alias("_text"))
+    order = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows.select("_text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for b in batches:
-            rows = []
+            found = []
             for t in b["_text"]:
-                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                own = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-                hashes = np.fromiter((own[w] for w in words), dtype=np.uint64, count=len(words))
-                segments = _wide(hashes, KEY_SHINGLE, SEGMENTS // 2).view(np.uint32).astype(np.int64)
-                whole = np.array([xxhash.xxh64_intdigest(b" ".join(words), 5)], dtype=np.uint64).view(np.int64)[0]
-                rows.append((whole, segments, _wide(hashes, COPY_SHINGLE, CHECK_PARTS).view(np.int64)))
-            yield pd.DataFrame({"_id": b["_id"].array, "words": [r[0] for r in rows], "segments": [r[1] for r in rows], "parts": [r[2] for r in rows]})
+                whole, words = _words(t)
+                shingles = _shingle_set(words)
+                found.append((whole, _first_shingles(shingles, *order.value, similarity).view(np.int64), _wide(shingles, CHECK_PARTS).view(np.int64)))
+            yield pd.DataFrame({"_id": b["_id"].array, "words": [r[0] for r in found], "keys": [r[1] for r in found], "parts": [r[2] for r in found], "body": b["_text"].array})
 
-    rows = docs.select(text_id(id_col), F.col(text_col).cast("string").alias("_text"))
-    return restored_id(rows.mapInPandas(run, "_id string, words long, segments array<long>, parts array<long>"), docs, id_col)
+    return restored_id(rows.mapInPandas(run, "_id string, words long, keys array<long>, parts array<long>, body string"), docs, id_col)
 
 
 def _copy_bits(similarity: float) -> int:
-    """Differing bits of the verifying fingerprint that stand for a Jaccard similarity of sets of one size."""
-    return int(64 * CHECK_PARTS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Differing bits of the wide fingerprint that sets of at least this Jaccard similarity keep to."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi + FEW_SHINGLES
+    number = 64 * CHECK_PARTS
+    return int(number * share + DISCARD_SIGMAS * np.sqrt(number * share * (1 - share)))
 
 
 def _near_in_groups(groups: DataFrame, bits: int) -> DataFrame:
-    """Edges ``(u, v)`` that span what is near within each row's array ``members`` of ``(words, parts)``."""
+    """Pairs ``(u, v)`` of what may be near within each row's array ``members`` of ``(words, parts)``; with ``root``, only of two roots."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found: list[tuple[int, int]] = []
             for members in b["members"]:
                 names = np.array([m["words"] for m in members], dtype=np.int64)
                 parts = np.array([m["parts"] for m in members], dtype=np.int64).view(np.uint64)
-                rest = np.arange(len(names))
-                while len(rest) > 1:
-                    queue, rest = [rest[0]], rest[1:]
-                    while queue and len(rest):
-                        x = queue.pop()
-                        near = np.bitwise_count(parts[rest] ^ parts[x]).sum(axis=1, dtype=np.int64) <= bits
-                        found.extend((int(names[x]), int(names[y])) for y in rest[near])
-                        queue.extend(rest[near])
-                        rest = rest[~near]
-            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
+                roots = np.array([m["root"] for m in members], dtype=np.int64) if rooted else names
+                u, v = [], []
+                for x in range(len(names) - 1):
+                    rest = x + 1 + np.flatnonzero(roots[x + 1 :] != roots[x])
+                    near = rest[np.bitwise_count(parts[rest] ^ parts[x]).sum(axis=1, dtype=np.int64) <= bits]
+                    u.append(np.full(len(near), names[x]))
+                    v.append(names[near])
+                if u:
+                    yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    rooted = "root" in groups.schema["members"].dataType.elementType.names
     return groups.select("members").mapInPandas(run, "u long, v long")
 
 
+def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` whose sets of shingles have the Jaccard similarity; bodies: ``(words, body)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"words": b["words"], "shingles": [_shingle_set(_words(t)[1]).view(np.int64) for t in b["body"]]})
+
+    wanted = pairs.select(F.col("u").alias("words")).unionByName(pairs.select(F.col("v").alias("words"))).distinct()
+    one = bodies.join(wanted, "words", "left_semi").dropDuplicates(["words"])
+    sets = materialise(one.mapInPandas(run, "words long, shingles array<long>"), "copies-sets")
+    side = lambda c: sets.select(F.col("words").alias(c), F.col("shingles").alias(f"_{c}"))
+    both = F.size(F.array_intersect("_u", "_v"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= similarity * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+
+
 def _rooted(names: DataFrame, edges: DataFrame) -> DataFrame:
     """``(words, root)`` of every row of ``names``."""
     roots = connected_components(edges)
@@ -259,46 +314,50 @@ def _rooted(names: DataFrame, edges: DataFrame) -> DataFrame:
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
     """``(id_col, component)``: one row per row of ``docs`` with the smallest id it is linked to.
 
-    Texts link if their wide fingerprints share a one-wildcard variant of a segment and the
-    verifying fingerprints differ in no more bits than ``similarity`` stands for. Texts of the same
-    words meet before any comparison. Every text is first compared with the most central text of each of
-    its variants, which joins almost all of a large group without forming its pairs. What a variant holds
-    beyond that text's component is then compared with all of the variant; variants of over ``block``
-    texts are compared in pairs of blocks.
+    Texts link if the Jaccard similarity of their sets of five-word shingles is ``similarity`` or more.
+    Such texts share one of their first shingles, which make the groups; pairs whose wide fingerprints
+    lie far apart are discarded and the others' shingles counted. Texts of the same words meet before
+    any comparison. Every text is first compared with the most central text of each of its groups,
+    which joins almost all of a large group without forming its pairs. What a group holds beyond that
+    text's component is then compared with all of the group; groups of over ``block`` texts are
+    compared in pairs of blocks.
     Null and wordless texts are copies of one another; null ids never name a component. Repeated
     rows each get their row; an empty table gives an empty result.
     """
-    own = materialise(wide_fingerprints(docs.select(id_col, text_col), id_col, text_col), "copies")
-    texts = materialise(own.groupBy("words").agg(F.min(id_col).alias("lowest"), F.first("segments").alias("segments"), F.first("parts").alias("parts")), "copies-texts")
-    parts = texts.select("words", "parts")
-    variant = texts.select("words", F.posexplode("segments").alias("s", "value")).select("words", "s", "value", F.explode(F.sequence(F.lit(0), F.lit(32 // WILDCARD - 1))).alias("i"))
-    variant = variant.selectExpr("words", f"shiftleft(cast(s * 32 + i AS long), 32) | (value & ~shiftleft({(1 << WILDCARD) - 1}L, {WILDCARD} * i)) AS key")
+    own = materialise(wide_fingerprints(docs.select(id_col, text_col), id_col, text_col, similarity), "copies")
+    texts = materialise(own.groupBy("words").agg(F.min(id_col).alias("lowest"), F.first("keys").alias("keys"), F.first("parts").alias("parts")), "copies-texts")
+    parts, bodies = texts.select("words", "parts"), own.select("words", "body")
     group = Window.partitionBy("key")
-    shared = materialise(variant.withColumn("n", F.count("*").over(group)).where("n > 1"), "copies-shared")
+    shared = materialise(texts.select("words", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(group)).where("n > 1"), "copies-shared")
     # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
     central = shared.groupBy("words").agg(F.sum("n").alias("crowd"))
-    led = shared.drop("n").join(central, "words").withColumn("first", F.max(F.struct("crowd", "words")).over(group)["words"])
-    shared = materialise(led.select("key", "words", "first"), "copies-led")
+    led = shared.join(central, "words").withColumn("first", F.max(F.struct("crowd", "words")).over(group)["words"])
+    shared = materialise(led.select("key", "words", "n", "first"), "copies-led")
     bits = _copy_bits(similarity)
     stars = shared.where("words <> first").select("words", "first").distinct().join(parts, "words")
     stars = stars.join(parts.select(F.col("words").alias("first"), F.col("parts").alias("of_first")), "first")
     apart = F.aggregate(F.zip_with("parts", "of_first", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    stars = materialise(stars.where(apart <= bits).select(F.col("words").alias("u"), F.col("first").alias("v")), "copies-stars")
+    stars = materialise(stars.where(apart <= bits).select(F.col("words").alias("u"), F.col("first").alias("v")), "copies-near")
+    stars = materialise(_verified(stars, bodies, similarity), "copies-stars")
     roots = materialise(_rooted(texts, stars), "copies-roots")
     joined = F.col("root") == F.max(F.when(F.col("words") == F.col("first"), F.col("root"))).over(group)
-    split = shared.join(roots, "words").withColumn("joined", joined)
+    split = shared.where("n > 2").join(roots, "words").withColumn("joined", joined)  # the one pair of a group of two is a star's
     split = split.withColumn("near", F.count_if("joined").over(group)).withColumn("far", F.count_if(~F.col("joined")).over(group)).where("far > 0")
-    whole = split.where(F.col("near") + F.col("far") <= block).select("key", "words")
+    # texts that share many first shingles are one group once
+    whole = split.where(F.col("n") <= block).groupBy("key").agg(F.array_sort(F.collect_list("words")).alias("all")).select("all").distinct()
+    whole = whole.select(F.xxhash64("all").alias("key"), F.explode("all").alias("words"))
     blocks = lambda n: F.ceil(F.col(n) * 2 / block)
     # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
-    large = split.where(F.col("near") + F.col("far") > block).select("key", "words", "joined", blocks("far").alias("far"), blocks("near").alias("near"))
+    large = split.where(F.col("n") > block).select("key", "words", "joined", blocks("far").alias("far"), blocks("near").alias("near"))
     large = large.withColumn("a", F.when(F.col("joined"), F.col("far") + F.pmod(F.xxhash64("words"), F.col("near"))).otherwise(F.pmod(F.xxhash64("words"), F.col("far"))))
     large = large.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("far")).otherwise(F.col("far") + F.col("near")) - 1)))
     large = large.select("key", "words", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    listed = F.collect_list(F.struct("words", "parts")).alias("members")
-    members = whole.join(parts, "words").groupBy("key").agg(listed).select("members")
-    members = members.unionByName(large.join(parts, "words").groupBy("key", "a", "b").agg(listed).where(F.size("members") > 1).select("members"))
-    edges = stars.unionByName(_near_in_groups(members, bits)).distinct()
+    listed = F.collect_list(F.struct("words", "parts", "root")).alias("members")
+    marked = parts.join(roots, "words")
+    members = whole.join(marked, "words").groupBy("key").agg(listed).select("members")
+    members = members.unionByName(large.join(marked, "words").groupBy("key", "a", "b").agg(listed).where(F.size("members") > 1).select("members"))
+    rest = _near_in_groups(members, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = stars.unionByName(_verified(materialise(rest, "copies-rest"), bodies, similarity)).distinct()
     named = materialise(texts.select("words", "lowest").join(_rooted(texts, edges), "words"), "copies-named")
     lowest = named.groupBy("root").agg(F.min("lowest").alias("component"))
     return own.select(id_col, "words").join(named.join(lowest, "root").select("words", "component"), "words").select(id_col, "component")

@@ -212,6 +212,33 @@ def test_near_copies_equal_all_pairs(spark, block):
     assert len(set(want)) == 12 * 3 + 1
 
 
+def _edited(rng, words, similarity, kind):
+    """Words with one edit in one place that leaves about this similarity."""
+    n = len(words)
+    fresh = lambda k: [f"n{rng.randrange(10**9)}" for _ in range(k)]
+    if kind in ("head", "tail"):  # added
+        new = fresh(int(n * (1 / similarity - 1)))
+        return new + words if kind == "head" else words + new
+    if kind == "cut":
+        return words[: round(n * similarity)]
+    k = int(n * (1 - similarity) / (1 + similarity)) - 4  # a paragraph replaced
+    at = rng.randrange(n - k)
+    return words[:at] + fresh(k) + words[at + k :]
+
+
+def test_near_copies_with_one_long_edit(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        copy = _edited(rng, base, rng.choice([0.76, 0.8, 0.81, 0.83, 0.86]), ("head", "tail", "cut", "paragraph")[i % 4])
+        rows += [" ".join(base), " ".join(copy)]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copy_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = _copies(rows, range(len(rows)))
+    assert [got[i] for i in range(len(rows))] == want
+    assert 100 < sum(want[i] == i - 1 for i in range(1, len(rows), 2)) < 155
+
+
 def test_groups_without_a_shared_neighbour_are_compared_in_full(spark):
     rng = random.Random(3)
     own = lambda: [rng.getrandbits(64) for _ in range(simhash.CHECK_PARTS)]
