@@ -239,6 +239,18 @@ def test_near_copies_with_one_long_edit(spark):
     assert 100 < sum(want[i] == i - 1 for i in range(1, len(rows), 2)) < 155
 
 
+def test_near_copies_of_few_words_are_counted_exactly(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(200):
+        base = [f"w{rng.randrange(5000)}" for _ in range(8 + i % 9)]
+        rows += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base, "two", "more"])][: 2 + i % 2]
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copy_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = _copies(rows, range(len(rows)))
+    assert [got[i] for i in range(len(rows))] == want
+    assert 20 < sum(w != i for i, w in enumerate(want)) < len(rows) // 2
+
+
 def test_groups_without_a_shared_neighbour_are_compared_in_full(spark):
     rng = random.Random(3)
     own = lambda: [rng.getrandbits(64) for _ in range(simhash.CHECK_PARTS)]
