@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,37 +44,22 @@ def turnover_budget(df: DataFrame, part: Sequence[str], order: str, amount: str,
     return folded.select(*part, F.inline("_o"))
 
 
-def select_constrained(candidates: DataFrame, part: Sequence[str], score: str, entity: str, sector: str, slots: int, sector_cap: int, short_list: int = 200) -> DataFrame:
+def select_constrained(candidates: DataFrame, part: Sequence[str], score: str, entity: str, sector: str, slots: int, sector_cap: int) -> DataFrame:
     """``(part, entity, action)``: greedy choice under a cap for each sector, held rows first, with a reason for each rejection.
 
-    Columns ``held`` and ``stays`` (boolean) mark incumbents and those still in the band. A window cuts
-    each part to its ``short_list`` best rows and all held ones before the ordered choice sees it.
+    Columns ``held`` and ``stays`` (boolean) mark incumbents and those still in the band. Every
+    candidate gets a row. While there are slots, a sector places its first ``sector_cap`` rows, so
+    ranks within sectors and a count of what was placed before say what the ordered choice would.
     """
-    best = Window.partitionBy(*part).orderBy(F.col(score).desc_nulls_last(), F.col(entity))
-    short = candidates.withColumn("_n", F.row_number().over(best)).where((F.col("_n") <= short_list) | F.col("held"))
-    columns = [*part, entity]
-    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in columns)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_first", score, entity], ascending=[False, False, True])
-        used: dict[str, int] = {}
-        taken, actions = 0, []
-        for row in pdf.itertuples(index=False):
-            s = getattr(row, sector)
-            if row.held and not row.stays:
-                actions.append("exit_band")
-            elif taken >= slots:
-                actions.append("no_slot")
-            elif used.get(s, 0) >= sector_cap:
-                actions.append("sector_cap")
-            else:
-                used[s] = used.get(s, 0) + 1
-                taken += 1
-                actions.append("hold" if row.held else "enter")
-        return pdf[columns].assign(action=actions)
-
-    short = short.withColumn("_first", (F.col("held") & F.col("stays")).cast("int"))
-    return short.groupBy(*part).applyInPandas(choose, f"{kinds}, action string")
+    value = F.col(score).cast("double")
+    held, stays = F.coalesce("held", F.lit(False)), F.coalesce("stays", F.lit(False))
+    ordered = candidates.select("*", (held & ~stays).alias("_exit"), (held & stays).alias("_first"), F.when(~F.isnan(value), value).alias("_score"), held.alias("_held"))
+    order = [F.desc("_first"), F.desc_nulls_last("_score"), F.col(entity)]
+    fits = ordered.withColumn("_fits", ~F.col("_exit") & (F.row_number().over(Window.partitionBy(*part, sector, "_exit").orderBy(*order)) <= sector_cap))
+    before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.count_if("_fits").over(before), F.lit(0))
+    action = F.when(F.col("_exit"), "exit_band").when(taken >= slots, "no_slot").when(~F.col("_fits"), "sector_cap").when(F.col("_held"), "hold").otherwise("enter")
+    return fits.select(*part, entity, action.alias("action"))
 
 
 def top_factors(names: Sequence[str], n: int) -> Column:

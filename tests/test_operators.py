@@ -73,6 +73,28 @@ def test_constrained_selection_holds_its_caps(spark):
     assert max(sum(e % 3 == s for e in taken) for s in range(3)) == 2
 
 
+def test_constrained_selection_equals_loop_on_all_candidates(spark):
+    rng = random.Random(8)
+    rows = [(p, e, rng.choice([None, 1, 2, 3]) if p else int(e > 250), rng.choice([None, float(rng.randrange(60))]) if p else float(300 - e), rng.random() < 0.1, rng.random() < 0.5) for p in range(4) for e in range(300)]
+    df = spark.createDataFrame(rows, "p int, e int, sector int, score double, held boolean, stays boolean")
+    for slots, cap in ((15, 2), (5, 3), (15, 400)):
+        got = {(r["p"], r["e"]): r["action"] for r in selection.select_constrained(df, ["p"], "score", "e", "sector", slots, cap).collect()}
+        want = {}
+        for p in range(4):
+            used, taken = {}, 0
+            for _, e, s, score, held, stays in sorted((x for x in rows if x[0] == p), key=lambda x: (not (x[4] and x[5]), x[3] is None, -(x[3] or 0), x[1])):
+                if held and not stays:
+                    want[p, e] = "exit_band"
+                elif taken >= slots:
+                    want[p, e] = "no_slot"
+                elif used.get(s, 0) >= cap:
+                    want[p, e] = "sector_cap"
+                else:
+                    used[s], taken = used.get(s, 0) + 1, taken + 1
+                    want[p, e] = "hold" if held else "enter"
+        assert got == want and len(got) == len(rows)
+
+
 @pytest.mark.parametrize(
     ("quarters", "year", "fourth"),
     [((11_300_000_000, 12_363_000_000, 11_854_000_000), 47_061_000_000, 11_544_000_000), ((124_300_000_000, 95_359_000_000, 94_036_000_000), 416_161_000_000, 102_466_000_000)],
