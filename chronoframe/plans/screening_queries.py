@@ -195,6 +195,12 @@ def h12(spark, d):
     return screening.sessions_after(o, g.bars(spark, d).select("session").distinct(), "day", "session", 5, "due").select("o_orderkey", "due")
 
 
+@query("h12_all_sessions_after", "WITH s AS (SELECT session, row_number() OVER (ORDER BY session) n FROM (SELECT DISTINCT session FROM bars)), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), b AS (SELECT o.day, s.n FROM o ASOF LEFT JOIN s ON o.day >= s.session) SELECT o_orderkey, s.session AS due FROM orders LEFT JOIN b ON b.day = CAST(o_orderdate AS DATE) LEFT JOIN s ON s.n = b.n + 5")
+def h12_all(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return screening.sessions_after(o, g.bars(spark, d).select("session").distinct(), "day", "session", 5, "due").select("o_orderkey", "due")
+
+
 @query("h13_grouped_numbers", "SELECT o_orderkey, o_totalprice AS number FROM orders")
 def h13(spark, d):
     text = F.translate(F.format_number("o_totalprice", 2), ",.", ".,")

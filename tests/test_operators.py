@@ -216,3 +216,10 @@ def test_safe_scan_refuses_other_views(spark):
         readers.read_pit_as_of(df, F.lit(DAY), "t", ["k"])
     with pytest.raises(ValueError, match="unknown"):
         readers.read_pit_as_of(readers.tag_view(df, "pit"), F.lit(DAY), "t", ["z"])
+
+
+def test_sessions_after_keeps_every_order(spark, sf):
+    from chronoframe.plans.catalogue import QUERIES
+
+    got = [r["o_orderkey"] for r in QUERIES["h12_all_sessions_after"](spark, sf).collect()]
+    assert sorted(got) == sorted(r["o_orderkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
