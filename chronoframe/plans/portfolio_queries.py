@@ -151,6 +151,13 @@ def d8(spark, d):
     return last.groupBy("security_id").agg(F.when(F.count("*") == 90, r(F.median("close"), 5)).alias("mid"))
 
 
+@query("d8_all_complete_window_median", "SELECT security_id, CASE WHEN count(*) = 90 THEN round(median(close), 5) END AS mid FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY session DESC) n FROM bars WHERE session < DATE '1996-12-31') WHERE n <= 90 GROUP BY 1")
+def d8_all(spark, d):
+    b = g.bars(spark, d).where("session < DATE '1996-12-31'")
+    last = b.withColumn("n", F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("session")))).where("n <= 90")
+    return last.groupBy("security_id").agg(F.when(F.count("*") == 90, r(F.median("close"), 5)).alias("mid"))
+
+
 @query("d9_complete_totals", "SELECT l_orderkey, CASE WHEN count(*) = count(CASE WHEN l_quantity > 1 THEN 1 END) THEN sum(l_quantity) END AS total FROM lineitem GROUP BY 1")
 def d9(spark, d):
     v = F.when(F.col("l_quantity") > 1, F.col("l_quantity"))

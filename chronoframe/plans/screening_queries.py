@@ -22,6 +22,13 @@ def c12(spark, d):
     return connected_components(e)
 
 
+# No SQL; the tests compare it with union-find.
+@query("c12_all_identity_components")
+def c12_all(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("u"), (-1 - F.col("l_suppkey")).alias("v")).distinct()
+    return connected_components(e)
+
+
 @query("c16_exact_names", "WITH k AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n, count(DISTINCT p_partkey) AS c, min(p_partkey) AS e FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) SELECT p.p_partkey AS row_id, CASE WHEN c = 1 THEN e END AS entity, CASE WHEN c IS NULL THEN 'unmatched' WHEN c = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM part p LEFT JOIN k ON k.n = regexp_replace(lower(p.p_name), '[^a-z0-9]', '', 'g')")
 def c16(spark, d):
     p = table(spark, d, "part")

@@ -223,3 +223,31 @@ def test_sessions_after_keeps_every_order(spark, sf):
 
     got = [r["o_orderkey"] for r in QUERIES["h12_all_sessions_after"](spark, sf).collect()]
     assert sorted(got) == sorted(r["o_orderkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect())
+
+
+def test_identity_components_of_all_links_equal_union_find(spark, tmp_path):
+    from chronoframe.plans.catalogue import QUERIES
+
+    rng = random.Random(5)
+    links = [(rng.randrange(60), rng.randrange(40), rng.randrange(1, 51), rng.randrange(1, 8)) for _ in range(45)]
+    spark.createDataFrame(links, "l_partkey long, l_suppkey long, l_quantity long, l_linenumber long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for p, s, *_ in links:
+        a, b = find(p), find(-1 - s)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in QUERIES["c12_all_identity_components"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in parent} and 1 < len(set(got.values())) < len(got)
+
+
+def test_complete_window_median_covers_every_security(spark, sf):
+    from chronoframe.plans.catalogue import QUERIES
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_shipdate < '1996-12-31'").select("l_suppkey").distinct().count()
+    assert QUERIES["d8_all_complete_window_median"](spark, sf).count() == want
