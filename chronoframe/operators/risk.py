@@ -33,10 +33,10 @@ def beta(df: DataFrame, benchmark: DataFrame, key: Sequence[str], time: str, ret
     return both.groupBy(*key).agg(F.count("*").alias("n"), F.try_divide(F.covar_samp(ret, bench_ret), F.var_samp(bench_ret)).alias("beta"), F.avg(F.col(ret) - F.col(bench_ret)).alias("alpha"))
 
 
-def pair_correlations(df: DataFrame, key: str, time: str, ret: str, least: int) -> DataFrame:
-    """``(a, b, n, corr)`` of all pairs of a short list of series, on common dates."""
-    side = lambda n: df.where(F.col(ret).isNotNull()).select(F.col(key).alias(n), time, F.col(ret).alias(f"_{n}"))
-    pair = side("a").join(side("b"), time).where("a < b")
+def pair_correlations(df: DataFrame, key: str, time: str, ret: str, least: int, within: Sequence[str] = ()) -> DataFrame:
+    """``(a, b, n, corr)`` of all pairs of series, on common dates; with ``within``, of pairs alike in these columns."""
+    side = lambda n: df.where(F.col(ret).isNotNull()).select(F.col(key).alias(n), time, *within, F.col(ret).alias(f"_{n}"))
+    pair = side("a").join(side("b"), [time, *within]).where("a < b")
     return pair.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("corr")).where(F.col("n") >= least)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,54 @@ def select_constrained(candidates: DataFrame, part: Sequence[str], score: str, e
     return fits.select(*part, entity, action.alias("action"))
 
 
+def replace_correlated_picks(candidates: DataFrame, pairs: DataFrame, part: Sequence[str], score: str, entity: str, sector: str, sector_cap: int, most: float) -> DataFrame:
+    """``(part, entity, action, replaces)`` of each part's picks and those that take their place: keep, drop or replace.
+
+    Column ``action`` of the candidates is that of :func:`select_constrained`; pairs are ``(a, b, corr)``.
+    The weaker pick of a pair over ``most`` (of equal scores the greater id) gives way to the best
+    candidate left that fits its sector's cap and correlates with no other pick; without one it stays.
+    This goes on until nothing moves; a candidate has one turn.
+    """
+    high = pairs.where(F.col("corr") > most)
+    both = high.select(F.col("a").alias(entity), F.col("b").alias("_o")).unionByName(high.select(F.col("b").alias(entity), F.col("a").alias("_o")))
+    rows = candidates.where("action <> 'exit_band'").select(*part, entity, F.col(sector).alias("_s"), F.col(score).cast("double").alias("_v"), F.col("action").alias("_a"))
+    rows = rows.join(both.groupBy(entity).agg(F.collect_list("_o").alias("_n")), entity, "left")
+    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in [*part, entity])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_h=pdf["_a"] != "hold").sort_values(["_h", "_v", entity], ascending=[True, False, True])
+        ids = pdf[entity].tolist()
+        value = {e: -np.inf if v != v else v for e, v in zip(ids, pdf["_v"], strict=True)}
+        group = {e: None if pd.isna(s) else s for e, s in zip(ids, pdf["_s"], strict=True)}
+        near = {e: set() if n is None else set(n) for e, n in zip(ids, pdf["_n"], strict=True)}
+        first = dict(zip(ids, pdf["_a"].isin(["hold", "enter"]), strict=True))
+        picks, rest = [e for e in ids if first[e]], [e for e in ids if not first[e]]
+        out = {e: ["keep", None] for e in picks}
+
+        def move() -> bool:
+            for i, a in enumerate(picks):
+                for b in picks[i + 1 :]:
+                    if b not in near[a]:
+                        continue
+                    weak = min((a, b), key=lambda e: (value[e], -ids_rank[e]))
+                    others = [e for e in picks if e != weak]
+                    for c in rest:
+                        if sum(group[e] == group[c] for e in others) < sector_cap and near[c].isdisjoint(others):
+                            out[weak][0], out[c] = "drop", ["replace", weak]
+                            picks[picks.index(weak)] = c
+                            rest.remove(c)
+                            return True
+            return False
+
+        ids_rank = {e: k for k, e in enumerate(sorted(ids))}
+        while move():
+            pass
+        keys = {c: pdf[c].iloc[0] for c in part}
+        return pd.DataFrame([{**keys, entity: e, "action": a, "replaces": r} for e, (a, r) in out.items()], columns=[*part, entity, "action", "replaces"])
+
+    return rows.groupBy(*part).applyInPandas(settle, f"{kinds}, action string, replaces {candidates.schema[entity].dataType.simpleString()}")
+
+
 def top_factors(names: Sequence[str], n: int) -> Column:
     """Names of the ``n`` greatest factors, joined; equal ones by name, nulls left out."""
     rows = F.array(*(F.struct((-F.col(c)).alias("v"), F.lit(c).alias("k")) for c in names))

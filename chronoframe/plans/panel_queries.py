@@ -324,13 +324,17 @@ def f2(spark, d):
     return sel.capped_top_k(g.months(spark, d), ["month"], "sector", _order(), 2, 12).select("security_id", "month", "rank")
 
 
+def candidates(spark, d):
+    """Each month's candidates of the constrained choice."""
+    m = x.normalize_factor(g.months(spark, d), "price", ["month"], "sector", "score")
+    held = (F.col("security_id") % 7) == 0
+    return m.withColumn("held", held).withColumn("stays", F.col("score") >= 40)
+
+
 # A greedy choice under caps: the tests compare it with a plain loop.
 @query("f3_constrained_selection")
 def f3(spark, d):
-    m = x.normalize_factor(g.months(spark, d), "price", ["month"], "sector", "score")
-    held = (F.col("security_id") % 7) == 0
-    m = m.withColumn("held", held).withColumn("stays", F.col("score") >= 40)
-    return sel.select_constrained(m, ["month"], "score", "security_id", "sector", 15, 2)
+    return sel.select_constrained(candidates(spark, d), ["month"], "score", "security_id", "sector", 15, 2)
 
 
 @query("f4_band", f"WITH p AS (SELECT security_id, month, ({_AVG} - 0.5) / {_N} AS p FROM months) SELECT security_id, month, CASE WHEN security_id % 7 = 0 THEN p >= 0.7 ELSE p >= 0.9 END AS belongs FROM p")

@@ -68,6 +68,12 @@ def d33(spark, d):
     return p.withColumn("corr", r(F.col("corr"), 5))
 
 
+@query("d33_sector_pair_correlations", f"WITH {_MR} SELECT a.security_id AS a, b.security_id AS b, count(*) AS n, round(corr(a.ret, b.ret), 5) AS corr FROM mr a JOIN mr b ON a.month = b.month AND a.sector = b.sector AND a.security_id < b.security_id WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20")
+def d33_sectors(spark, d):
+    p = risk.pair_correlations(_returns(spark, d), "security_id", "month", "ret", 20, ["sector"])
+    return p.withColumn("corr", r(F.col("corr"), 5))
+
+
 @query("d36_log_growth", "SELECT company_id, count(*) AS n, round(exp(regr_slope(ln(revenue), q)) - 1, 5) AS growth FROM quarters GROUP BY 1")
 def d36(spark, d):
     return risk.log_growth(g.quarters(spark, d), ["company_id"], "q", "revenue").withColumn("growth", r(F.col("growth"), 5))

@@ -12,6 +12,7 @@ from ..operators import series as s
 from ..operators.asof import asof_backward
 from ..sources import readers, sinks
 from . import registry as g
+from .panel_queries import candidates
 from .registry import cut, query, r, table
 
 K = ["security_id"]
@@ -122,12 +123,13 @@ def e25(spark, d):
     return k.select("security_id", r(x.weighted_mean([(c[0] / c[1] - 1, 0.4), (c[0] / c[2] - 1, 0.6)]), 5).alias("momentum"))
 
 
+# Picks of F-3 and those that take their place: the tests compare it with a plain loop.
 @query("f12_replace_correlated")
 def f12(spark, d):
-    m = g.months(spark, d).withColumn("ret", s.log_return("price", K, "month")).where("sector IN (3, 7)")
-    pairs = risk.pair_correlations(m, "security_id", "month", "ret", 20)
-    chosen = m.groupBy("security_id").agg(r(F.avg("turnover"), 2).alias("score"))
-    return screening.replace_correlated(chosen, pairs, "score", "security_id", 0.1)
+    m = candidates(spark, d)
+    acted = m.join(selection.select_constrained(m, ["month"], "score", "security_id", "sector", 15, 2), ["month", "security_id"])
+    pairs = risk.pair_correlations(g.months(spark, d).withColumn("ret", s.log_return("price", K, "month")), "security_id", "month", "ret", 20)
+    return selection.replace_correlated_picks(acted, pairs, ["month"], "score", "security_id", "sector", 2, 0.1)
 
 
 @query("g7_common_dates", "SELECT session FROM bars WHERE security_id = 1 INTERSECT SELECT session FROM bars WHERE security_id = 2")

@@ -251,3 +251,36 @@ def test_complete_window_median_covers_every_security(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     want = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_shipdate < '1996-12-31'").select("l_suppkey").distinct().count()
     assert QUERIES["d8_all_complete_window_median"](spark, sf).count() == want
+
+
+def test_correlated_picks_are_replaced_as_in_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(p, e, rng.randrange(5), float(rng.randrange(90)), rng.random() < 0.1, rng.random() < 0.7) for p in range(5) for e in range(40)]
+    pairs = [(a, b, rng.random()) for b in range(40) for a in range(b)]
+    kind = "p int, e int, sector int, score double, held boolean, stays boolean"
+    df = spark.createDataFrame(rows, kind)
+    acted = df.join(selection.select_constrained(df, ["p"], "score", "e", "sector", 8, 2), ["p", "e"])
+    out = selection.replace_correlated_picks(acted, spark.createDataFrame(pairs, "a int, b int, corr double"), ["p"], "score", "e", "sector", 2, 0.8)
+    got = {(r["p"], r["e"]): (r["action"], r["replaces"]) for r in out.collect()}
+    high = {frozenset((a, b)) for a, b, c in pairs if c > 0.8}
+    action, want = {(r["p"], r["e"]): r["action"] for r in acted.collect()}, {}
+    for p in range(5):
+        own = {x[1]: x for x in rows if x[0] == p}
+        order = sorted(own, key=lambda e: (action[p, e] != "hold", -own[e][3], e))
+        picks = [e for e in order if action[p, e] in ("hold", "enter")]
+        rest = [e for e in order if action[p, e] in ("no_slot", "sector_cap")]
+        want |= {(p, e): ("keep", None) for e in picks}
+        moved = True
+        while moved:
+            moved = False
+            for a, b in [(a, b) for i, a in enumerate(picks) for b in picks[i + 1 :] if frozenset((a, b)) in high]:
+                weak = sorted((a, b), key=lambda e: (own[e][3], -e))[0]
+                stay = [e for e in picks if e != weak]
+                fit = [c for c in rest if [own[e][2] for e in stay].count(own[c][2]) < 2 and not any(frozenset((c, e)) in high for e in stay)]
+                if fit:
+                    want[p, weak], want[p, fit[0]] = ("drop", want[p, weak][1]), ("replace", weak)
+                    picks[picks.index(weak)] = fit[0]
+                    rest.remove(fit[0])
+                    moved = True
+                    break
+    assert got == want and any(a == "replace" for a, _ in got.values())
