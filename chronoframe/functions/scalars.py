@@ -76,13 +76,14 @@ def valid_unit(unit: Column) -> Column:
     return F.lower(unit).isin("shares", "share") | F.rlike(unit, F.lit("^[A-Z]{3}$"))
 
 
-def document_text(html: Column, limit: int) -> Column:
-    """Visible text of HTML: without scripts, styles and tags, blank lines collapsed, ``limit`` characters at most."""
+def document_text(html: Column, limit: int | None = None) -> Column:
+    """Visible text of HTML: without scripts, styles and tags, blank lines collapsed; with ``limit``, so many characters at most."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(bare, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
     bare = F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[ \t\r]+", " ")
     lines = F.filter(F.transform(F.split(bare, "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.left(F.array_join(lines, "\n"), F.lit(limit))
+    text = F.array_join(lines, "\n")
+    return text if limit is None else F.left(text, F.lit(limit))
 
 
 def keyword_sentiment(text: Column, good: Sequence[str], bad: Sequence[str]) -> Column:

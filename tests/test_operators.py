@@ -284,3 +284,11 @@ def test_correlated_picks_are_replaced_as_in_a_loop(spark):
                     moved = True
                     break
     assert got == want and any(a == "replace" for a, _ in got.values())
+
+
+def test_document_text_query_keeps_whole_pages(spark, tmp_path):
+    from chronoframe.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, "<p>" + "word " * 9000 + "end</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    text = QUERIES["a22_document_text"](spark, str(tmp_path)).first()["text"]
+    assert len(text) == 45003 and text.endswith("end")
