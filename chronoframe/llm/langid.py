@@ -176,7 +176,7 @@ def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     share = F.lit(0)
     for lang, n in number.items():
         share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, sample_docs / n))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)) < share)
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)) < share).dropDuplicates(["lang", "text"])  # copies are drawn together
     word = F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]+", ""), r"\s+"))
     counts = sample.select("lang", word.alias("word")).where("word <> ''").groupBy("lang", "word").count()
     words: dict[str, tuple[list[str], list[int]]] = {}

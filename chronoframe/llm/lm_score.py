@@ -309,7 +309,7 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     v = build_vocabulary(counts)
     sent, key = spark.sparkContext.broadcast(v), uuid.uuid4().hex
     number = train.count()
-    warm = train.where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, WARM_DOCS / max(number, 1))))
+    warm = train.where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, WARM_DOCS / max(number, 1)))).distinct()  # copies are drawn together
     first = _average(_trained(warm.coalesce(1), sent, key, None))
     learned = spark.sparkContext.broadcast(_average(_trained(train, sent, key, first)))
 

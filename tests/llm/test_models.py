@@ -148,3 +148,11 @@ def test_language_edges(nasty, empty, spark):
     assert langid.predict_languages(empty, models).count() == 0
     odd = spark.createDataFrame([(1, "123 !?"), (2, "中文字"), (3, "1a")], "doc_id long, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(odd, models).collect()} == {1: "und", 2: "en", 3: "en"}
+
+
+def test_copies_do_not_crowd_the_sample_of_a_language(spark):
+    rows = [("a", f"w{chr(97 + i % 26)}{chr(97 + i // 26)} plain words of the language") for i in range(40)]
+    once = langid.fit_languages(spark.createDataFrame([*rows, ("a", "copied zebra text")], "lang string, text string"))
+    often = langid.fit_languages(spark.createDataFrame([*rows, *[("a", "copied zebra text")] * 60], "lang string, text string"))
+    score = lambda m: float(langid._Scorer(m).texts(["zebra"])[0][0, 0])
+    assert score(often) == score(once)
