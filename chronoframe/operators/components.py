@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, release
+from .skew import join_unique
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    return both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("m"), "n")
+    return join_unique(both, materialise(lowest, "cc-lowest"), ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    lowest = materialise(lowest, "cc-lowest")
+    moved = join_unique(down, lowest, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -28,21 +30,23 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(u, v)``; root is the smallest node reachable.
 
-    Nodes are longs. Each round is two joins on a hash of the node, so no neighbourhood is
-    ever collected; rounds grow with the logarithm of the longest chain. Every round is written
-    to the shared folder. Self-loops and repeated edges are harmless; an edge with a null end is
-    dropped. An empty table gives an empty result.
+    Nodes are longs. Each round is two joins on the node, in which hubs are not shuffled, so no
+    neighbourhood is ever collected; rounds grow with the logarithm of the longest chain. Every round
+    is written to the shared folder and the one before it deleted. Self-loops and repeated edges are
+    harmless; an edge with a null end is dropped. An empty table gives an empty result.
     """
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = _state(now)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = materialise(_small_star(_large_star(now)), "cc")
-        after = _state(now)
-        if after == before:
+        large = materialise(_large_star(now), "cc")
+        after = materialise(_small_star(large), "cc")
+        release(now, large)
+        now, state = after, _state(after)
+        if state == before:
             break
-        before = after
+        before = state
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
