@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, shared_dir
+from ..storage import materialise, release, shared_dir
 
-__all__ = ["materialise", "restored_id", "shared_dir", "table", "text_id"]
+__all__ = ["materialise", "release", "restored_id", "shared_dir", "table", "text_id"]
 
 #: Letters that the contracts lower-case; all others stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -20,7 +20,7 @@ from .common import materialise, restored_id, text_id
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
 #: Items' characters in one index; more items are sought in several passes, each over all texts.
-INDEX_CHARS = 8_000_000
+INDEX_CHARS = 4_000_000
 #: Matches up to which they are broadcast to drop their documents.
 BROADCAST_MATCHES = 200_000
 _QUARTER = 4
@@ -75,11 +75,14 @@ class _Index:
         import ahocorasick
 
         self.items = [(name, t, budget(len(t), rate)) for name, t in items]
+        self.whole: dict[str, list[int]] = {}  # items too short for an edit: only a text that equals one holds it
         # disjoint quarters of a few characters: each edit spoils one of them at most
         self.parts = [[t[a : a + _QUARTER] for a in range(0, len(t) - _QUARTER + 1, _QUARTER)] for _, t, _ in self.items]
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, k) in enumerate(self.items):
-            for at, piece in pieces(t, k):
+            if not k:
+                self.whole.setdefault(t, []).append(n)
+            for at, piece in pieces(t, k) if k else []:
                 found.setdefault(piece, []).append((n, at + len(piece) - 1))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in found.items():
@@ -97,6 +100,10 @@ class _Index:
 
     def search(self, text: str) -> Iterator[tuple[object, int, int, int]]:
         """(item, distance, start, end) of the best match of each item found."""
+        for n in self.whole.get(text, ()):
+            yield self.items[n][0], 0, 0, len(text)
+        if not len(self.automaton):
+            return
         lies: dict[int, set[int]] = {}
         for end, uses in self.automaton.iter(text):
             for n, last in uses:
@@ -129,10 +136,12 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``(id_col, text_hash, item_id, distance, start, end)``: every item that occurs in a text of ``docs``.
 
     Both are compared in lower case with white space collapsed; start and end count characters of the
-    text so written. An item may differ by ``rate`` edits a character. The best occurrence is given,
-    the first of equal ones; repeated rows give it once. Null and empty texts and items match nothing;
-    empty tables give an empty result. Items are sought in blocks of :data:`INDEX_CHARS`
-    characters, so what executors hold is bounded whatever the number of items.
+    text so written. An item may differ by ``rate`` edits a character. One too short for any edit (of
+    fewer than ten characters at a rate of 0.1) would occur by chance: it matches only a text that equals
+    it. The best occurrence is given, the first of equal ones; repeated rows give it once. Null and empty
+    texts and items match nothing; empty tables give an empty result. Items are sought in blocks of
+    :data:`INDEX_CHARS` characters, each a pass of its own over all texts, so what executors hold is
+    bounded whatever the number of items.
     """
     spark = docs.sparkSession
     known = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("_item"), F.col(item_text).cast("string").alias("_text")).distinct()
@@ -155,6 +164,9 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                 yield pd.DataFrame(found, columns=["_id", "_hash", "_item", "distance", "start", "end"])
 
         each = rows.mapInPandas(run, kinds)
+        if blocks > 1:  # one block's index at a time
+            each = materialise(each.distinct(), "matches")
+            sent.unpersist()
         out = each if out is None else out.unionByName(each)
     return restored_id(out.distinct(), docs, id_col).withColumnsRenamed({"_hash": "text_hash", "_item": item_id})
 

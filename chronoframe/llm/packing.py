@@ -26,6 +26,8 @@ END_ID = 2
 PER_SEQUENCE, CUT_SENTENCE, CUT_INSIDE = 1, 16, 128
 #: Tokens without a sentence end after which cuts are offered anyway, and how far apart.
 STEP = 128
+#: Least power of two that a sequence without padding may have.
+LEAST = 32
 #: Tokens planned at a time; a block ends with a document.
 BLOCK = 1 << 21
 #: Distinct words whose ids a Python worker remembers.
@@ -34,10 +36,15 @@ CACHE_WORDS = 1_000_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
+#: A text with capitals, marks, digits, accents and white space, by which a tokenizer shows how it treats them.
+_PROBE = "Ab, AB. don't re-DO a1 B22 \u00e9t\u00e9 \u00c9T\u00c9, x,y  z\tw\n\nEnd."
+
+
 class _WordIds(dict):
     """Word -> its ids as little-endian 32-bit bytes. Words are what single spaces and line ends separate.
 
-    The tokenizer drops white space and never joins across it, so ids of words put together are ids of the text.
+    Where the tokenizer drops white space, never joins across it and lower-cases, ids of words put
+    together are ids of the text; any other tokenizer is given whole texts.
     """
 
     def __init__(self, file: str):
@@ -45,6 +52,8 @@ class _WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
+        self.by_word = True
+        self.by_word = self.ids(_PROBE) == self._encode(_PROBE)
 
     def _encode(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -61,6 +70,8 @@ class _WordIds(dict):
         return value
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._encode(text)
         if len(self) > CACHE_WORDS:
             self.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -79,12 +90,12 @@ def plan_cuts(cuts: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list
     """Positions at which sequences end. cuts: where they may, increasing, the last being the stream's end.
 
     A sequence of fewer tokens than ``length`` is padded to it unless its own length is a power of
-    two. What is left after the last planned end may be split into powers of two.
+    two, :data:`LEAST` at least. What is left after the last planned end may be split into such powers.
     """
     at = np.concatenate(([0], cuts))
     n, end = len(at), int(at[-1])
     to, frm = [], []
-    size = 32
+    size = LEAST
     while size < length:  # exact powers of two need no padding
         i = np.searchsorted(at, at - size)
         same = np.flatnonzero((at - size >= 0) & (at[np.minimum(i, n - 1)] == at - size))
@@ -120,7 +131,7 @@ def plan_cuts(cuts: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list
         left = end - pos[i]
         if left > length:
             break
-        if (c := best[i] + (left.bit_count() - 1) * CUT_INSIDE + left.bit_count() * PER_SEQUENCE) < tail:
+        if left % LEAST == 0 and (c := best[i] + (left.bit_count() - 1) * CUT_INSIDE + left.bit_count() * PER_SEQUENCE) < tail:
             tail, j = c, i
     ends = []
     rest, p = end - pos[j], end
@@ -188,7 +199,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str | None = None, id_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _words(tokenizer_file)
-        enders = np.zeros(1 << 17, dtype=bool)
+        enders = np.zeros(words.tokenizer.get_vocab_size() + 1, dtype=bool)  # the last stands for all ids beyond
         enders[[i for mark in (".", "!", "?", "!!", "...") for i in words.tokenizer.encode(mark, add_special_tokens=False).ids[-1:]]] = True
         first = TaskContext.get().partitionId() << 40
         names, streams, size = [], [], 0

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, restored_id, text_id
+from .common import materialise
 
 MIN_WORDS = 10
 #: Per cent of words in repeated windows beyond which a text fails.
@@ -77,24 +76,22 @@ def _measure(texts: list[str], window: int) -> dict[str, np.ndarray]:
 _CHUNK = 4_000_000
 
 
-def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = WINDOW) -> DataFrame:
-    """``(id_col, host_col)`` and the counts of :data:`COUNTS`, one row per row of ``docs``; a null text has none."""
+def _measured_batch(texts: pd.Series) -> pd.DataFrame:
+    every = ["" if t is None or t != t else t for t in texts]
+    at, found = 0, [pd.DataFrame(columns=list(COUNTS), dtype="int64")]
+    while at < len(every):
+        end, size = at, 0
+        while end < len(every) and (end == at or size + len(every[end]) <= _CHUNK):
+            size += len(every[end])
+            end += 1
+        found.append(pd.DataFrame(_measure(every[at:end], WINDOW)))
+        at = end
+    return pd.concat(found[1:] or found, ignore_index=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = ["" if t is None or t != t else t for t in b["_text"]]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= _CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                yield pd.DataFrame({"_id": b["_id"].iloc[at:end].array, "_host": b["_host"].iloc[at:end].array} | _measure(texts[at:end], window))
-                at = end
 
-    rows = docs.select(text_id(id_col), F.col(host_col).cast("string").alias("_host"), F.col(text_col).cast("string").alias("_text"))
-    out = rows.mapInPandas(run, "_id string, _host string, " + ", ".join(f"{c} long" for c in COUNTS))
-    return restored_id(out, docs, id_col).withColumnRenamed("_host", host_col)
+def text_measures(text: Column) -> Column:
+    """The counts of :data:`COUNTS` of a text, as a struct; a null text has none."""
+    return F.pandas_udf(_measured_batch, ", ".join(f"{c} long" for c in COUNTS))(text)
 
 
 def _rules(m: DataFrame) -> DataFrame:
@@ -131,29 +128,47 @@ def host_verdicts(measured: DataFrame, host_col: str = "source") -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"))  # the prior is one row
 
 
+def _measured(docs: DataFrame, text_col: str, host_col: str, *keep: Column) -> DataFrame:
+    """``(*keep, _host, counts and rules)``, written to the shared folder."""
+    rows = docs.select(*keep, F.col(host_col).cast("string").alias("_host"), text_measures(F.col(text_col).cast("string")).alias("_m"))
+    rows = rows.select(*[c for c in rows.columns if c != "_m"], "_m.*")
+    return materialise(_rules(rows), "quality")
+
+
+def _kept(host_rate: Column) -> Column:
+    held = F.when(host_rate > SUSPECT_RATE, F.col("strict_failed")).otherwise(F.col("rules_failed"))
+    return ~F.col("base_failed") & (held == 0) & (host_rate <= REJECT_RATE)
+
+
+def _with_rates(measured: DataFrame, rates: DataFrame) -> DataFrame:
+    """``measured`` with the ``host_rate`` of its host, null for hosts that ``rates`` lacks."""
+    rates = rates.select(F.col("host").alias("_v_host"), F.col("rate").alias("host_rate"))
+    if rates.count() <= BROADCAST_HOSTS:
+        return measured.join(F.broadcast(rates), measured["_host"].eqNullSafe(rates["_v_host"]), "left").drop("_v_host")
+    salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = measured.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    return left.join(salted, left["_host"].eqNullSafe(salted["_v_host"]) & (left["_salt"] == salted["_salt"]), "left").drop("_v_host", "_salt")
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: counts, ``base_failed``, ``rules_failed``, ``host_rate`` and ``kept``.
+    """One row per row of ``docs``: id, host, counts, ``base_failed``, ``rules_failed``, ``host_rate`` and ``kept``.
 
     kept is false if the base rules or one of the document's own rules fail, if its host is suspect
     and it fails a rule at half the limit, or if its host is rejected. Null and empty texts have no
     word and fail; repeated rows are judged alike; an empty table gives an empty result.
     """
-    measured = materialise(_rules(text_measures(docs, id_col, text_col, host_col)), "quality")
-    verdicts = host_verdicts(measured, host_col).select(F.col("host").alias("_v_host"), F.col("rate").alias("host_rate"))
-    if verdicts.count() <= BROADCAST_HOSTS:
-        joined = measured.join(F.broadcast(verdicts), measured[host_col].eqNullSafe(verdicts["_v_host"]), "left")
-    else:
-        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = measured.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, left[host_col].eqNullSafe(salted["_v_host"]) & (left["salt"] == salted["salt"]), "left").drop("salt")
-    held = F.when(F.col("host_rate") > SUSPECT_RATE, F.col("strict_failed")).otherwise(F.col("rules_failed"))
-    ok = ~F.col("base_failed") & (held == 0) & (F.col("host_rate") <= REJECT_RATE)
-    return joined.drop("_v_host").withColumn("kept", ok)
-
-
-def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` without the rows that :func:`quality_verdicts` rejects, told by id, host and text."""
-    key = F.to_json(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"), F.col(host_col).alias("host")))
-    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
-    kept = quality_verdicts(keyed, "_key", "_text", "_host").where("kept").select("_key").distinct()
-    return docs.join(kept, key == kept["_key"], "left_semi")
+    measured = _measured(docs, text_col, host_col, F.col(id_col))
+    joined = _with_rates(measured, host_verdicts(measured, "_host"))
+    return joined.withColumn("kept", _kept(F.col("host_rate"))).withColumnRenamed("_host", host_col)
+
+
+def drop_low_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` without the rows that :func:`quality_verdicts` rejects.
+
+    Rows are written once beside their counts, so that no text is shuffled to meet its verdict; only
+    suspect hosts, whose verdict differs from that of all others, are joined.
+    """
+    measured = _measured(docs, text_col, host_col, F.struct("*").alias("_doc"))  # names of other columns cannot clash
+    suspect = host_verdicts(measured, "_host").where(F.col("rate") > SUSPECT_RATE)
+    kept = _with_rates(measured, suspect).where(_kept(F.coalesce("host_rate", F.lit(0.0))))
+    return kept.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))

@@ -13,19 +13,23 @@ every pair; a wide fingerprint discards pairs that are far apart, and a recount
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise, restored_id, text_id
+from ..operators.skew import HOT_SHARE, join_unique
+from .common import materialise, release, restored_id, text_id
 
 MAX_BITS = 3
 #: Up to so many fingerprints of one variant are compared in one group; larger groups are split.
 GROUP_LIMIT = 1024
+#: Fingerprints, about, that tell which variants are crowded. This changes no link, only where they are found.
+CROWD_SAMPLE = 100_000
 #: Shingles whose bits are counted at a time.
 _BLOCK = 1 << 16
 
@@ -111,6 +115,20 @@ def _linked(groups: DataFrame, bits: int) -> DataFrame:
     return groups.select("fps").mapInPandas(run, "u long, v long")
 
 
+def _variants(fps: DataFrame) -> DataFrame:
+    """``(fp, key)``: the 64 one-wildcard variants of each fingerprint's halves."""
+    half = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).selectExpr("fp", "i", "shiftrightunsigned(fp, CASE WHEN i < 32 THEN 32 ELSE 0 END) & 4294967295L AS half")
+    return half.selectExpr("fp", "shiftleft(cast(i AS long), 32) | (half & ~shiftleft(1L, i & 31)) AS key")
+
+
+def _crowded(fps: DataFrame) -> DataFrame:
+    """Variants that more than one in :data:`HOT_SHARE` of a sample have: 64 * HOT_SHARE at most."""
+    share = min(1.0, CROWD_SAMPLE / max(fps.count(), 1))
+    some = materialise(fps.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(1_000_000 * share)), "simhash-crowd")
+    least = max(some.count() / HOT_SHARE, GROUP_LIMIT * share)
+    return _variants(some).groupBy("key").count().where(F.col("count") > least).select("key")
+
+
 def fingerprint_links(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Edges ``(u, v)`` between the distinct fingerprints of column ``fp``.
 
@@ -119,21 +137,21 @@ def fingerprint_links(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
     ``group_limit`` fingerprints is split exactly: three differing bits touch three of the other
     half's eight nibbles at most, so its members meet again under the 56 ways to leave three
     nibbles out. Such a finer group has 2**13 members at most by construction, whatever the input.
+    Variants that a sample shows to be crowded are split without being counted first.
     """
-    variant = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).selectExpr(
-        "fp", "i", "shiftrightunsigned(fp, CASE WHEN i < 32 THEN 32 ELSE 0 END) & 4294967295L AS half"
-    ).selectExpr("fp", "shiftleft(cast(i AS long), 32) | (half & ~shiftleft(1L, i & 31)) AS key")
-    shared = variant.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    crowded = F.broadcast(_crowded(fps))
+    variant = _variants(fps)
+    shared = variant.join(crowded, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     cold = shared.where(F.col("n") <= group_limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     masks = [0xFFFFFFFF & ~sum(0xF << 4 * k for k in out) for out in combinations(range(8), MAX_BITS)]
     hot = (
-        shared.where(F.col("n") > group_limit)
+        shared.where(F.col("n") > group_limit).select("key", "fp").unionByName(variant.join(crowded, "key", "left_semi").select("key", "fp"))
         .select("key", "fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("way", "mask"))
         .selectExpr("key", "fp", "way", "shiftrightunsigned(fp, CASE WHEN shiftright(key, 32) < 32 THEN 0 ELSE 32 END) & mask AS rest")
         .groupBy("key", "way", "rest")
         .agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1)
-    )
+    )
     return _linked(cold.select("fps").unionByName(hot.select("fps")), MAX_BITS).distinct()
 
 
@@ -145,13 +163,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whose ids are all null has a null name. An empty table gives an empty result.
     """
     own = materialise(fingerprints(docs.select(id_col, text_col), id_col, text_col, shingle), "simhash")
-    distinct = own.groupBy("fp").agg(F.min(id_col).alias("lowest"))
+    distinct = materialise(own.groupBy("fp").agg(F.min(id_col).alias("lowest"), F.count("*").alias("rows")), "simhash-distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), group_limit))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "lowest", "rows", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-roots")
-    lowest = named.groupBy("root").agg(F.min("lowest").alias("component"))
-    by_fp = named.join(lowest, "root").select("fp", "component")
-    return own.join(by_fp, "fp").select(id_col, "fp", "component")
+    lowest = materialise(named.groupBy("root").agg(F.min("lowest").alias("component"), F.count("*").alias("fps")), "simhash-lowest")
+    by_fp = materialise(join_unique(named, lowest, ["root"], "fps").select("fp", "component", "rows"), "simhash-components")
+    return join_unique(own, by_fp, ["fp"], "rows").select(id_col, "fp", "component")
 
 
 # Near copies: five-word shingles at a similarity of 0.8 or more, by their first shingles in a common order.
@@ -159,7 +177,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Words of a shingle, and the least Jaccard similarity that links two texts.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit parts of the fingerprint that discards pairs before their shingles are counted.
-CHECK_PARTS = 32
+CHECK_PARTS = 4
 #: What sets of few shingles add at most to the share of differing bits, and the deviations beyond which a pair is
 #: discarded: a pair of the least similarity is, with a chance of 1e-9.
 FEW_SHINGLES, DISCARD_SIGMAS = 0.04, 6.0
@@ -168,9 +186,19 @@ COPY_BLOCK = 512
 #: Texts, about, whose shingles tell which are common, and how many of these come last in the order. Neither changes
 #: what is found, only how large the groups are.
 ORDER_DOCS, ORDER_SHINGLES = 4000, 500_000
+#: Rejected rows up to which they are broadcast to leave their table; more are joined.
+BROADCAST_REJECTED = 200_000
+#: Characters that are turned into shingles together.
+_CHUNK = 2_000_000
 
 #: Odd factors that draw independent parts from one hash.
 _ODD = np.arange(1, 65, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: The factor of words' polynomials and its inverse modulo 2**64.
+_FACTOR = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+#: Each bit of a byte as a byte of its own, so that one addition counts eight bits.
+_LANES = np.array([sum((b >> (7 - k) & 1) << 8 * k for k in range(8)) for b in range(256)], dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -179,86 +207,151 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _words(text: str | None) -> tuple[int, np.ndarray]:
-    """A hash of the sequence of words, as a signed long, and the hashes of the words."""
-    import xxhash
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    own = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
-    whole = np.array([xxhash.xxh64_intdigest(b" ".join(words), 5)], dtype=np.uint64).view(np.int64)[0]
-    return whole, np.fromiter((own[w] for w in words), dtype=np.uint64, count=len(words))
-
-
-def _shingle_set(words: np.ndarray, size: int = COPY_SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; words: their hashes."""
-    if not len(words):
-        return np.zeros(0, dtype=np.uint64)
-    size = min(size, len(words))
-    rank = np.zeros(len(words) - size + 1, dtype=np.uint64)
-    for k in range(size):
-        rank = _mix(rank + words[k : k + len(rank)] + np.uint64(k))
-    return np.unique(rank)
-
-
-def _wide(shingles: np.ndarray, parts: int) -> np.ndarray:
-    """Fingerprint of ``parts`` times 64 bits of a set of shingles."""
-    if not len(shingles):
-        return np.zeros(parts, dtype=np.uint64)
-    counts = np.zeros(64 * parts, dtype=np.int64)
-    for at in range(0, len(shingles), 255 * 64):
-        bits = np.unpackbits(_mix(shingles[at : at + 255 * 64, None] * _ODD[:parts] + _ODD[parts - 1]).view(np.uint8), axis=1)
-        for part in range(0, len(bits), 255):  # a byte holds the sum of so many bits
-            counts += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(shingles)).view(np.uint64)
-
-
-def _first_shingles(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
-    """So many shingles, uncommon ones first, that a set at ``similarity`` or more has one of its own first ones among them."""
-    number = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= _CHUNK):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
+@lru_cache(maxsize=2)
+def _powers(number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running products of the polynomials' factor and of its inverse."""
+    return np.cumprod(np.full(number + 1, _FACTOR)), np.cumprod(np.full(number + 1, _INVERSE))
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased, between ASCII white space), and how many each text has.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over all texts at once.
+    """
+    each = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n".join([*each, b""]), dtype=np.uint8)
+    inside = ~_SPACE[data]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(1 << (len(data) - 1).bit_length())
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * power[: len(data)])))
+    flat = _mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) + 1
+    return flat, np.bincount(np.searchsorted(np.cumsum(size), begin, side="right"), minlength=len(each))
+
+
+def _sequences(flat: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Two hashes of each text's sequence of words."""
+    begins = np.cumsum(number) - number
+    place = _mix((np.arange(len(flat)) - np.repeat(begins, number)).astype(np.uint64) * _FACTOR + np.uint64(1))
+    out = np.zeros((len(number), 2), dtype=np.uint64)
+    some = number > 0
+    for k in range(2):
+        if some.any():
+            out[some, k] = np.add.reduceat(_mix(flat * _ODD[k + 3] + place), begins[some])
+    return out.view(np.int64)
+
+
+def _shingle_sets(words: tuple[np.ndarray, np.ndarray], size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """``(shingles, ends)``: the sorted distinct hashes of each text's shingles, one text after another.
+
+    A text of fewer words than a shingle is one shingle, a wordless text has none.
+    """
+    flat, number = words
+    begins = np.cumsum(number) - number
+    held = np.where(number > 0, np.maximum(number - size + 1, 1), 0)
+    ends = np.cumsum(held)
+    rank, whole = np.zeros(len(flat), dtype=np.uint64), max(len(flat) - size + 1, 0)
+    for k in range(size):  # of windows that lie in one text
+        rank[:whole] = _mix(rank[:whole] + flat[k : whole + k] + np.uint64(k))
+    for i in np.flatnonzero((number > 0) & (number < size)).tolist():  # all words of a short one
+        value = np.zeros(1, dtype=np.uint64)
+        for k in range(number[i]):
+            value = _mix(value + flat[begins[i] + k] + np.uint64(k))
+        rank[begins[i]] = value[0]
+    rank = rank[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + held, held)]
+    for a, b in zip((ends - held).tolist(), ends.tolist(), strict=True):
+        rank[a:b].sort()
+    new = np.ones(len(rank), dtype=bool)
+    new[1:] = rank[1:] != rank[:-1]
+    new[(ends - held)[held > 0]] = True
+    sums = np.concatenate(([0], np.cumsum(new)))
+    return rank[new], sums[ends]
+
+
+def _wide(shingles: np.ndarray, ends: np.ndarray, parts: int) -> np.ndarray:
+    """Fingerprints of ``parts`` times 64 bits, one row for each of the sets."""
+    size = np.diff(np.concatenate(([0], ends)))
+    runs = -(-size // 255)  # a byte holds the sum of so many bits
+    first = np.cumsum(runs) - runs
+    starts = np.repeat(ends - size - 255 * first, runs) + 255 * np.arange(runs.sum())
+    counts = np.zeros((len(ends), 64 * parts), dtype=np.int32)
+    for part in range(parts if len(starts) else 0):
+        mixed = _mix(shingles * _ODD[part] + _ODD[parts - 1]).view(np.uint8).reshape(-1, 8)
+        sums = np.stack([np.add.reduceat(_LANES[mixed[:, k]], starts) for k in range(8)], axis=1).view(np.uint8)
+        counts[runs > 0, 64 * part : 64 * part + 64] = np.add.reduceat(sums, first[runs > 0], axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > size[:, None], axis=1).view(np.uint64)
+
+
+def _first_shingles(shingles: np.ndarray, ends: np.ndarray, common: np.ndarray, level: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Of each set so many shingles, uncommon ones first, that two sets at ``similarity`` or more share one of them."""
+    size = np.diff(np.concatenate(([0], ends)))
+    number = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    doc = np.repeat(np.arange(len(ends)), size)
     rank = np.zeros(len(shingles), dtype=np.int64)
     if len(common) and len(shingles):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         rank = np.where(common[at] == shingles, level[at], 0)
-    return shingles[np.lexsort((shingles, rank))[:number]]
+    order = np.lexsort((shingles, rank, doc))
+    ordered = shingles[order].view(np.int64)
+    return [ordered[e - n : e - n + k] if n else ordered[:0] for e, n, k in zip(ends.tolist(), size.tolist(), number.tolist(), strict=True)]
 
 
-def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that a sample of column ``_text`` holds more than once, and in how many of its texts."""
-    share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted shingles that a sample of column ``_text`` holds more than once, in how many of its texts, and its size, about."""
+    number = texts.count()
+    share = min(1.0, ORDER_DOCS / max(number, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 100):
-                sets = [_shingle_set(_words(t)[1]) for t in b["_text"].iloc[at : at + 100]]
-                yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64)})
+            texts = list(b["_text"])
+            for at, end in _chunks(texts):
+                yield pd.DataFrame({"shingle": _shingle_sets(_words(texts[at:end]))[0].view(np.int64)})
 
     counts = texts.sample(share, seed=5).distinct().mapInPandas(run, "shingle long").groupBy("shingle").count().where("count > 1")
     found = counts.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()  # bounded by the limit
-    names, number = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
+    names, count = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
     order = np.argsort(names)
-    return names[order], number[order]
+    return names[order], count[order], share * number
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(id_col, words, keys, parts, body)``, one row per row of ``docs``.
+def wide_fingerprints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``(id_col, text_hash, words, more_words, keys, parts)``, one row per row of ``docs``.
 
-    words is a hash of the sequence of words (A-Z lower-cased, ASCII white space), alike for texts that
-    differ in neither; keys are the first of the text's shingles, of which texts at ``similarity`` share
-    one; parts are 64-bit longs and body is the text. A null or wordless text is the empty sequence.
+    words and more_words are hashes of the sequence of words (A-Z lower-cased, ASCII white space), alike
+    for texts that differ in neither; keys are the first of the text's shingles, of which texts at
+    ``similarity`` share one; parts are 64-bit longs. A null or wordless text is the empty sequence.
+    ``common``: shingles that come last in the order, and their levels.
     """
-    rows = docs.select(text_id(id_col), F.col(text_col).cast("string").alias("_text"))
-    order = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows.select("_text")))
+    rows = docs.select(text_id(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("_text"))
+    order = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = []
-            for t in b["_text"]:
-                whole, words = _words(t)
-                shingles = _shingle_set(words)
-                found.append((whole, _first_shingles(shingles, *order.value, similarity).view(np.int64), _wide(shingles, CHECK_PARTS).view(np.int64)))
-            yield pd.DataFrame({"_id": b["_id"].array, "words": [r[0] for r in found], "keys": [r[1] for r in found], "parts": [r[2] for r in found], "body": b["_text"].array})
-
-    return restored_id(rows.mapInPandas(run, "_id string, words long, keys array<long>, parts array<long>, body string"), docs, id_col)
+            texts = list(b["_text"])
+            for at, end in _chunks(texts):
+                words = _words(texts[at:end])
+                whole = _sequences(*words)
+                shingles, ends = _shingle_sets(words)
+                keys = _first_shingles(shingles, ends, *order.value, similarity)
+                parts = _wide(shingles, ends, CHECK_PARTS).view(np.int64)
+                yield pd.DataFrame({"_id": b["_id"].iloc[at:end].array, "text_hash": b["text_hash"].iloc[at:end].array, "words": whole[:, 0], "more_words": whole[:, 1], "keys": keys, "parts": list(parts)})
+
+    out = rows.mapInPandas(run, "_id string, text_hash long, words long, more_words long, keys array<long>, parts array<long>")
+    return restored_id(out, docs, id_col)
 
 
 def _copy_bits(similarity: float) -> int:
@@ -269,12 +362,12 @@ def _copy_bits(similarity: float) -> int:
 
 
 def _near_in_groups(groups: DataFrame, bits: int) -> DataFrame:
-    """Pairs ``(u, v)`` of what may be near within each row's array ``members`` of ``(words, parts)``; with ``root``, only of two roots."""
+    """Pairs ``(u, v)`` of what may be near within each row's array ``members`` of ``(node, parts)``; with ``root``, only of two roots."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for members in b["members"]:
-                names = np.array([m["words"] for m in members], dtype=np.int64)
+                names = np.array([m["node"] for m in members], dtype=np.int64)
                 parts = np.array([m["parts"] for m in members], dtype=np.int64).view(np.uint64)
                 roots = np.array([m["root"] for m in members], dtype=np.int64) if rooted else names
                 u, v = [], []
@@ -290,25 +383,101 @@ def _near_in_groups(groups: DataFrame, bits: int) -> DataFrame:
     return groups.select("members").mapInPandas(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(u, v)`` whose sets of shingles have the Jaccard similarity; bodies: ``(words, body)``."""
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` of nodes whose sets of shingles have the Jaccard similarity.
+
+    texts: ``(node, lowest, text_hash)``. A text's body is taken from its row of the least id in ``docs``,
+    so that rows with copies of one text are spread by their ids and never meet in one task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"words": b["words"], "shingles": [_shingle_set(_words(t)[1]).view(np.int64) for t in b["body"]]})
-
-    wanted = pairs.select(F.col("u").alias("words")).unionByName(pairs.select(F.col("v").alias("words"))).distinct()
-    one = bodies.join(wanted, "words", "left_semi").dropDuplicates(["words"])
-    sets = materialise(one.mapInPandas(run, "words long, shingles array<long>"), "copies-sets")
-    side = lambda c: sets.select(F.col("words").alias(c), F.col("shingles").alias(f"_{c}"))
+            bodies = list(b["_text"])
+            for at, end in _chunks(bodies):
+                shingles, ends = _shingle_sets(_words(bodies[at:end]))
+                yield pd.DataFrame({"node": b["node"].iloc[at:end].array, "shingles": np.split(shingles.view(np.int64), ends[:-1])})
+
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = texts.select("node", F.col("lowest.id").alias("w_id"), F.coalesce("lowest.text_hash", "text_hash").alias("w_hash")).join(nodes, "node", "left_semi")
+    wanted = materialise(wanted, "copies-wanted")
+    bodies = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    found = bodies.join(wanted, F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_hash") == F.col("w_hash"))).groupBy("node").agg(F.min("_text").alias("_text"))
+    sets = materialise(found.mapInPandas(run, "node long, shingles array<long>"), "copies-sets")
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u")), "u")
+    crowd = pairs.groupBy("v").agg(F.count("*").alias("_pairs"))
+    right = materialise(sets.join(crowd, F.col("node") == F.col("v")).select("v", F.col("shingles").alias("_v"), "_pairs"), "copies-right")
     both = F.size(F.array_intersect("_u", "_v"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= similarity * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+    joined = join_unique(materialise(left, "copies-left"), right, ["v"], "_pairs")
+    return joined.where(both >= similarity * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+
+
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of every row of ``nodes``."""
+    roots = connected_components(edges).withColumnRenamed("node", "_node")
+    return nodes.select("node").join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _by_key(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with aggregates over column ``key``. Keys marked ``hot``, a bounded number, are aggregated apart and broadcast."""
+    group = Window.partitionBy("key")
+    cold = rows.where("NOT hot").select("*", *(v.over(group).alias(n) for n, v in values.items()))
+    hot = rows.where("hot")
+    found = hot.groupBy(F.col("key").alias("_key")).agg(*(v.alias(n) for n, v in values.items()))
+    return cold.unionByName(hot.join(F.broadcast(found), F.col("key") == F.col("_key")).drop("_key"))
+
 
+def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(own, texts)``: :func:`wide_fingerprints` of all rows, and ``(words, more_words, lowest, rows, root)`` of each text.
 
-def _rooted(names: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(words, root)`` of every row of ``names``."""
-    roots = connected_components(edges)
-    return names.select("words").join(roots, names["words"] == roots["node"], "left").select("words", F.coalesce("root", "words").alias("root"))
+    lowest is the least ``(id, text_hash)`` of the rows of a text that have an id.
+    """
+    spark = docs.sparkSession
+    names, level, drawn = _common_shingles(docs.select(F.col(text_col).cast("string").alias("_text")))
+    own = materialise(wide_fingerprints(docs.select(id_col, text_col), (names, level), id_col, text_col, similarity), "copies")
+    whom = F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), "text_hash"))).alias("lowest")
+    texts = own.groupBy("words", "more_words").agg(whom, F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("parts").alias("parts"))
+    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "copies-texts")
+    parts = texts.select("node", "parts")
+    # shingles that are in more than one of HOT_SHARE texts of the sample: their groups are never brought into one task
+    hot = spark.createDataFrame(pd.DataFrame({"key": names[level * HOT_SHARE > max(drawn, 1)].view(np.int64)}), "key long").withColumn("hot", F.lit(True))
+    keyed = texts.select("node", F.explode("keys").alias("key")).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    shared = materialise(_by_key(keyed, n=F.count("*")).where("n > 1"), "copies-shared")
+    # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
+    crowd = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
+    led = _by_key(shared.join(crowd, "node"), lead=F.max(F.struct("crowd", "node")))
+    led = materialise(led.select("key", "node", "hot", "n", F.col("lead.node").alias("first")), "copies-led")
+    bits = _copy_bits(similarity)
+    stars = led.where("node <> first").select("node", "first").distinct()
+    leads = stars.groupBy("first").agg(F.count("*").alias("_stars")).join(parts.select(F.col("node").alias("first"), F.col("parts").alias("of_first")), "first")
+    stars = join_unique(materialise(stars.join(parts, "node"), "copies-stars"), materialise(leads, "copies-leads"), ["first"], "_stars")
+    apart = F.aggregate(F.zip_with("parts", "of_first", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    stars = materialise(stars.where(apart <= bits).select(F.col("node").alias("u"), F.col("first").alias("v")), "copies-near")
+    stars = materialise(_verified(stars, texts, docs, id_col, text_col, similarity), "copies-linked")
+    roots = materialise(_rooted(texts, stars), "copies-roots")
+    # what a group holds beyond its first text's component; the one pair of a group of two is a star's
+    split = led.where("n > 2").join(roots, "node")
+    split = _by_key(split, lead=F.max(F.when(F.col("node") == F.col("first"), F.col("root")))).withColumn("joined", F.col("root") == F.col("lead"))
+    split = materialise(_by_key(split.drop("lead"), near=F.count_if("joined"), far=F.count_if(~F.col("joined"))).where("far > 0"), "copies-split")
+    # texts that share many first shingles are one group once
+    whole = split.where(F.col("n") <= block).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all")).select("all").distinct()
+    whole = whole.select(F.xxhash64("all").alias("key"), F.explode("all").alias("node"))
+    blocks = lambda n: F.ceil(F.col(n) * 2 / block)
+    # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
+    large = split.where(F.col("n") > block).select("key", "node", "joined", blocks("far").alias("far"), blocks("near").alias("near"))
+    large = large.withColumn("a", F.when(F.col("joined"), F.col("far") + F.pmod(F.xxhash64("node"), F.col("near"))).otherwise(F.pmod(F.xxhash64("node"), F.col("far"))))
+    large = large.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("far")).otherwise(F.col("far") + F.col("near")) - 1)))
+    large = large.select("key", "node", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    listed = F.collect_list(F.struct("node", "parts", "root")).alias("members")
+    marked = parts.join(roots, "node")
+    members = whole.join(marked, "node").groupBy("key").agg(listed).select("members")
+    members = members.unionByName(large.join(marked, "node").groupBy("key", "a", "b").agg(listed).where(F.size("members") > 1).select("members"))
+    rest = _near_in_groups(members, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rest = materialise(rest, "copies-rest")
+    if rest.limit(1).count():
+        edges = stars.unionByName(_verified(rest, texts, docs, id_col, text_col, similarity)).distinct()
+        roots = materialise(_rooted(texts, materialise(edges, "copies-edges")), "copies-roots")
+    release(shared, led, split)
+    return own, texts.select("node", "words", "more_words", "lowest", "rows").join(roots, "node").drop("node")
 
 
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
@@ -322,53 +491,32 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text's component is then compared with all of the group; groups of over ``block`` texts are
     compared in pairs of blocks.
     Null and wordless texts are copies of one another; null ids never name a component. Repeated
-    rows each get their row; an empty table gives an empty result.
+    rows each get their row, rows of one id with different texts are told apart; an empty table gives
+    an empty result.
     """
-    own = materialise(wide_fingerprints(docs.select(id_col, text_col), id_col, text_col, similarity), "copies")
-    texts = materialise(own.groupBy("words").agg(F.min(id_col).alias("lowest"), F.first("keys").alias("keys"), F.first("parts").alias("parts")), "copies-texts")
-    parts, bodies = texts.select("words", "parts"), own.select("words", "body")
-    group = Window.partitionBy("key")
-    shared = materialise(texts.select("words", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(group)).where("n > 1"), "copies-shared")
-    # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
-    central = shared.groupBy("words").agg(F.sum("n").alias("crowd"))
-    led = shared.join(central, "words").withColumn("first", F.max(F.struct("crowd", "words")).over(group)["words"])
-    shared = materialise(led.select("key", "words", "n", "first"), "copies-led")
-    bits = _copy_bits(similarity)
-    stars = shared.where("words <> first").select("words", "first").distinct().join(parts, "words")
-    stars = stars.join(parts.select(F.col("words").alias("first"), F.col("parts").alias("of_first")), "first")
-    apart = F.aggregate(F.zip_with("parts", "of_first", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    stars = materialise(stars.where(apart <= bits).select(F.col("words").alias("u"), F.col("first").alias("v")), "copies-near")
-    stars = materialise(_verified(stars, bodies, similarity), "copies-stars")
-    roots = materialise(_rooted(texts, stars), "copies-roots")
-    joined = F.col("root") == F.max(F.when(F.col("words") == F.col("first"), F.col("root"))).over(group)
-    split = shared.where("n > 2").join(roots, "words").withColumn("joined", joined)  # the one pair of a group of two is a star's
-    split = split.withColumn("near", F.count_if("joined").over(group)).withColumn("far", F.count_if(~F.col("joined")).over(group)).where("far > 0")
-    # texts that share many first shingles are one group once
-    whole = split.where(F.col("n") <= block).groupBy("key").agg(F.array_sort(F.collect_list("words")).alias("all")).select("all").distinct()
-    whole = whole.select(F.xxhash64("all").alias("key"), F.explode("all").alias("words"))
-    blocks = lambda n: F.ceil(F.col(n) * 2 / block)
-    # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
-    large = split.where(F.col("n") > block).select("key", "words", "joined", blocks("far").alias("far"), blocks("near").alias("near"))
-    large = large.withColumn("a", F.when(F.col("joined"), F.col("far") + F.pmod(F.xxhash64("words"), F.col("near"))).otherwise(F.pmod(F.xxhash64("words"), F.col("far"))))
-    large = large.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("far")).otherwise(F.col("far") + F.col("near")) - 1)))
-    large = large.select("key", "words", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    listed = F.collect_list(F.struct("words", "parts", "root")).alias("members")
-    marked = parts.join(roots, "words")
-    members = whole.join(marked, "words").groupBy("key").agg(listed).select("members")
-    members = members.unionByName(large.join(marked, "words").groupBy("key", "a", "b").agg(listed).where(F.size("members") > 1).select("members"))
-    rest = _near_in_groups(members, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = stars.unionByName(_verified(materialise(rest, "copies-rest"), bodies, similarity)).distinct()
-    named = materialise(texts.select("words", "lowest").join(_rooted(texts, edges), "words"), "copies-named")
-    lowest = named.groupBy("root").agg(F.min("lowest").alias("component"))
-    return own.select(id_col, "words").join(named.join(lowest, "root").select("words", "component"), "words").select(id_col, "component")
+    own, texts = _copy_groups(docs, id_col, text_col, similarity, block)
+    named = materialise(texts, "copies-named")
+    lowest = materialise(named.groupBy("root").agg(F.min("lowest")["id"].alias("component"), F.count("*").alias("texts")), "copies-lowest")
+    by_text = join_unique(named, lowest, ["root"], "texts").select("words", "more_words", "component", "rows")
+    rows = own.select(id_col, "words", "more_words")
+    return join_unique(rows, materialise(by_text, "copies-components"), ["words", "more_words"], "rows").select(id_col, "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that of the smallest id; its repeated rows stay once.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, then of the smallest hash of its text.
 
-    Rows without an id stay, as nothing names them.
+    Rows are told by id and text: of two different texts under one id each stays that has no copy with
+    a smaller id, and repeated rows stay once. Rows without an id stay, as nothing names them. Rejected
+    rows up to :data:`BROADCAST_REJECTED` are broadcast, so that no text is shuffled.
     """
-    found = near_copy_components(docs, id_col, text_col, similarity)
-    keep = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    own, texts = _copy_groups(docs, id_col, text_col, similarity, block)
+    kept = texts.groupBy("root").agg(F.min("lowest").alias("k")).where("k IS NOT NULL").select(F.col("k.id").alias(id_col), F.col("k.text_hash").alias("text_hash"))
+    rows = own.where(F.col(id_col).isNotNull()).groupBy(id_col, "text_hash").agg(F.count("*").alias("_rows"))
+    marked = materialise(rows.join(kept.withColumn("_kept", F.lit(True)), [id_col, "text_hash"], "left").where("_kept IS NULL OR _rows > 1"), "copies-marked")
+    gone, often = marked.where("_kept IS NULL").select(id_col, "text_hash"), marked.where("_kept").select(id_col, "text_hash")
+    if marked.count() <= BROADCAST_REJECTED:
+        gone, often = F.broadcast(gone), F.broadcast(often)
+    keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))  # names of other columns cannot clash
+    stay = keyed.join(gone, [id_col, "text_hash"], "left_anti")
+    once = stay.join(often, [id_col, "text_hash"], "left_semi").dropDuplicates([id_col, "text_hash"])
+    return stay.join(often, [id_col, "text_hash"], "left_anti").unionByName(once).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))

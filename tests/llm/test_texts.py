@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -62,6 +63,13 @@ def test_decontamination_finds_every_item_within_its_budget(spark, nasty, empty)
     assert decontam.benchmark_matches(empty, bench).count() == 0 and decontam.benchmark_matches(docs, bench.limit(0)).count() == 0
 
 
+def test_items_too_short_for_an_edit_match_whole_texts_only(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a cat"), (3, " Forty\nTwo "), (4, "it is forty two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "A"), (2, "forty two")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"], r["start"], r["end"]) for r in decontam.benchmark_matches(docs, bench).collect()} == {(1, 1, 0, 0, 1), (3, 2, 0, 0, 9)}
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {2, 4}
+
+
 def test_items_in_several_blocks_give_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontam.benchmark_matches(docs, bench).collect()
@@ -79,11 +87,13 @@ def _measures(text):
 
 def test_quality_measures_equal_plain(spark, nasty, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").unionByName(nasty.select("doc_id", "text", "source"))
-    want = sorted((str(r["doc_id"]), *_measures(r["text"])) for r in docs.collect())
-    for chunk in (4_000_000, 100):
-        monkeypatch.setattr(quality, "_CHUNK", chunk)
-        got = quality.quality_verdicts(docs).collect()
-        assert sorted((str(r["doc_id"]), *(r[c] for c in quality.COUNTS[:5])) for r in got) == want
+    rows = docs.collect()
+    want = sorted((str(r["doc_id"]), *_measures(r["text"])) for r in rows)
+    got = quality.quality_verdicts(docs).collect()
+    assert sorted((str(r["doc_id"]), *(r[c] for c in quality.COUNTS[:5])) for r in got) == want
+    monkeypatch.setattr(quality, "_CHUNK", 100)
+    parts = quality._measured_batch(pd.Series([r["text"] for r in rows], dtype=object))
+    assert [tuple(x) for x in parts[list(quality.COUNTS[:5])].to_numpy().tolist()] == [_measures(r["text"]) for r in rows]
     for r in got:
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["base_failed"] and r["kept"])
 
@@ -95,6 +105,7 @@ def test_bad_hosts_are_rejected_and_small_ones_shrunk(spark, monkeypatch):
     for limit in (100_000, 0):  # broadcast and salted verdicts
         monkeypatch.setattr(quality, "BROADCAST_HOSTS", limit)
         kept = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(docs).collect()}
+        assert {r["doc_id"] for r in quality.drop_low_quality(docs).collect()} == {i for i, k in kept.items() if k}
         assert len(kept) == len(rows) and all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(300)) and kept[2001] and kept[3000]
 
 
@@ -157,13 +168,24 @@ def test_components_of_long_chains(spark):
     assert all(got[i] == 0 for i in range(201)) and all(got[500 + i] == 500 for i in range(50)) and 900 not in got
 
 
-def test_near_duplicates_leave_one(nasty, empty):
+def test_near_duplicates_leave_one(spark, nasty, empty):
     out = simhash.drop_near_duplicates(nasty)
-    ids = [r["doc_id"] for r in out.collect()]
+    rows = out.collect()
+    ids = [r["doc_id"] for r in rows]
     assert out.columns == nasty.columns and ids.count(4) == 1 and 5 not in ids and ids.count(None) == 2 and ids.count(1) == 1 and 2 not in ids
+    assert ids.count(9) == 2 and len({r["text"] for r in rows if r["doc_id"] == 9}) == 2  # two texts under one id
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_near_duplicates_tell_rows_by_id_and_text(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BROADCAST_REJECTED", limit)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(9, a), (9, b), (9, b), (10, a), (11, b + " more"), (8, b), (12, c), (12, c + " more"), (None, a), (None, a)]
+    got = sorted(((r["doc_id"] or 0), r["text"][0]) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "a"), (0, "a"), (8, "b"), (9, "a"), (12, "c")]
+
+
 def _shingles(text):
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
@@ -189,8 +211,9 @@ def _copies(texts, ids, similarity=0.8):
     return [low[find(i)] for i in range(len(ids))]
 
 
-@pytest.mark.parametrize("block", [4, 512])
-def test_near_copies_equal_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "share"), [(4, 200), (4, 0), (512, 200), (512, 0)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, block, share):
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)  # all common shingles are hot, or none
     rng = random.Random(block)
     vocabulary = ["".join(rng.choice("abcdeiou") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
     rows = []
@@ -256,7 +279,7 @@ def test_groups_without_a_shared_neighbour_are_compared_in_full(spark):
     own = lambda: [rng.getrandbits(64) for _ in range(simhash.CHECK_PARTS)]
     one = own()
     members = [[(i, [x - (1 << 63) for x in (one if i % 7 == 0 else own())]) for i in range(50)]]
-    df = spark.createDataFrame([(m,) for m in members], "members array<struct<words:long,parts:array<long>>>")
+    df = spark.createDataFrame([(m,) for m in members], "members array<struct<node:long,parts:array<long>>>")
     roots = components.connected_components(simhash._near_in_groups(df, 100)).collect()
     assert {r["node"] for r in roots} == set(range(0, 50, 7)) and {r["root"] for r in roots} == {0}
 
@@ -320,15 +343,27 @@ def test_cuts_are_the_best(monkeypatch):
         best = {0: 0}
         for c in cuts:
             best[c] = min((best[b] + packing.PER_SEQUENCE + price[c] + (0 if c - b in (32, 64) else 64 - c + b) for b in best if 0 < c - b <= 64), default=10**9)
+        tails = [best[b] + ((n := end - b).bit_count() - 1) * packing.CUT_INSIDE + n.bit_count() * packing.PER_SEQUENCE for b in best if 0 < end - b <= 64 and (end - b) % packing.LEAST == 0]
         assert ends[-1] == end and all(a < b for a, b in zip(ends, ends[1:], strict=False))
-        if all(e in price for e in ends) and all((b - a) in (32, 64) or (b - a) & (b - a - 1) for a, b in zip([0, *ends], ends, strict=False)):
-            assert cost(ends) == best[end]
+        assert cost(ends) <= min([best[end], *tails])
 
 
 def test_packing_edges(empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_other_tokenizers_are_given_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encode = Tokenizer.from_file(file).encode
+    texts = ["Hello World, it's  me.\nAgain", "", " lead", "ÉTÉ Straße"]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], dtype="<u4").tolist() for r in packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), file).collect()}
+    assert got == {i: [*encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert packing._WordIds(public_tokenizers.path(packing.DEFAULT_TOKENIZER)).by_word and not packing._WordIds(file).by_word
+
+
 def test_pipeline_equals_its_parts(spark, sf):
     import corpus_pipeline as p
 
