@@ -14,16 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import restored_id, text_id
+from .common import materialise, restored_id, text_id
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Documents of each language, about, that a model is fitted to; they are chosen by the text's hash.
+#: Distinct documents of each language, about, that are sampled for its model; they are chosen by the text's hash.
 SAMPLE_DOCS = 1500
 #: Standard deviations over a language's own mean cross-entropy beyond which a prediction is rejected.
 REJECT_SIGMAS = 4.0
-#: Of these, so many of each language set the limit of rejection.
-CHECK_DOCS = 200
+#: One in so many of these, by their hash, sets the limit of rejection and trains no model; the least number that sets one.
+CHECK_SHARE, MIN_CHECK = 8, 20
+#: Bytes of all models together, which every worker holds.
+MAX_MODEL_BYTES = 1 << 30
 #: Characters beyond which more text makes a prediction no surer.
 FULL_EVIDENCE = 40
 #: Distinct words whose scores a Python worker remembers.
@@ -87,13 +89,31 @@ def _fit(words: list[str], counts: np.ndarray, order: int) -> list[tuple]:
     return out
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hash arrays of all languages as one array and a column of values for each language."""
-    keys = np.unique(np.concatenate([k for k, _ in parts]))
-    values = np.full((len(keys), len(parts)), missing, dtype=np.float32)
-    for j, (k, v) in enumerate(parts):
-        values[np.searchsorted(keys, k), j] = v
-    return keys, values
+class _Layer:
+    """Sorted hash arrays of all languages as one: of each hash, the languages that have it and their values."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], missing: float):
+        every = np.concatenate([k for k, _ in parts])
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.starts = np.append(first, len(every))
+        self.lang = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])[order].astype(np.int32)
+        self.values = np.concatenate([v for _, v in parts])[order].astype(np.float32)
+        self.languages, self.missing = len(parts), missing
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.starts, self.lang, self.values))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """A row of values for each hash, one for each language."""
+        out = np.full((len(hashes), self.languages), self.missing, dtype=np.float32)
+        if len(self.keys) and len(hashes):
+            i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[i] == hashes)
+            begin, number = self.starts[i[hit]], self.starts[i[hit] + 1] - self.starts[i[hit]]
+            at = np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
+            out[np.repeat(hit, number), self.lang[at]] = self.values[at]
+        return out
 
 
 class CharModels:
@@ -102,8 +122,10 @@ class CharModels:
     def __init__(self, words: dict[str, tuple[list[str], np.ndarray]], order: int = ORDER):
         self.langs, self.order = sorted(words), order
         fits = [_fit(*words[lang], order) for lang in self.langs]
-        self.grams = [_merged([(f[n][0], f[n][1]) for f in fits], 0.0) for n in range(order)]
-        self.contexts = [_merged([(f[n][2], f[n][3]) for f in fits], 1.0) for n in range(order)]
+        self.grams = [_Layer([(f[n][0], f[n][1]) for f in fits], 0.0) for n in range(order)]
+        self.contexts = [_Layer([(f[n][2], f[n][3]) for f in fits], 1.0) for n in range(order)]
+        if (size := sum(x.size() for x in (*self.grams, *self.contexts))) > MAX_MODEL_BYTES:
+            raise ValueError(f"models of {size} bytes are too large for a worker: take fewer languages, or a smaller sample of each")
         self.limits = np.full(len(self.langs), np.inf)
         self.key = uuid.uuid4().hex
 
@@ -116,13 +138,8 @@ class CharModels:
         for n in range(1, self.order + 1):
             ok = place[use] >= max(n - 1, 1)
             at = use[ok]
-            keys, share = self.grams[n - 1]
-            i = np.minimum(np.searchsorted(keys, hashes[n - 1][at]), len(keys) - 1)
-            own = np.where((keys[i] == hashes[n - 1][at])[:, None], share[i], 0)
-            keys, rest = self.contexts[n - 1]
             context = hashes[n - 2][at - 1] if n > 1 else np.zeros(len(at), dtype=np.uint64)
-            i = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-            p[ok] = own + np.where((keys[i] == context)[:, None], rest[i], 1) * p[ok]
+            p[ok] = self.grams[n - 1].find(hashes[n - 1][at]) + self.contexts[n - 1].find(context) * p[ok]
         total = np.zeros((len(words), len(self.langs)))
         if len(use):
             starts = np.flatnonzero(np.concatenate(([True], np.diff(word[use]) > 0)))
@@ -165,20 +182,23 @@ class _Scorer:
 
 
 def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> CharModels | None:
-    """Models of the languages that label ``docs``, from about ``sample_docs`` whole texts of each.
+    """Models of the languages that label ``docs``, from about ``sample_docs`` distinct whole texts of each.
 
-    Rows without a language or text are left out. None if nothing is left.
+    The limit of rejection comes from texts of the sample that no model was fitted to; a language with
+    fewer than :data:`MIN_CHECK` of them has none. Rows without a language or text are left out. None
+    if nothing is left.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not number:
         return None
     share = F.lit(0)
     for lang, n in number.items():
         share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, sample_docs / n))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)) < share).dropDuplicates(["lang", "text"])  # copies are drawn together
+    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1_000_000)) < share).dropDuplicates(["lang", "text"])  # copies are drawn together
+    sample = materialise(drawn.withColumn("check", F.pmod(F.xxhash64("text", F.lit("check")), F.lit(CHECK_SHARE)) == 0), "lang-sample")
     word = F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\s]+", ""), r"\s+"))
-    counts = sample.select("lang", word.alias("word")).where("word <> ''").groupBy("lang", "word").count()
+    counts = sample.where("NOT check").select("lang", word.alias("word")).where("word <> ''").groupBy("lang", "word").count()
     words: dict[str, tuple[list[str], list[int]]] = {}
     for r in counts.toLocalIterator():  # bounded by the sample
         own = words.setdefault(r["lang"], ([], []))
@@ -187,17 +207,31 @@ def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     if not words:
         return None
     models = CharModels({k: (w, np.array(c, dtype=float)) for k, (w, c) in sorted(words.items())})
-    sums = {lang: [] for lang in models.langs}
-    scorer = _Scorer(models)
-    for lang in models.langs:  # the limit of rejection: how far the language's own texts go
-        check = sample.where(F.col("lang") == lang).select("text").orderBy(F.xxhash64("text"), "text").limit(CHECK_DOCS).collect()
-        logs, size = scorer.texts([r["text"] for r in check])
-        own = -logs[:, models.langs.index(lang)] / np.maximum(size, 1)
-        sums[lang] = own[size >= FULL_EVIDENCE]
-    models.limits = np.array([x.mean() + REJECT_SIGMAS * x.std() if len(x := sums[lang]) > 1 else np.inf for lang in models.langs])
+    own = _own_entropies(sample.where("check").select("lang", "text"), models).where(F.col("size") >= FULL_EVIDENCE)
+    spread = own.groupBy("lang").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("std"), F.count("*").alias("n")).collect()  # one row a language
+    limits = {r["lang"]: r["mean"] + REJECT_SIGMAS * r["std"] for r in spread if r["n"] >= MIN_CHECK}
+    models.limits = np.array([limits.get(lang, np.inf) for lang in models.langs])
     return models
 
 
+def _own_entropies(texts: DataFrame, models: CharModels) -> DataFrame:
+    """``(lang, entropy, size)``: how far texts go from the model of their own language; others are left out."""
+    sent = texts.sparkSession.sparkContext.broadcast(models)
+    place = {lang: k for k, lang in enumerate(models.langs)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(sent.value)
+        for b in batches:
+            b = b[b["lang"].isin(list(place))]
+            for at in range(0, len(b), 100):
+                part = b.iloc[at : at + 100]
+                logs, size = scorer.texts(list(part["text"]))
+                own = -logs[np.arange(len(part)), [place[x] for x in part["lang"]]] / np.maximum(size, 1)
+                yield pd.DataFrame({"lang": part["lang"].array, "entropy": own, "size": size})
+
+    return texts.mapInPandas(run, "lang string, entropy double, size long")
+
+
 _scorers: dict[str, _Scorer] = {}
 
 

@@ -27,7 +27,7 @@ from .common import materialise, text_id
 OWN_WORDS, SUFFIXES, CONTEXT, FEATURES = 447, 64, 3, 16
 #: Words whose counts every worker holds; those of rarer words come through a join.
 HELD_WORDS = 150_000
-#: Tokens of a step, noise samples of a step, rate of the steps; documents of the warm start, about.
+#: Tokens of a step, noise samples of a step, rate of the steps; distinct texts of the warm start, about.
 BATCH, NOISE, RATE, WARM_DOCS = 2048, 24, 0.08, 1000
 #: Models averaged in one group.
 FAN_IN = 32
@@ -67,6 +67,7 @@ class Vocabulary:
     chances: np.ndarray  # share of each class in the training tokens
     tokens: int
     distinct: int
+    texts: int
 
     @property
     def end(self) -> int:
@@ -113,7 +114,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
         if c is not None:
             mass[c] = r["n"]
         words[w] = (suffixes.get(w[-2:], 1) if c is None else c, math.log10(r["n"] + 1), c is not None)
-    return Vocabulary(words, suffixes, classes, log_mass, (mass + 0.5) / (mass.sum() + 0.5 * classes), tokens, distinct)
+    return Vocabulary(words, suffixes, classes, log_mass, (mass + 0.5) / (mass.sum() + 0.5 * classes), tokens, distinct, int(mass[0]))
 
 
 class LogBilinear:
@@ -301,15 +302,17 @@ def score_texts(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col
     The model learns from the rows where column ``held_out`` is false. base_score is the add-one
     unigram score, score the model's; both are sums of base-ten logs over the text's tokens, its end
     included. A null text counts as empty and has the end alone. Repeated rows each get their row. An
-    empty table gives an empty result.
+    empty table gives an empty result. As each partition trains its own copy of the warm model, score
+    depends a little on how the input is split; the other columns do not.
     """
     spark = docs.sparkSession
     train = docs.where(~F.col(held_out)).select(F.col(text_col).cast("string").alias("_text"))
     counts = materialise(token_counts(train, "_text"), "lm-counts")
     v = build_vocabulary(counts)
     sent, key = spark.sparkContext.broadcast(v), uuid.uuid4().hex
-    number = train.count()
-    warm = train.where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, WARM_DOCS / max(number, 1)))).distinct()  # copies are drawn together
+    share = min(1.0, WARM_DOCS / max(v.texts, 1))
+    warm = train.where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(1_000_000 * share)).distinct()  # copies are drawn together
+    warm = materialise(warm, "lm-warm")  # all tasks draw the sample; one task then trains on it
     first = _average(_trained(warm.coalesce(1), sent, key, None))
     learned = spark.sparkContext.broadcast(_average(_trained(train, sent, key, first)))
 

@@ -1,8 +1,8 @@
 """URL filters: host and path rules, and a ratio of two character models for the URLs that no rule fits.
 
 The URLs that rules allow and block train one smoothed variable-order Markov model each. A URL's
-score is the mean log-likelihood ratio of its characters; the limit is calibrated on the labelled
-URLs. DataFrame expressions only.
+score is the mean log-likelihood ratio of its characters; the limit is calibrated on labelled URLs
+that trained neither model. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_unique
 from .common import LOWER, UPPER, materialise
 
 #: (action, rule): a rule is a host, then the beginning of a path.
@@ -19,6 +20,8 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 ORDER, MIN_CONTEXT = 4, 2
 #: Grams up to which their ratios are broadcast; with more, the join is salted.
 BROADCAST_GRAMS, SALTS = 500_000, 32
+#: One in so many labelled URLs, by their hash, is kept from the models and sets the limit.
+CALIBRATE = 4
 #: Width of the histogram bins of the calibration, and the score beyond which all share a bin.
 BIN, MOST = 0.01, 10.0
 
@@ -66,11 +69,17 @@ def _log_probability(grams: DataFrame, counts: DataFrame, label: str, alphabet:
     return out.withColumn(label, F.log(label))
 
 
-def _limit(histogram: list) -> float:
-    """The score under which a URL is blocked: where the sum of both classes' error rates is least, amid the gap there."""
+def _limit(histogram: list, trained: tuple[int, int]) -> float:
+    """The score under which a URL is blocked: where the sum of both classes' error rates is least, amid the gap there.
+
+    trained: grams of each class in the models. Without any of a class the other one wins always; if only
+    the histogram lacks a class, the limit is zero, where both models give a URL the same probability.
+    """
+    if not all(trained):
+        return MOST + 1 if trained[1] else -MOST - 1
     allow, block = sum(r["allow"] for r in histogram), sum(r["block"] for r in histogram)
     if not allow or not block:
-        return MOST + 1 if block else -MOST
+        return 0.0
     best, limit, lost, caught = block * allow, -MOST, 0, 0
     rows = sorted(histogram, key=lambda r: r["bin"])
     for r, after in zip(rows, [*rows[1:], None], strict=True):
@@ -86,8 +95,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Rules decide where one fits; elsewhere the calibrated ratio does, positive scores speaking for
     the URL. A URL without a host has no score and is allowed, as is every URL if no rule labels any.
-    Each distinct URL is scored once, so repeated rows and hot hosts cost one row. Null URLs count as
-    empty; an empty table gives an empty result.
+    Each distinct URL is scored once, so repeated rows and hot hosts cost one row; long URLs are scored
+    whole. Null URLs count as empty; an empty table gives an empty result.
     """
     host, path = split_url(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
@@ -95,7 +104,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     texts = rows.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("rule", rule).withColumn("action", action)
     texts = materialise(texts.withColumn("u", F.concat("host", "path")), "urls")
     scored = texts.where(F.col("u") != "")
-    labelled = _grams(scored.where(F.col("action").isNotNull()), ["action", "n"])
+    apart = F.pmod(F.xxhash64("host", "path", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+    labelled = _grams(scored.where(F.col("action").isNotNull() & ~apart), ["action"])
     once = lambda a: F.sum(F.when(F.col("action") == a, 1).otherwise(0)).alias(a)
     counts = materialise(labelled.groupBy("g").agg(once("allow"), once("block")), "url-counts")
     grams = materialise(_grams(scored, []).distinct(), "url-grams")
@@ -109,10 +119,11 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         salted = ratio.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         each = each.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"])
     scores = each.groupBy("host", "path").agg(F.avg(F.col("r").cast("decimal(24,12)")).cast("double").alias("score"))
-    judged = materialise(texts.join(scores, ["host", "path"], "left").select("host", "path", "rule", "action", "score"), "url-scores")
-    bins = judged.where(F.col("action").isNotNull() & F.col("score").isNotNull())
+    judged = materialise(texts.join(scores, ["host", "path"], "left").select("host", "path", "n", "rule", "action", "score"), "url-scores")
+    bins = judged.where(F.col("action").isNotNull() & F.col("score").isNotNull() & apart)
     bins = bins.groupBy(F.floor(F.least(F.greatest("score", F.lit(-MOST)), F.lit(MOST)) / BIN).alias("bin")).agg(F.count_if(F.col("action") == "allow").alias("allow"), F.count_if(F.col("action") == "block").alias("block"))
-    limit = _limit(bins.collect())  # at most 2 * MOST / BIN + 1 rows
+    trained = tuple(x or 0 for x in counts.agg(F.sum("allow"), F.sum("block")).first())
+    limit = _limit(bins.collect(), trained)  # at most 2 * MOST / BIN + 1 rows
     verdict = F.coalesce("action", F.when(F.col("score") < limit, "block").otherwise("allow"))
-    judged = judged.select("host", "path", "rule", verdict.alias("verdict"), "score")
-    return rows.join(judged, ["host", "path"]).select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict", "score")
+    judged = judged.select("host", "path", "n", "rule", verdict.alias("verdict"), "score")
+    return join_unique(rows, judged, ["host", "path"], "n").select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict", "score")

@@ -35,7 +35,7 @@ def test_lm_base_score_equals_plain(spark, nasty, nasty_rows, held, monkeypatch)
 
 
 def test_lm_is_normalised():
-    v = lm_score.Vocabulary({}, {}, 9, np.zeros(9), np.full(9, 1 / 9), 0, 0)
+    v = lm_score.Vocabulary({}, {}, 9, np.zeros(9), np.full(9, 1 / 9), 0, 0, 0)
     m = lm_score.LogBilinear(v)
     context = np.repeat(np.array([[1, 2, 3], [9, 9, 0]]), 9, axis=0)
     p = np.exp(m.log_probabilities(context, np.tile(np.arange(9), 2)))
@@ -122,13 +122,8 @@ def _open(m, prefix):
     for n in range(1, m.order + 1):
         if place[at] < max(n - 1, 1):
             continue
-        keys, share = m.grams[n - 1]
-        i = min(np.searchsorted(keys, hashes[n - 1][at]), len(keys) - 1)
-        own = share[i] if keys[i] == hashes[n - 1][at] else 0
-        keys, rest = m.contexts[n - 1]
         c = hashes[n - 2][at - 1] if n > 1 else np.uint64(0)
-        i = min(np.searchsorted(keys, c), len(keys) - 1)
-        p = own + (rest[i] if keys[i] == c else 1) * p
+        p = m.grams[n - 1].find(hashes[n - 1][at : at + 1])[0] + m.contexts[n - 1].find(np.array([c]))[0] * p
     return whole - np.log(p)
 
 
@@ -150,6 +145,27 @@ def test_language_edges(nasty, empty, spark):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(odd, models).collect()} == {1: "und", 2: "en", 3: "en"}
 
 
+def test_layers_hold_what_each_language_has():
+    parts = [(np.array([2, 5, 9], dtype=np.uint64), np.array([0.1, 0.2, 0.3])), (np.array([5], dtype=np.uint64), np.array([0.5])), (np.zeros(0, dtype=np.uint64), np.zeros(0))]
+    got = langid._Layer(parts, 1.0).find(np.array([9, 5, 4, 5, 2], dtype=np.uint64))
+    assert got.tolist() == np.array([[0.3, 1, 1], [0.2, 0.5, 1], [1, 1, 1], [0.2, 0.5, 1], [0.1, 1, 1]], dtype=np.float32).tolist()
+
+
+def test_models_too_large_for_a_worker_are_refused(monkeypatch):
+    monkeypatch.setattr(langid, "MAX_MODEL_BYTES", 10)
+    with pytest.raises(ValueError, match="too large"):
+        langid.CharModels({"a": (["abc"], np.array([1.0]))})
+
+
+def test_texts_of_another_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    models = langid.fit_languages(docs)
+    assert np.isfinite(models.limits).all()
+    odd = spark.createDataFrame([(1, "zqxj vkwq xxzq jjqk wvzx qkzj " * 10)], "doc_id long, text string")
+    assert langid.predict_languages(odd, models).first()["rejected"]
+    assert langid.predict_languages(docs, models).where("rejected").count() < 0.02 * docs.count()
+
+
 def test_copies_do_not_crowd_the_sample_of_a_language(spark):
     rows = [("a", f"w{chr(97 + i % 26)}{chr(97 + i // 26)} plain words of the language") for i in range(40)]
     once = langid.fit_languages(spark.createDataFrame([*rows, ("a", "copied zebra text")], "lang string, text string"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.llm import licenses, secrets, url_filter
@@ -29,6 +32,47 @@ def test_licenses_equal_plain_containment(spark):
     assert set(got) == want and len(got) == len(set(got)) and (9002, "MIT") in want and (9003, "MIT") not in want
 
 
+def test_edited_licenses_are_found_at_every_place(spark):
+    rng = random.Random(4)
+    filler = [f"w{k}" for k in range(500)]
+    rows, places = [], {}
+    for name in ("MIT", "GPL-3.0"):
+        grant = next(t for n, t in licenses.TEMPLATES if n == name and len(t.split()) > 25)
+        for inserted in (0, 3, 6, 12, 20):
+            for offset in range(60):
+                words = re.findall(r"\w+", grant.lower())
+                at = rng.randrange(8, len(words) - 8)
+                words[at:at] = rng.choices(filler, k=inserted)
+                places[len(rows)] = (name, offset, offset + len(words))
+                rows.append((len(rows), " ".join(rng.choices(filler, k=offset) + words + rng.choices(filler, k=300))))
+    got = {}
+    for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["license"] == places[r["doc_id"]][0]:
+            got[r["doc_id"]] = r
+    assert len(got) >= 0.99 * len(rows)
+    for i, r in got.items():
+        name, start, end = places[i]
+        have = _shingles(" ".join(rows[i][1].split()[r["start_word"] : r["end_word"]]))
+        shares = [len(_shingles(t) & have) / len(_shingles(t)) for n, t in licenses.TEMPLATES if n == name]
+        assert max(shares) == pytest.approx(r["containment"]) and start <= r["start_word"] < r["end_word"] <= end
+
+
+def test_license_windows_hold_every_passage():
+    for words in range(licenses.SHINGLE, 80):
+        span, step = licenses.window_sizes(words)
+        longest = 2 * words - 1 if words >= 9 else words
+        for start in range(3 * step):
+            assert any(at <= start and start + longest <= at + span for at in range(0, start + 1, step)), (words, start)
+
+
+def test_short_templates_are_phrases(spark):
+    rows = [(1, "all rights are MIT Licensed, so there"), (2, "mit, licensed!"), (3, "mit unlicensed"), (4, None), (5, "mit")]
+    own = (("MIT", "MIT licensed"), ("none", "..."), ("X", "x"))
+    got = {(r["doc_id"], r["license"], r["start_word"], r["end_word"]) for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates=own).collect()}
+    assert got == {(1, "MIT", 3, 5), (2, "MIT", 0, 2)}
+    assert licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string"), templates=()).count() == 0
+
+
 def test_licenses_edges(nasty, empty):
     assert licenses.license_matches(nasty).count() == 0
     assert licenses.license_matches(empty).count() == 0
