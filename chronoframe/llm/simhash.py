@@ -177,7 +177,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Words of a shingle, and the least Jaccard similarity that links two texts.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit parts of the fingerprint that discards pairs before their shingles are counted.
-CHECK_PARTS = 4
+CHECK_PARTS = 8
 #: What sets of few shingles add at most to the share of differing bits, and the deviations beyond which a pair is
 #: discarded: a pair of the least similarity is, with a chance of 1e-9.
 FEW_SHINGLES, DISCARD_SIGMAS = 0.04, 6.0
@@ -361,30 +361,94 @@ def _copy_bits(similarity: float) -> int:
     return int(number * share + DISCARD_SIGMAS * np.sqrt(number * share * (1 - share)))
 
 
-def _near_in_groups(groups: DataFrame, bits: int) -> DataFrame:
-    """Pairs ``(u, v)`` of what may be near within each row's array ``members`` of ``(node, parts)``; with ``root``, only of two roots."""
+class _Trees:
+    """Union-find over longs."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _may_link(groups: DataFrame, bits: int) -> DataFrame:
+    """Edges ``(u, v)`` between roots that have texts of near fingerprints in a group: a spanning forest of each group.
+
+    groups: arrays ``node, root, joined, parts``; only texts that are not joined are compared with all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for members in b["members"]:
-                names = np.array([m["node"] for m in members], dtype=np.int64)
-                parts = np.array([m["parts"] for m in members], dtype=np.int64).view(np.uint64)
-                roots = np.array([m["root"] for m in members], dtype=np.int64) if rooted else names
-                u, v = [], []
-                for x in range(len(names) - 1):
-                    rest = x + 1 + np.flatnonzero(roots[x + 1 :] != roots[x])
-                    near = rest[np.bitwise_count(parts[rest] ^ parts[x]).sum(axis=1, dtype=np.int64) <= bits]
-                    u.append(np.full(len(near), names[x]))
-                    v.append(names[near])
-                if u:
-                    yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
-
-    rooted = "root" in groups.schema["members"].dataType.elementType.names
-    return groups.select("members").mapInPandas(run, "u long, v long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs ``(u, v)`` of nodes whose sets of shingles have the Jaccard similarity.
+            u, v = [], []
+            for roots, joined, parts in zip(b["root"], b["joined"], b["parts"], strict=True):
+                parts, trees = np.stack(list(parts)).view(np.uint64), _Trees()
+                for x in np.flatnonzero(~np.asarray(joined, dtype=bool)).tolist():
+                    near = np.bitwise_count(parts ^ parts[x]).sum(axis=1, dtype=np.int64) <= bits
+                    for r in np.unique(roots[near]).tolist():
+                        if trees.join(int(roots[x]), r):
+                            u.append(int(roots[x]))
+                            v.append(r)
+            yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+
+    return groups.select("root", "joined", "parts").mapInPandas(run, "u long, v long")
+
+
+def _alike(groups: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` between texts whose sets of shingles have the Jaccard similarity: a spanning forest of each group's roots.
+
+    groups: arrays ``node, root, joined, shingles``; only texts that are not joined are compared with all.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            u, v = [], []
+            for nodes, roots, joined, sets in zip(b["node"], b["root"], b["joined"], b["shingles"], strict=True):
+                size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+                some = size > 0  # wordless texts are one text already
+                names, flat = np.unique(np.concatenate(list(sets)), return_inverse=True)
+                starts, flags, trees = (np.cumsum(size) - size), np.zeros(len(names), dtype=np.int32), _Trees()
+                for x in np.flatnonzero(~np.asarray(joined, dtype=bool) & some).tolist():
+                    own = flat[starts[x] : starts[x] + size[x]]
+                    flags[own] = 1
+                    common = np.zeros(len(size), dtype=np.int64)
+                    common[some] = np.add.reduceat(flags[flat], starts[some])
+                    flags[own] = 0
+                    for y in np.flatnonzero(common >= similarity * (size + size[x] - common)).tolist():
+                        if y != x and some[y] and trees.join(int(roots[x]), int(roots[y])):
+                            u.append(int(nodes[x]))
+                            v.append(int(nodes[y]))
+            yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
+
+    return groups.select("node", "root", "joined", "shingles").mapInPandas(run, "u long, v long")
+
+
+def _blocked(rows: DataFrame, key: str, block: int, *values: str) -> DataFrame:
+    """Rows ``(key, node, root, joined, near, far, *values)`` as groups of arrays; near and far: rows of a key that are joined or not.
+
+    A key of more than ``block`` rows is dealt to blocks, of which each pair is a group, but for pairs of
+    which all rows are joined.
+    """
+    some = rows.where(F.col("near") + F.col("far") <= block).withColumn("a", F.lit(0).cast("long")).withColumn("b", F.lit(0).cast("long"))
+    blocks = lambda n: F.ceil(F.col(n) * 2 / block)
+    # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
+    many = rows.where(F.col("near") + F.col("far") > block).withColumn("_far", blocks("far")).withColumn("_near", blocks("near"))
+    many = many.withColumn("_own", F.when(F.col("joined"), F.col("_far") + F.pmod(F.xxhash64("node"), F.col("_near"))).otherwise(F.pmod(F.xxhash64("node"), F.col("_far"))))
+    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("_far")).otherwise(F.col("_far") + F.col("_near")) - 1)))
+    many = many.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other"))
+    columns = ("node", "root", "joined", *values)
+    listed = some.select(key, "a", "b", *columns).unionByName(many.select(key, "a", "b", *columns)).groupBy(key, "a", "b").agg(F.collect_list(F.struct(*columns)).alias("m"))
+    return listed.where(F.size("m") > 1).select(*(F.col(f"m.{c}").alias(c) for c in columns))
+
+
+def _sets_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, shingles)`` of the texts in ``nodes``.
 
     texts: ``(node, lowest, text_hash)``. A text's body is taken from its row of the least id in ``docs``,
     so that rows with copies of one text are spread by their ids and never meet in one task.
@@ -397,18 +461,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str,
                 shingles, ends = _shingle_sets(_words(bodies[at:end]))
                 yield pd.DataFrame({"node": b["node"].iloc[at:end].array, "shingles": np.split(shingles.view(np.int64), ends[:-1])})
 
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = texts.select("node", F.col("lowest.id").alias("w_id"), F.coalesce("lowest.text_hash", "text_hash").alias("w_hash")).join(nodes, "node", "left_semi")
     wanted = materialise(wanted, "copies-wanted")
     bodies = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
     found = bodies.join(wanted, F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_hash") == F.col("w_hash"))).groupBy("node").agg(F.min("_text").alias("_text"))
     sets = materialise(found.mapInPandas(run, "node long, shingles array<long>"), "copies-sets")
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u")), "u")
+    release(wanted)
+    return sets
+
+
+def _near_stars(stars: DataFrame, bits: int) -> DataFrame:
+    """The pairs ``(u, v)`` of ``(node, parts, first, of_first)`` whose fingerprints are near."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                a, c = (np.stack(list(b[x])).view(np.uint64) for x in ("parts", "of_first"))
+                near = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64) <= bits
+                yield pd.DataFrame({"u": b["node"][near], "v": b["first"][near]})
+
+    return stars.select("node", "parts", "first", "of_first").mapInPandas(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` of nodes whose sets of shingles have the Jaccard similarity; many pairs may have one v."""
+    left = materialise(pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u")), "u"), "copies-left")
     crowd = pairs.groupBy("v").agg(F.count("*").alias("_pairs"))
     right = materialise(sets.join(crowd, F.col("node") == F.col("v")).select("v", F.col("shingles").alias("_v"), "_pairs"), "copies-right")
     both = F.size(F.array_intersect("_u", "_v"))
-    joined = join_unique(materialise(left, "copies-left"), right, ["v"], "_pairs")
-    return joined.where(both >= similarity * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+    linked = join_unique(left, right, ["v"], "_pairs").where(both >= similarity * (F.size("_u") + F.size("_v") - both))
+    linked = materialise(linked.select("u", "v"), "copies-linked")
+    release(left, right)
+    return linked
 
 
 def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -433,50 +517,55 @@ def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     """
     spark = docs.sparkSession
     names, level, drawn = _common_shingles(docs.select(F.col(text_col).cast("string").alias("_text")))
-    own = materialise(wide_fingerprints(docs.select(id_col, text_col), (names, level), id_col, text_col, similarity), "copies")
+    every = materialise(wide_fingerprints(docs.select(id_col, text_col), (names, level), id_col, text_col, similarity), "copies-all")
     whom = F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), "text_hash"))).alias("lowest")
-    texts = own.groupBy("words", "more_words").agg(whom, F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("parts").alias("parts"))
-    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "copies-texts")
-    parts = texts.select("node", "parts")
+    wide = every.groupBy("words", "more_words").agg(whom, F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("parts").alias("parts"))
+    wide = materialise(wide.withColumn("node", F.monotonically_increasing_id()), "copies-wide")
+    own = materialise(every.select(id_col, "text_hash", "words", "more_words"), "copies-rows")
+    release(every)
+    texts = materialise(wide.drop("keys", "parts"), "copies-texts")
+    parts = materialise(wide.select("node", "parts"), "copies-parts")
     # shingles that are in more than one of HOT_SHARE texts of the sample: their groups are never brought into one task
     hot = spark.createDataFrame(pd.DataFrame({"key": names[level * HOT_SHARE > max(drawn, 1)].view(np.int64)}), "key long").withColumn("hot", F.lit(True))
-    keyed = texts.select("node", F.explode("keys").alias("key")).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    keyed = wide.select("node", F.explode("keys").alias("key")).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     shared = materialise(_by_key(keyed, n=F.count("*")).where("n > 1"), "copies-shared")
+    release(wide)
     # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
     crowd = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
     led = _by_key(shared.join(crowd, "node"), lead=F.max(F.struct("crowd", "node")))
     led = materialise(led.select("key", "node", "hot", "n", F.col("lead.node").alias("first")), "copies-led")
+    release(shared)
     bits = _copy_bits(similarity)
     stars = led.where("node <> first").select("node", "first").distinct()
     leads = stars.groupBy("first").agg(F.count("*").alias("_stars")).join(parts.select(F.col("node").alias("first"), F.col("parts").alias("of_first")), "first")
-    stars = join_unique(materialise(stars.join(parts, "node"), "copies-stars"), materialise(leads, "copies-leads"), ["first"], "_stars")
-    apart = F.aggregate(F.zip_with("parts", "of_first", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    stars = materialise(stars.where(apart <= bits).select(F.col("node").alias("u"), F.col("first").alias("v")), "copies-near")
-    stars = materialise(_verified(stars, texts, docs, id_col, text_col, similarity), "copies-linked")
+    stars, leads = materialise(stars.join(parts, "node"), "copies-stars"), materialise(leads, "copies-leads")
+    near = materialise(_near_stars(join_unique(stars, leads, ["first"], "_stars"), bits), "copies-near")
+    release(stars, leads)
+    sets = _sets_of(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct(), texts, docs, id_col, text_col)
+    stars = _verified(near, sets, similarity)
+    release(near, sets)
     roots = materialise(_rooted(texts, stars), "copies-roots")
     # what a group holds beyond its first text's component; the one pair of a group of two is a star's
     split = led.where("n > 2").join(roots, "node")
     split = _by_key(split, lead=F.max(F.when(F.col("node") == F.col("first"), F.col("root")))).withColumn("joined", F.col("root") == F.col("lead"))
     split = materialise(_by_key(split.drop("lead"), near=F.count_if("joined"), far=F.count_if(~F.col("joined"))).where("far > 0"), "copies-split")
-    # texts that share many first shingles are one group once
-    whole = split.where(F.col("n") <= block).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("all")).select("all").distinct()
-    whole = whole.select(F.xxhash64("all").alias("key"), F.explode("all").alias("node"))
-    blocks = lambda n: F.ceil(F.col(n) * 2 / block)
-    # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
-    large = split.where(F.col("n") > block).select("key", "node", "joined", blocks("far").alias("far"), blocks("near").alias("near"))
-    large = large.withColumn("a", F.when(F.col("joined"), F.col("far") + F.pmod(F.xxhash64("node"), F.col("near"))).otherwise(F.pmod(F.xxhash64("node"), F.col("far"))))
-    large = large.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("far")).otherwise(F.col("far") + F.col("near")) - 1)))
-    large = large.select("key", "node", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    listed = F.collect_list(F.struct("node", "parts", "root")).alias("members")
-    marked = parts.join(roots, "node")
-    members = whole.join(marked, "node").groupBy("key").agg(listed).select("members")
-    members = members.unionByName(large.join(marked, "node").groupBy("key", "a", "b").agg(listed).where(F.size("members") > 1).select("members"))
-    rest = _near_in_groups(members, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = materialise(rest, "copies-rest")
-    if rest.limit(1).count():
-        edges = stars.unionByName(_verified(rest, texts, docs, id_col, text_col, similarity)).distinct()
-        roots = materialise(_rooted(texts, materialise(edges, "copies-edges")), "copies-roots")
-    release(shared, led, split)
+    release(led)
+    groups = _blocked(split.join(parts, "node"), "key", block, "parts")
+    maybe = materialise(_may_link(groups, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "copies-maybe")
+    release(split, parts)
+    if maybe.limit(1).count():
+        # components of what may link: each text is in one, and all that is left to count is within them
+        places = connected_components(maybe).select(F.col("node").alias("root"), F.col("root").alias("place"))
+        number = materialise(roots.groupBy("root").agg(F.count("*").alias("n")).join(places, "root"), "copies-places")
+        largest = Window.partitionBy("place")
+        number = number.withColumn("joined", F.col("root") == F.max(F.struct("n", "root")).over(largest)["root"])
+        number = number.withColumn("near", F.sum(F.when(F.col("joined"), F.col("n")).otherwise(0)).over(largest)).withColumn("far", F.sum("n").over(largest) - F.col("near"))
+        members = materialise(join_unique(roots, materialise(number, "copies-number"), ["root"], "n"), "copies-members")
+        sets = _sets_of(members.select("node"), texts, docs, id_col, text_col)
+        found = materialise(_alike(_blocked(members.join(sets, "node"), "place", block, "shingles"), similarity), "copies-found")
+        release(members, sets)
+        if found.limit(1).count():
+            roots = materialise(_rooted(texts, materialise(stars.unionByName(found), "copies-edges")), "copies-roots")
     return own, texts.select("node", "words", "more_words", "lowest", "rows").join(roots, "node").drop("node")
 
 
@@ -488,8 +577,9 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lie far apart are discarded and the others' shingles counted. Texts of the same words meet before
     any comparison. Every text is first compared with the most central text of each of its groups,
     which joins almost all of a large group without forming its pairs. What a group holds beyond that
-    text's component is then compared with all of the group; groups of over ``block`` texts are
-    compared in pairs of blocks.
+    text's component may link with the rest of it where fingerprints are near; the components of what
+    may link are small, and the sets of each are counted within one task, or in pairs of blocks of
+    ``block`` texts. Tasks give the edges of spanning trees, never all pairs of a group.
     Null and wordless texts are copies of one another; null ids never name a component. Repeated
     rows each get their row, rows of one id with different texts are told apart; an empty table gives
     an empty result.

@@ -162,7 +162,9 @@ def test_links_of_crowded_fingerprints(spark, limit):
     assert [got.get(s, s) for s in signed] == _components(fps, signed)
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("contracted", [250_000, 20, 1])
+def test_components_of_long_chains(spark, monkeypatch, contracted):
+    monkeypatch.setattr(components, "CONTRACTED", contracted)
     edges = [(i, i + 1) for i in range(0, 200)] + [(500 + i, 500) for i in range(50)] + [(900, 900), (7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[500 + i] == 500 for i in range(50)) and 900 not in got
@@ -274,14 +276,17 @@ def test_near_copies_of_few_words_are_counted_exactly(spark):
     assert 20 < sum(w != i for i, w in enumerate(want)) < len(rows) // 2
 
 
-def test_groups_without_a_shared_neighbour_are_compared_in_full(spark):
+def test_groups_give_spanning_trees_of_what_may_link(spark):
     rng = random.Random(3)
-    own = lambda: [rng.getrandbits(64) for _ in range(simhash.CHECK_PARTS)]
+    own = lambda: [rng.getrandbits(64) - (1 << 63) for _ in range(simhash.CHECK_PARTS)]
     one = own()
-    members = [[(i, [x - (1 << 63) for x in (one if i % 7 == 0 else own())]) for i in range(50)]]
-    df = spark.createDataFrame([(m,) for m in members], "members array<struct<node:long,parts:array<long>>>")
-    roots = components.connected_components(simhash._near_in_groups(df, 100)).collect()
-    assert {r["node"] for r in roots} == set(range(0, 50, 7)) and {r["root"] for r in roots} == {0}
+    rows = [(1, i, i, False, 0, 50, one if i % 7 == 0 else own()) for i in range(50)]
+    df = spark.createDataFrame(rows, "key long, node long, root long, joined boolean, near long, far long, parts array<long>")
+    for block in (8, 64):
+        edges = simhash._may_link(simhash._blocked(df, "key", block, "parts"), 100).distinct()
+        roots = components.connected_components(edges).collect()
+        assert {r["node"] for r in roots} == set(range(0, 50, 7)) and {r["root"] for r in roots} == {0}
+    assert simhash._may_link(simhash._blocked(df, "key", 64, "parts"), 100).count() == 7
 
 
 def test_near_copy_edges(spark, nasty, empty):
