@@ -73,7 +73,7 @@ def _measure(texts: list[str], window: int) -> dict[str, np.ndarray]:
 
 
 #: Characters measured together.
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
 
 
 def _measured_batch(texts: pd.Series) -> pd.DataFrame:

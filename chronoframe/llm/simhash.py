@@ -189,7 +189,7 @@ ORDER_DOCS, ORDER_SHINGLES = 4000, 500_000
 #: Rejected rows up to which they are broadcast to leave their table; more are joined.
 BROADCAST_REJECTED = 200_000
 #: Characters that are turned into shingles together.
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 
 #: Odd factors that draw independent parts from one hash.
 _ODD = np.arange(1, 65, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

@@ -34,6 +34,43 @@ def test_lm_base_score_equals_plain(spark, nasty, nasty_rows, held, monkeypatch)
     assert {r["train_tokens"] for r in got} == {n} and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_lm_score_equals_plain(spark, nasty, monkeypatch):
+    """Each token's class by the whole softmax of the learned model, and its word within the class by smoothed counts."""
+    monkeypatch.setattr(lm_score, "HELD_WORDS", 12)
+    monkeypatch.setattr(lm_score, "OWN_WORDS", 3)
+    models, average = [], lm_score._average
+    monkeypatch.setattr(lm_score, "_average", lambda m: models.append(average(m)) or models[-1])
+    docs = nasty.where("length(text) < 2000 OR text IS NULL").withColumn("held_out", _held(7))
+    train = docs.where("NOT held_out").select("text")
+    counts = {r["word"]: r["n"] for r in lm_score.token_counts(train).collect()}
+    v = lm_score.build_vocabulary(lm_score.token_counts(train))
+    got = lm_score.score_texts(docs, "held_out").collect()
+    m = lm_score.LogBilinear(v).unpack(models[-1])
+    own = {w: c for w, (c, _, alone) in v.words.items() if alone}
+
+    def token_class(w):
+        return own.get(w, v.end if w == b"\n" else v.other(w))
+
+    members = {}
+    for w, n in counts.items():
+        members.setdefault(token_class(w.encode()), []).append(n)
+    want = []
+    for r in docs.collect():
+        words = [*lm_score.split_words(r["text"]), b"\n"]
+        context, total = [v.start] * lm_score.CONTEXT, 0.0
+        for w in words:
+            c = token_class(w)
+            q = sum(m.places[k] * m.before[context[-1 - k]] for k in range(lm_score.CONTEXT)).astype(float)
+            z = m.after.astype(float) @ q + m.bias
+            total += (z[c] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10)
+            if c not in own.values() and c != v.end:
+                total += math.log10((counts.get(w.decode(), 0) + 1) / (sum(members.get(c, [])) + len(members.get(c, [])) + 1))
+            context.append(c)
+        want.append((str(r["doc_id"]), round(total, 2)))
+    for (i, a), (j, b) in zip(sorted((str(r["doc_id"]), r["score"]) for r in got), sorted((i, t) for i, t in want), strict=True):
+        assert i == j and a == pytest.approx(b, abs=0.02)
+
+
 def test_lm_is_normalised():
     v = lm_score.Vocabulary({}, {}, 9, np.zeros(9), np.full(9, 1 / 9), 0, 0, 0)
     m = lm_score.LogBilinear(v)
@@ -86,7 +123,7 @@ def test_toxicity_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = toxicity.toxicity_scores(docs, labels, "held_out").where("held_out").join(labels, "doc_id").collect()
     hits = [r for r in got if r["predicted"]]
-    assert hits and all(r["toxic"] for r in hits) and sum(r["toxic"] for r in hits) >= 0.6 * sum(r["toxic"] for r in got)
+    assert hits and all(r["toxic"] for r in hits) and sum(r["toxic"] for r in hits) >= 0.9 * sum(r["toxic"] for r in got)
 
 
 def test_toxicity_edges(spark, nasty, empty):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -109,6 +110,34 @@ def test_weak_parts_need_a_complement(spark, empty):
     assert secrets.credential_spans(empty).count() == 0
 
 
+def _every_span(text, scope):
+    """All spans by a plain comparison of each weak one with each other part."""
+    every = []
+    for k, (pattern, group) in enumerate(((secrets.ASSIGN, 2), (secrets.ACCESS, 0), (secrets.HEX, 0), (secrets.IDENT, 1), (secrets.ENDPOINT, 0))):
+        for m in re.finditer(pattern, text or ""):
+            n = len(m[group])
+            kind = (0 if n >= secrets.MIN_ASSIGN else 3 if n >= secrets.MIN_SHORT else None) if k == 0 else k if k < 3 else k + 1
+            if kind is not None:
+                every.append((m.start(), kind, m.end()))
+    kept = set()
+    for start, kind, end in every:
+        needs = secrets.NEEDS.get(secrets.KINDS[kind])
+        if needs is None or any(secrets.ROLE[secrets.KINDS[k]] in needs and a < end + scope and b > start - scope for a, k, b in every):
+            kept.add((start, kind, end))
+    return sorted(kept)
+
+
+def test_linked_spans_equal_plain(spark, nasty):
+    rng = random.Random(13)
+    parts = ["user=bob", "login: al.smith", "client_id=zz9", "token=abcd1", "secret: q1w2e3r4", "password=abcdefghijkl", "AKIA" + "Q" * 16, "0123456789abcdef", "https://a.example/x", "redis://h:1/0", "plain words", "x" * 40, "api_key=abc"]
+    rows = [(i, " ".join(rng.choice(parts) if rng.random() < 0.4 else "w" * rng.randrange(1, 60) for _ in range(rng.randrange(0, 60)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(nasty.select("doc_id", "text"))
+    for scope in (16, 256):
+        want = sorted((str(r["doc_id"]), _every_span(r["text"], scope)) for r in docs.collect())
+        got = sorted((str(r["doc_id"]), [tuple(s) for s in r["spans"]]) for r in secrets.credential_spans(docs, scope=scope).collect())
+        assert got == want
+
+
 def test_redaction_keeps_rows_and_columns(nasty, spark):
     out = secrets.redact_secrets(nasty, length_col="n_chars")
     assert out.columns == nasty.columns and out.exceptAll(nasty).count() == 0 and nasty.exceptAll(out).count() == 0
@@ -153,6 +182,54 @@ def test_url_model_is_normalised_and_separates(spark):
     assert abs(p - 1) < 1e-9
 
 
+def test_url_scores_equal_plain(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(9001, "http://h.org" + "/\x02\x03p" * 50), (9002, "http://q.example/ü")], "page_id long, url string"))
+    rows = url_filter.judge_urls(pages).collect()
+    apart = {(r["host"], r["path"]) for r in spark.createDataFrame([(r["host"], r["path"]) for r in rows], "host string, path string").where(F.pmod(F.xxhash64("host", "path", F.lit("calibrate")), F.lit(url_filter.CALIBRATE)) == 0).collect()}
+    texts = {(r["host"], r["path"]): _rule(r["host"], r["path"])[1] for r in rows}
+    grams = lambda u: [("\x02" * 3 + u + "\x03")[i : i + 4] for i in range(len(u) + 1)]
+    alphabet = len({g[-1] for h, p in texts if h + p for g in grams(h + p)}) + 1
+    counts = {a: [{} for _ in range(5)] for a in ("allow", "block")}
+    for (h, p), action in texts.items():
+        if action and (h, p) not in apart and h + p:
+            for g in grams(h + p):
+                for n in range(1, 5):
+                    counts[action][n][g[-n:]] = counts[action][n].get(g[-n:], 0) + 1
+
+    def log_p(g, action):
+        p = 1 / alphabet
+        for n in range(1, 5):
+            own = counts[action][n]
+            mates = [c for s, c in own.items() if s[:-1] == g[-n:][:-1]]
+            if sum(mates) >= url_filter.MIN_CONTEXT:
+                p = (own.get(g[-n:], 0) + len(mates) * p) / (sum(mates) + len(mates))
+        return math.log(p)
+
+    known = {}
+    for r in rows:
+        u = r["host"] + r["path"]
+        if u not in known and u:
+            each = [log_p(g, "allow") - log_p(g, "block") for g in grams(u)]
+            known[u] = sum(each) / len(each)
+        assert (r["score"] is None) == (u == "") and (not u or r["score"] == pytest.approx(known[u], abs=1e-6))
+    cut = [r for r in rows if r["rule"] is None and r["score"] is not None]
+    blocked, allowed = [r["score"] for r in cut if r["verdict"] == "block"], [r["score"] for r in cut if r["verdict"] == "allow"]
+    assert blocked and allowed and max(blocked) < min(allowed)
+
+
+def test_url_limit_is_least_wrong():
+    row = lambda b, a, k: {"bin": b, "allow": a, "block": k}
+    assert url_filter._limit([row(-50, 0, 9), row(-10, 1, 1), row(30, 8, 0)], (1, 1)) == pytest.approx((-9 + 30) / 2 * url_filter.BIN)
+    assert url_filter._limit([], (1, 1)) == 0 and url_filter._limit([row(0, 1, 0)], (1, 1)) == 0
+    assert url_filter._limit([row(0, 1, 0)], (1, 0)) < -url_filter.MOST and url_filter._limit([row(0, 0, 1)], (0, 1)) > url_filter.MOST
+
+
+def test_url_extra_columns_and_hot_urls(spark):
+    rows = [(i, None if i % 3 else "http://hot.net/de/", i, "x") for i in range(900)] + [(None, "http://q.net/de/1", 1, "x")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host int, _id string")).collect()
+    assert len(got) == 901 and {r["verdict"] for r in got} == {"allow"} and sum(r["rule"] == "net/de/" for r in got) == 301
+
+
 def test_url_edges(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(none).count() == 0

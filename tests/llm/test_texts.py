@@ -392,3 +392,18 @@ def test_pipeline_equals_its_parts(spark, sf):
     tokens = {r["doc_id"]: r["doc_tokens"] for r in out.collect()}
     encode = _tokenizer().encode
     assert tokens == {r["doc_id"]: len(encode(r["text"], add_special_tokens=False).ids) + 1 for r in stage.collect()}
+
+
+def test_pipeline_on_odd_tables(spark, sf, nasty, empty, tmp_path):
+    import corpus_pipeline as p
+
+    for name, docs in (("nasty", nasty), ("empty", empty)):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        stage = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, f in p.STAGES[:-1]:
+            stage = f(spark, stage, folder)
+            assert stage.columns == docs.columns
+        out = p.run(spark, folder)
+        assert out.count() == 0 if name == "empty" else {r["doc_id"] for r in out.collect()} >= {4, 2**60 + 1}
