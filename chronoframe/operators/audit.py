@@ -15,6 +15,25 @@ def nav_audit(nav: DataFrame, key: Sequence[str], time: str, value: str, cash: s
     return nav.groupBy(*key).agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col(value) - F.col(cash) - F.col(holdings)) > tolerance).alias("identity_breaks"), F.count_if("_back").alias("order_breaks"))
 
 
+def chain_hashes(log: DataFrame, chain: Sequence[str], order: str, payload: str) -> DataFrame:
+    """``log`` with ``previous`` and ``own``: the hash of the record before, and that of this one and the hash before it.
+
+    A fold over each chain, so a chain's payloads are held in one row: some thousands.
+    """
+    rest = [c for c in log.columns if c not in (*chain, order, payload)]
+    rows = F.array_sort(F.collect_list(F.struct(order, payload, *rest)))
+
+    def step(done: Column, x: Column) -> Column:
+        before = F.try_element_at(done, F.lit(-1))["own"]
+        own = F.sha2(F.concat_ws("|", F.coalesce(before, F.lit("")), x[payload]), 256)
+        return F.concat(done, F.array(F.struct(before.alias("previous"), own.alias("own"))))
+
+    none = F.array().cast("array<struct<previous:string,own:string>>")
+    each = log.groupBy(*chain).agg(rows.alias("_r")).withColumn("_h", F.aggregate("_r", none, step))
+    pairs = each.select(*chain, F.explode(F.arrays_zip("_r", "_h")).alias("_x"))
+    return pairs.select(*chain, *(F.col(f"_x._r.{c}").alias(c) for c in (order, payload, *rest)), F.col("_x._h.previous").alias("previous"), F.col("_x._h.own").alias("own"))
+
+
 def chain_breaks(log: DataFrame, chain: Sequence[str], order: str, payload: str, own: str, previous: str) -> DataFrame:
     """Rows of a hash-chained log whose hash is not that of their payload, or which do not name the hash before them."""
     before = F.lag(own).over(Window.partitionBy(*chain).orderBy(order))

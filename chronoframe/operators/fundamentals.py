@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise, release
+from .skew import bounded, small
+
 
 def standardize(facts: DataFrame, chains: DataFrame, key: Sequence[str], tag: str, value: str, available: str) -> DataFrame:
     """``(key, concept, value, source_tag, available)``: of each concept the first tag of its chain that has a value.
 
-    ``chains``: ``(concept, tag, position)``, a bounded dimension, broadcast. Excluded rows go before.
+    ``chains``: ``(concept, tag, position)``, a dimension that is broadcast if it is small. Excluded rows go before.
     """
-    hit = facts.where(F.col(value).isNotNull()).join(F.broadcast(chains), tag)
+    hit = facts.where(F.col(value).isNotNull()).join(small(chains), tag)
     best = F.min_by(F.struct(value, F.col(tag).alias("source_tag"), F.col(available).alias("available")), F.struct("position", available, value))
     return hit.groupBy(*key, "concept").agg(best.alias("_b")).select(*key, "concept", f"_b.{value}", "_b.source_tag", "_b.available")
 
@@ -77,25 +80,40 @@ def compose_ttm(df: DataFrame, key: Sequence[str], year: str, part: str, item: s
     return out.select(*key, year, part, item, (F.col("_c") + F.col("_a") - F.col("_p")).alias("ttm"))
 
 
-def close_intervals(df: DataFrame, key: Sequence[str], start: str, end: str, value: str, available: str, rounds: int = 3) -> DataFrame:
-    """All intervals that sums of adjoining ones and differences of ones with a common start give, the earliest known of each.
+def close_intervals(df: DataFrame, key: Sequence[str], start: str, end: str, value: str, available: str, longest: int | None = None, max_rounds: int = 40) -> DataFrame:
+    """All intervals that sums of adjoining ones and differences of ones with a common start give.
 
-    A bounded number of rounds of two self joins per key; ``start`` and ``end`` are whole period numbers.
+    Of several ways to an interval the one known earliest counts, then that of the fewest steps, then the
+    least value. Rounds of two self joins on the key go on until nothing changes, so the result is
+    complete; ``longest`` leaves out intervals of more periods. ``start`` and ``end`` are whole period
+    numbers; a key's intervals are joined with each other, so they should be some hundreds at most.
     """
     cols = [*key, start, end, value, available]
 
-    def earliest(d: DataFrame) -> DataFrame:
-        best = F.min_by(F.struct(value, available), F.struct(available, value))
-        return d.groupBy(*key, start, end).agg(best.alias("_b")).select(*key, start, end, f"_b.{value}", f"_b.{available}")
-
-    now = earliest(df.select(*cols))
-    for _ in range(rounds):
-        b = now.select(*key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"), F.col(available).alias("_t"))
-        late = F.greatest(available, "_t").alias(available)
-        chained = now.join(b, list(key)).where(F.col(end) == F.col("_s")).select(*key, start, F.col("_e").alias(end), (F.col(value) + F.col("_v")).alias(value), late)
-        cut = now.join(b, list(key)).where((F.col(start) == F.col("_s")) & (F.col(end) > F.col("_e"))).select(*key, F.col("_e").alias(start), end, (F.col(value) - F.col("_v")).alias(value), late)
-        now = earliest(now.unionByName(chained.where(F.col(end) - F.col(start) <= 4)).unionByName(cut))
-    return now
+    def best(d: DataFrame) -> DataFrame:
+        first = F.min_by(F.struct(value, available, "_steps"), F.struct(available, "_steps", value))
+        out = d.groupBy(*key, start, end).agg(first.alias("_b")).select(*key, start, end, f"_b.{value}", f"_b.{available}", "_b._steps")
+        return materialise(out, "intervals")
+
+    def state(d: DataFrame) -> tuple:
+        return tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64(*d.columns)), F.sum("_steps")).first())
+
+    fits = F.lit(True) if longest is None else F.col(end) - F.col(start) <= longest
+    now = best(df.select(*cols, F.lit(0).alias("_steps")))
+    before = state(now)
+    for _ in range(max_rounds):
+        b = now.select(*key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"), F.col(available).alias("_t"), F.col("_steps").alias("_n"))
+        late, steps = F.greatest(available, "_t").alias(available), (F.col("_steps") + F.col("_n") + 1).alias("_steps")
+        both = now.join(b, list(key))
+        chained = both.where(F.col(end) == F.col("_s")).select(*key, start, F.col("_e").alias(end), (F.col(value) + F.col("_v")).alias(value), late, steps)
+        cut = both.where((F.col(start) == F.col("_s")) & (F.col(end) > F.col("_e"))).select(*key, F.col("_e").alias(start), end, (F.col(value) - F.col("_v")).alias(value), late, steps)
+        after = best(now.unionByName(chained.where(fits)).unionByName(cut))
+        release(now)
+        now, after_state = after, state(after)
+        if after_state == before:
+            return now.select(*cols)
+        before = after_state
+    raise RuntimeError("intervals did not close")
 
 
 def statement_rows(items: DataFrame, key: Sequence[str], period: str, item: str, value: str, filed: str, core: Sequence[str]) -> DataFrame:
@@ -118,12 +136,12 @@ def structural_zero(df: DataFrame, key: Sequence[str], total: str, parts: Sequen
     return df.select(*key, F.when(rest == 0, "zero").when(rest > 0, "positive").alias(out))
 
 
-def coverage_grid(evidence: DataFrame, issuers: DataFrame, concepts: DataFrame, issuer: str, concept: str, tier: str) -> DataFrame:
+def coverage_grid(evidence: DataFrame, issuers: DataFrame, concepts: DataFrame, issuer: str, concept: str, tier: str, most: int = 10_000) -> DataFrame:
     """``(tier, concept, covered, cells, rate)`` with subtotals: every issuer times every concept, held against evidence.
 
-    ``concepts`` is a bounded dimension; it is unrolled beside each issuer.
+    ``concepts`` is a dimension of at most ``most`` rows, which is asked; it is unrolled beside each issuer.
     """
-    grid = issuers.select(issuer).distinct().crossJoin(F.broadcast(concepts))  # a bounded number of concepts a row
+    grid = issuers.select(issuer).distinct().crossJoin(bounded(concepts, most, "concepts"))  # so many cells a row
     seen = evidence.select(issuer, concept).distinct().withColumn("_c", F.lit(1))
     cells = grid.join(seen, [issuer, concept], "left")
     out = cells.rollup(tier, concept).agg(F.count("_c").alias("covered"), F.count("*").alias("cells"))

@@ -24,13 +24,16 @@ def keep_last(df: DataFrame, key: Sequence[str], time: str, ties: Sequence[str]
     return keep_row(df, key, [F.col(time).desc(), *(F.col(c).desc() for c in ties)])
 
 
+def _as_text(value: str) -> Column:
+    return F.coalesce(F.col(value).cast("string"), F.lit(NULL_MARK))
+
+
 def conflicts(df: DataFrame, key: Sequence[str], time: str, value: str) -> DataFrame:
     """Keys that have more than one value at one time: counts and the sorted values.
 
     The keys are found by a count first; only their rows are collected, so no list grows with a clean key.
     """
-    text = F.coalesce(F.col(value).cast("string"), F.lit(NULL_MARK))
-    groups = [*key, time]
+    text, groups = _as_text(value), [*key, time]
     bad = df.groupBy(*groups).agg(F.count_distinct(text).alias("distinct_values"), F.count("*").alias("candidate_rows")).where("distinct_values > 1")
     rows = df.join(bad.select(*groups), groups, "left_semi")
     values = rows.groupBy(*groups).agg(F.array_sort(F.collect_set(text)).alias("values"))
@@ -72,11 +75,22 @@ def distinct_count_gate(df: DataFrame, key: Sequence[str], value: Column) -> Dat
     return df.groupBy(*key).agg(F.count_distinct(value).alias("contents")).where("contents > 1")
 
 
+def pit_view(facts: DataFrame, key: Sequence[str], time: str, value: str, ties: Sequence[str], newest: bool = False) -> DataFrame:
+    """The first (or newest) known row of each key; a key that has two values at one time is left out.
+
+    One shuffle on the key: all windows are over it or finer than it. Null keys are a key.
+    """
+    order = F.desc if newest else F.asc
+    rows = facts.repartition(*key).withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(order(time), *(order(c) for c in ties))))
+    at = Window.partitionBy(*key, time)
+    split = F.min(_as_text(value)).over(at) != F.max(_as_text(value)).over(at)
+    marked = rows.withColumn("_split", split).withColumn("_bad", F.max("_split").over(Window.partitionBy(*key)))
+    return marked.where("_rank = 1 AND NOT _bad").drop("_rank", "_split", "_bad")
+
+
 def pit_views(facts: DataFrame, key: Sequence[str], time: str, value: str, ties: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As-first-known view, latest view, and conflicts; a key with a conflict is in neither view."""
-    bad = conflicts(facts, key, time, value)
-    clean = facts.join(bad.select(*key).distinct(), list(key), "left_anti")
-    return keep_first(clean, key, time, ties), keep_last(clean, key, time, ties), bad
+    return pit_view(facts, key, time, value, ties), pit_view(facts, key, time, value, ties, newest=True), conflicts(facts, key, time, value)
 
 
 def prefer_whole(facts: DataFrame, key: Sequence[str], whole: Column, parts: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import bounded
+
 
 def covers(at: Column, start: Column, end: Column, inclusive_end: bool = False) -> Column:
     """Whether ``[start, end)`` holds ``at``; a null end is open."""
@@ -67,12 +69,12 @@ def observations_to_intervals(obs: DataFrame, key: Sequence[str], time: str, val
     return heads.select(*key, value, F.col(time).alias("valid_from"), F.lead(time).over(w).alias("valid_to"))
 
 
-def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, low: str, high: str, label: str, default: str) -> DataFrame:
+def range_lookup(rows: DataFrame, ranges: DataFrame, at: str, low: str, high: str, label: str, default: str, most: int = 10_000) -> DataFrame:
     """``rows`` with ``label`` of the range that holds ``at``; the default if none, null with ``ambiguous`` if several.
 
-    ``ranges`` is a dimension of a bounded number of rows; it is broadcast.
+    ``ranges`` is a dimension of at most ``most`` rows, which is asked before it is broadcast.
     """
-    found = rows.select(at).distinct().join(F.broadcast(ranges), F.col(at).between(F.col(low), F.col(high)), "left")
+    found = rows.select(at).distinct().join(bounded(ranges, most, "ranges"), F.col(at).between(F.col(low), F.col(high)), "left")
     found = found.groupBy(at).agg(F.count_distinct(label).alias("_n"), F.min(label).alias("_label"))
     out = rows.join(found, at, "left")
     return out.withColumn(label, F.when(F.col("_n") <= 1, F.coalesce("_label", F.lit(default)))).withColumn("ambiguous", F.coalesce(F.col("_n") > 1, F.lit(False))).drop("_n", "_label")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .series import ordered
 
-#: Ratios of share splits that are recognised, either way.
-SPLIT_RATIOS = (1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 15.0, 20.0, 25.0, 30.0, 50.0)
+# The ratios that count as splits, of a price jump, and of a jump of the share count, either way.
+PRICE_SPLITS = (4, 3, 2, 1.5, 1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 10, 1 / 20, 1 / 30, 1 / 40, 1 / 50, 1 / 80, 1 / 100)
+SHARE_SPLITS = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 15.0, 20.0, 25.0, 30.0, 40.0, 50.0, 100.0)
+#: How far a ratio may be off, relatively, and how steady share counts must be before and after a split.
+PRICE_TOLERANCE, SHARE_TOLERANCE, SHARE_BAND = 0.02, 0.04, 0.15
 
 
 def back_adjust(df: DataFrame, key: Sequence[str], time: str, price: str, ratio: str, out: str) -> DataFrame:
@@ -28,23 +31,32 @@ def detect_events(df: DataFrame, key: Sequence[str], time: str, price: str, low:
     return seen.where(((F.col("ratio") < low) | (F.col("ratio") > high)) & (F.col("_gap") <= max_gap_days) & (F.col("_n") > grace_rows)).select(*key, time, "ratio")
 
 
-def nearest_split_ratio(observed: Column, tolerance: float = 0.02) -> Column:
-    """The known ratio (or its inverse) nearest to ``observed`` within a relative tolerance, else null."""
-    grid = F.array(*(F.struct((F.abs(observed / v - 1)).alias("e"), F.lit(v).alias("r")) for x in SPLIT_RATIOS for v in (x, 1 / x)))
-    best = F.array_min(grid)
-    return F.when(best["e"] <= tolerance, best["r"])
+def nearest_split_ratio(observed: Column, ratios: Sequence[float] = PRICE_SPLITS, tolerance: float = PRICE_TOLERANCE, either_way: bool = False) -> Column:
+    """The one of ``ratios`` (or, ``either_way``, of their inverses) nearest to ``observed`` within a relative tolerance, else null."""
+    known = [float(v) for x in ratios for v in ((x, 1 / x) if either_way else (x,))]
+    best = F.array_min(F.array(*(F.struct(F.abs(observed / v - 1).alias("e"), F.lit(v).alias("r")) for v in known)))
+    return F.when((observed > 0) & (best["e"] <= tolerance), best["r"])
 
 
-def split_candidates(df: DataFrame, key: Sequence[str], time: str, raw: str, adjusted: str, volume: str, jump: float = 0.25, flat: float = 0.05, volume_factor: float = 1.5) -> DataFrame:
-    """``(key, time, ratio)``: raw jumps near a known ratio where the adjusted series is flat and volume is high for its past."""
+def split_candidates(
+    df: DataFrame, key: Sequence[str], time: str, raw: str, adjusted: str, volume: str, jump: float = 0.25, flat: float = 0.05, volume_factor: float = 1.5,
+    ratios: Sequence[float] = PRICE_SPLITS, tolerance: float = PRICE_TOLERANCE, max_gap_days: int | None = None,
+) -> DataFrame:
+    """``(key, time, ratio)``: raw jumps near a known ratio where the adjusted series is flat and volume is high for its past.
+
+    With ``max_gap_days`` only where the bar before is no further away.
+    """
     w = ordered(key, time)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     observed = F.lag(raw).over(w) / F.col(raw)
     c = df.select(
-        *key, time, observed.alias("_o"), (F.col(adjusted) / F.lag(adjusted).over(w) - 1).alias("_a"), (F.col(volume) / F.percentile(volume, 0.5).over(before)).alias("_v")
-    )
+        *key, time, observed.alias("_o"), (F.col(adjusted) / F.lag(adjusted).over(w) - 1).alias("_a"), (F.col(volume) / F.percentile(volume, 0.5).over(before)).alias("_v"),
+        F.datediff(F.col(time), F.lag(time).over(w)).alias("_gap"),
+    )
     c = c.where((F.abs(F.lit(1.0) / F.col("_o") - 1) > jump) & (F.abs("_a") <= flat) & (F.col("_v") >= volume_factor))
-    return c.withColumn("ratio", nearest_split_ratio(F.col("_o"))).where("ratio IS NOT NULL").select(*key, time, "ratio")
+    if max_gap_days is not None:
+        c = c.where(F.col("_gap") <= max_gap_days)
+    return c.withColumn("ratio", nearest_split_ratio(F.col("_o"), ratios, tolerance)).where("ratio IS NOT NULL").select(*key, time, "ratio")
 
 
 def anchored_factors(prices: DataFrame, actions: DataFrame, key: Sequence[str], session: str, effective: str, known: str, ratio: str, resolved: str, anchor: Column, as_of: Column) -> DataFrame:
@@ -69,12 +81,15 @@ def cumulative_split_factor(actions: DataFrame, key: Sequence[str], day: str, ra
     return per_day.select(*key, day, F.exp(F.sum(F.log("_r")).over(upto)).alias("factor"))
 
 
-def inferred_splits(shares: DataFrame, key: Sequence[str], time: str, value: str, band: float = 0.1) -> DataFrame:
-    """``(key, time, ratio)``: share counts that jump by a known ratio between levels that are stable on both sides."""
+def inferred_splits(shares: DataFrame, key: Sequence[str], time: str, value: str, ratios: Sequence[float] = SHARE_SPLITS, tolerance: float = SHARE_TOLERANCE, band: float = SHARE_BAND) -> DataFrame:
+    """``(key, time, ratio)``: share counts that jump by a known ratio between levels that are steady on both sides.
+
+    A count must follow the jump; before it, one count alone is steady.
+    """
     w = ordered(key, time)
     now, before, before2, after = F.col(value), F.lag(value, 1).over(w), F.lag(value, 2).over(w), F.lead(value, 1).over(w)
-    stable = (before2.isNull() | (F.abs(before / before2 - 1) <= band)) & (after.isNull() | (F.abs(after / now - 1) <= band))
-    c = shares.select(*key, time, nearest_split_ratio(now / before).alias("ratio"), stable.alias("_ok"))
+    stable = (before2.isNull() | (F.abs(before / before2 - 1) <= band)) & after.isNotNull() & (F.abs(after / now - 1) <= band)
+    c = shares.where(F.col(value) > 0).select(*key, time, nearest_split_ratio(now / before, ratios, tolerance, either_way=True).alias("ratio"), stable.alias("_ok"))
     return c.where(F.col("_ok") & F.col("ratio").isNotNull()).select(*key, time, "ratio")
 
 

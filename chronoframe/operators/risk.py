@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import ordered
+from .skew import small
 
 
 def tail_risk(df: DataFrame, key: Sequence[str], ret: str, share: float = 0.05) -> DataFrame:
@@ -136,7 +137,7 @@ def stress_target(market: Column, macro: Column) -> Column:
 
 def regime_weights(df: DataFrame, dimension: DataFrame, regime: str, factor: str, weight: str, key: Sequence[str]) -> DataFrame:
     """Factor weights of each row's regime, normalised to one; ``dimension`` is bounded and broadcast."""
-    out = df.join(F.broadcast(dimension), regime)
+    out = df.join(small(dimension), regime)
     return out.withColumn(weight, F.col(weight) / F.sum(weight).over(Window.partitionBy(*key)))
 
 

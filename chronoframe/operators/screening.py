@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof_backward
+from .components import connected_components
+
 
 def match_names(listing: DataFrame, known: DataFrame, row_id: str, name: str, known_name: str, entity: str, normal) -> DataFrame:
     """``(row_id, entity, status)``: unique, ambiguous, unmatched or blank under the normal form of a name."""
@@ -93,11 +96,30 @@ def group_fingerprint(df: DataFrame, group: Sequence[str], columns: Sequence[str
 
 
 def sessions_after(df: DataFrame, sessions: DataFrame, time: str, session: str, n: int, out: str) -> DataFrame:
-    """The session ``n`` after a date, by numbers of a calendar (one row a session)."""
-    numbered = sessions.withColumn("_n", F.row_number().over(Window.orderBy(session)))
-    base = df.select(time).distinct().join(F.broadcast(numbered), F.col(session) <= F.col(time)).groupBy(time).agg(F.max("_n").alias("_n"))
-    later = numbered.select((F.col("_n") - n).alias("_n"), F.col(session).alias(out))
-    return df.join(base.join(later, "_n", "left").drop("_n"), time, "left")
+    """The session ``n`` after a date (before it, if negative), by numbers of a calendar of one row a session.
+
+    Dates meet the calendar as of the latest session; a date before the first one has none.
+    """
+    numbered = sessions.withColumn("_n", F.row_number().over(Window.orderBy(session))).withColumn("_all", F.lit(1))
+    dates = df.select(time).where(F.col(time).isNotNull()).distinct().withColumn("_all", F.lit(1))
+    base = asof_backward(dates, numbered, ["_all"], time, session, "_at").select(time, (F.col("_at._n") + n).alias("_n"))
+    due = base.join(numbered.select("_n", F.col(session).alias(out)), "_n", "left").select(time, out)
+    return df.join(due, time, "left")
+
+
+def reconcile_identities(rows: DataFrame, entity: str, alike: Sequence[str]) -> DataFrame:
+    """``rows`` with column ``entity``: the least name of all that agree with a row's name, by chains, in ``alike``.
+
+    Names that one group holds are joined to its least one, so a group gives no pairs. Null names stand
+    for themselves; rows with a null in ``alike`` join nothing. Names are longs.
+    """
+    known = rows.where(F.col(entity).isNotNull())
+    for c in alike:
+        known = known.where(F.col(c).isNotNull())
+    least = known.groupBy(*alike).agg(F.min(entity).alias("v"))
+    edges = known.select(F.col(entity).alias("u"), *alike).join(least, list(alike)).select("u", "v").where("u <> v").distinct()
+    names = connected_components(edges).select(F.col("node").alias(entity), F.col("root").alias("_root"))
+    return rows.join(names, entity, "left").withColumn("entity", F.coalesce("_root", entity)).drop("_root")
 
 
 def sentiment_groups(df: DataFrame, key: Sequence[str], tone: str, text: str, time: str, top: int) -> DataFrame:

@@ -33,17 +33,24 @@ def fund_prefix(df: DataFrame, part: Sequence[str], order: Sequence[Column], cas
 
 
 def turnover_budget(df: DataFrame, part: Sequence[str], order: str, amount: str, forced: str, budget: float) -> DataFrame:
-    """``(part, order, admitted)``: trades in order under a budget; forced ones always pass, others are skipped if they do not fit."""
-    rows = F.array_sort(F.collect_list(F.struct(order, amount, forced)))
-    none = F.array().cast(f"array<struct<{order}:{df.schema[order].dataType.simpleString()},admitted:boolean>>")
-    start = F.struct(F.lit(0.0).alias("used"), none.alias("out"))
+    """``(part, order, admitted)``: trades in order under a budget; forced ones always pass, others are skipped if they do not fit.
 
-    def step(a: Column, x: Column) -> Column:
-        fits = x[forced] | (a["used"] + x[amount] <= budget)
-        return F.struct((a["used"] + F.when(fits, x[amount]).otherwise(0.0)).alias("used"), F.concat(a["out"], F.array(F.struct(x[order].alias(order), fits.alias("admitted")))).alias("out"))
+    One pass over each part's rows in one task: a part is a cycle's trades, some thousands. A trade
+    without an amount is admitted only if forced, and uses nothing.
+    """
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*part, order])
+
+    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        used, out = 0.0, []
+        for a, f in zip(pdf["_amount"].tolist(), pdf["_forced"].tolist(), strict=True):
+            fits = f or used + a <= budget
+            out.append(fits)
+            used += a if fits and a == a else 0.0
+        return pdf[[*part, order]].assign(admitted=out)
 
-    folded = df.groupBy(*part).agg(rows.alias("_r")).select(*part, F.aggregate("_r", start, step, lambda a: a["out"]).alias("_o"))
-    return folded.select(*part, F.inline("_o"))
+    rows = df.select(*part, order, F.col(amount).cast("double").alias("_amount"), F.coalesce(forced, F.lit(False)).alias("_forced"))
+    return rows.groupBy(*part).applyInPandas(admit, f"{kinds}, admitted boolean")
 
 
 def select_constrained(candidates: DataFrame, part: Sequence[str], score: str, entity: str, sector: str, slots: int, sector_cap: int) -> DataFrame:
@@ -64,6 +71,64 @@ def select_constrained(candidates: DataFrame, part: Sequence[str], score: str, e
     return fits.select(*part, entity, action.alias("action"))
 
 
+def choose_under_caps(
+    candidates: DataFrame, part: Sequence[str], score: str, entity: str, slots: int, groups: dict[str, int], flags: dict[str, int],
+    pairs: DataFrame | None = None, most: float = 1.0, closed: bool = True,
+) -> DataFrame:
+    """``(part, entity, action)``: greedy choice under several caps at once, held rows first, with a reason for each rejection.
+
+    ``groups`` caps how many picks share a value of a column (a sector), ``flags`` how many have a boolean
+    column true (large caps, banks, a sleeve). ``pairs`` are ``(a, b, corr)``: a candidate over ``most``
+    with a pick is rejected, and, if ``closed``, one whose correlation with a pick is unknown. Columns
+    ``held`` and ``stays`` are as in :func:`select_constrained`. Of equal scores the lesser entity comes
+    first; a null group or flag is not capped. Caps interact, so the order is walked: a part is the
+    candidates of one cycle, some thousands, in one task.
+    """
+    columns = [*groups, *flags]
+    held, stays = F.coalesce("held", F.lit(False)), F.coalesce("stays", F.lit(False))
+    rows = candidates.select(*part, entity, F.col(score).cast("double").alias("_v"), held.alias("_held"), stays.alias("_stays"), *(F.col(c).alias(f"_c_{c}") for c in columns))
+    kinds = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in [*part, entity])
+    if pairs is not None:
+        both = pairs.select(F.col("a").alias(entity), F.col("b").alias("o"), "corr").unionByName(pairs.select(F.col("b").alias(entity), F.col("a").alias("o"), "corr"))
+        near = both.groupBy(entity).agg(F.collect_list(F.when(F.col("corr") > most, F.col("o"))).alias("_near"), F.collect_list(F.when(F.col("corr").isNotNull(), F.col("o"))).alias("_known"))
+        rows = rows.join(near, entity, "left")
+
+    correlated = pairs is not None
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_first=pdf["_held"] & pdf["_stays"]).sort_values(["_first", "_v", entity], ascending=[False, False, True], na_position="last", kind="stable")
+        picks: list = []
+        placed: dict[tuple[str, object], int] = {}
+        actions = []
+        for row in pdf.to_dict("records"):
+            own = [(c, row[f"_c_{c}"]) for c in groups if not pd.isna(row[f"_c_{c}"])]
+            marks = [(c, True) for c in flags if not pd.isna(row[f"_c_{c}"]) and row[f"_c_{c}"]]
+            full = next((c for c, v in [*own, *marks] if placed.get((c, v), 0) >= (groups | flags)[c]), None)
+            if row["_held"] and not row["_stays"]:
+                action = "exit_band"
+            elif len(picks) >= slots:
+                action = "no_slot"
+            elif full:
+                action = f"{full}_cap"
+            elif correlated and not set(picks).isdisjoint(_as_set(row["_near"])):
+                action = "correlation_cap"
+            elif correlated and closed and not set(picks) <= _as_set(row["_known"]):
+                action = "correlation_unknown"
+            else:
+                action = "hold" if row["_held"] else "enter"
+                picks.append(row[entity])
+                for k in [*own, *marks]:
+                    placed[k] = placed.get(k, 0) + 1
+            actions.append(action)
+        return pdf[[*part, entity]].assign(action=actions)
+
+    return rows.groupBy(*part).applyInPandas(choose, f"{kinds}, action string")
+
+
+def _as_set(values) -> set:
+    return set() if values is None or isinstance(values, float) else set(values)
+
+
 def replace_correlated_picks(candidates: DataFrame, pairs: DataFrame, part: Sequence[str], score: str, entity: str, sector: str, sector_cap: int, most: float) -> DataFrame:
     """``(part, entity, action, replaces)`` of each part's picks and those that take their place: keep, drop or replace.
 

@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 
 #: A key with more than one in so many of all rows is hot; by that there are fewer hot keys than this.
 HOT_SHARE = 200
+#: Rows up to which a dimension is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(dimension: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``dimension`` marked for broadcast if it has ``most`` rows or fewer, which are counted first; else as it is."""
+    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+
+
+def bounded(dimension: DataFrame, most: int, what: str) -> DataFrame:
+    """``dimension`` marked for broadcast; refused if it has more than ``most`` rows."""
+    if dimension.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(dimension)
 
 
 def join_unique(rows: DataFrame, found: DataFrame, keys: Sequence[str], number: str) -> DataFrame:

@@ -76,11 +76,20 @@ def i3(spark, d):
 
 
 # A closure over intervals: the tests compare it with hand-made cases.
-@query("i4_interval_closure")
+def _closure_sql(rounds: int) -> str:
+    """Rounds of sums and differences; values of one interval agree, as whole cents, whichever way they come."""
+    parts = ["r0 AS MATERIALIZED (SELECT company_id, year * 4 AS s, year * 4 + part AS e, CAST(round(v * 100) AS BIGINT) AS v FROM y WHERE part IN (1, 2, 4))"]
+    for k in range(rounds):
+        parts.append(f"""r{k + 1} AS MATERIALIZED (SELECT * FROM r{k} UNION SELECT a.company_id, a.s, b.e, a.v + b.v FROM r{k} a JOIN r{k} b ON a.company_id = b.company_id AND a.e = b.s WHERE b.e - a.s <= 4
+UNION SELECT a.company_id, b.e, a.e, a.v - b.v FROM r{k} a JOIN r{k} b ON a.company_id = b.company_id AND a.s = b.s AND a.e > b.e)""")
+    return f"WITH {_YTD}, {', '.join(parts)} SELECT company_id, s, e, v, 0 AS t FROM r{rounds}"
+
+
+@query("i4_interval_closure", _closure_sql(5))
 def i4(spark, d):
     y = _ytd(spark, d).where("part IN (1, 2, 4)")
     spans = y.select("company_id", (F.col("year") * 4).alias("s"), (F.col("year") * 4 + F.col("part")).alias("e"), F.round(F.col("v") * 100).cast("long").alias("v"), F.lit(0).alias("t"))
-    return fu.close_intervals(spans, C, "s", "e", "v", "t")
+    return fu.close_intervals(spans, C, "s", "e", "v", "t", longest=4)
 
 
 @query("i5_scale_guard", "SELECT o_orderkey FROM orders JOIN (SELECT o_custkey, median(o_totalprice) m FROM orders GROUP BY 1) USING (o_custkey) WHERE o_totalprice >= 0.5 * m")
@@ -155,22 +164,36 @@ def e15(spark, d):
     return out.select("security_id", "session", r(F.log("factor")).alias("log_factor"))
 
 
-# The detectors' grids of ratios are tested on made cases; here they run over all bars.
-@query("e16_split_candidates")
+_E16 = """SELECT security_id, session, p / close AS o FROM (SELECT security_id, session, close, volume, lag(close) OVER w AS p, session - lag(session) OVER w AS gap,
+ median(volume) OVER (PARTITION BY security_id ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mid FROM bars WINDOW w AS (PARTITION BY security_id ORDER BY session))
+ WHERE abs(1.0 / (p / close) - 1) > 0.25 AND volume / mid >= 1.5 AND gap <= 5"""
+
+
+@query("e16_split_candidates", g.split_ratio_sql(_E16, "security_id, session", pr.PRICE_SPLITS, pr.PRICE_TOLERANCE))
 def e16(spark, d):
     b = g.bars(spark, d).withColumn("flat", F.lit(1.0))
-    return pr.split_candidates(b, ["security_id"], "session", "close", "flat", "volume").withColumn("ratio", r(F.col("ratio")))
+    return pr.split_candidates(b, ["security_id"], "session", "close", "flat", "volume", max_gap_days=5).withColumn("ratio", r(F.col("ratio")))
+
 
+_E17 = """SELECT company_id, q, v / p AS o FROM (SELECT company_id, q, orders AS v, lag(orders) OVER w AS p, lag(orders, 2) OVER w AS p2, lead(orders) OVER w AS n FROM quarters WINDOW w AS (PARTITION BY company_id ORDER BY q))
+ WHERE abs(n / v - 1) <= 0.15 AND (p2 IS NULL OR abs(p / p2 - 1) <= 0.15) AND p IS NOT NULL"""
 
-@query("e17_inferred_splits")
+
+@query("e17_inferred_splits", g.split_ratio_sql(_E17, "company_id, q", pr.SHARE_SPLITS, pr.SHARE_TOLERANCE, either_way=True))
 def e17(spark, d):
     return pr.inferred_splits(g.quarters(spark, d), C, "q", "orders").withColumn("ratio", r(F.col("ratio")))
 
 
-@query("h14_split_ratio", "WITH g(x) AS (SELECT unnest([1.5, 2, 3, 4, 5, 6, 7, 8, 10, 15, 20, 25, 30, 50])), r AS (SELECT x FROM g UNION ALL SELECT 1 / x FROM g), o AS (SELECT l_orderkey, l_linenumber, l_quantity / 3.0 AS v FROM lineitem), m AS (SELECT l_orderkey, l_linenumber, v, min((abs(v / x - 1), x)) AS b FROM o, r GROUP BY 1, 2, 3) SELECT l_orderkey, l_linenumber, max(CASE WHEN b[1] <= 0.02 THEN round(b[2], 6) END) AS ratio FROM m GROUP BY 1, 2".replace("b[1]", "struct_extract(b, 1)").replace("b[2]", "struct_extract(b, 2)"))
+_H14 = "SELECT DISTINCT l_quantity, l_quantity / 3.0 AS o FROM lineitem"
+
+
+@query("h14_split_ratio", f"""SELECT l_orderkey, l_linenumber, max(a.ratio) AS price_ratio, max(b.ratio) AS share_ratio FROM lineitem LEFT JOIN ({g.split_ratio_sql(_H14, "l_quantity", pr.PRICE_SPLITS, pr.PRICE_TOLERANCE)}) a USING (l_quantity)
+LEFT JOIN ({g.split_ratio_sql(_H14, "l_quantity", pr.SHARE_SPLITS, pr.SHARE_TOLERANCE, either_way=True)}) b USING (l_quantity) GROUP BY 1, 2""")
 def h14(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pr.nearest_split_ratio(F.col("l_quantity") / 3.0).alias("ratio"))
-    return li.groupBy("l_orderkey", "l_linenumber").agg(F.max(r(F.col("ratio"))).alias("ratio"))
+    jump = F.col("l_quantity") / 3.0
+    share = pr.nearest_split_ratio(jump, pr.SHARE_SPLITS, pr.SHARE_TOLERANCE, either_way=True)
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pr.nearest_split_ratio(jump).alias("p"), share.alias("s"))
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.max(r(F.col("p"))).alias("price_ratio"), F.max(r(F.col("s"))).alias("share_ratio"))
 
 
 @query("i27_reconcile_actions", """SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, CASE WHEN max(l_quantity) - min(l_quantity) <= 0.2 * max(l_quantity) AND count(DISTINCT l_linestatus) <= 1 THEN round(avg(l_quantity), 6) END AS value, count(DISTINCT l_suppkey) AS sources,
@@ -252,7 +275,10 @@ def h21(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sc.content_id(F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("id"))
 
 
-@query("a22_document_text")
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r]+', ' ', 'g')"""
+
+
+@query("a22_document_text", f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_BARE}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def a22(spark, d):
     return table(spark, d, "pages").select("page_id", sc.document_text(F.col("html")).alias("text"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, history, intervals
+from ..operators import asof, history, intervals, rules
 from . import registry as g
 from .registry import query, r, table
 
@@ -220,10 +220,8 @@ def c13(spark, d):
 @query("c15_full_outer_compare", """WITH a AS (SELECT cik, min(value) v FROM facts WHERE tag = 1 GROUP BY 1), b AS (SELECT cik, min(value) v FROM facts WHERE tag = 2 GROUP BY 1)
 SELECT coalesce(a.cik, b.cik) AS cik, CASE WHEN a.cik IS NULL THEN 'missing_edge' WHEN b.cik IS NULL THEN 'missing_base' ELSE 'value_mismatch' END AS kind FROM a FULL JOIN b ON a.cik = b.cik WHERE a.cik IS NULL OR b.cik IS NULL OR a.v <> b.v""")
 def c15(spark, d):
-    side = lambda n, v: g.facts(spark, d).where(F.col("tag") == n).groupBy("cik").agg(F.min("value").alias(v))
-    both = side(1, "a").join(side(2, "b"), "cik", "full_outer")
-    kind = F.when(F.col("a").isNull(), "missing_edge").when(F.col("b").isNull(), "missing_base").when(F.col("a") != F.col("b"), "value_mismatch")
-    return both.select("cik", kind.alias("kind")).where("kind IS NOT NULL")
+    side = lambda n: g.facts(spark, d).where(F.col("tag") == n).groupBy("cik").agg(F.min("value").alias("value"))
+    return rules.compare_keys(side(1), side(2), ["cik"], "value", names=("missing_edge", "missing_base", "value_mismatch"))
 
 
 @query("d17_observed_ranges", "SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY 1")

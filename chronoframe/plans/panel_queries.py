@@ -194,24 +194,27 @@ def e12(spark, d):
     return back_adjust(g.bars(spark, d).withColumn("f", F.when(ratio >= 40, ratio).otherwise(1.0)), K, T, "close", "f", "adjusted").select("security_id", "session", r(F.log10("adjusted")).alias("log_adjusted"))
 
 
-# Folds: no SQL states a recursion over thousands of rows briefly; the tests compare them with plain loops.
-@query("e26_rsi")
+# Folds: their SQL gives each row its weight in the recursion, or steps through the rows; the tests also compare plain loops.
+@query("e26_rsi", f"WITH {g.rsi_sql('w')} SELECT security_id, round(rsi, 6) AS rsi FROM w")
 def e26(spark, d):
     return s.rsi(g.bars(spark, d), "close", K, T).select("security_id", r(F.col("rsi")).alias("rsi"))
 
 
-@query("e26_atr")
+_TR = f"greatest(high - low, abs(high - lag(close) {_W})), abs(low - lag(close) {_W})))"
+
+
+@query("e26_atr", f"WITH t AS (SELECT security_id, session, {_TR} AS tr FROM bars), k AS (SELECT *, row_number() {_W}) AS i, count(*) OVER (PARTITION BY security_id) AS n FROM t WHERE tr IS NOT NULL) SELECT security_id, CASE WHEN max(n) >= 14 THEN round(sum(tr / 14 * pow(13.0 / 14, CASE WHEN i <= 14 THEN n - 14 ELSE n - i END)), 6) END AS atr FROM k GROUP BY 1")
 def e26_atr(spark, d):
     b = g.bars(spark, d).withColumn("tr", s.true_range("high", "low", "close", K, T))
     return s.wilder("tr", b, K, T, 14, "atr").select("security_id", r(F.col("atr")).alias("atr"))
 
 
-@query("e27_ema")
+@query("e27_ema", f"WITH k AS (SELECT *, row_number() {_W}) AS i, count(*) OVER (PARTITION BY security_id) AS n FROM bars) SELECT security_id, CASE WHEN max(n) >= 12 THEN round(sum(CASE WHEN i <= 12 THEN close / 12 * pow(11.0 / 13, n - 12) ELSE close * (2.0 / 13) * pow(11.0 / 13, n - i) END), 6) END AS ema FROM k GROUP BY 1")
 def e27(spark, d):
     return s.ema(g.bars(spark, d), "close", K, T, 12).select("security_id", r(F.col("ema")).alias("ema"))
 
 
-@query("e37_state_machine")
+@query("e37_state_machine", g.state_machine_sql("SELECT security_id, session AS t, CASE WHEN close > 1600 THEN 2 WHEN close > 1450 THEN 1 ELSE 0 END AS raw FROM bars", "security_id"))
 def e37(spark, d):
     b = g.bars(spark, d).withColumn("raw", F.when(F.col("close") > 1600, 2).when(F.col("close") > 1450, 1).otherwise(0))
     return s.state_machine(b, K, T, "raw", "state")
@@ -260,9 +263,12 @@ def e7(spark, d):
     return g.months(spark, d).select("security_id", "month", r(x.sector_zscore("price", ["month"], "sector"), 4).alias("z"))
 
 
-@query("e8_normalize_factor", """WITH w AS (SELECT security_id, month, sector, CASE WHEN coalesce(stddev_samp(price) OVER m, 0) = 0 THEN price ELSE greatest(least(price, avg(price) OVER m + 3 * stddev_samp(price) OVER m), avg(price) OVER m - 3 * stddev_samp(price) OVER m) END AS price FROM months WINDOW m AS (PARTITION BY month)),
-z AS (SELECT security_id, month, round(CASE WHEN count(price) OVER s >= 3 AND stddev_samp(price) OVER s > 0 THEN (price - avg(price) OVER s) / stddev_samp(price) OVER s WHEN stddev_samp(price) OVER m > 0 THEN (price - avg(price) OVER m) / stddev_samp(price) OVER m ELSE 0 END, 9) AS z FROM w WINDOW s AS (PARTITION BY month, sector), m AS (PARTITION BY month))
-SELECT security_id, month, round(CASE WHEN count(z) OVER (PARTITION BY month) = 1 THEN 100.0 ELSE (rank() OVER (PARTITION BY month ORDER BY z) + (count(*) OVER (PARTITION BY month, z) - 1) / 2.0 - 1) / (count(z) OVER (PARTITION BY month) - 1) * 100 END, 4) AS score FROM z""")
+_W8 = """w AS (SELECT security_id, month, sector, turnover, CASE WHEN coalesce(stddev_samp(price) OVER m, 0) = 0 THEN price ELSE greatest(least(price, avg(price) OVER m + 3 * stddev_samp(price) OVER m), avg(price) OVER m - 3 * stddev_samp(price) OVER m) END AS price FROM months WINDOW m AS (PARTITION BY month)),
+z AS (SELECT security_id, month, sector, turnover, round(CASE WHEN count(price) OVER s >= 3 AND stddev_samp(price) OVER s > 0 THEN (price - avg(price) OVER s) / stddev_samp(price) OVER s WHEN stddev_samp(price) OVER m > 0 THEN (price - avg(price) OVER m) / stddev_samp(price) OVER m ELSE 0 END, 9) AS z FROM w WINDOW s AS (PARTITION BY month, sector), m AS (PARTITION BY month)),
+n AS (SELECT security_id, month, sector, turnover, CASE WHEN count(z) OVER (PARTITION BY month) = 1 THEN 100.0 ELSE (rank() OVER (PARTITION BY month ORDER BY z) + (count(*) OVER (PARTITION BY month, z) - 1) / 2.0 - 1) / (count(z) OVER (PARTITION BY month) - 1) * 100 END AS score FROM z)"""
+
+
+@query("e8_normalize_factor", f"WITH {_W8} SELECT security_id, month, round(score, 4) AS score FROM n")
 def e8(spark, d):
     return x.normalize_factor(g.months(spark, d), "price", ["month"], "sector", "score").select("security_id", "month", r(F.col("score"), 4).alias("score"))
 
@@ -331,18 +337,31 @@ def candidates(spark, d):
     return m.withColumn("held", held).withColumn("stays", F.col("score") >= 40)
 
 
-# A greedy choice under caps: the tests compare it with a plain loop.
-@query("f3_constrained_selection")
+# A greedy choice under one cap: ranks within sectors and a running count say what the walk would; the tests walk it.
+@query("f3_constrained_selection", f"""WITH {_W8}, c AS (SELECT *, security_id % 7 = 0 AS held, score >= 40 AS stays FROM n), o AS (SELECT *, held AND NOT stays AS ex, held AND stays AS fi FROM c),
+f AS (SELECT *, NOT ex AND row_number() OVER (PARTITION BY month, sector, ex ORDER BY fi DESC, score DESC, security_id) <= 2 AS fits FROM o),
+t AS (SELECT *, count(*) FILTER (WHERE fits) OVER (PARTITION BY month ORDER BY fi DESC, score DESC, security_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM f)
+SELECT month, security_id, CASE WHEN ex THEN 'exit_band' WHEN taken >= 15 THEN 'no_slot' WHEN NOT fits THEN 'sector_cap' WHEN held THEN 'hold' ELSE 'enter' END AS action FROM t""")
 def f3(spark, d):
     return sel.select_constrained(candidates(spark, d), ["month"], "score", "security_id", "sector", 15, 2)
 
 
+# Caps on sectors, large ones and a sleeve at once: the tests compare it with a plain loop.
+@query("b18_portfolio_caps")
+def b18_caps(spark, d):
+    c = candidates(spark, d).withColumn("large", F.col("turnover") > 400000).withColumn("sleeve", F.col("security_id") % 10 == 0)
+    return sel.choose_under_caps(c, ["month"], "score", "security_id", 15, {"sector": 2}, {"large": 5, "sleeve": 3})
+
+
 @query("f4_band", f"WITH p AS (SELECT security_id, month, ({_AVG} - 0.5) / {_N} AS p FROM months) SELECT security_id, month, CASE WHEN security_id % 7 = 0 THEN p >= 0.7 ELSE p >= 0.9 END AS belongs FROM p")
 def f4(spark, d):
     return g.months(spark, d).select("security_id", "month", sel.band(x.midrank_percentile("price", ["month"]), F.col("security_id") % 7 == 0).alias("belongs"))
 
 
-@query("f5_turnover_budget")
+@query("f5_turnover_budget", """WITH RECURSIVE k AS (SELECT month, security_id, security_id % 11 = 0 AS forced, round(turnover / 1000, 2) AS amount, row_number() OVER (PARTITION BY month ORDER BY security_id) AS i FROM months),
+m AS (SELECT month, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS security_id, CAST(0 AS DOUBLE) AS used, false AS admitted FROM k GROUP BY 1
+UNION ALL SELECT k.month, k.i, k.security_id, CASE WHEN k.forced OR m.used + k.amount <= 2000.0 THEN m.used + k.amount ELSE m.used END, k.forced OR m.used + k.amount <= 2000.0 FROM m JOIN k ON k.month = m.month AND k.i = m.i + 1)
+SELECT month, security_id, admitted FROM m WHERE i > 0""")
 def f5(spark, d):
     m = g.months(spark, d).withColumn("forced", F.col("security_id") % 11 == 0).withColumn("amount", r(F.col("turnover") / 1000, 2))
     return sel.turnover_budget(m, ["month"], "security_id", "amount", "forced", 2000.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, audit, history, risk
+from ..operators import asof, audit, history, risk, rules
 from ..operators import cross_section as x
 from ..operators import selection as sel
 from ..operators import series as s
@@ -62,9 +62,9 @@ def d34(spark, d):
     return b.select("security_id", "n", r(F.col("beta"), 5).alias("beta"), r(F.col("alpha")).alias("alpha"))
 
 
-@query("d33_pair_correlations", f"WITH {_MR} SELECT a.security_id AS a, b.security_id AS b, count(*) AS n, round(corr(a.ret, b.ret), 5) AS corr FROM mr a JOIN mr b ON a.month = b.month AND a.security_id < b.security_id WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.sector = 3 AND b.sector = 3 GROUP BY 1, 2 HAVING count(*) >= 20")
+@query("d33_pair_correlations", f"WITH {_MR} SELECT a.security_id AS a, b.security_id AS b, count(*) AS n, round(corr(a.ret, b.ret), 5) AS corr FROM mr a JOIN mr b ON a.month = b.month AND a.security_id < b.security_id WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.sector = b.sector GROUP BY 1, 2 HAVING count(*) >= 30")
 def d33(spark, d):
-    p = risk.pair_correlations(_returns(spark, d).where("sector = 3"), "security_id", "month", "ret", 20)
+    p = risk.pair_correlations(_returns(spark, d), "security_id", "month", "ret", 30, ["sector"])
     return p.withColumn("corr", r(F.col("corr"), 5))
 
 
@@ -150,9 +150,9 @@ def i35(spark, d):
     return g.bars(spark, d).select("security_id", "session", cut(stop).alias("stop"), cut(target).alias("target"))
 
 
-@query("d8_complete_window_median", "SELECT security_id, CASE WHEN count(*) = 90 THEN median(close) END AS mid FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY session DESC) n FROM bars WHERE session < DATE '1996-12-31' AND security_id < 60) WHERE n <= 90 GROUP BY 1".replace("median(close) END", "round(median(close), 5) END"))
+@query("d8_complete_window_median", "SELECT security_id, CASE WHEN count(*) = 90 THEN median(close) END AS mid FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY session DESC) n FROM bars WHERE session < DATE '1996-12-31') WHERE n <= 90 GROUP BY 1".replace("median(close) END", "round(median(close), 5) END"))
 def d8(spark, d):
-    b = g.bars(spark, d).where("session < DATE '1996-12-31' AND security_id < 60")
+    b = g.bars(spark, d).where("session < DATE '1996-12-31'")
     last = b.withColumn("n", F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("session")))).where("n <= 90")
     return last.groupBy("security_id").agg(F.when(F.count("*") == 90, r(F.median("close"), 5)).alias("mid"))
 
@@ -248,17 +248,16 @@ def d42(spark, d):
 
 @query("c23_sum_of_parts", "SELECT o_custkey, round(sum(l_quantity * l_extendedprice), 2) AS nav, floor(sum(l_quantity * l_extendedprice) / sum(l_quantity) * 100 + 0.123456) / 100 AS quality FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def c23(spark, d):
-    j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    v = F.sum(F.col("l_quantity") * F.col("l_extendedprice"))
-    return j.groupBy("o_custkey").agg(r(v, 2).alias("nav"), cut(v / F.sum("l_quantity"), 2).alias("quality"))
+    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    n = rules.sum_of_parts(table(spark, d, "orders"), li, "o_custkey", "o_orderkey", "l_quantity", "l_extendedprice")
+    return n.select("o_custkey", r(F.col("nav"), 2).alias("nav"), cut(F.col("quality"), 2).alias("quality"))
 
 
 @query("c24_coverage_matrix", "SELECT s_suppkey, r_name, coalesce(CASE WHEN n.n_regionkey = r_regionkey THEN 'direct' END, CASE WHEN r_regionkey < 2 THEN 'default' ELSE 'none' END) AS cell FROM supplier JOIN nation n ON n_nationkey = s_nationkey CROSS JOIN region")
 def c24(spark, d):
     s_ = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    cells = s_.crossJoin(F.broadcast(table(spark, d, "region")))  # a bounded number of providers beside each
     own = F.when(F.col("n_regionkey") == F.col("r_regionkey"), "direct")
-    return cells.select("s_suppkey", "r_name", F.coalesce(own, F.when(F.col("r_regionkey") < 2, "default").otherwise("none")).alias("cell"))
+    return rules.coverage_matrix(s_, table(spark, d, "region"), ["s_suppkey"], "r_name", own, F.when(F.col("r_regionkey") < 2, "default").otherwise("none"))
 
 
 @query("i23_risk_tier", f"""WITH {_MR}, v AS (SELECT security_id, stddev_samp(ret) AS vol, avg(turnover) AS t FROM mr GROUP BY 1) SELECT security_id, round((CASE WHEN vol < 1.2 THEN 1 WHEN vol < 1.5 THEN 2 ELSE 3 END * 0.6 + CASE WHEN t > 500000 THEN 1 WHEN t > 400000 THEN 2 ELSE 3 END * 0.4) / 1.0, 4) AS score FROM v""")
@@ -271,10 +270,8 @@ def i23(spark, d):
 
 @query("i47_score_change", "WITH a AS (SELECT security_id, month, price - lag(price) OVER w AS dp, bars - lag(bars) OVER w AS db FROM months WINDOW w AS (PARTITION BY security_id ORDER BY month)) SELECT security_id, month, CASE WHEN dp IS NULL THEN NULL WHEN abs(dp) > 500 AND abs(db) > 5 THEN 'price,bars' WHEN abs(dp) > 500 THEN 'price' WHEN abs(db) > 5 THEN 'bars' ELSE 'stable' END AS moved FROM a")
 def i47(spark, d):
-    w = s.ordered(K, "month")
-    m = g.months(spark, d).withColumn("dp", F.col("price") - F.lag("price").over(w)).withColumn("db", F.col("bars") - F.lag("bars").over(w))
-    names = F.array_join(F.array_compact(F.array(F.when(F.abs("dp") > 500, "price"), F.when(F.abs("db") > 5, "bars"))), ",")
-    return m.select("security_id", "month", F.when(F.col("dp").isNotNull(), F.when(names == "", "stable").otherwise(names)).alias("moved"))
+    moved = rules.score_change(K, "month", [("price", 500), ("bars", 5)])
+    return g.months(spark, d).select("security_id", "month", moved.alias("moved"))
 
 
 @query("l1_nav_audit", "SELECT o_custkey, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS identity_breaks, CAST(0 AS BIGINT) AS order_breaks FROM orders GROUP BY 1")
@@ -283,12 +280,13 @@ def l1(spark, d):
     return audit.nav_audit(o, ["o_custkey"], "t", "nav", "cash", "held", 0.01)
 
 
-@query("l2_hash_chain", "SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0")
+# Each customer's orders are a log in which every record names the hash before it; two kinds of damage are put in.
+@query("l2_hash_chain", "WITH o AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) SELECT o_orderkey, coalesce(p % 97 = 0, false) OR o_orderkey % 89 = 0 AS broken_link, o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 AS broken_hash FROM o WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 OR p % 97 = 0")
 def l2(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("payload"))
-    log = o.withColumn("previous", F.lit(None).cast("string")).withColumn("own", F.sha2(F.concat_ws("|", F.lit(""), "payload"), 256))
-    spoiled = log.withColumn("own", F.when(F.col("o_orderkey") % 97 == 0, "x").otherwise(F.col("own")))
-    return audit.chain_breaks(spoiled, ["o_orderkey"], "o_custkey", "payload", "own", "previous").select("o_orderkey")
+    log = audit.chain_hashes(o, ["o_custkey"], "o_orderkey", "payload")
+    spoiled = log.withColumn("own", F.when(F.col("o_orderkey") % 97 == 0, "x").otherwise(F.col("own"))).withColumn("previous", F.when(F.col("o_orderkey") % 89 == 0, "y").otherwise(F.col("previous")))
+    return audit.chain_breaks(spoiled, ["o_custkey"], "o_orderkey", "payload", "own", "previous").select("o_orderkey", "broken_link", "broken_hash")
 
 
 @query("l4_gates", "SELECT 'mapped' AS \"check\", CAST(count(c_nationkey) / count(*) AS DOUBLE) AS value, CAST(0.9 AS DOUBLE) AS least, 'pass' AS status FROM customer UNION ALL SELECT 'funded', round(count(*) FILTER (WHERE c_acctbal > 0) / count(*), 6), 0.99, 'warn' FROM customer")

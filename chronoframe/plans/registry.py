@@ -122,5 +122,31 @@ def with_frames(sql: str) -> str:
     if not wanted:
         return sql
     frames = ",\n".join(_FRAMES[n] for n in wanted)
-    own = re.match(r"\s*WITH\s+", sql)
-    return f"WITH {frames},\n{sql[own.end() :]}" if own else f"WITH {frames}\n{sql}"
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
+    return f"WITH {own[1] or ''}{frames},\n{sql[own.end() :]}" if own else f"WITH {frames}\n{sql}"
+
+
+def rsi_sql(name: str) -> str:
+    """A ``WITH`` part ``(security_id, rsi)`` over bars: Wilder's recursion as weights of the changes, newest last."""
+    side = lambda d: f"sum(greatest({d}, 0.0) / 14 * pow(13.0 / 14, CASE WHEN i <= 14 THEN n - 14 ELSE n - i END))"
+    return f"""{name}_d AS (SELECT security_id, session, close - lag(close) OVER (PARTITION BY security_id ORDER BY session) AS d FROM bars),
+{name}_k AS (SELECT security_id, d, row_number() OVER (PARTITION BY security_id ORDER BY session) AS i, count(*) OVER (PARTITION BY security_id) AS n FROM {name}_d WHERE d IS NOT NULL),
+{name}_s AS (SELECT security_id, max(n) AS n, {side("d")} AS up, {side("-d")} AS down FROM {name}_k GROUP BY 1),
+{name} AS (SELECT a.security_id, CASE WHEN coalesce(n, 0) < 14 THEN NULL WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / down) END AS rsi FROM (SELECT DISTINCT security_id FROM bars) a LEFT JOIN {name}_s USING (security_id))"""
+
+
+def state_machine_sql(rows: str, key: str, confirm: int = 3, cooldown_days: int = 10) -> str:
+    """The state after each key's last row of ``rows``, a query that gives ``(key, t, raw)``: one recursion step a row."""
+    return f"""WITH RECURSIVE raw AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY t) AS i FROM ({rows})),
+m AS (SELECT {key}, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS run, 0 AS side, CAST(NULL AS DATE) AS moved FROM raw GROUP BY 1
+UNION ALL SELECT {key}, i, CASE WHEN mv THEN state + s ELSE state END, CASE WHEN mv THEN 0 ELSE rn END, CASE WHEN mv THEN 0 ELSE s END, CASE WHEN mv THEN t ELSE moved END FROM (
+SELECT *, s <> 0 AND rn >= {confirm} AND (moved IS NULL OR t - moved >= {cooldown_days}) AS mv FROM (SELECT *, CASE WHEN s = 0 THEN 0 WHEN s = side THEN run + 1 ELSE 1 END AS rn FROM (
+SELECT m.{key}, r.i, r.t, state, run, side, moved, CAST(sign(r.raw - state) AS INTEGER) AS s FROM m JOIN raw r ON r.{key} = m.{key} AND r.i = m.i + 1))))
+SELECT {key}, max_by(state, i) AS state FROM m GROUP BY 1"""
+
+
+def split_ratio_sql(rows: str, keys: str, ratios, tolerance: float, either_way: bool = False, digits: int = 6) -> str:
+    """The known ratio nearest to column ``o`` of a query ``rows``, within the tolerance; other rows are left out."""
+    known = ", ".join(repr(float(v)) for x in ratios for v in ((x, 1 / x) if either_way else (x,)))
+    nearest = f"SELECT {keys}, o, min((abs(o / r - 1), r)) AS b FROM ({rows}), (SELECT unnest([{known}]::DOUBLE[]) AS r) GROUP BY ALL"
+    return f"SELECT {keys}, round(struct_extract(b, 2), {digits}) AS ratio FROM ({nearest}) WHERE o > 0 AND struct_extract(b, 1) <= {tolerance}"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import history, prices, risk, screening, selection
+from ..operators import history, prices, risk, rules, screening, selection
 from ..operators import cross_section as x
 from ..operators import series as s
 from ..operators.asof import asof_backward
@@ -14,6 +14,7 @@ from ..sources import readers, sinks
 from . import registry as g
 from .panel_queries import candidates
 from .registry import cut, query, r, table
+from .screening_queries import stem_sql
 
 K = ["security_id"]
 
@@ -31,9 +32,9 @@ def a15(spark, d):
     return readers.requested_symbols(rows, wanted, "symbol", F.col("symbol")).select("event_id")
 
 
-@query("a17_declared_actions", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'A' THEN 'splits' ELSE 'dividends' END AS action, l_quantity AS amount FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber = 1")
+@query("a17_declared_actions", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'A' THEN 'splits' ELSE 'dividends' END AS action, l_quantity AS amount FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def a17(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     item = lambda f: F.collect_list(F.when(F.col("l_returnflag") == f, F.struct(F.col("l_suppkey").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ex_date"), F.col("l_quantity").alias("rate"))))
     pages = li.groupBy("l_suppkey").agg(item("A").alias("splits"), item("R").alias("dividends"))
     return readers.declared_actions(pages, {"splits": ("ex_date", "rate"), "dividends": ("ex_date", "rate")})
@@ -46,12 +47,14 @@ def a32(spark, d):
     return readers.associations(docs, "j", ["cik", "title"])[0]
 
 
-@query("a33_raw_fact_union", "SELECT l_orderkey, 'bulk' AS source FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'edge' FROM lineitem WHERE l_linenumber = 2 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'P')")
+# Shipped lines are the bulk source's facts; open ones come from filings and are brought to the same schema.
+@query("a33_raw_fact_union", "SELECT l_orderkey AS adsh, l_linenumber AS tag, CAST(l_shipdate AS DATE) AS ddate, l_quantity AS value, 'bulk' AS source FROM lineitem WHERE l_linestatus = 'F' UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE), l_quantity, 'edge' FROM lineitem WHERE l_linestatus <> 'F' AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
 def a33(spark, d):
     li = table(spark, d, "lineitem")
-    open_ = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    bulk = li.where("l_linenumber = 1").select("l_orderkey", F.lit("bulk").alias("source"))
-    return bulk.unionByName(li.where("l_linenumber = 2").join(open_, "l_orderkey", "left_anti").select("l_orderkey", F.lit("edge").alias("source")))
+    bulk = li.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("adsh"), F.col("l_linenumber").alias("tag"), F.to_date("l_shipdate").alias("ddate"), F.col("l_quantity").alias("value"))
+    filed = li.where("l_linestatus <> 'F'").select(F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("concept"), F.date_format("l_shipdate", "yyyyMMdd").alias("period_end"), F.col("l_quantity").cast("string").alias("amount"))
+    edge = readers.to_raw_facts(filed, {"adsh": "accession", "tag": "concept", "ddate": "period_end", "value": "amount"}, bulk.schema)
+    return readers.union_of_sources(bulk, edge, ["adsh"])
 
 
 @query("a27_a28_export_state", "SELECT c_custkey, max(o_orderdate) AS last_order, count(o_orderkey) AS orders_n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -63,7 +66,7 @@ def a27(spark, d):
 
 @query("b10_profitability_blocker", "SELECT c_custkey, c_acctbal < 0 AND c_nationkey <= 12 AS blocked FROM customer")
 def b10(spark, d):
-    return table(spark, d, "customer").select("c_custkey", ((F.col("c_acctbal") < 0) & (F.col("c_nationkey") <= 12)).alias("blocked"))
+    return table(spark, d, "customer").select("c_custkey", rules.profitability_blocker(F.col("c_acctbal"), F.col("c_nationkey") - 12).alias("blocked"))
 
 
 @query("b18_single_cap", "SELECT security_id, month FROM (SELECT *, row_number() OVER (PARTITION BY month, sector ORDER BY turnover DESC, security_id) n FROM months) WHERE n <= 2")
@@ -74,17 +77,18 @@ def b18(spark, d):
 @query("b19_reason_ladder", "SELECT c_custkey, c_acctbal >= 1000 AND c_nationkey < 20 AS eligible, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 1000 THEN 'small' WHEN c_nationkey >= 20 THEN 'nation' ELSE 'ok' END AS reason FROM customer")
 def b19(spark, d):
     a, n = F.col("c_acctbal"), F.col("c_nationkey")
-    return table(spark, d, "customer").select("c_custkey", ((a >= 1000) & (n < 20)).alias("eligible"), F.when(a < 0, "debt").when(a < 1000, "small").when(n >= 20, "nation").otherwise("ok").alias("reason"))
+    reason = rules.first_reason([(a < 0, "debt"), (a < 1000, "small"), (n >= 20, "nation")], "ok")
+    return table(spark, d, "customer").select("c_custkey", (reason == "ok").alias("eligible"), reason.alias("reason"))
 
 
 @query("c28_candidate_enrichment", "SELECT security_id, month, name, price FROM months JOIN securities USING (security_id) WHERE price > 2000")
 def c28(spark, d):
-    return g.months(spark, d).where("price > 2000").join(g.securities(spark, d).select("security_id", "name"), "security_id").select("security_id", "month", "name", "price")
+    return rules.enriched(g.months(spark, d), g.securities(spark, d), K, ["name"], [F.col("price") > 2000]).select("security_id", "month", "name", "price")
 
 
-@query("c31_candidate_regimes", "WITH c AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1), f AS (SELECT s_suppkey, s_acctbal > 5000 AS foreign_filer FROM supplier WHERE s_suppkey % 5 <> 0) SELECT l_partkey, CASE WHEN count(foreign_filer) = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE foreign_filer) = count(foreign_filer) THEN 'all' WHEN count(*) FILTER (WHERE foreign_filer) > 0 THEN 'some' ELSE 'none' END AS regime FROM c LEFT JOIN f ON s_suppkey = l_suppkey GROUP BY 1")
+@query("c31_candidate_regimes", "WITH c AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), f AS (SELECT s_suppkey, s_acctbal > 5000 AS foreign_filer FROM supplier WHERE s_suppkey % 5 <> 0) SELECT l_partkey, CASE WHEN count(foreign_filer) = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE foreign_filer) = count(foreign_filer) THEN 'all' WHEN count(*) FILTER (WHERE foreign_filer) > 0 THEN 'some' ELSE 'none' END AS regime FROM c LEFT JOIN f ON s_suppkey = l_suppkey GROUP BY 1")
 def c31(spark, d):
-    c = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+    c = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     f = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") > 5000).alias("foreign_filer"))
     return screening.single_regime(c, ["l_partkey"], f, "l_suppkey", F.col("foreign_filer"))
 
@@ -92,17 +96,25 @@ def c31(spark, d):
 @query("c32_admitted_pairs", "WITH p AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F') SELECT o.o_orderkey, CASE WHEN p.o_custkey IS NULL THEN 'gap' ELSE 'admitted' END AS status FROM orders o LEFT JOIN p USING (o_custkey, o_orderpriority)")
 def c32(spark, d):
     o = table(spark, d, "orders")
-    pairs = o.where("o_orderstatus = 'F'").select("o_custkey", "o_orderpriority").distinct()
-    yes = o.join(pairs, ["o_custkey", "o_orderpriority"], "left_semi").select("o_orderkey", F.lit("admitted").alias("status"))
-    return yes.unionByName(o.join(pairs, ["o_custkey", "o_orderpriority"], "left_anti").select("o_orderkey", F.lit("gap").alias("status")))
+    return rules.admitted_or_gap(o, o.where("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"]).select("o_orderkey", "status")
 
 
 @query("c33_merged_provenance", "SELECT l_partkey, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS pointers FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1")
 def c33(spark, d):
-    side = lambda f, n: table(spark, d, "lineitem").where(F.col("l_returnflag") == f).groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias(n))
-    both = side("A", "a").join(side("R", "b"), "l_partkey", "full_outer")
-    none = F.array().cast("array<bigint>")
-    return both.select("l_partkey", F.array_join(F.array_sort(F.array_union(F.coalesce("a", none), F.coalesce("b", none))), ",").alias("pointers"))
+    side = lambda f: table(spark, d, "lineitem").where(F.col("l_returnflag") == f)
+    return rules.merged_provenance([side("A"), side("R")], "l_partkey", "l_suppkey")
+
+
+@query("c33_matched_candidates", f"""WITH p AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN 'T' || c_custkey END AS ticker, c_name AS name FROM customer),
+k AS (SELECT row_id, ticker, CASE WHEN row_id % 4 = 0 THEN 'The ' || name || ' Inc.' ELSE name END AS name FROM p WHERE row_id % 2 = 0),
+t AS (SELECT upper(trim(ticker)) AS x, min(row_id) AS e FROM k WHERE ticker <> '' GROUP BY 1 HAVING count(DISTINCT row_id) = 1), m AS (SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS x, min(row_id) AS e FROM k GROUP BY 1 HAVING count(DISTINCT row_id) = 1),
+u AS (SELECT {stem_sql("name")} AS x, min(row_id) AS e FROM k GROUP BY 1 HAVING count(DISTINCT row_id) = 1)
+SELECT row_id, coalesce(t.e, m.e, u.e) AS entity, CASE WHEN t.e IS NOT NULL THEN 'ticker' WHEN m.e IS NOT NULL THEN 'name' WHEN u.e IS NOT NULL THEN 'stem' ELSE 'none' END AS how
+FROM p LEFT JOIN t ON t.x = upper(trim(ticker)) LEFT JOIN m ON m.x = regexp_replace(lower(name), '[^a-z0-9]', '', 'g') LEFT JOIN u ON u.x = {stem_sql("p.name")}""")
+def c33_matched(spark, d):
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("T"), "c_custkey")).alias("ticker"), F.col("c_name").alias("name"))
+    known = p.where("row_id % 2 = 0").withColumn("entity", F.col("row_id")).withColumn("name", F.when(F.col("row_id") % 4 == 0, F.concat(F.lit("The "), "name", F.lit(" Inc."))).otherwise(F.col("name")))
+    return rules.match_candidates(p, known, "row_id", "ticker", "name", "entity", sc.normalize_name, sc.name_stem)
 
 
 @query("d43_latest_ratios", "SELECT s.company_id, q.q, floor(q.revenue / q.orders * 10000 + 0.123456) / 10000 AS ratio FROM (SELECT DISTINCT company_id, DATE '1999-06-30' AS day FROM quarters) s ASOF LEFT JOIN quarters q ON q.company_id = s.company_id AND s.day >= q.published")
@@ -161,8 +173,8 @@ def i28(spark, d):
 
 @query("i32_raw_stress", "SELECT security_id, month, CASE WHEN price < 1000 THEN 2 WHEN price < 1500 THEN 1 ELSE 0 END + CASE WHEN turnover < 200000 THEN 2 WHEN turnover < 400000 THEN 1 ELSE 0 END AS stress FROM months")
 def i32(spark, d):
-    step = lambda c, a, b: F.when(F.col(c) < a, 2).when(F.col(c) < b, 1).otherwise(0)
-    return g.months(spark, d).select("security_id", "month", (step("price", 1000, 1500) + step("turnover", 200000, 400000)).alias("stress"))
+    stress = rules.stress_points([(F.col("price"), ((1000, 2), (1500, 1))), (F.col("turnover"), ((200000, 2), (400000, 1)))])
+    return g.months(spark, d).select("security_id", "month", stress.alias("stress"))
 
 
 @query("i34_conviction", "SELECT security_id, month, floor(greatest(0.0, least(100.0, (greatest(0.0, least(100.0, price / 3000 * 100)) * 0.5 + greatest(0.0, least(100.0, turnover / 600000 * 100)) * 0.5) / (0.5 + 0.5) - CASE WHEN bars < 3 THEN 10.0 ELSE 0.0 END)) * 10000 + 0.123456) / 10000 AS score FROM months")
@@ -189,11 +201,10 @@ def i53(spark, d):
 @query("i55_holding_inputs", "SELECT c_custkey, coalesce(n.nav, c_acctbal, 0.0) AS nav, CASE WHEN n.nav IS NOT NULL THEN 'parts' ELSE 'book' END AS source FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS nav FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) n ON o_custkey = c_custkey")
 def i55(spark, d):
     n = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(r(F.sum("o_totalprice"), 2).alias("parts"))
-    c = table(spark, d, "customer").join(n, "c_custkey", "left")
-    return c.select("c_custkey", F.coalesce("parts", "c_acctbal", F.lit(0.0)).alias("nav"), F.when(F.col("parts").isNotNull(), "parts").otherwise("book").alias("source"))
+    nav, source = rules.first_known([(F.col("parts"), "parts"), (F.col("c_acctbal"), "book")], "book", F.lit(0.0))
+    return table(spark, d, "customer").join(n, "c_custkey", "left").select("c_custkey", nav.alias("nav"), source.alias("source"))
 
 
 @query("i58_override_columns", "SELECT security_id, month, price, floor((price - avg(price) OVER (PARTITION BY month, sector)) * 10000 + 0.123456) / 10000 AS price_override FROM months")
 def i58(spark, d):
-    w = Window.partitionBy("month", "sector")
-    return g.months(spark, d).select("security_id", "month", "price", cut(F.col("price") - F.avg("price").over(w)).alias("price_override"))
+    return g.months(spark, d).select("security_id", "month", "price", cut(rules.less_group_mean("price", ["month", "sector"])).alias("price_override"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, history, risk, scores
+from ..operators import audit, history, risk, rules, scores
 from ..operators import cross_section as x
 from ..operators import prices as pr
 from ..operators import series as s
@@ -63,7 +63,15 @@ def i33(spark, d):
 
 
 # The technical blend joins folds and windows; its parts are held against loops and SQL.
-@query("i18_technical_score")
+_ROLL = "OVER (PARTITION BY security_id ORDER BY session ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+_MEAN = lambda c, n: f"CASE WHEN count({c}) {_ROLL.format(n - 1)} = {n} THEN avg({c}) {_ROLL.format(n - 1)} END"
+
+
+@query("i18_technical_score", f"""WITH {g.rsi_sql("w")}, a AS (SELECT security_id, close, {_MEAN("close", 200)} AS slow, ({_MEAN("volume", 20)}) / ({_MEAN("volume", 60)}) AS vr, row_number() OVER (PARTITION BY security_id ORDER BY session DESC) AS k FROM bars),
+v AS (SELECT security_id, CASE WHEN close > slow THEN 100.0 WHEN close <= slow THEN 0.0 END AS p1, greatest(0.0, least(100.0, (abs(rsi - 50) - 50) / -50 * 100)) AS p2, greatest(0.0, least(100.0, (vr - 0.5) / 1.0 * 100)) AS p3, rsi, vr FROM a JOIN w USING (security_id) WHERE k = 1),
+u AS (SELECT security_id, p1, CASE WHEN rsi IS NOT NULL THEN p2 END AS p2, CASE WHEN vr IS NOT NULL THEN p3 END AS p3 FROM v),
+x AS (SELECT *, CASE WHEN p1 IS NULL THEN 0.0 ELSE 0.4 END + CASE WHEN p2 IS NULL THEN 0.0 ELSE 0.3 END + CASE WHEN p3 IS NULL THEN 0.0 ELSE 0.3 END AS weight FROM u)
+SELECT security_id, CASE WHEN weight > 0 THEN round((coalesce(p1 * 0.4, 0) + coalesce(p2 * 0.3, 0) + coalesce(p3 * 0.3, 0)) / weight, 4) END AS score, CAST(CAST(p1 IS NOT NULL AS INT) + CAST(p2 IS NOT NULL AS INT) + CAST(p3 IS NOT NULL AS INT) AS INTEGER) AS signals FROM x""")
 def i18(spark, d):
     b = g.bars(spark, d)
     last = b.withColumn("slow", s.sma("close", K, "session", 200)).withColumn("vr", s.volume_ratio("volume", K, "session"))
@@ -135,11 +143,11 @@ def i40(spark, d):
     m = g.months(spark, d).select("security_id", "month", "price").withColumn("k", F.lit(1))
     level = m.where("security_id = 1").select("k", F.col("month").alias("at"), F.col("price").alias("level"))
     days = asof_backward(m.select("k", "month").distinct(), level, ["k"], "month", "at")  # one row a month
-    j = m.join(F.broadcast(days.select("month", "match.level")), "month").where("level IS NOT NULL")
+    j = m.join(days.select("month", "match.level"), "month").where("level IS NOT NULL")
     return j.select("security_id", "month", cut(F.col("price") / F.col("level")).alias("real_nav"))
 
 
-@query("i52_cash_overlay")
+@query("i52_cash_overlay", g.state_machine_sql("SELECT security_id, month AS t, CASE WHEN price < 1500 AND turnover < 300000 THEN 3 WHEN price < 1500 OR turnover < 300000 THEN 2 ELSE 0 END AS raw FROM months", "security_id", 1, 0))
 def i52(spark, d):
     m = g.months(spark, d).withColumn("raw", risk.stress_target(F.when(F.col("price") < 1500, 2).otherwise(0), F.when(F.col("turnover") < 300000, 2).otherwise(0)))
     return s.state_machine(m, K, "month", "raw", "state", confirm=1, cooldown_days=0)
@@ -225,11 +233,11 @@ def g11(spark, d):
 @query("h22_sector_map", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'industrial' WHEN regexp_matches(c_mktsegment, 'AUTO|HOUSE') THEN 'consumer' ELSE 'other' END AS kind FROM customer")
 def h22(spark, d):
     m = spark.createDataFrame([("BUILDING", "industrial"), ("MACHINERY", "industrial")], "c_mktsegment string, mapped string")
-    c = table(spark, d, "customer").join(F.broadcast(m), "c_mktsegment", "left")
+    c = table(spark, d, "customer").join(m, "c_mktsegment", "left")
     return c.select("c_custkey", F.coalesce("mapped", F.when(F.rlike("c_mktsegment", F.lit("AUTO|HOUSE")), "consumer").otherwise("other")).alias("kind"))
 
 
-@query("j5_daily_state", None)
+@query("j5_daily_state", g.state_machine_sql("SELECT user_id, CAST(ts AS DATE) AS t, max(CASE WHEN value > 60 THEN 2 WHEN value > 30 THEN 1 ELSE 0 END) AS raw FROM events GROUP BY 1, 2", "user_id"))
 def j5(spark, d):
     e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("t")).agg(F.max(F.when(F.col("value") > 60, 2).when(F.col("value") > 30, 1).otherwise(0)).alias("raw"))
     return s.state_machine(e, ["user_id"], "t", "raw", "state")
@@ -255,11 +263,6 @@ def l3(spark, d):
     return audit.enforce(c, [("mapped", F.count("c_nationkey") / F.count("*"), 0.99), ("rows", F.count("*"), 1)]).select("c_custkey")
 
 
-@query("l5_feed_health", "SELECT count(*) FILTER (WHERE close <= 0) AS bad_prices, CAST((SELECT count(*) FROM securities WHERE security_id NOT IN (SELECT security_id FROM bars WHERE session >= DATE '2001-10-01')) AS BIGINT) AS missing FROM bars")
+@query("l5_feed_health", "WITH c AS (SELECT session, count(DISTINCT security_id) AS n FROM bars GROUP BY 1) SELECT count(*) FILTER (WHERE close <= 0) AS bad_prices, CAST((SELECT count(*) FROM securities WHERE security_id NOT IN (SELECT security_id FROM bars WHERE session >= DATE '2001-10-01')) AS BIGINT) AS missing, (SELECT max(session) FROM c WHERE n >= 0.5 * (SELECT max(n) FROM c)) AS cutoff FROM bars")
 def l5(spark, d):
-    b = g.bars(spark, d)
-    bad = b.agg(F.count_if(F.col("close") <= 0).alias("bad_prices"))
-    gone = g.securities(spark, d).join(b.where("session >= DATE '2001-10-01'"), "security_id", "left_anti").agg(F.count("*").alias("missing"))
-    return bad.crossJoin(gone)  # one row each
-
-
+    return rules.feed_health(g.bars(spark, d), g.securities(spark, d), "security_id", "close", "session", F.lit("2001-10-01").cast("date"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, fundamentals, screening
+from ..operators import asof, fundamentals, rules, screening
 from ..operators import cross_section as x
 from ..operators import series as s
 from ..operators.components import connected_components
@@ -16,13 +16,14 @@ from .registry import cut, query, r, table
 K = ["security_id"]
 
 
-@query("c12_identity_components", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, 100000 + l_suppkey AS s FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7), n AS (SELECT p AS a, s AS b FROM e UNION SELECT s, p FROM e), t AS (SELECT a AS node, a AS root FROM n UNION SELECT n.b, t.root FROM t JOIN n ON n.a = t.node) SELECT node, min(root) AS root FROM t GROUP BY 1")
+# Securities that ship for one order on one day are one entity: each row gets the least name of its component. No SQL; the tests compare.
+@query("c12_identity_components")
 def c12(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 7").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 100000).alias("v"))
-    return connected_components(e)
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", F.to_date("l_shipdate").alias("day"))
+    return screening.reconcile_identities(li, "l_suppkey", ["l_orderkey", "day"]).select("l_suppkey", "entity")
 
 
-# No SQL; the tests compare it with union-find.
+# All links of parts with suppliers, whose numbers are told apart by sign. No SQL; the tests compare it with union-find.
 @query("c12_all_identity_components")
 def c12_all(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("u"), (-1 - F.col("l_suppkey")).alias("v")).distinct()
@@ -36,8 +37,17 @@ def c16(spark, d):
     return screening.match_names(p.select(F.col("p_partkey").alias("row_id"), "p_name"), known, "row_id", "p_name", "known_name", "entity", sc.normalize_name)
 
 
-# Stems drop legal suffixes; the tests give cases.
-@query("c17_name_stems")
+_SUFFIXES = "inc|incorporated|corp|corporation|co|company|ltd|limited|plc|llc|lp|sa|ag|nv|holdings|group"
+
+
+def stem_sql(c: str) -> str:
+    plain = rf"trim(regexp_replace(translate(lower({c}), '{sc.ACCENTED}', '{sc.PLAIN}'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return f"replace(regexp_replace(regexp_replace({plain}, '^the | the$| class [a-z]$', '', 'g'), '( ({_SUFFIXES}))+$', ''), ' ', '')"
+
+
+# Stems drop legal suffixes; the tests give cases too.
+@query("c17_name_stems", f"""WITH k AS (SELECT {stem_sql("'The ' || p_name || ' Inc.'")} AS n, count(DISTINCT p_partkey) AS c, min(p_partkey) AS e FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), p AS (SELECT p_partkey, {stem_sql("p_name")} AS n FROM part)
+SELECT p_partkey AS row_id, CASE WHEN c = 1 THEN e END AS entity, CASE WHEN coalesce(p.n, '') = '' THEN 'blank' WHEN c IS NULL THEN 'unmatched' WHEN c = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM p LEFT JOIN k ON k.n = p.n AND k.n <> ''""")
 def c17(spark, d):
     p = table(spark, d, "part")
     known = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("The "), "p_name", F.lit(" Inc.")).alias("known_name"), F.col("p_partkey").alias("entity"))
@@ -81,8 +91,8 @@ def c36(spark, d):
 
 @query("b5_eligible_denominator", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus IN ('O', 'F') AND c_nationkey NOT BETWEEN 10 AND 14")
 def b5(spark, d):
-    c = table(spark, d, "customer").where(~F.col("c_nationkey").between(10, 14))
-    return c.join(table(spark, d, "orders").where("o_orderstatus IN ('O', 'F')"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return rules.eligible_filers(table(spark, d, "customer"), o, ["c_custkey"], ["O", "F"], "o_orderstatus", F.col("c_nationkey").between(10, 14))
 
 
 @query("b7_publication_guard", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 10 ELSE last_day(o_orderdate::DATE) + CASE WHEN month(o_orderdate) = 12 THEN 76 WHEN month(o_orderdate) = 6 THEN 56 ELSE 46 END END <= DATE '1998-06-30' AS visible FROM orders")
@@ -94,16 +104,15 @@ def b7(spark, d):
 
 @query("b9_bucket_ladder", "SELECT c_custkey, CASE WHEN c_acctbal > 6000 AND c_nationkey < 15 THEN 'core' WHEN c_acctbal > 6000 THEN 'quality_shadow' WHEN c_acctbal > 2000 THEN 'non_core' ELSE 'excluded' END AS bucket, CASE WHEN c_acctbal <= 2000 THEN 'low_balance' WHEN c_nationkey >= 15 THEN 'nation' END AS blocker FROM customer")
 def b9(spark, d):
-    rich, near = F.col("c_acctbal") > 6000, F.col("c_nationkey") < 15
-    bucket = F.when(rich & near, "core").when(rich, "quality_shadow").when(F.col("c_acctbal") > 2000, "non_core").otherwise("excluded")
-    why = sc.reasons([(F.col("c_acctbal") > 2000, "low_balance"), (near, "nation")])
-    return table(spark, d, "customer").select("c_custkey", bucket.alias("bucket"), F.get(why, 0).alias("blocker"))
+    rich, near, some = F.col("c_acctbal") > 6000, F.col("c_nationkey") < 15, F.col("c_acctbal") > 2000
+    bucket, blocker = rules.bucket_ladder([("core", rich & near), ("quality_shadow", rich), ("non_core", some)], [(some, "low_balance"), (near, "nation")], "excluded")
+    return table(spark, d, "customer").select("c_custkey", bucket.alias("bucket"), blocker.alias("blocker"))
 
 
 @query("b11_index_aware", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 5000 UNION SELECT c_custkey FROM customer WHERE c_custkey % 13 = 0")
 def b11(spark, d):
-    c = table(spark, d, "customer")
-    return c.where("c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 5000").select("c_custkey").union(c.where("c_custkey % 13 = 0").select("c_custkey")).distinct()
+    types = [F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_acctbal") > 5000]
+    return rules.candidate_filter(table(spark, d, "customer"), types, F.col("c_custkey") % 13 == 0).select("c_custkey")
 
 
 @query("b13_analytical_series", "SELECT company_id, q FROM (SELECT *, max(q) OVER (PARTITION BY company_id) AS m FROM quarters) WHERE q % 4 = 3 OR q = m")
@@ -133,18 +142,14 @@ def b17(spark, d):
 @query("b20_optional_filters", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 100 AND c_nationkey IN (1, 2, 3)")
 def b20(spark, d):
     c = table(spark, d, "customer")
-    for wanted in (F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") >= 100, F.col("c_nationkey").isin(1, 2, 3)):
-        c = c.where(wanted)
-    return c.select("c_custkey")
+    return rules.optional_filters(c, {"c_mktsegment": "BUILDING", "c_name": None}, {"c_acctbal": 100}, {"c_nationkey": (1, 2, 3)}).select("c_custkey")
 
 
 @query("d18_interval_inference", "WITH o AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) a, CAST(max(o_orderdate) AS DATE) b FROM orders GROUP BY 1) SELECT c_custkey, coalesce(a, DATE '1992-01-01') AS active_from, CASE WHEN b < DATE '2000-06-01' THEN b END AS active_to, CASE WHEN c_custkey % 50 = 0 THEN 'manual' WHEN a IS NULL THEN 'assumed' WHEN b < DATE '2000-06-01' THEN 'ended' ELSE 'observed' END AS source FROM customer LEFT JOIN o ON o_custkey = c_custkey")
 def d18(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
-    ended = F.col("b") < F.lit("2000-06-01").cast("date")
-    source = F.when(F.col("c_custkey") % 50 == 0, "manual").when(F.col("a").isNull(), "assumed").when(ended, "ended").otherwise("observed")
-    j = table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
-    return j.select("c_custkey", F.coalesce("a", F.lit("1992-01-01").cast("date")).alias("active_from"), F.when(ended, F.col("b")).alias("active_to"), source.alias("source"))
+    day = lambda x: F.lit(x).cast("date")
+    return rules.listing_intervals(table(spark, d, "customer"), o, ["c_custkey"], "a", "b", day("2000-06-01"), day("1992-01-01"), F.col("c_custkey") % 50 == 0)
 
 
 @query("d23_yield_and_consistency", "SELECT l_suppkey, round(sum(l_extendedprice * l_discount) FILTER (WHERE l_shipdate >= TIMESTAMP '2000-01-01') / sum(l_extendedprice), 6) AS yield, count(DISTINCT CASE WHEN l_discount > 0.09 THEN year(l_shipdate) END) AS paying_years FROM lineitem GROUP BY 1")
@@ -196,16 +201,29 @@ def h5(spark, d):
     return table(spark, d, "part").select("p_partkey", sc.normalize_ticker(F.col("p_brand")).alias("ticker"))
 
 
-@query("h12_sessions_after", "WITH s AS (SELECT session, row_number() OVER (ORDER BY session) n FROM (SELECT DISTINCT session FROM bars)), b AS (SELECT o_orderkey, max(n) AS n FROM orders JOIN s ON s.session <= CAST(o_orderdate AS DATE) WHERE o_orderkey % 20 = 0 AND o_orderdate >= TIMESTAMP '1995-02-01' GROUP BY 1) SELECT o_orderkey, s.session AS due FROM b LEFT JOIN s ON s.n = b.n + 5")
+def _sessions_sql(step: int) -> str:
+    return f"""WITH s AS (SELECT session, row_number() OVER (ORDER BY session) n FROM (SELECT DISTINCT session FROM bars)), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+b AS (SELECT o.day, s.n FROM o ASOF LEFT JOIN s ON o.day >= s.session) SELECT o_orderkey, s.session AS due FROM orders LEFT JOIN b ON b.day = CAST(o_orderdate AS DATE) LEFT JOIN s ON s.n = b.n + {step}"""
+
+
+def _due(spark, d, step):
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return screening.sessions_after(o, g.bars(spark, d).select("session").distinct(), "day", "session", step, "due").select("o_orderkey", "due")
+
+
+@query("h12_sessions_after", _sessions_sql(5))
 def h12(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 20 = 0 AND o_orderdate >= '1995-02-01'").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return screening.sessions_after(o, g.bars(spark, d).select("session").distinct(), "day", "session", 5, "due").select("o_orderkey", "due")
+    return _due(spark, d, 5)
 
 
-@query("h12_all_sessions_after", "WITH s AS (SELECT session, row_number() OVER (ORDER BY session) n FROM (SELECT DISTINCT session FROM bars)), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), b AS (SELECT o.day, s.n FROM o ASOF LEFT JOIN s ON o.day >= s.session) SELECT o_orderkey, s.session AS due FROM orders LEFT JOIN b ON b.day = CAST(o_orderdate AS DATE) LEFT JOIN s ON s.n = b.n + 5")
+@query("h12_all_sessions_after", _sessions_sql(21))
 def h12_all(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return screening.sessions_after(o, g.bars(spark, d).select("session").distinct(), "day", "session", 5, "due").select("o_orderkey", "due")
+    return _due(spark, d, 21)
+
+
+@query("h12_sessions_before", _sessions_sql(-5))
+def h12_before(spark, d):
+    return _due(spark, d, -5)
 
 
 @query("h13_grouped_numbers", "SELECT o_orderkey, o_totalprice AS number FROM orders")
@@ -240,10 +258,10 @@ def i24(spark, d):
     return p.select("company_id", "q", F.array_join(flags, ",").alias("flags"))
 
 
-@query("i25_worst_verdict", "WITH v AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS gate, max(CASE WHEN l_quantity > 45 THEN 3 WHEN l_quantity > 35 THEN 1 ELSE 0 END) AS sev FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT l_orderkey, greatest(max(sev), CASE WHEN count(*) < 3 THEN 2 ELSE 0 END) AS severity, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE sev > 0), '') AS firing FROM v GROUP BY 1")
+@query("i25_worst_verdict", "WITH v AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS gate, max(CASE WHEN l_quantity > 45 THEN 3 WHEN l_quantity > 35 THEN 1 ELSE 0 END) AS sev FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, greatest(max(sev), CASE WHEN count(*) < 3 THEN 2 ELSE 0 END) AS severity, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE sev > 0), '') AS firing FROM v GROUP BY 1")
 def i25(spark, d):
     sev = F.max(F.when(F.col("l_quantity") > 45, 3).when(F.col("l_quantity") > 35, 1).otherwise(0))
-    v = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("gate")).agg(sev.alias("severity"))
+    v = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("gate")).agg(sev.alias("severity"))
     return screening.worst_verdict(v, ["l_orderkey"], "severity", "gate", 3)
 
 
@@ -265,10 +283,12 @@ def i46(spark, d):
 @query("i49_parameter_ladder", "SELECT e.user_id, e.event_id, coalesce(CASE WHEN value > 50 THEN value END, CASE WHEN event_type = 'view' THEN 10.0 END, 5.0) AS rate, CASE WHEN value > 50 THEN 'observed' WHEN event_type = 'view' THEN 'proxy' ELSE 'default' END AS source FROM events e")
 def i49(spark, d):
     a, b = F.when(F.col("value") > 50, F.col("value")), F.when(F.col("event_type") == "view", 10.0)
-    return table(spark, d, "events").select("user_id", "event_id", F.coalesce(a, b, F.lit(5.0)).alias("rate"), F.when(a.isNotNull(), "observed").when(b.isNotNull(), "proxy").otherwise("default").alias("source"))
+    rate, source = rules.first_known([(a, "observed"), (b, "proxy")], "default", F.lit(5.0))
+    return table(spark, d, "events").select("user_id", "event_id", rate.alias("rate"), source.alias("source"))
 
 
 @query("i57_score_bundle", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_acctbal END, CASE WHEN c_nationkey < 5 THEN c_nationkey * 1.0 END) AS score, CASE WHEN c_acctbal > 5000 THEN 'native' WHEN c_nationkey < 5 THEN 'fallback' ELSE 'none' END AS label FROM customer")
 def i57(spark, d):
     a, b = F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal")), F.when(F.col("c_nationkey") < 5, F.col("c_nationkey") * 1.0)
-    return table(spark, d, "customer").select("c_custkey", F.coalesce(a, b).alias("score"), F.when(a.isNotNull(), "native").when(b.isNotNull(), "fallback").otherwise("none").alias("label"))
+    score, label = rules.first_known([(a, "native"), (b, "fallback")], "none")
+    return table(spark, d, "customer").select("c_custkey", score.alias("score"), label.alias("label"))

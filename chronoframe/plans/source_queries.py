@@ -117,9 +117,9 @@ def j7(spark, d):
     return twins.freshness(table(spark, d, "events"), ["user_id"], "ts", F.lit("2024-02-01").cast("date"), 3)
 
 
-@query("j9_running_high", "SELECT user_id, max(value) AS high FROM events GROUP BY 1")
+@query("j9_running_high", "SELECT user_id, max(value) AS high, count(*) AS rows FROM events GROUP BY 1")
 def j9(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("high"))
+    return twins.running_high(table(spark, d, "events"), "user_id", "ts", "value")
 
 
 @query("j11_stale_dates", "SELECT month FROM months GROUP BY 1 HAVING NOT bool_and(bars >= 2)")

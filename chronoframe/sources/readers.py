@@ -100,6 +100,53 @@ def membership(rows: DataFrame, start: str, end: str, least_open: int) -> DataFr
     return typed.crossJoin(gate).where(F.when(F.col("_open") < least_open, F.raise_error(F.lit("too few open memberships")).isNull()).otherwise(True)).drop("_open")  # one row beside each
 
 
+# The columns of the vendor's lifecycle file, in order.
+LIFECYCLE = ("ticker", "exchange", "assetType", "priceCurrency", "startDate", "endDate")
+
+
+def read_lifecycle(spark: SparkSession, path: str) -> DataFrame:
+    """``(ticker, exchange, asset_type, currency, start, end)`` of a CSV file whose header must be :data:`LIFECYCLE`, in this order.
+
+    Keys are trimmed and in upper case; an exchange may be empty, an end is null if open. A row of another
+    width, an empty key, a bad date or an end before its start fails the query that reads it, as does a
+    file without rows.
+    """
+    lines = spark.read.option("header", False).option("mode", "FAILFAST").schema(", ".join(f"{c} string" for c in LIFECYCLE)).csv(path)
+    found = tuple(spark.read.option("header", True).csv(path).columns)
+    if found != LIFECYCLE:
+        raise ValueError(f"columns are {found}, not {LIFECYCLE}")
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(lines.schema).csv(path)
+    if not rows.limit(1).count():
+        raise ValueError("the file has no row")
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    start, end = F.try_to_date(text("startDate")), F.try_to_date(F.nullif(text("endDate"), F.lit("")))
+    problem = (
+        F.when((text("ticker") == "") | (text("assetType") == "") | (text("priceCurrency") == ""), "an empty key")
+        .when(start.isNull() | (end.isNull() & (text("endDate") != "")), "a bad date")
+        .when(end < start, "an end before its start")
+    )
+    ok = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("lifecycle row with "), problem)).isNull()).otherwise(True)
+    return rows.where(ok).select(F.upper(text("ticker")).alias("ticker"), F.upper(text("exchange")).alias("exchange"), text("assetType").alias("asset_type"), F.upper(text("priceCurrency")).alias("currency"), start.alias("start"), end.alias("end"))
+
+
+def to_raw_facts(rows: DataFrame, names: dict[str, str], schema: T.StructType) -> DataFrame:
+    """``rows`` in the bulk source's schema: ``names`` tells each column's name in ``rows``, the others are null; dates may be yyyymmdd texts."""
+
+    def typed(f: T.StructField):
+        c = F.col(names[f.name]) if f.name in names else F.lit(None)
+        if isinstance(f.dataType, T.DateType) and f.name in names and isinstance(rows.schema[names[f.name]].dataType, T.StringType):
+            return F.try_to_date(c, "yyyyMMdd").alias(f.name)
+        return c.try_cast(f.dataType).alias(f.name)
+
+    return rows.select(*(typed(f) for f in schema.fields))
+
+
+def union_of_sources(bulk: DataFrame, edge: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of the bulk source, and those of the edge whose key it lacks, with their ``source``: an anti join on the key."""
+    fresh = edge.join(bulk.select(*key).distinct(), list(key), "left_anti").select(bulk.columns)
+    return bulk.withColumn("source", F.lit("bulk")).unionByName(fresh.withColumn("source", F.lit("edge")))
+
+
 def two_state_listing(active: DataFrame, delisted: DataFrame) -> DataFrame:
     return active.withColumn("state", F.lit("active")).unionByName(delisted.withColumn("state", F.lit("delisted")))
 

@@ -55,7 +55,12 @@ def first_and_latest(spark: SparkSession, stream: DataFrame, key: Sequence[str],
 
 
 def running_high(stream: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """``(key, high, rows)`` kept as state: the highest value so far of each key (a trailing high-water mark)."""
+    """``(key, high, rows)`` kept as state: the highest value so far of each key (a trailing high-water mark).
+
+    Of a table rather than a stream it is one aggregation.
+    """
+    if not stream.isStreaming:
+        return stream.groupBy(key).agg(F.max(F.col(value).cast("double")).alias("high"), F.count("*").alias("rows"))
     schema = f"{key} {stream.schema[key].dataType.simpleString()}, high double, rows long"
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.operators import audit, fundamentals, history, prices, risk, selection, series
+from chronoframe.operators import audit, fundamentals, history, prices, risk, rules, screening, selection, series, skew
 from chronoframe.sources import readers, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -122,6 +122,170 @@ def test_interval_closure(spark):
     assert got[2, 3] == (8, 6) and got[0, 4] == (25, 7) and got[2, 4] == (15, 7)
 
 
+@pytest.mark.parametrize("longest", [None, 6])
+def test_interval_closure_equals_fixpoint(spark, longest):
+    rng = random.Random(6)
+    rows = [(1, i, i + 4, 0, 0) for i in range(12)] + [(1, 0, 1, 0, 3)] + [(2, a, a + rng.randrange(1, 5), 0, rng.randrange(9)) for a in rng.sample(range(14), 9)]
+    sums = [rng.randrange(100) for _ in range(40)]
+    rows = list({(c, s, e): (c, s, e, sum(sums[s:e]), t) for c, s, e, _, t in rows}.values())
+    got = {(r["c"], r["s"], r["e"]): (r["v"], r["t"]) for r in fundamentals.close_intervals(spark.createDataFrame(rows, "c int, s long, e long, v long, t int"), ["c"], "s", "e", "v", "t", longest).collect()}
+    want = {(c, s, e): (v, t) for c, s, e, v, t in rows}
+    while True:
+        more = dict(want)
+        for (c, s, e), (v, t) in want.items():
+            for (c2, s2, e2), (v2, t2) in want.items():
+                found = []
+                if c == c2 and e == s2 and (longest is None or e2 - s <= longest):
+                    found.append(((c, s, e2), v + v2))
+                if c == c2 and s == s2 and e > e2:
+                    found.append(((c, e2, e), v - v2))
+                for k, value in found:
+                    if k not in more or more[k][1] > max(t, t2):
+                        more[k] = (value, max(t, t2))
+        if more == want:
+            break
+        want = more
+    assert got == want
+
+
+def test_views_take_one_shuffle_and_leave_conflicts_out(spark):
+    rows = [(1, 1, "a", 1), (1, 2, "b", 2), (2, 1, "a", 3), (2, 1, "b", 4), (2, 2, "c", 5), (3, 1, "a", 6), (3, 1, "a", 7), (None, 1, "a", 8), (4, 1, None, 9), (4, 1, "x", 10)]
+    df = spark.createDataFrame(rows, "k int, t int, v string, id int")
+    first, last, bad = history.pit_views(df, ["k"], "t", "v", ["id"])
+    assert {(r["k"], r["id"]) for r in first.collect()} == {(1, 1), (3, 6), (None, 8)}
+    assert {(r["k"], r["id"]) for r in last.collect()} == {(1, 2), (3, 7), (None, 8)}
+    assert {r["k"] for r in bad.collect()} == {2, 4}
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1, plan
+
+
+def test_choice_under_several_caps_equals_loop(spark):
+    rng = random.Random(2)
+    rows = [(p, e, rng.choice([None, 1, 2, 3, 4]), rng.choice([None, float(rng.randrange(50))]), rng.random() < 0.1, rng.random() < 0.5, rng.choice([None, True, False]), rng.random() < 0.3) for p in range(3) for e in range(60)]
+    kind = "p int, e int, sector int, score double, held boolean, stays boolean, large boolean, bank boolean"
+    pairs = [(a, b, rng.choice([None, 0.1, 0.5, 0.95])) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.9]
+    table = spark.createDataFrame(pairs, "a int, b int, corr double")
+    for corr, closed in ((None, True), (table, True), (table, False)):
+        got = {(r["p"], r["e"]): r["action"] for r in selection.choose_under_caps(spark.createDataFrame(rows, kind), ["p"], "score", "e", 12, {"sector": 3}, {"large": 4, "bank": 2}, corr, 0.85, closed).collect()}
+        known = {frozenset((a, b)): c for a, b, c in pairs}
+        want = {}
+        for p in range(3):
+            picks, n = [], {}
+            for _, e, s, score, held, stays, large, bank in sorted((x for x in rows if x[0] == p), key=lambda x: (not (x[4] and x[5]), x[3] is None, -(x[3] or 0), x[1])):
+                own = [k for k in (("sector", s) if s is not None else None, ("large",) if large else None, ("bank",) if bank else None) if k]
+                cap = next((k[0] for k in own if n.get(k, 0) >= {"sector": 3, "large": 4, "bank": 2}[k[0]]), None)
+                with_picks = [known.get(frozenset((e, x))) for x in picks] if corr is not None else []
+                if held and not stays:
+                    want[p, e] = "exit_band"
+                elif len(picks) >= 12:
+                    want[p, e] = "no_slot"
+                elif cap:
+                    want[p, e] = f"{cap}_cap"
+                elif any(c is not None and c > 0.85 for c in with_picks):
+                    want[p, e] = "correlation_cap"
+                elif closed and any(c is None for c in with_picks):
+                    want[p, e] = "correlation_unknown"
+                else:
+                    want[p, e] = "hold" if held else "enter"
+                    picks.append(e)
+                    for k in own:
+                        n[k] = n.get(k, 0) + 1
+        assert got == want
+
+
+@pytest.mark.parametrize(("ratio", "price", "share"), [(4.0, 4.0, 4.0), (2.05, None, 2.0), (0.0125, 0.0125, None), (7.1, None, 7.0), (0.4, None, 0.4), (12.0, None, 12.0), (1 / 30, 1 / 30, 1 / 30), (0.66, None, 1 / 1.5), (-2.0, None, None), (1.0, None, None)])
+def test_split_grids(spark, ratio, price, share):
+    c = F.lit(ratio)
+    got = spark.range(1).select(prices.nearest_split_ratio(c).alias("p"), prices.nearest_split_ratio(c, prices.SHARE_SPLITS, prices.SHARE_TOLERANCE, either_way=True).alias("s")).first()
+    assert (got["p"], got["s"]) == (pytest.approx(price) if price else None, pytest.approx(share) if share else None)
+
+
+def test_inferred_splits_need_steady_levels(spark):
+    series = {1: [100, 101, 300, 303], 2: [100, 300], 3: [100, 130, 300, 301], 4: [100, 300, 400], 5: [100, 250, 251]}
+    rows = [(k, i, v) for k, x in series.items() for i, v in enumerate(x)]
+    got = {(r["k"], r["t"], r["ratio"]) for r in prices.inferred_splits(spark.createDataFrame(rows, "k int, t int, v int"), ["k"], "t", "v").collect()}
+    assert got == {(1, 2, 3.0), (5, 1, 2.5)}
+
+
+def test_chains_of_hashes(spark):
+    import hashlib
+
+    rows = [(c, i, f"p{c}{i}") for c in range(3) for i in range(4)]
+    log = audit.chain_hashes(spark.createDataFrame(rows, "c int, i int, p string"), ["c"], "i", "p")
+    by = {(r["c"], r["i"]): r for r in log.collect()}
+    for c in range(3):
+        before = None
+        for i in range(4):
+            own = hashlib.sha256(f"{before or ''}|p{c}{i}".encode()).hexdigest()
+            assert (by[c, i]["previous"], by[c, i]["own"]) == (before, own)
+            before = own
+    assert audit.chain_breaks(log, ["c"], "i", "p", "own", "previous").count() == 0
+    spoiled = log.withColumn("p", F.when((F.col("c") == 1) & (F.col("i") == 2), "x").otherwise(F.col("p")))
+    assert [(r["c"], r["i"], r["broken_link"], r["broken_hash"]) for r in audit.chain_breaks(spoiled, ["c"], "i", "p", "own", "previous").collect()] == [(1, 2, False, True)]
+
+
+def test_identities_meet_through_chains(spark):
+    rows = [(1, "a", 1), (2, "a", 1), (2, "b", 1), (3, "b", 1), (4, "a", 2), (5, None, 1), (6, None, 1), (None, "a", 1)]
+    got = [(r["e"], r["entity"]) for r in screening.reconcile_identities(spark.createDataFrame(rows, "e long, n string, d int"), "e", ["n", "d"]).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (None, None)], key=str)
+
+
+def test_sessions_around_a_date(spark):
+    calendar = spark.createDataFrame([(DAY + dt.timedelta(days=i),) for i in (0, 1, 4, 5, 6)], "s date")
+    rows = spark.createDataFrame([(i, DAY + dt.timedelta(days=i)) for i in (-1, 0, 3, 6)] + [(9, None)], "i int, d date")
+    at = lambda n: {r["i"]: r["due"] and (r["due"] - DAY).days for r in screening.sessions_after(rows, calendar, "d", "s", n, "due").collect()}
+    assert at(2) == {-1: None, 0: 4, 3: 5, 6: None, 9: None} and at(-1) == {-1: None, 0: None, 3: 0, 6: 5, 9: None} and at(0) == {-1: None, 0: 0, 3: 1, 6: 6, 9: None}
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 == 0 else i) for i in range(3000)] + [(9999, None)], "i long, k long")
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("low")).where("k IS NOT NULL AND k <> 1")
+    got = skew.join_unique(rows, found, ["k"], "n").collect()
+    assert len(got) == 2999 and all(r["low"] == r["k"] for r in got) and got[0].asDict().keys() == {"i", "k", "low"}
+
+
+def test_rules(spark):
+    t, n = F.lit(True), F.lit(None).cast("boolean")
+    got = spark.range(1).select(rules.first_reason([(n, "a"), (t, "b")]).alias("r"), *(c.alias(f"f{i}") for i, c in enumerate(rules.first_known([(F.lit(None).cast("int"), "x"), (F.lit(2), "y")], "none", F.lit(3)))), rules.stress_points([(F.lit(5), ((3, 2), (6, 1))), (F.lit(None).cast("int"), ((3, 2),))]).alias("s")).first()
+    assert tuple(got) == ("b", 2, "y", 1)
+    df = spark.createDataFrame([(1, "Abc", 5.0), (2, "xbc", None)], "i int, s string, v double")
+    assert [r["i"] for r in rules.optional_filters(df, {"i": None}, {"v": 1}, {"i": (1, 2)}, {"s": "BC"}).collect()] == [1]
+    assert rules.dominant(spark.createDataFrame([(1, "a")] * 6 + [(1, "b")] * 2 + [(2, "a")] * 4, "k int, e string"), ["k"], "e").collect() == [(1, "a", 6)]
+    with pytest.raises(ValueError, match="providers"):
+        rules.coverage_matrix(df, spark.range(5).toDF("n"), ["i"], "n", n.cast("string"), F.lit("none"), most=4)
+    compared = rules.compare_keys(df, spark.createDataFrame([(1, 5.01), (3, 1.0)], "i int, v double"), ["i"], "v", 0.1)
+    assert {tuple(r) for r in compared.collect()} == {(2, "missing_right"), (3, "missing_left")}
+
+
+def test_lifecycle_files(spark, tmp_path):
+    def read(text):
+        p = tmp_path / f"{abs(hash(text))}.csv"
+        p.write_text(text)
+        return readers.read_lifecycle(spark, str(p)).collect()
+
+    head = "ticker,exchange,assetType,priceCurrency,startDate,endDate\n"
+    assert [tuple(r) for r in read(head + " aa ,nyse,Stock,usd,2020-01-02,2021-01-02\nb,,ETF,USD,2020-01-02,\n")] == [("AA", "NYSE", "Stock", "USD", dt.date(2020, 1, 2), dt.date(2021, 1, 2)), ("B", "", "ETF", "USD", dt.date(2020, 1, 2), None)]
+    for bad in ("exchange,ticker,assetType,priceCurrency,startDate,endDate\nx,a,Stock,USD,2020-01-02,\n", head, head + ",x,Stock,USD,2020-01-02,\n", head + "a,x,Stock,USD,2020-13-02,\n", head + "a,x,Stock,USD,2020-02-02,2020-01-01\n", head + "a,x,Stock\n"):
+        with pytest.raises(Exception):  # noqa: B017
+            read(bad)
+
+
+def test_facts_of_filings_in_the_bulk_schema(spark):
+    bulk = spark.createDataFrame([("a", 1, dt.date(2024, 1, 1), 2.0)], "adsh string, tag int, ddate date, value double")
+    filed = spark.createDataFrame([("a", "7", "20240301", "9"), ("b", "8", "20240302", "x"), ("c", "9", "bad", "1.5")], "acc string, t string, d string, v string")
+    edge = readers.to_raw_facts(filed, {"adsh": "acc", "tag": "t", "ddate": "d", "value": "v"}, bulk.schema)
+    assert edge.schema.simpleString() == bulk.schema.simpleString()
+    assert {tuple(r) for r in readers.union_of_sources(bulk, edge, ["adsh"]).collect()} == {("a", 1, dt.date(2024, 1, 1), 2.0, "bulk"), ("b", 8, dt.date(2024, 3, 2), None, "edge"), ("c", 9, None, 1.5, "edge")}
+
+
+def test_wanted_files_only(spark, tmp_path):
+    for i in (1, 2, 3):
+        (tmp_path / f"CIK{i:04d}.json").write_text('{"i": %d}' % i)
+    got = readers.wanted_files(spark, str(tmp_path), spark.createDataFrame([(2,), (3,), (9,)], "cik long"), r"CIK(\d+)\.json", "cik").collect()
+    assert {(r["cik"], r["value"]) for r in got} == {(2, '{"i": 2}'), (3, '{"i": 3}')}
+
+
 def test_splits(spark):
     a = spark.createDataFrame([(1, dt.date(2024, 6, 10), dt.date(2024, 6, 1), 10.0, True)], "k int, e date, known date, ratio double, ok boolean")
     p = spark.createDataFrame([(1, dt.date(2024, 6, 7)), (1, dt.date(2024, 6, 10))], "k int, d date")
@@ -133,8 +297,6 @@ def test_splits(spark):
     bars = [(1, DAY + dt.timedelta(days=i), 100.0 if i < 10 else 50.0, 50.0, 10.0 if i != 10 else 40.0) for i in range(20)]
     c = prices.split_candidates(spark.createDataFrame(bars, "k int, d date, raw double, adj double, vol double"), ["k"], "d", "raw", "adj", "vol").collect()
     assert [(r["d"], r["ratio"]) for r in c] == [(DAY + dt.timedelta(days=10), 2.0)]
-    shares = spark.createDataFrame([(1, i, v) for i, v in enumerate([100, 101, 300, 303])], "k int, t int, v int")
-    assert [r["ratio"] for r in prices.inferred_splits(shares, ["k"], "t", "v").collect()] == [3.0]
 
 
 def test_views_ignore_order_copies_and_the_future(spark):
