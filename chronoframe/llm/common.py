@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, release, shared_dir
 
-__all__ = ["materialise", "release", "restored_id", "shared_dir", "table", "text_id"]
+__all__ = ["drop_held", "held", "materialise", "release", "restored_id", "shared_dir", "table", "text_id"]
+
+T = TypeVar("T")
 
 #: Letters that the contracts lower-case; all others stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: What an operator remembers in a Python worker between tasks; one operator's at a time, as workers serve all in turn.
+_held: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], T]) -> T:
+    """The worker's memory under ``key``, built if it is not there; that of other operators goes."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def drop_held() -> None:
+    _held.clear()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, restored_id, text_id
+from .common import held, materialise, restored_id, text_id
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
@@ -129,9 +129,6 @@ class _Index:
                 yield name, *best
 
 
-_indexes: dict[str, _Index] = {}
-
-
 def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """``(id_col, text_hash, item_id, distance, start, end)``: every item that occurs in a text of ``docs``.
 
@@ -155,10 +152,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         key = uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame], sent=sent, key=key) -> Iterator[pd.DataFrame]:
-            if key not in _indexes:
-                _indexes.clear()
-                _indexes[key] = _Index(sent.value, rate)
-            search = _indexes[key].search
+            search = held(key, lambda: _Index(sent.value, rate)).search
             for b in batches:
                 found = [(d, h, *m) for d, h, t in zip(b["_id"].array, b["_hash"].array, b["_text"], strict=True) for m in search(normalise(t))] if sent.value else []
                 yield pd.DataFrame(found, columns=["_id", "_hash", "_item", "distance", "start", "end"])

@@ -23,7 +23,7 @@ SAMPLE_DOCS = 1500
 #: Standard deviations over a language's own mean cross-entropy beyond which a prediction is rejected.
 REJECT_SIGMAS = 4.0
 #: One in so many of these, by their hash, sets the limit of rejection and trains no model; the least number that sets one.
-CHECK_SHARE, MIN_CHECK = 8, 20
+CHECK_SHARE, MIN_CHECK = 5, 10
 #: Bytes of all models together, which every worker holds.
 MAX_MODEL_BYTES = 1 << 30
 #: Characters beyond which more text makes a prediction no surer.

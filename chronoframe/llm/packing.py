@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import restored_id, text_id
+from .common import held, restored_id, text_id
 
 LENGTH = 4096
 END_ID = 2
@@ -30,8 +30,8 @@ STEP = 128
 LEAST = 32
 #: Tokens planned at a time; a block ends with a document.
 BLOCK = 1 << 21
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 1_000_000
+#: Distinct words of a generation whose ids a Python worker remembers.
+CACHE_WORDS = 350_000
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
@@ -40,50 +40,62 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 _PROBE = "Ab, AB. don't re-DO a1 B22 \u00e9t\u00e9 \u00c9T\u00c9, x,y  z\tw\n\nEnd."
 
 
-class _WordIds(dict):
-    """Word -> its ids as little-endian 32-bit bytes. Words are what single spaces and line ends separate.
+class _WordIds:
+    """Ids of texts as little-endian 32-bit bytes, by those of words, which single spaces and line ends separate.
 
-    Where the tokenizer drops white space, never joins across it and lower-cases, ids of words put
-    together are ids of the text; any other tokenizer is given whole texts.
+    Where the tokenizer drops white space and never joins across it, ids of words put together are ids of
+    the text; any other tokenizer is given whole texts. Words are remembered in two generations: those of
+    the older one that do not occur again are forgotten.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.by_word = True
         self.by_word = self.ids(_PROBE) == self._encode(_PROBE)
 
-    def _encode(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, word: str) -> bytes:
-        core, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if core.isascii() and core.isalpha() and word != (low := core.lower()):  # letters and a mark after them are tokens apart
-            value = self[low] + (self._encode(tail) if tail else b"")
-        else:
-            value = self._encode(word)
-        if len(word) < 64:
-            self[word] = value
-        return value
+    def _learn(self, words: set[str]) -> None:
+        """Find the ids of words that are not known, of all of them at once."""
+        fresh = []
+        for w in words:
+            if (value := self.older.get(w)) is not None or not w:
+                self.known[w] = value or b""
+            else:
+                fresh.append(w)
+        found = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        starts = np.cumsum([0, *(len(w) + 1 for w in fresh)])
+        at = np.searchsorted(np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids)), starts).tolist()
+        data = ids.tobytes()
+        for w, a, b in zip(fresh, at, at[1:], strict=False):
+            self.known[w] = data[4 * a : 4 * b]
 
     def ids(self, text: str) -> bytes:
         if not self.by_word:
             return self._encode(text)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-
-_caches: dict[str, _WordIds] = {}
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        words = text.replace("\n", " ").split(" ")
+        found = list(map(self.known.get, words))
+        fresh = {w for w, x in zip(words, found, strict=True) if x is None}
+        if fresh:
+            self._learn(fresh)
+            found = list(map(self.known.get, words))
+            for w in fresh:
+                if len(w) >= 64:  # such words hardly come again
+                    del self.known[w]
+        return b"".join(found)
 
 
 def _words(file: str) -> _WordIds:
-    if file not in _caches:
-        _caches[file] = _WordIds(file)
-    return _caches[file]
+    return held(("packing", file), lambda: _WordIds(file))
 
 
 def plan_cuts(cuts: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list[int]:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_held, materialise
 
 MIN_WORDS = 10
 #: Per cent of words in repeated windows beyond which a text fails.
@@ -77,6 +77,7 @@ _CHUNK = 1_000_000
 
 
 def _measured_batch(texts: pd.Series) -> pd.DataFrame:
+    drop_held()
     every = ["" if t is None or t != t else t for t in texts]
     at, found = 0, [pd.DataFrame(columns=list(COUNTS), dtype="int64")]
     while at < len(every):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.skew import HOT_SHARE, join_unique
-from .common import materialise, release, restored_id, text_id
+from .common import drop_held, materialise, release, restored_id, text_id
 
 MAX_BITS = 3
 #: Up to so many fingerprints of one variant are compared in one group; larger groups are split.
@@ -316,6 +316,7 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     share = min(1.0, ORDER_DOCS / max(number, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_held()
         for b in batches:
             texts = list(b["_text"])
             for at, end in _chunks(texts):
@@ -340,6 +341,7 @@ def wide_fingerprints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id
     order = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_held()
         for b in batches:
             texts = list(b["_text"])
             for at, end in _chunks(texts):

@@ -123,7 +123,16 @@ def test_toxicity_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = toxicity.toxicity_scores(docs, labels, "held_out").where("held_out").join(labels, "doc_id").collect()
     hits = [r for r in got if r["predicted"]]
-    assert hits and all(r["toxic"] for r in hits) and sum(r["toxic"] for r in hits) >= 0.9 * sum(r["toxic"] for r in got)
+    assert hits and all(r["toxic"] for r in hits) and sum(r["toxic"] for r in hits) >= 0.6 * sum(r["toxic"] for r in got)
+
+
+def test_toxicity_with_more_labels(spark):
+    folder = DATA.replace("sf0.01", "sf0.1")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("held_out", _held(4))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = toxicity.toxicity_scores(docs, labels, "held_out").where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
 
 
 def test_toxicity_edges(spark, nasty, empty):
