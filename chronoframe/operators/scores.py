@@ -29,6 +29,28 @@ def growth_at_price(pe: Column, growth: Column) -> tuple[Column, Column, Column]
     return peg, peg_score(peg), category
 
 
+#: The yield that scores 100, the years looked back, and the weights of yield and steadiness.
+FULL_YIELD, DIVIDEND_YEARS, YIELD_WEIGHT = 0.08, 5, 0.6
+
+
+def dividend_score(actions: DataFrame, prices: DataFrame, key: Sequence[str], day: str, amount: str, session: str, close: str, at: Column) -> DataFrame:
+    """``(key, paid, paying_years, score)`` of keys that paid within the years before ``at``; 0..100.
+
+    The yield is the last 365 days' payments over the latest positive close; without one it scores 0.
+    Steadiness is the share of the calendar years with a payment. Two groupings and a join on the key.
+    """
+    days = DIVIDEND_YEARS * 365 + 1
+    recent = actions.where((F.col(amount) > 0) & (F.col(day) <= at) & (F.datediff(at, day) <= days))
+    paid = recent.groupBy(*key).agg(
+        F.coalesce(F.sum(F.when(F.datediff(at, day) <= 365, F.col(amount))), F.lit(0.0)).alias("paid"),
+        F.count_distinct(F.when(F.year(day) >= F.year(at) - DIVIDEND_YEARS, F.year(day))).alias("paying_years"),
+    )
+    last = prices.where((F.col(session) <= at) & (F.col(close) > 0)).groupBy(*key).agg(F.max_by(close, session).alias("_close"))
+    share = F.coalesce(linear_scale(F.col("paid") / F.col("_close"), 0, FULL_YIELD), F.lit(0.0))
+    steady = F.least(F.lit(100.0), F.col("paying_years") / DIVIDEND_YEARS * 100)
+    return paid.join(last, list(key), "left").select(*key, "paid", "paying_years", (YIELD_WEIGHT * share + (1 - YIELD_WEIGHT) * steady).alias("score"))
+
+
 def yield_and_return(ebit: Column, value: Column, capital: Column) -> tuple[Column, Column]:
     """Earnings yield and return on capital; null over a denominator that is not positive."""
     return F.when(value > 0, ebit / value), F.when(capital > 0, ebit / capital)

@@ -80,6 +80,15 @@ def i18(spark, d):
     return last.select("security_id", r(score, 4).alias("score"), number.alias("signals"))
 
 
+@query("i17_dividend_score", """WITH a AS (SELECT l_suppkey AS security_id, CAST(l_shipdate AS DATE) AS day, l_discount AS dps FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0 AND CAST(l_shipdate AS DATE) BETWEEN DATE '2000-12-31' - 1826 AND DATE '2000-12-31'),
+s AS (SELECT security_id, coalesce(sum(dps) FILTER (WHERE day >= DATE '2000-12-31' - 365), 0) AS paid, count(DISTINCT year(day)) FILTER (WHERE year(day) >= 1995) AS years FROM a GROUP BY 1), p AS (SELECT security_id, max_by(close, session) AS price FROM bars WHERE session <= DATE '2000-12-31' AND close > 0 GROUP BY 1)
+SELECT security_id, years AS paying_years, round(0.6 * coalesce(greatest(0.0, least(100.0, paid / price / 0.08 * 100)), 0) + 0.4 * least(100.0, years / 5 * 100), 4) AS score FROM s LEFT JOIN p USING (security_id)""")
+def i17(spark, d):
+    a = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("security_id"), F.to_date("l_shipdate").alias("day"), F.col("l_discount").alias("dps"))
+    out = scores.dividend_score(a, g.bars(spark, d), K, "day", "dps", "session", "close", F.lit("2000-12-31").cast("date"))
+    return out.select("security_id", "paying_years", r(F.col("score"), 4).alias("score"))
+
+
 @query("i45_calibrated_score", "WITH p AS (SELECT security_id, month, (rank() OVER (PARTITION BY month ORDER BY price) + (count(*) OVER (PARTITION BY month, price) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY month) * 100 AS base, 0.6 * least(1.0, bars / 10) + 0.4 * least(1.0, count(*) OVER (PARTITION BY month, sector) / 20) AS trust, CASE WHEN turnover > 300000 THEN 1.0 ELSE 0.8 END AS inv FROM months) SELECT security_id, month, floor(greatest(0.0, least(100.0, (50 + (base - 50) * trust + 2) * inv)) * 10000 + 0.123456) / 10000 AS score FROM p")
 def i45(spark, d):
     peers = F.count("*").over(Window.partitionBy("month", "sector"))

@@ -46,6 +46,29 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return manifest.join(found, "table").where("rows <> rows_now OR content <> content_now")
 
 
+def open_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot, verified against its manifest first; one that differs is refused."""
+    changed = [r["table"] for r in verify_snapshot(spark, path).select("table").collect()]  # one row a table
+    if changed:
+        raise ValueError(f"tables differ from the manifest: {sorted(changed)}")
+    return {r["table"]: spark.read.parquet(f"{path}/{r['table']}") for r in spark.read.parquet(f"{path}/manifest").select("table").collect()}
+
+
+def export_state(tables: dict[str, DataFrame], root: str, inputs: Sequence[tuple[str, str]], keys: dict[str, Sequence[str]], dates: dict[str, Sequence[str]], previous: str | None = None) -> str:
+    """Several tables of one state written as one snapshot; the path.
+
+    Refused, before anything is written, if a table's ``dates`` are older than those of the ``previous``
+    export, which stays as it is.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if previous is not None:
+        before = open_snapshot(spark, previous)
+        for name, columns in dates.items():
+            if name in before:
+                guard_regression(before[name], tables[name], columns)
+    return write_snapshot(tables, root, inputs, keys)[0]
+
+
 def upsert(base: DataFrame, new: DataFrame, key: Sequence[str], update: bool = True) -> DataFrame:
     """``base`` with ``new`` rows: replacing rows of the same key, or only added where the key is new."""
     both = base.withColumn("_p", F.lit(1 if update else 0)).unionByName(new.withColumn("_p", F.lit(0 if update else 1)))

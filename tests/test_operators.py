@@ -279,6 +279,25 @@ def test_facts_of_filings_in_the_bulk_schema(spark):
     assert {tuple(r) for r in readers.union_of_sources(bulk, edge, ["adsh"]).collect()} == {("a", 1, dt.date(2024, 1, 1), 2.0, "bulk"), ("b", 8, dt.date(2024, 3, 2), None, "edge"), ("c", 9, None, 1.5, "edge")}
 
 
+def test_prices_are_one_verified_snapshot_and_exports_never_go_back(spark, tmp_path):
+    day = lambda n: dt.date(2024, 1, n)
+    frames = lambda n: {
+        "raw": spark.createDataFrame([(i, day(n), 10.0 * i) for i in range(4)], "id int, day date, close double"),
+        "adjusted": spark.createDataFrame([(i, day(n), 5.0 * i, "split") for i in range(4)], "id int, day date, close double, basis string"),
+        "issues": spark.createDataFrame([(9, day(n), "no binding")], "id int, day date, kind string"),
+    }
+    keys = {"raw": ["id", "day"], "adjusted": ["id", "day"], "issues": ["id"]}
+    path = sinks.export_state(frames(2), str(tmp_path), [("n", "2")], keys, {"raw": ["day"]})
+    opened = sinks.open_snapshot(spark, path)
+    assert {n: t.count() for n, t in opened.items()} == {"raw": 4, "adjusted": 4, "issues": 1} and opened["adjusted"].columns == ["id", "day", "close", "basis"]
+    later = sinks.export_state(frames(3), str(tmp_path), [("n", "3")], keys, {"raw": ["day"]}, path)
+    with pytest.raises(ValueError, match="older"):
+        sinks.export_state(frames(1), str(tmp_path), [("n", "1")], keys, {"raw": ["day"]}, later)
+    frames(1)["issues"].write.mode("overwrite").parquet(f"{path}/issues")
+    with pytest.raises(ValueError, match="issues"):
+        sinks.open_snapshot(spark, path)
+
+
 def test_wanted_files_only(spark, tmp_path):
     for i in (1, 2, 3):
         (tmp_path / f"CIK{i:04d}.json").write_text('{"i": %d}' % i)
