@@ -39,9 +39,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialise` that nothing reads any more; other frames are left alone."""
-    for t in tables:
-        if path := t.__dict__.pop("_stored_at", None):
-            jvm = t.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete tables of :func:`materialise` that nothing reads any more; other frames are left alone.
+
+    Spark deletes the shuffles behind a table once the driver's garbage is collected, which this asks for.
+    """
+    stored = [(t, path) for t in tables if (path := t.__dict__.pop("_stored_at", None))]
+    for t, path in stored:
+        sc = t.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    if stored:
+        stored[0][0].sparkSession.sparkContext._jvm.System.gc()
