@@ -177,7 +177,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Words of a shingle, and the least Jaccard similarity that links two texts.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit parts of the fingerprint that discards pairs before their shingles are counted.
-CHECK_PARTS = 8
+CHECK_PARTS = 4
 #: What sets of few shingles add at most to the share of differing bits, and the deviations beyond which a pair is
 #: discarded: a pair of the least similarity is, with a chance of 1e-9.
 FEW_SHINGLES, DISCARD_SIGMAS = 0.04, 6.0
@@ -186,6 +186,8 @@ COPY_BLOCK = 512
 #: Texts, about, whose shingles tell which are common, and how many of these come last in the order. Neither changes
 #: what is found, only how large the groups are.
 ORDER_DOCS, ORDER_SHINGLES = 4000, 500_000
+#: Texts of a group from which on it is worth seeking the one that its groups crowd around most.
+CENTRAL_GROUP = 16
 #: Rejected rows up to which they are broadcast to leave their table; more are joined.
 BROADCAST_REJECTED = 200_000
 #: Characters that are turned into shingles together.
@@ -497,9 +499,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return linked
 
 
-def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, root)`` of every row of ``nodes``."""
-    roots = connected_components(edges).withColumnRenamed("node", "_node")
+def _rooted(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(node, root)`` of every row of ``nodes``; linked: those of the nodes that have an edge."""
+    roots = linked.withColumnRenamed("node", "_node")
     return nodes.select("node").join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
@@ -530,13 +532,14 @@ def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     # shingles that are in more than one of HOT_SHARE texts of the sample: their groups are never brought into one task
     hot = spark.createDataFrame(pd.DataFrame({"key": names[level * HOT_SHARE > max(drawn, 1)].view(np.int64)}), "key long").withColumn("hot", F.lit(True))
     keyed = wide.select("node", F.explode("keys").alias("key")).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    shared = materialise(_by_key(keyed, n=F.count("*")).where("n > 1"), "copies-shared")
+    shared = materialise(_by_key(keyed, n=F.count("*"), first=F.max("node")).where("n > 1"), "copies-shared")
     release(wide)
-    # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
-    crowd = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
-    led = _by_key(shared.join(crowd, "node"), lead=F.max(F.struct("crowd", "node")))
-    led = materialise(led.select("key", "node", "hot", "n", F.col("lead.node").alias("first")), "copies-led")
-    release(shared)
+    # in large groups the text that these crowd around most comes first: of copies that were edited apart, the one they all come from
+    many = shared.where(F.col("n") > CENTRAL_GROUP).drop("first")
+    crowd = many.groupBy("node").agg(F.sum("n").alias("crowd"))
+    central = _by_key(many.join(crowd, "node"), lead=F.max(F.struct("crowd", "node")))
+    central = materialise(central.select("key", "node", "hot", "n", F.col("lead.node").alias("first")), "copies-central")
+    led = shared.where(F.col("n") <= CENTRAL_GROUP).select("key", "node", "hot", "n", "first").unionByName(central)
     bits = _copy_bits(similarity)
     stars = led.where("node <> first").select("node", "first").distinct()
     leads = stars.groupBy("first").agg(F.count("*").alias("_stars")).join(parts.select(F.col("node").alias("first"), F.col("parts").alias("of_first")), "first")
@@ -546,12 +549,13 @@ def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     sets = _sets_of(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct(), texts, docs, id_col, text_col)
     stars = _verified(near, sets, similarity)
     release(near, sets)
-    roots = materialise(_rooted(texts, stars), "copies-roots")
+    linked = materialise(connected_components(stars), "copies-components")  # all other texts are roots of their own
+    roots = materialise(_rooted(texts, linked), "copies-roots")
     # what a group holds beyond its first text's component; the one pair of a group of two is a star's
-    split = led.where("n > 2").join(roots, "node")
+    split = led.where("n > 2").drop("n").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = _by_key(split, lead=F.max(F.when(F.col("node") == F.col("first"), F.col("root")))).withColumn("joined", F.col("root") == F.col("lead"))
-    split = materialise(_by_key(split.drop("lead"), near=F.count_if("joined"), far=F.count_if(~F.col("joined"))).where("far > 0"), "copies-split")
-    release(led)
+    split = materialise(_by_key(split.drop("lead", "first"), near=F.count_if("joined"), far=F.count_if(~F.col("joined"))).where("far > 0"), "copies-split")
+    release(shared, central)
     groups = _blocked(split.join(parts, "node"), "key", block, "parts")
     maybe = materialise(_may_link(groups, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "copies-maybe")
     release(split, parts)
@@ -567,7 +571,7 @@ def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float,
         found = materialise(_alike(_blocked(members.join(sets, "node"), "place", block, "shingles"), similarity), "copies-found")
         release(members, sets)
         if found.limit(1).count():
-            roots = materialise(_rooted(texts, materialise(stars.unionByName(found), "copies-edges")), "copies-roots")
+            roots = materialise(_rooted(texts, connected_components(materialise(stars.unionByName(found), "copies-edges"))), "copies-roots")
     return own, texts.select("node", "words", "more_words", "lowest", "rows").join(roots, "node").drop("node")
 
 
