@@ -563,9 +563,10 @@ def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float,
         # components of what may link: each text is in one, and all that is left to count is within them
         places = connected_components(maybe).select(F.col("node").alias("root"), F.col("root").alias("place"))
         number = materialise(roots.groupBy("root").agg(F.count("*").alias("n")).join(places, "root"), "copies-places")
-        largest = Window.partitionBy("place")
-        number = number.withColumn("joined", F.col("root") == F.max(F.struct("n", "root")).over(largest)["root"])
-        number = number.withColumn("near", F.sum(F.when(F.col("joined"), F.col("n")).otherwise(0)).over(largest)).withColumn("far", F.sum("n").over(largest) - F.col("near"))
+        # the largest root of a place is what its texts are joined to; the rest is compared with all
+        place = number.groupBy("place").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("texts"), F.count("*").alias("_roots"))
+        number = join_unique(number, materialise(place, "copies-place"), ["place"], "_roots")
+        number = number.select("root", "n", "place", (F.col("root") == F.col("top.root")).alias("joined"), F.col("top.n").alias("near"), (F.col("texts") - F.col("top.n")).alias("far"))
         members = materialise(join_unique(roots, materialise(number, "copies-number"), ["root"], "n"), "copies-members")
         sets = _sets_of(members.select("node"), texts, docs, id_col, text_col)
         found = materialise(_alike(_blocked(members.join(sets, "node"), "place", block, "shingles"), similarity), "copies-found")
