@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For each open :func:`scratch` of a thread, the tables made within.
+_scratch = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
@@ -35,6 +42,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if open_now := getattr(_scratch, "open", None):
+        open_now[-1].append(out)
     return out
 
 
@@ -50,3 +59,22 @@ def release(*tables: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
     if stored:
         stored[0][0].sparkSession.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete at the end what :func:`materialise` makes within, but for the tables that are added to the given list.
+
+    What is kept belongs to the scratch around this one, if there is one.
+    """
+    kept: list[DataFrame] = []
+    open_now = _scratch.__dict__.setdefault("open", [])
+    open_now.append([])
+    try:
+        yield kept
+    finally:
+        made = open_now.pop()
+        stay = {t._stored_at for t in kept if "_stored_at" in t.__dict__}
+        if open_now:
+            open_now[-1].extend(t for t in made if t.__dict__.get("_stored_at") in stay)
+        release(*(t for t in made if t.__dict__.get("_stored_at") not in stay))
