@@ -8,9 +8,9 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, release, shared_dir
+from ..storage import materialise, release, scratch, shared_dir
 
-__all__ = ["drop_held", "held", "materialise", "release", "restored_id", "shared_dir", "table", "text_id"]
+__all__ = ["drop_held", "held", "materialise", "release", "restored_id", "scratch", "shared_dir", "table", "text_id"]
 
 T = TypeVar("T")
 

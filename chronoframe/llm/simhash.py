@@ -6,24 +6,25 @@ is a wildcard; an equality on such a variant finds every pair, and the Hamming d
 whole fingerprints verifies it.
 
 Near copies in the sense of a shingle similarity of 0.8 lie further apart than three of 64 bits. Two
-sets that alike share one of their first shingles in any common order, so an equality on those finds
-every pair; a wide fingerprint discards pairs that are far apart, and a recount of shingles verifies.
+sets that alike share a band of their sketches, so an equality on bands finds them; a wide
+fingerprint discards pairs that are far apart, and a count of whole sets of shingles verifies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.skew import HOT_SHARE, join_unique
-from .common import drop_held, materialise, release, restored_id, text_id
+from ..operators.skew import HOT_SHARE, join_unique, small
+from .common import materialise, restored_id, text_id
+from .copies import COPY_BLOCK, bits_near, named_rows, set_classes, wide_bits
 
 MAX_BITS = 3
 #: Up to so many fingerprints of one variant are compared in one group; larger groups are split.
@@ -141,7 +142,9 @@ def fingerprint_links(fps: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFra
     """
     crowded = F.broadcast(_crowded(fps))
     variant = _variants(fps)
-    shared = variant.join(crowded, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    cool = variant.join(crowded, "key", "left_anti")
+    counts = materialise(cool.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_rows", F.col("n")), "simhash-counts")
+    shared = join_unique(cool, counts, ["key"], "_rows")
     cold = shared.where(F.col("n") <= group_limit).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     masks = [0xFFFFFFFF & ~sum(0xF << 4 * k for k in out) for out in combinations(range(8), MAX_BITS)]
     hot = (
@@ -172,188 +175,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return join_unique(own, by_fp, ["fp"], "rows").select(id_col, "fp", "component")
 
 
-# Near copies: five-word shingles at a similarity of 0.8 or more, by their first shingles in a common order.
+# Near copies: five-word shingles at a similarity of 0.8 or more, found by bands of sketches and screened by wide fingerprints.
 
 #: Words of a shingle, and the least Jaccard similarity that links two texts.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Coordinates of a sketch and how many make a band: two sets at the similarity share no band with a chance of 5e-8.
+COPY_COORDS, COPY_BAND = 128, 4
 #: 64-bit parts of the fingerprint that discards pairs before their shingles are counted.
 CHECK_PARTS = 8
 #: What sets of few shingles add at most to the share of differing bits, and the deviations beyond which a pair is
 #: discarded: a pair of the least similarity is, with a chance of 1e-9.
 FEW_SHINGLES, DISCARD_SIGMAS = 0.04, 6.0
-#: Texts of one group that are compared in one task.
-COPY_BLOCK = 512
-#: Texts, about, whose shingles tell which are common, and how many of these come last in the order. Neither changes
-#: what is found, only how large the groups are.
-ORDER_DOCS, ORDER_SHINGLES = 4000, 500_000
 #: Rejected rows up to which they are broadcast to leave their table; more are joined.
 BROADCAST_REJECTED = 200_000
-#: Characters that are turned into shingles together.
-_CHUNK = 500_000
-
-#: Odd factors that draw independent parts from one hash.
-_ODD = np.arange(1, 65, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: The factor of words' polynomials and its inverse modulo 2**64.
-_FACTOR = np.uint64(0xD1342543DE82EF95)
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-#: Each bit of a byte as a byte of its own, so that one addition counts eight bits.
-_LANES = np.array([sum((b >> (7 - k) & 1) << 8 * k for k in range(8)) for b in range(256)], dtype=np.uint64)
-_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= _CHUNK):
-            size += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
-
-
-@lru_cache(maxsize=2)
-def _powers(number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Running products of the polynomials' factor and of its inverse."""
-    return np.cumprod(np.full(number + 1, _FACTOR)), np.cumprod(np.full(number + 1, _INVERSE))
-
-
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased, between ASCII white space), and how many each text has.
-
-    A word's hash is a polynomial of its bytes, taken from running sums over all texts at once.
-    """
-    each = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"\n".join([*each, b""]), dtype=np.uint8)
-    inside = ~_SPACE[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(1 << (len(data) - 1).bit_length())
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * power[: len(data)])))
-    flat = _mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-    size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) + 1
-    return flat, np.bincount(np.searchsorted(np.cumsum(size), begin, side="right"), minlength=len(each))
-
-
-def _sequences(flat: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Two hashes of each text's sequence of words."""
-    begins = np.cumsum(number) - number
-    place = _mix((np.arange(len(flat)) - np.repeat(begins, number)).astype(np.uint64) * _FACTOR + np.uint64(1))
-    out = np.zeros((len(number), 2), dtype=np.uint64)
-    some = number > 0
-    for k in range(2):
-        if some.any():
-            out[some, k] = np.add.reduceat(_mix(flat * _ODD[k + 3] + place), begins[some])
-    return out.view(np.int64)
-
-
-def _shingle_sets(words: tuple[np.ndarray, np.ndarray], size: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """``(shingles, ends)``: the sorted distinct hashes of each text's shingles, one text after another.
-
-    A text of fewer words than a shingle is one shingle, a wordless text has none.
-    """
-    flat, number = words
-    begins = np.cumsum(number) - number
-    held = np.where(number > 0, np.maximum(number - size + 1, 1), 0)
-    ends = np.cumsum(held)
-    rank, whole = np.zeros(len(flat), dtype=np.uint64), max(len(flat) - size + 1, 0)
-    for k in range(size):  # of windows that lie in one text
-        rank[:whole] = _mix(rank[:whole] + flat[k : whole + k] + np.uint64(k))
-    for i in np.flatnonzero((number > 0) & (number < size)).tolist():  # all words of a short one
-        value = np.zeros(1, dtype=np.uint64)
-        for k in range(number[i]):
-            value = _mix(value + flat[begins[i] + k] + np.uint64(k))
-        rank[begins[i]] = value[0]
-    rank = rank[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + held, held)]
-    for a, b in zip((ends - held).tolist(), ends.tolist(), strict=True):
-        rank[a:b].sort()
-    new = np.ones(len(rank), dtype=bool)
-    new[1:] = rank[1:] != rank[:-1]
-    new[(ends - held)[held > 0]] = True
-    sums = np.concatenate(([0], np.cumsum(new)))
-    return rank[new], sums[ends]
-
-
-def _wide(shingles: np.ndarray, ends: np.ndarray, parts: int) -> np.ndarray:
-    """Fingerprints of ``parts`` times 64 bits, one row for each of the sets."""
-    size = np.diff(np.concatenate(([0], ends)))
-    runs = -(-size // 255)  # a byte holds the sum of so many bits
-    first = np.cumsum(runs) - runs
-    starts = np.repeat(ends - size - 255 * first, runs) + 255 * np.arange(runs.sum())
-    counts = np.zeros((len(ends), 64 * parts), dtype=np.int32)
-    for part in range(parts if len(starts) else 0):
-        mixed = _mix(shingles * _ODD[part] + _ODD[parts - 1]).view(np.uint8).reshape(-1, 8)
-        sums = np.stack([np.add.reduceat(_LANES[mixed[:, k]], starts) for k in range(8)], axis=1).view(np.uint8)
-        counts[runs > 0, 64 * part : 64 * part + 64] = np.add.reduceat(sums, first[runs > 0], axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > size[:, None], axis=1).view(np.uint64)
-
-
-def _first_shingles(shingles: np.ndarray, ends: np.ndarray, common: np.ndarray, level: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """Of each set so many shingles, uncommon ones first, that two sets at ``similarity`` or more share one of them."""
-    size = np.diff(np.concatenate(([0], ends)))
-    number = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-    doc = np.repeat(np.arange(len(ends)), size)
-    rank = np.zeros(len(shingles), dtype=np.int64)
-    if len(common) and len(shingles):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, level[at], 0)
-    order = np.lexsort((shingles, rank, doc))
-    ordered = shingles[order].view(np.int64)
-    return [ordered[e - n : e - n + k] if n else ordered[:0] for e, n, k in zip(ends.tolist(), size.tolist(), number.tolist(), strict=True)]
-
-
-def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted shingles that a sample of column ``_text`` holds more than once, in how many of its texts, and its size, about."""
-    number = texts.count()
-    share = min(1.0, ORDER_DOCS / max(number, 1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drop_held()
-        for b in batches:
-            texts = list(b["_text"])
-            for at, end in _chunks(texts):
-                yield pd.DataFrame({"shingle": _shingle_sets(_words(texts[at:end]))[0].view(np.int64)})
-
-    counts = texts.sample(share, seed=5).distinct().mapInPandas(run, "shingle long").groupBy("shingle").count().where("count > 1")
-    found = counts.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas()  # bounded by the limit
-    names, count = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
-    order = np.argsort(names)
-    return names[order], count[order], share * number
-
-
-def wide_fingerprints(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(id_col, text_hash, words, more_words, keys, parts)``, one row per row of ``docs``.
-
-    words and more_words are hashes of the sequence of words (A-Z lower-cased, ASCII white space), alike
-    for texts that differ in neither; keys are the first of the text's shingles, of which texts at
-    ``similarity`` share one; parts are 64-bit longs. A null or wordless text is the empty sequence.
-    ``common``: shingles that come last in the order, and their levels.
-    """
-    rows = docs.select(text_id(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("_text"))
-    order = docs.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drop_held()
-        for b in batches:
-            texts = list(b["_text"])
-            for at, end in _chunks(texts):
-                words = _words(texts[at:end])
-                whole = _sequences(*words)
-                shingles, ends = _shingle_sets(words)
-                keys = _first_shingles(shingles, ends, *order.value, similarity)
-                parts = _wide(shingles, ends, CHECK_PARTS).view(np.int64)
-                yield pd.DataFrame({"_id": b["_id"].iloc[at:end].array, "text_hash": b["text_hash"].iloc[at:end].array, "words": whole[:, 0], "more_words": whole[:, 1], "keys": keys, "parts": list(parts)})
-
-    out = rows.mapInPandas(run, "_id string, text_hash long, words long, more_words long, keys array<long>, parts array<long>")
-    return restored_id(out, docs, id_col)
 
 
 def _copy_bits(similarity: float) -> int:
@@ -363,235 +197,27 @@ def _copy_bits(similarity: float) -> int:
     return int(number * share + DISCARD_SIGMAS * np.sqrt(number * share * (1 - share)))
 
 
-class _Trees:
-    """Union-find over longs."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = x = self.parent.get(up, up)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _may_link(groups: DataFrame, bits: int) -> DataFrame:
-    """Edges ``(u, v)`` between roots that have texts of near fingerprints in a group: a spanning forest of each group.
-
-    groups: arrays ``node, root, joined, parts``; only texts that are not joined are compared with all.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            u, v = [], []
-            for roots, joined, parts in zip(b["root"], b["joined"], b["parts"], strict=True):
-                parts, trees = np.stack(list(parts)).view(np.uint64), _Trees()
-                for x in np.flatnonzero(~np.asarray(joined, dtype=bool)).tolist():
-                    near = np.bitwise_count(parts ^ parts[x]).sum(axis=1, dtype=np.int64) <= bits
-                    for r in np.unique(roots[near]).tolist():
-                        if trees.join(int(roots[x]), r):
-                            u.append(int(roots[x]))
-                            v.append(r)
-            yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
-
-    return groups.select("root", "joined", "parts").mapInPandas(run, "u long, v long")
-
-
-def _alike(groups: DataFrame, similarity: float) -> DataFrame:
-    """Edges ``(u, v)`` between texts whose sets of shingles have the Jaccard similarity: a spanning forest of each group's roots.
-
-    groups: arrays ``node, root, joined, shingles``; only texts that are not joined are compared with all.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            u, v = [], []
-            for nodes, roots, joined, sets in zip(b["node"], b["root"], b["joined"], b["shingles"], strict=True):
-                size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-                some = size > 0  # wordless texts are one text already
-                names, flat = np.unique(np.concatenate(list(sets)), return_inverse=True)
-                starts, flags, trees = (np.cumsum(size) - size), np.zeros(len(names), dtype=np.int32), _Trees()
-                for x in np.flatnonzero(~np.asarray(joined, dtype=bool) & some).tolist():
-                    own = flat[starts[x] : starts[x] + size[x]]
-                    flags[own] = 1
-                    common = np.zeros(len(size), dtype=np.int64)
-                    common[some] = np.add.reduceat(flags[flat], starts[some])
-                    flags[own] = 0
-                    for y in np.flatnonzero(common >= similarity * (size + size[x] - common)).tolist():
-                        if y != x and some[y] and trees.join(int(roots[x]), int(roots[y])):
-                            u.append(int(nodes[x]))
-                            v.append(int(nodes[y]))
-            yield pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
-
-    return groups.select("node", "root", "joined", "shingles").mapInPandas(run, "u long, v long")
-
-
-def _blocked(rows: DataFrame, key: str, block: int, *values: str) -> DataFrame:
-    """Rows ``(key, node, root, joined, near, far, *values)`` as groups of arrays; near and far: rows of a key that are joined or not.
-
-    A key of more than ``block`` rows is dealt to blocks, of which each pair is a group, but for pairs of
-    which all rows are joined.
-    """
-    some = rows.where(F.col("near") + F.col("far") <= block).withColumn("a", F.lit(0).cast("long")).withColumn("b", F.lit(0).cast("long"))
-    blocks = lambda n: F.ceil(F.col(n) * 2 / block)
-    # blocks of the rest come first and meet all blocks; blocks of what is joined already meet only those of the rest
-    many = rows.where(F.col("near") + F.col("far") > block).withColumn("_far", blocks("far")).withColumn("_near", blocks("near"))
-    many = many.withColumn("_own", F.when(F.col("joined"), F.col("_far") + F.pmod(F.xxhash64("node"), F.col("_near"))).otherwise(F.pmod(F.xxhash64("node"), F.col("_far"))))
-    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("joined"), F.col("_far")).otherwise(F.col("_far") + F.col("_near")) - 1)))
-    many = many.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other"))
-    columns = ("node", "root", "joined", *values)
-    listed = some.select(key, "a", "b", *columns).unionByName(many.select(key, "a", "b", *columns)).groupBy(key, "a", "b").agg(F.collect_list(F.struct(*columns)).alias("m"))
-    return listed.where(F.size("m") > 1).select(*(F.col(f"m.{c}").alias(c) for c in columns))
-
-
-def _sets_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(node, shingles)`` of the texts in ``nodes``.
-
-    texts: ``(node, lowest, text_hash)``. A text's body is taken from its row of the least id in ``docs``,
-    so that rows with copies of one text are spread by their ids and never meet in one task.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            bodies = list(b["_text"])
-            for at, end in _chunks(bodies):
-                shingles, ends = _shingle_sets(_words(bodies[at:end]))
-                yield pd.DataFrame({"node": b["node"].iloc[at:end].array, "shingles": np.split(shingles.view(np.int64), ends[:-1])})
-
-    wanted = texts.select("node", F.col("lowest.id").alias("w_id"), F.coalesce("lowest.text_hash", "text_hash").alias("w_hash")).join(nodes, "node", "left_semi")
-    wanted = materialise(wanted, "copies-wanted")
-    bodies = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
-    found = bodies.join(wanted, F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_hash") == F.col("w_hash"))).groupBy("node").agg(F.min("_text").alias("_text"))
-    sets = materialise(found.mapInPandas(run, "node long, shingles array<long>"), "copies-sets")
-    release(wanted)
-    return sets
-
-
-def _near_stars(stars: DataFrame, bits: int) -> DataFrame:
-    """The pairs ``(u, v)`` of ``(node, parts, first, of_first)`` whose fingerprints are near."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                a, c = (np.stack(list(b[x])).view(np.uint64) for x in ("parts", "of_first"))
-                near = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64) <= bits
-                yield pd.DataFrame({"u": b["node"][near], "v": b["first"][near]})
-
-    return stars.select("node", "parts", "first", "of_first").mapInPandas(run, "u long, v long")
+def _wide_parts(shingles: np.ndarray, ends: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    return wide_bits(shingles, ends, CHECK_PARTS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(u, v)`` of nodes whose sets of shingles have the Jaccard similarity; many pairs may have one v."""
-    left = materialise(pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u")), "u"), "copies-left")
-    crowd = pairs.groupBy("v").agg(F.count("*").alias("_pairs"))
-    right = materialise(sets.join(crowd, F.col("node") == F.col("v")).select("v", F.col("shingles").alias("_v"), "_pairs"), "copies-right")
-    both = F.size(F.array_intersect("_u", "_v"))
-    linked = join_unique(left, right, ["v"], "_pairs").where(both >= similarity * (F.size("_u") + F.size("_v") - both))
-    linked = materialise(linked.select("u", "v"), "copies-linked")
-    release(left, right)
-    return linked
-
-
-def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, root)`` of every row of ``nodes``."""
-    roots = connected_components(edges).withColumnRenamed("node", "_node")
-    return nodes.select("node").join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def _by_key(rows: DataFrame, **values: Column) -> DataFrame:
-    """``rows`` with aggregates over column ``key``. Keys marked ``hot``, a bounded number, are aggregated apart and broadcast."""
-    group = Window.partitionBy("key")
-    cold = rows.where("NOT hot").select("*", *(v.over(group).alias(n) for n, v in values.items()))
-    hot = rows.where("hot")
-    found = hot.groupBy(F.col("key").alias("_key")).agg(*(v.alias(n) for n, v in values.items()))
-    return cold.unionByName(hot.join(F.broadcast(found), F.col("key") == F.col("_key")).drop("_key"))
-
-
-def _copy_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """``(own, texts)``: :func:`wide_fingerprints` of all rows, and ``(words, more_words, lowest, rows, root)`` of each text.
-
-    lowest is the least ``(id, text_hash)`` of the rows of a text that have an id.
-    """
-    spark = docs.sparkSession
-    names, level, drawn = _common_shingles(docs.select(F.col(text_col).cast("string").alias("_text")))
-    every = materialise(wide_fingerprints(docs.select(id_col, text_col), (names, level), id_col, text_col, similarity), "copies-all")
-    whom = F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), "text_hash"))).alias("lowest")
-    wide = every.groupBy("words", "more_words").agg(whom, F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"), F.first("parts").alias("parts"))
-    wide = materialise(wide.withColumn("node", F.monotonically_increasing_id()), "copies-wide")
-    own = materialise(every.select(id_col, "text_hash", "words", "more_words"), "copies-rows")
-    release(every)
-    texts = materialise(wide.drop("keys", "parts"), "copies-texts")
-    parts = materialise(wide.select("node", "parts"), "copies-parts")
-    # shingles that are in more than one of HOT_SHARE texts of the sample: their groups are never brought into one task
-    hot = spark.createDataFrame(pd.DataFrame({"key": names[level * HOT_SHARE > max(drawn, 1)].view(np.int64)}), "key long").withColumn("hot", F.lit(True))
-    keyed = wide.select("node", F.explode("keys").alias("key")).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    shared = materialise(_by_key(keyed, n=F.count("*")).where("n > 1"), "copies-shared")
-    release(wide)
-    # the text that its groups crowd around most: of copies that were edited apart, the one they all come from
-    crowd = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
-    led = _by_key(shared.join(crowd, "node"), lead=F.max(F.struct("crowd", "node")))
-    led = materialise(led.select("key", "node", "hot", "n", F.col("lead.node").alias("first")), "copies-led")
-    release(shared)
-    bits = _copy_bits(similarity)
-    stars = led.where("node <> first").select("node", "first").distinct()
-    leads = stars.groupBy("first").agg(F.count("*").alias("_stars")).join(parts.select(F.col("node").alias("first"), F.col("parts").alias("of_first")), "first")
-    stars, leads = materialise(stars.join(parts, "node"), "copies-stars"), materialise(leads, "copies-leads")
-    near = materialise(_near_stars(join_unique(stars, leads, ["first"], "_stars"), bits), "copies-near")
-    release(stars, leads)
-    sets = _sets_of(near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct(), texts, docs, id_col, text_col)
-    stars = _verified(near, sets, similarity)
-    release(near, sets)
-    roots = materialise(_rooted(texts, stars), "copies-roots")
-    # what a group holds beyond its first text's component; the one pair of a group of two is a star's
-    split = led.where("n > 2").join(roots, "node")
-    split = _by_key(split, lead=F.max(F.when(F.col("node") == F.col("first"), F.col("root")))).withColumn("joined", F.col("root") == F.col("lead"))
-    split = materialise(_by_key(split.drop("lead"), near=F.count_if("joined"), far=F.count_if(~F.col("joined"))).where("far > 0"), "copies-split")
-    release(led)
-    groups = _blocked(split.join(parts, "node"), "key", block, "parts")
-    maybe = materialise(_may_link(groups, bits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "copies-maybe")
-    release(split, parts)
-    if maybe.limit(1).count():
-        # components of what may link: each text is in one, and all that is left to count is within them
-        places = connected_components(maybe).select(F.col("node").alias("root"), F.col("root").alias("place"))
-        number = materialise(roots.groupBy("root").agg(F.count("*").alias("n")).join(places, "root"), "copies-places")
-        largest = Window.partitionBy("place")
-        number = number.withColumn("joined", F.col("root") == F.max(F.struct("n", "root")).over(largest)["root"])
-        number = number.withColumn("near", F.sum(F.when(F.col("joined"), F.col("n")).otherwise(0)).over(largest)).withColumn("far", F.sum("n").over(largest) - F.col("near"))
-        members = materialise(join_unique(roots, materialise(number, "copies-number"), ["root"], "n"), "copies-members")
-        sets = _sets_of(members.select("node"), texts, docs, id_col, text_col)
-        found = materialise(_alike(_blocked(members.join(sets, "node"), "place", block, "shingles"), similarity), "copies-found")
-        release(members, sets)
-        if found.limit(1).count():
-            roots = materialise(_rooted(texts, materialise(stars.unionByName(found), "copies-edges")), "copies-roots")
-    return own, texts.select("node", "words", "more_words", "lowest", "rows").join(roots, "node").drop("node")
+def _copy_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
+    near = partial(bits_near, _copy_bits(similarity))
+    return set_classes(docs, id_col, text_col, COPY_SHINGLE, COPY_COORDS, COPY_BAND, _wide_parts, near, similarity, block)
 
 
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
     """``(id_col, component)``: one row per row of ``docs`` with the smallest id it is linked to.
 
-    Texts link if the Jaccard similarity of their sets of five-word shingles is ``similarity`` or more.
-    Such texts share one of their first shingles, which make the groups; pairs whose wide fingerprints
-    lie far apart are discarded and the others' shingles counted. Texts of the same words meet before
-    any comparison. Every text is first compared with the most central text of each of its groups,
-    which joins almost all of a large group without forming its pairs. What a group holds beyond that
-    text's component may link with the rest of it where fingerprints are near; the components of what
-    may link are small, and the sets of each are counted within one task, or in pairs of blocks of
-    ``block`` texts. Tasks give the edges of spanning trees, never all pairs of a group.
+    Texts link if the Jaccard similarity of their sets of five-word shingles is ``similarity`` or more. Such texts
+    share a band of their sketches, which makes the groups; pairs whose wide fingerprints lie far apart are discarded
+    and the others' whole sets counted: see :func:`copies.alike_roots`. Texts of one set meet before any comparison.
     Null and wordless texts are copies of one another; null ids never name a component. Repeated
     rows each get their row, rows of one id with different texts are told apart; an empty table gives
     an empty result.
     """
-    own, texts = _copy_groups(docs, id_col, text_col, similarity, block)
-    named = materialise(texts, "copies-named")
-    lowest = materialise(named.groupBy("root").agg(F.min("lowest")["id"].alias("component"), F.count("*").alias("texts")), "copies-lowest")
-    by_text = join_unique(named, lowest, ["root"], "texts").select("words", "more_words", "component", "rows")
-    rows = own.select(id_col, "words", "more_words")
-    return join_unique(rows, materialise(by_text, "copies-components"), ["words", "more_words"], "rows").select(id_col, "component")
+    own, texts = _copy_classes(docs, id_col, text_col, similarity, block)
+    return own.drop("text_hash", "size").transform(named_rows, texts, id_col).select(id_col, "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
@@ -599,16 +225,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows are told by id and text: of two different texts under one id each stays that has no copy with
     a smaller id, and repeated rows stay once. Rows without an id stay, as nothing names them. Rejected
-    rows up to :data:`BROADCAST_REJECTED` are broadcast, so that no text is shuffled.
+    rows up to :data:`BROADCAST_REJECTED` are broadcast, so that no text is shuffled; more are joined once.
     """
-    own, texts = _copy_groups(docs, id_col, text_col, similarity, block)
+    own, texts = _copy_classes(docs, id_col, text_col, similarity, block)
     kept = texts.groupBy("root").agg(F.min("lowest").alias("k")).where("k IS NOT NULL").select(F.col("k.id").alias(id_col), F.col("k.text_hash").alias("text_hash"))
     rows = own.where(F.col(id_col).isNotNull()).groupBy(id_col, "text_hash").agg(F.count("*").alias("_rows"))
     marked = materialise(rows.join(kept.withColumn("_kept", F.lit(True)), [id_col, "text_hash"], "left").where("_kept IS NULL OR _rows > 1"), "copies-marked")
-    gone, often = marked.where("_kept IS NULL").select(id_col, "text_hash"), marked.where("_kept").select(id_col, "text_hash")
-    if marked.count() <= BROADCAST_REJECTED:
-        gone, often = F.broadcast(gone), F.broadcast(often)
+    keys = [id_col, "text_hash"]
     keyed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))  # names of other columns cannot clash
-    stay = keyed.join(gone, [id_col, "text_hash"], "left_anti")
-    once = stay.join(often, [id_col, "text_hash"], "left_semi").dropDuplicates([id_col, "text_hash"])
-    return stay.join(often, [id_col, "text_hash"], "left_anti").unionByName(once).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
+    stay = keyed.join(small(marked.select(*keys), BROADCAST_REJECTED), keys, "left_anti")
+    once = keyed.join(small(marked.where("_kept").select(*keys), BROADCAST_REJECTED), keys, "left_semi").dropDuplicates(keys)
+    return stay.unionByName(once).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
