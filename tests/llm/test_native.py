@@ -219,7 +219,10 @@ def test_url_scores_equal_plain(spark):
 
 def test_url_limit_is_least_wrong():
     row = lambda b, a, k: {"bin": b, "allow": a, "block": k}
-    assert url_filter._limit([row(-50, 0, 9), row(-10, 1, 1), row(30, 8, 0)], (1, 1)) == pytest.approx((-9 + 30) / 2 * url_filter.BIN)
+    # after bin -50 one of ten blocked is on the wrong side, after bin -10 one of nine allowed, which is worse
+    assert url_filter._limit([row(-50, 0, 9), row(-10, 1, 1), row(30, 8, 0)], (1, 1)) == pytest.approx((-49 - 10) / 2 * url_filter.BIN)
+    assert url_filter._limit([row(-50, 0, 8), row(-10, 1, 2), row(30, 9, 0)], (1, 1)) == pytest.approx((-9 + 30) / 2 * url_filter.BIN)
+    assert url_filter._limit([row(-50, 0, 9), row(-10, 1, 1), row(30, 9, 0)], (1, 1)) == pytest.approx((-49 - 10) / 2 * url_filter.BIN)  # the first of equals
     assert url_filter._limit([], (1, 1)) == 0 and url_filter._limit([row(0, 1, 0)], (1, 1)) == 0
     assert url_filter._limit([row(0, 1, 0)], (1, 0)) < -url_filter.MOST and url_filter._limit([row(0, 0, 1)], (0, 1)) > url_filter.MOST
 

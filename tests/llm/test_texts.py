@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from chronoframe.llm import decontam, packing, quality, simhash
-from chronoframe.operators import components
+from chronoframe.llm import copies, decontam, packing, quality, simhash
+from chronoframe.operators import components, skew
 
 SF = "/root/testdata/sf0.001"
 
@@ -213,9 +214,11 @@ def _copies(texts, ids, similarity=0.8):
     return [low[find(i)] for i in range(len(ids))]
 
 
-@pytest.mark.parametrize(("block", "share"), [(4, 200), (512, 0)])
-def test_near_copies_equal_all_pairs(spark, monkeypatch, block, share):
-    monkeypatch.setattr(simhash, "HOT_SHARE", share)  # all common shingles are hot, or none
+@pytest.mark.parametrize(("block", "share", "wanted"), [(4, 10**9, 0), (512, 200, 10**6)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, block, share, wanted):
+    monkeypatch.setattr(skew, "HOT_SHARE", share)  # all keys are hot, or none
+    monkeypatch.setattr(copies, "BROADCAST_WANTED", wanted)
+    monkeypatch.setattr(copies, "BITMAP_BITS", 256)  # so small that most rows pass it
     rng = random.Random(block)
     vocabulary = ["".join(rng.choice("abcdeiou") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
     rows = []
@@ -280,13 +283,14 @@ def test_groups_give_spanning_trees_of_what_may_link(spark):
     rng = random.Random(3)
     own = lambda: [rng.getrandbits(64) - (1 << 63) for _ in range(simhash.CHECK_PARTS)]
     one = own()
+    near = partial(copies.bits_near, 100)
     rows = [(1, i, i, False, 0, 50, one if i % 7 == 0 else own()) for i in range(50)]
     df = spark.createDataFrame(rows, "key long, node long, root long, joined boolean, near long, far long, parts array<long>")
     for block in (8, 64):
-        edges = simhash._may_link(simhash._blocked(df, "key", block, "parts"), 100).distinct()
+        edges = copies._may_link(copies._blocked(df, "key", block, "parts"), near).distinct()
         roots = components.connected_components(edges).collect()
         assert {r["node"] for r in roots} == set(range(0, 50, 7)) and {r["root"] for r in roots} == {0}
-    assert simhash._may_link(simhash._blocked(df, "key", 64, "parts"), 100).count() == 7
+    assert copies._may_link(copies._blocked(df, "key", 64, "parts"), near).count() == 7
 
 
 def test_near_copy_edges(spark, nasty, empty):
