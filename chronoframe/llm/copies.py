@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.skew import join_unique
+from ..operators.skew import join_unique, small
 from .common import drop_held, materialise, release, restored_id, scratch, text_id
 
 #: Nodes of one key that are compared in one task.
 COPY_BLOCK = 512
 #: Rows up to which those whose sets are asked for are broadcast to the scan; beyond it a bitmap of their keys is.
 BROADCAST_WANTED = 300_000
-#: Bits of that bitmap. More rows than bits make it useless, not wrong.
+#: Keys of more than two nodes up to which they are broadcast to all rows of keys.
+BROADCAST_KEYS = 1_000_000
+#: Bits of the bitmap of wanted keys. More rows than bits make it useless, not wrong.
 BITMAP_BITS = 1 << 26
 #: Characters that are turned into shingles together.
 _CHUNK = 500_000
@@ -348,16 +350,16 @@ def sets_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, te
             bodies = list(b["_text"])
             for at, end in _chunks(bodies):
                 shingles, ends = _shingle_sets(_words(bodies[at:end]), shingle)
-                yield pd.DataFrame({"_key": b["_key"].iloc[at:end].array, "_hash": b["_hash"].iloc[at:end].array, "shingles": np.split(shingles.view(np.int64), ends[:-1])})
+                named = ("node",) if bits is None else ("_key", "_hash")
+                yield pd.DataFrame({**{c: b[c].iloc[at:end].array for c in named}, "shingles": np.split(shingles.view(np.int64), ends[:-1])})
 
     bits = None
     if wanted.count() <= BROADCAST_WANTED:
-        rows = rows.join(F.broadcast(wanted.select("key", "w_id", "w_hash")), same).select("_key", "_hash", "_text")
+        found = rows.join(F.broadcast(wanted), same).select("_key", "_hash", "_text", "node").mapInPandas(run, "node long, shingles array<long>")
     else:
         bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
-        rows = rows.select("_key", "_hash", "_text")
-    found = rows.mapInPandas(run, "_key long, _hash long, shingles array<long>")
-    found = wanted.select("node", "key", "w_hash").join(found, (F.col("key") == F.col("_key")) & (F.col("w_hash") == F.col("_hash"))).select("node", "shingles")
+        found = rows.select("_key", "_hash", "_text", F.lit(None).cast("long").alias("node")).mapInPandas(run, "_key long, _hash long, shingles array<long>")
+        found = wanted.select("node", "key", "w_hash").join(found, (F.col("key") == F.col("_key")) & (F.col("w_hash") == F.col("_hash"))).select("node", "shingles")
     sets = materialise(found, "copies-sets")
     if sets.groupBy("node").count().where("count > 1").limit(1).count():
         once = materialise(sets.dropDuplicates(["node"]), "copies-sets")
@@ -381,8 +383,9 @@ def _near_stars(stars: DataFrame, near: Near) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(u, v)`` of nodes whose sets of shingles have the Jaccard similarity; many pairs may have one v."""
-    left = materialise(pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u")), "u"), "copies-left")
-    crowd = pairs.groupBy("v").agg(F.count("*").alias("_pairs"))
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("_u")).join(small(pairs, BROADCAST_WANTED), "u")
+    left = materialise(left.select("u", "v", "_u"), "copies-left")
+    crowd = small(pairs.groupBy("v").agg(F.count("*").alias("_pairs")), BROADCAST_WANTED)
     right = materialise(sets.join(crowd, F.col("node") == F.col("v")).select("v", F.col("shingles").alias("_v"), "_pairs"), "copies-right")
     both = F.size(F.array_intersect("_u", "_v"))
     linked = join_unique(left, right, ["v"], "_pairs").where(_enough(both, F.size("_u") + F.size("_v") - both, similarity))
@@ -421,8 +424,13 @@ def alike_roots(nodes: DataFrame, near: Near, sets: Callable[[DataFrame], DataFr
     """
     with scratch() as kept:
         keyed = nodes.select("node", F.explode("keys").alias("key"))
-        counts = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_rows", F.col("n")), "copies-counts")
-        shared = materialise(join_unique(keyed, counts, ["key"], "_rows"), "copies-shared")
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+        counts = materialise(counts, "copies-counts")
+        two = counts.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"), "n")  # the aggregate holds both nodes
+        many = counts.where("n > 2").select("key", "n", F.col("n").alias("_rows"))
+        few = many.count() <= BROADCAST_KEYS
+        many = keyed.join(F.broadcast(many.drop("_rows")), "key") if few else join_unique(keyed, many, ["key"], "_rows")
+        shared = materialise(two.unionByName(many), "copies-shared")
         # the node that its groups crowd around most: of copies that were edited apart, the one they all come from
         crowd = shared.groupBy("node").agg(F.sum("n").alias("crowd"))
         led = materialise(shared.join(crowd, "node"), "copies-crowd")
