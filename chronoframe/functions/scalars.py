@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what stands for them, in order.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿğışß"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyygiss"
+# The legal suffixes that a stem drops.
+LEGAL_SUFFIXES = ("co", "company", "corp", "corporation", "group", "holding", "holdings", "inc", "incorporated", "limited", "llc", "ltd", "plc")
 
 
 def safe_ratio(n: Column, d: Column, positive: bool = True) -> Column:
@@ -21,16 +22,41 @@ def safe_growth(now: Column, before: Column) -> Column:
     return F.when(before != 0, (now - before) / F.abs(before))
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """By the rule of Unicode, for code points up to U+2FFF and of the presentation forms: letters and the one that stands for each, marks to drop last; and those that become several."""
+    one, drop, several = {}, "", {}
+    for cp in (*range(0x80, 0x3000), *range(0xFB00, 0xFB50), *range(0xFF00, 0xFFF0)):
+        c = chr(cp)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).casefold()) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            one[c] = plain
+        elif not plain:
+            drop += c
+        elif len(plain) > 1:
+            several[c] = plain
+    return "".join(one) + drop, "".join(one.values()), several
+
+
+def fold(text: Column) -> Column:
+    """Compatibility decomposition without marks, and full case folding: ``Straße`` and ``STRASSE``, ``ﬁ`` and ``fi`` are one."""
+    letters, plain, several = _foldings()
+    each = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    found = F.rlike(text, F.lit("[" + "".join(several) + "]"))
+    spelt = F.when(found, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(each, c), c)), "")).otherwise(text)
+    return F.lower(F.translate(spelt, letters, plain))
+
+
 def normalize_name(name: Column) -> Column:
-    """Lower case, accents off, letters and digits only."""
-    return F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), r"[^\p{L}\p{N}]", "")
+    """Decomposed, folded, letters and digits only."""
+    return F.regexp_replace(fold(name), r"[^\p{L}\p{N}]", "")
 
 
-def name_stem(name: Column) -> Column:
+def name_stem(name: Column, suffixes: Sequence[str] = LEGAL_SUFFIXES) -> Column:
     """A normalised name without a leading or trailing "the", a share class, and legal suffixes."""
-    plain = F.trim(F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(fold(name), r"[^\p{L}\p{N}]+", " "))
     plain = F.regexp_replace(plain, r"^the | the$| class [a-z]$", "")
-    plain = F.regexp_replace(plain, r"( (inc|incorporated|corp|corporation|co|company|ltd|limited|plc|llc|lp|sa|ag|nv|holdings|group))+$", "")
+    plain = F.regexp_replace(plain, f"( ({'|'.join(suffixes)}))+$", "")
     return F.regexp_replace(plain, " ", "")
 
 

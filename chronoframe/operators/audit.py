@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def nav_audit(nav: DataFrame, key: Sequence[str], time: str, value: str, cash: str, holdings: str, tolerance: float) -> DataFrame:
-    """``(key, rows, identity_breaks, order_breaks)``: rows whose value is not cash plus holdings, and times that do not rise."""
-    w = Window.partitionBy(*key).orderBy("_n")
-    nav = nav.withColumn("_n", F.col(time)).withColumn("_back", F.coalesce(F.lag(time).over(w) >= F.col(time), F.lit(False)))
+def nav_audit(nav: DataFrame, key: Sequence[str], arrival: str, time: str, value: str, cash: str, holdings: str, tolerance: float) -> DataFrame:
+    """``(key, rows, identity_breaks, order_breaks)``: rows whose value is not cash plus holdings, and rows whose time is not after that of the row that arrived before.
+
+    ``arrival`` tells the order in which rows arrived (a sequence number, an offset); rows of one arrival are taken by time.
+    """
+    w = Window.partitionBy(*key).orderBy(arrival, time)
+    nav = nav.withColumn("_back", F.coalesce(F.lag(time).over(w) >= F.col(time), F.lit(False)))
     return nav.groupBy(*key).agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col(value) - F.col(cash) - F.col(holdings)) > tolerance).alias("identity_breaks"), F.count_if("_back").alias("order_breaks"))
 
 

@@ -28,6 +28,39 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: Sequence[str], a
     return points.join(right, on, how).drop(*(f"_k{i}" for i in range(len(key))))
 
 
+#: Days beyond which no interval reaches; an open one ends there.
+FAR_DAY = 1 << 22
+
+
+def _bits_of(start: Column, end: Column) -> Column:
+    """``[start, end)``, two longs, as aligned bins ``(level, bin)`` of 2**level units: two a level at most, which do not overlap and cover it."""
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level).cast("long")
+        low, high = F.ceil(start / size).cast("long"), F.floor(end / size).cast("long")
+        odd = low % 2 != 0
+        left = F.when(odd & (low < high), F.struct(level.alias("level"), low.alias("bin")))
+        right = F.when((high % 2 != 0) & (low + odd.cast("long") < high), F.struct(level.alias("level"), (high - 1).alias("bin")))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.when(end > start, F.ceil(F.log2(end - start)).cast("int")).otherwise(0))
+    return F.filter(F.flatten(F.transform(levels, at)), lambda b: b.isNotNull())
+
+
+def dyadic_join(points: DataFrame, intervals: DataFrame, key: Sequence[str], at: str, start: str, end: str) -> DataFrame:
+    """Points with the intervals ``[start, end)`` of their key that hold them, days all; a null end is open.
+
+    What :func:`interval_join` gives, for keys of any number of intervals: intervals are written to aligned bins, at most two a
+    level, and a point asks one bin of each level that occurs. Both meet by equality, each pair once, so the work grows with
+    what is read and what is returned, never with the pairs of a key. Intervals that end before they start hold nothing.
+    """
+    until = F.coalesce(F.unix_date(end), F.lit(FAR_DAY)).cast("long")
+    binned = intervals.where(F.col(start).isNotNull()).withColumn("_b", F.explode(_bits_of(F.unix_date(start).cast("long"), until))).select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+    levels = F.broadcast(binned.select("_level").distinct())  # one row a level
+    asked = points.where(F.col(at).isNotNull()).crossJoin(levels).withColumn("_bin", F.floor(F.unix_date(at) / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    return asked.join(binned, [*key, "_level", "_bin"]).drop("_level", "_bin")
+
+
 def resolve_unique(points: DataFrame, intervals: DataFrame, key: Sequence[str], at: str, start: str, end: str, entity: str, row_id: Sequence[str]) -> DataFrame:
     """``(row_id, entity, candidates, status)``: mapped if exactly one entity fits, else unmapped or ambiguous."""
     hit = interval_join(points, intervals, key, at, start, end, "left")
@@ -40,16 +73,16 @@ def resolve_unique(points: DataFrame, intervals: DataFrame, key: Sequence[str],
 def overlaps(intervals: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, differ: str) -> DataFrame:
     """Pairs of overlapping intervals of one key that differ in column ``differ``, with the overlap's range.
 
-    The key's equality precedes the comparison; a key is meant to have few intervals (one symbol, one
-    security), as the pairs of one key are compared with each other.
+    Of two that overlap, the later start lies in the other interval, so starts are looked up by :func:`dyadic_join`: a key with
+    many intervals and few overlaps costs little more than reading it. A null start, id or value gives no pair.
     """
     far = F.lit("9999-12-31").cast("date")
-    last = F.coalesce(F.col(end), far)
-    side = intervals.select(*key, F.col(row_id).alias("id"), F.col(differ).alias("what"), F.col(start).alias("s"), F.col(end).alias("e"), last.alias("last"))
+    side = intervals.select(*key, F.col(row_id).alias("id"), F.col(differ).alias("what"), F.col(start).alias("s"), F.col(end).alias("e"), F.coalesce(F.col(end), far).alias("last"))
     a, b = (side.select(*(c if c in key else F.col(c).alias(f"{p}_{c}") for c in side.columns)) for p in "ab")
-    pair = a.join(b, list(key)).where((F.col("a_id") < F.col("b_id")) & (F.col("a_what") != F.col("b_what")) & (F.col("a_s") < F.col("b_last")) & (F.col("b_s") < F.col("a_last")))
+    pair = dyadic_join(b, a, key, "b_s", "a_s", "a_e").where((F.col("a_s") < F.col("b_s")) | (F.col("a_id") < F.col("b_id")))
+    pair = pair.where((F.col("a_id") != F.col("b_id")) & (F.col("a_what") != F.col("b_what")) & (F.col("a_s") < F.col("b_last")))
     until = F.least("a_last", "b_last")
-    return pair.select(*key, F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.greatest("a_s", "b_s").alias("overlap_from"), F.when(until < far, until).alias("overlap_to"))
+    return pair.select(*key, F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), F.greatest("a_s", "b_s").alias("overlap_from"), F.when(until < far, until).alias("overlap_to"))
 
 
 def overlapping_window(intervals: DataFrame, start: str, end: str, first: Column, last: Column) -> DataFrame:

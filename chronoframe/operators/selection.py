@@ -57,14 +57,14 @@ def select_constrained(candidates: DataFrame, part: Sequence[str], score: str, e
     """``(part, entity, action)``: greedy choice under a cap for each sector, held rows first, with a reason for each rejection.
 
     Columns ``held`` and ``stays`` (boolean) mark incumbents and those still in the band. Every
-    candidate gets a row. While there are slots, a sector places its first ``sector_cap`` rows, so
-    ranks within sectors and a count of what was placed before say what the ordered choice would.
+    candidate gets a row; one without a sector is not capped. While there are slots, a sector places its first
+    ``sector_cap`` rows, so ranks within sectors and a count of what was placed before say what the ordered choice would.
     """
     value = F.col(score).cast("double")
     held, stays = F.coalesce("held", F.lit(False)), F.coalesce("stays", F.lit(False))
     ordered = candidates.select("*", (held & ~stays).alias("_exit"), (held & stays).alias("_first"), F.when(~F.isnan(value), value).alias("_score"), held.alias("_held"))
     order = [F.desc("_first"), F.desc_nulls_last("_score"), F.col(entity)]
-    fits = ordered.withColumn("_fits", ~F.col("_exit") & (F.row_number().over(Window.partitionBy(*part, sector, "_exit").orderBy(*order)) <= sector_cap))
+    fits = ordered.withColumn("_fits", ~F.col("_exit") & (F.col(sector).isNull() | (F.row_number().over(Window.partitionBy(*part, sector, "_exit").orderBy(*order)) <= sector_cap)))
     before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.count_if("_fits").over(before), F.lit(0))
     action = F.when(F.col("_exit"), "exit_band").when(taken >= slots, "no_slot").when(~F.col("_fits"), "sector_cap").when(F.col("_held"), "hold").otherwise("enter")

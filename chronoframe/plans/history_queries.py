@@ -107,6 +107,16 @@ def c1(spark, d):
     return asof.asof_backward(left, right, ["k"], "t", "rt").select("left_id", "match.rt", "match.v")
 
 
+# One key with all rows: each bucket of time is sorted by itself, and the last row before it is handed over.
+@query("c1_asof_hot_key", "WITH l AS (SELECT event_id id, ts t FROM events WHERE event_type = 'click'), q AS (SELECT ts t, max(value) v FROM events WHERE event_type = 'view' GROUP BY 1) SELECT l.id AS left_id, b.t AS before_t, b.v AS before_v, f.t AS after_t FROM l ASOF LEFT JOIN q b ON l.t > b.t ASOF LEFT JOIN q f ON l.t <= f.t")
+def c1_hot(spark, d):
+    one = F.lit(1).alias("k")
+    left = _events(spark, d, "click").select(one, "t", F.col("id").alias("left_id"))
+    right = _events(spark, d, "view").select(one, F.col("t").alias("rt"), "v").groupBy("k", "rt").agg(F.max("v").alias("v"))
+    back = asof.asof_backward(left, right, ["k"], "t", "rt", "b", strict=True, buckets=64)
+    return asof.asof_forward(back, right, ["k"], "t", "rt", "f", buckets=64).select("left_id", F.col("b.rt").alias("before_t"), F.col("b.v").alias("before_v"), F.col("f.rt").alias("after_t"))
+
+
 @query("c2_asof_tolerant", _SIDES + " SELECT l.id AS left_id, CASE WHEN date_diff('day', CAST(q.t AS DATE), CAST(l.t AS DATE)) <= 1 THEN q.v END AS v FROM l ASOF LEFT JOIN q ON l.k = q.k AND l.t >= q.t")
 def c2(spark, d):
     left, right = _sides(spark, d)
@@ -165,6 +175,15 @@ def c8(spark, d):
     return intervals.overlapping_window(g.intervals(spark, d), "valid_from", "valid_to", day("1998-01-01"), day("1998-12-31"))
 
 
+# One key holds every interval: points and intervals meet in aligned bins.
+@query("c6_interval_join_hot_key", "WITH q AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS e FROM orders WHERE o_orderkey % 7 <> 0) SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN q ON CAST(l_shipdate AS DATE) >= s AND CAST(l_shipdate AS DATE) < e WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 50")
+def c6_hot(spark, d):
+    day = F.to_date("o_orderdate")
+    q = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.lit(1).alias("k"), "o_orderkey", day.alias("s"), F.date_add(day, F.expr("cast(o_orderkey % 3 AS int)")).alias("e"))
+    points = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity >= 50").select(F.lit(1).alias("k"), "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("at"))
+    return intervals.dyadic_join(points, q, ["k"], "at", "s", "e").select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
 @query("c9_overlap_collisions", """WITH w AS (SELECT o_orderkey id, o_custkey k, o_orderpriority p, CAST(o_orderdate AS DATE) s, CAST(o_orderdate AS DATE) + 60 e FROM orders)
 SELECT a.k AS o_custkey, a.id AS left_id, b.id AS right_id, greatest(a.s, b.s) AS overlap_from, least(a.e, b.e) AS overlap_to FROM w a JOIN w b ON a.k = b.k AND a.id < b.id AND a.p <> b.p AND a.s < b.e AND b.s < a.e""")
 def c9(spark, d):

@@ -274,10 +274,11 @@ def i47(spark, d):
     return g.months(spark, d).select("security_id", "month", moved.alias("moved"))
 
 
-@query("l1_nav_audit", "SELECT o_custkey, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS identity_breaks, CAST(0 AS BIGINT) AS order_breaks FROM orders GROUP BY 1")
+# Orders arrive by their number; their dates do not rise with it.
+@query("l1_nav_audit", "WITH o AS (SELECT *, coalesce(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) >= o_orderdate, false) AS back FROM orders) SELECT o_custkey, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS identity_breaks, count(*) FILTER (WHERE back) AS order_breaks FROM o GROUP BY 1")
 def l1(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("nav"), F.lit(0.0).alias("cash"), (F.col("o_totalprice") + F.when(F.col("o_orderkey") % 50 == 0, 1.0).otherwise(0.0)).alias("held"))
-    return audit.nav_audit(o, ["o_custkey"], "t", "nav", "cash", "held", 0.01)
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.col("o_totalprice").alias("nav"), F.lit(0.0).alias("cash"), (F.col("o_totalprice") + F.when(F.col("o_orderkey") % 50 == 0, 1.0).otherwise(0.0)).alias("held"))
+    return audit.nav_audit(o, ["o_custkey"], "o_orderkey", "o_orderdate", "nav", "cash", "held", 0.01)
 
 
 # Each customer's orders are a log in which every record names the hash before it; two kinds of damage are put in.

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.operators import audit, fundamentals, history, prices, risk, rules, screening, selection, series, skew
+from chronoframe.operators import asof, audit, fundamentals, history, intervals, prices, risk, rules, screening, selection, series, skew
 from chronoframe.sources import readers, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -87,7 +87,7 @@ def test_constrained_selection_equals_loop_on_all_candidates(spark):
                     want[p, e] = "exit_band"
                 elif taken >= slots:
                     want[p, e] = "no_slot"
-                elif used.get(s, 0) >= cap:
+                elif s is not None and used.get(s, 0) >= cap:
                     want[p, e] = "sector_cap"
                 else:
                     used[s], taken = used.get(s, 0) + 1, taken + 1
@@ -473,3 +473,81 @@ def test_document_text_query_keeps_whole_pages(spark, tmp_path):
     spark.createDataFrame([(1, "<p>" + "word " * 9000 + "end</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     text = QUERIES["a22_document_text"](spark, str(tmp_path)).first()["text"]
     assert len(text) == 45003 and text.endswith("end")
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_bucketed_asof_equals_the_plain_one_on_a_hot_key(spark, strict):
+    rng = random.Random(21)
+    day = lambda: rng.choice([None, *[dt.date(2020, 1, 1) + dt.timedelta(days=rng.randrange(900)) for _ in range(12)]])
+    key = lambda: "hot" if rng.random() < 0.5 else rng.choice([*"abcdefgh", None])
+    left = spark.createDataFrame([(key(), day(), i) for i in range(1500)], "k string, t date, id int")
+    right = spark.createDataFrame([(key(), day(), rng.choice([None, rng.randrange(50)])) for _ in range(1200)], "k string, rt date, v int").coalesce(1)
+    for join in (asof.asof_backward, asof.asof_forward):
+        rows = lambda b: sorted(map(str, join(left, right, ["k"], "t", "rt", strict=strict, buckets=b).select("id", "k", "t", "match").collect()))  # noqa: B023, E731
+        assert rows(64) == rows(0) and len(rows(0)) == 1500
+    for join in (asof.asof_tolerant, asof.asof_either):
+        rows = lambda b: sorted(map(str, join(left, right, ["k"], "t", "rt", 3, buckets=b).select("id", "match").collect()))  # noqa: B023, E731
+        assert rows(40) == rows(0)
+    both = left.select("k", F.col("t").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("struct<v:int>").alias("_right"), F.struct("*").alias("_left"))
+    most = asof._carried(both, ["k"], False, 64).where("_t IS NOT NULL").groupBy("k", "_bucket").count().agg(F.max("count")).first()[0]
+    assert most < 1500 / 20
+
+
+def test_dyadic_join_and_overlaps_equal_all_pairs(spark):
+    rng = random.Random(22)
+    first = dt.date(2019, 12, 1)
+    day = lambda n: first + dt.timedelta(days=n)
+    rows = []
+    for i in range(260):
+        s = rng.randrange(400)
+        rows.append((rng.choice("xy"), i, rng.choice(["p", "q", None]), day(s), rng.choice([None, day(s - 3), day(s), day(s + 1), day(s + rng.randrange(90))])))
+    rows += [("x", 900, "p", None, day(4)), ("x", 901, "p", day(3), None), ("x", 902, "q", day(3), None)]
+    df = spark.createDataFrame(rows, "k string, id int, what string, s date, e date")
+    points = spark.createDataFrame([(rng.choice("xyz"), j, rng.choice([None, day(rng.randrange(-20, 500))])) for j in range(300)], "k string, j int, at date")
+    got = sorted((r["j"], r["id"]) for r in intervals.dyadic_join(points, df, ["k"], "at", "s", "e").collect())
+    want = sorted((p["j"], r[1]) for p in points.collect() for r in rows if p["k"] == r[0] and p["at"] and r[3] and r[3] <= p["at"] and (r[4] is None or p["at"] < r[4]))
+    assert got == want
+    far = dt.date(9999, 12, 31)
+    pairs = sorted((r["left_id"], r["right_id"], str(r["overlap_from"]), str(r["overlap_to"])) for r in intervals.overlaps(df, ["k"], "s", "e", "id", "what").collect())
+    plain = []
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] < b[1] and a[2] and b[2] and a[2] != b[2] and a[3] and b[3] and a[3] < (b[4] or far) and b[3] < (a[4] or far):
+                until = min(a[4] or far, b[4] or far)
+                plain.append((a[1], b[1], str(max(a[3], b[3])), str(until if until < far else None)))
+    assert pairs == sorted(plain)
+
+
+def test_many_intervals_of_one_key_make_few_rows(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("k"), "id", F.col("id").cast("string").alias("what"), F.date_add(F.lit("1700-01-01").cast("date"), (F.col("id") * 2).cast("int")).alias("s"))
+    df = df.withColumn("e", F.date_add("s", F.when(F.col("id") % 1000 == 0, 3).otherwise(2)))
+    assert intervals.overlaps(df, ["k"], "s", "e", "id", "what").count() == 100
+
+
+def test_names_are_folded_by_the_rule_of_unicode(spark):
+    import unicodedata
+
+    from chronoframe.functions import scalars as sc
+
+    def plain(name):
+        folded = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", name).casefold())
+        return "".join(c for c in folded if c.isalnum())
+
+    names = ["Straße AG", "STRASSE ag", "Łódź SA", "Škoda Auto", "ﬁnance", "İstanbul Ğ ı", "Žižkov Ⅳ", "ＡＢＣ１２", "Ærø Öl", "Ελλάς", "Кириллица Й", "naïve—co", "", "étude", "ŉ ǆ ½"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["p"] for r in df.select(sc.normalize_name(F.col("n")).alias("p")).collect()]
+    assert got == [plain(n) for n in names] and got[0] == got[1] == "strasseag" and got[3] == "skodaauto" and got[4] == "finance"
+    stems = df.sparkSession.createDataFrame([("The Škoda Holding Group",), ("Nestlé SA",)], "n string").select(sc.name_stem(F.col("n")).alias("p")).collect()
+    assert [r["p"] for r in stems] == ["skoda", "nestlesa"]
+
+
+def test_nav_audit_sees_rows_that_arrive_out_of_order(spark):
+    rows = [("a", 1, 5, 1.0, 1.0, 0.0), ("a", 2, 3, 1.0, 0.0, 1.0), ("a", 3, 4, 1.0, 0.0, 2.0), ("b", 1, 1, 1.0, 1.0, 0.0), ("b", 2, 1, 1.0, 1.0, 0.0), ("b", 3, 2, 1.0, 1.0, 0.0)]
+    got = audit.nav_audit(spark.createDataFrame(rows, "k string, n int, t int, nav double, cash double, held double"), ["k"], "n", "t", "nav", "cash", "held", 0.01).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 3, 1, 1), ("b", 3, 0, 1)]
+
+
+def test_rows_without_a_sector_are_not_capped(spark):
+    df = spark.createDataFrame([(1, i, None, float(-i), False, False) for i in range(5)], "p int, e int, sector int, score double, held boolean, stays boolean")
+    one = selection.select_constrained(df, ["p"], "score", "e", "sector", 4, 2).where("action = 'enter'").count()
+    assert one == selection.choose_under_caps(df, ["p"], "score", "e", 4, {"sector": 2}, {}).where("action = 'enter'").count() == 4
