@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.operators import asof, audit, fundamentals, history, intervals, prices, risk, rules, screening, selection, series, skew
+from chronoframe.operators import asof, audit, fundamentals, history, identity, intervals, prices, risk, rules, screening, selection, series, skew
 from chronoframe.sources import readers, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -551,3 +551,40 @@ def test_rows_without_a_sector_are_not_capped(spark):
     df = spark.createDataFrame([(1, i, None, float(-i), False, False) for i in range(5)], "p int, e int, sector int, score double, held boolean, stays boolean")
     one = selection.select_constrained(df, ["p"], "score", "e", "sector", 4, 2).where("action = 'enter'").count()
     assert one == selection.choose_under_caps(df, ["p"], "score", "e", 4, {"sector": 2}, {}).where("action = 'enter'").count() == 4
+
+
+def test_identities_by_overlap_equal_plain(spark):
+    rng = random.Random(31)
+    rows = []
+    for _ in range(220):
+        s = rng.randrange(60)
+        rows.append((rng.choice([*range(12), None]), rng.choice([*range(80), None]), rng.choice([None, DAY + dt.timedelta(days=s)]) if rng.random() < 0.1 else DAY + dt.timedelta(days=s), rng.choice([None, DAY + dt.timedelta(days=s), *[DAY + dt.timedelta(days=s + rng.randrange(1, 4)) for _ in range(12)]])))
+    rows += [(50, 100, DAY, DAY + dt.timedelta(days=50)), (50, 101, DAY + dt.timedelta(days=1), DAY + dt.timedelta(days=2)), (50, 102, DAY + dt.timedelta(days=30), DAY + dt.timedelta(days=31))]  # two nested in one
+    rows += [(51, 110, DAY, DAY + dt.timedelta(days=2)), (51, 111, DAY + dt.timedelta(days=1), DAY + dt.timedelta(days=3)), (51, 112, DAY + dt.timedelta(days=2), None), (52, 120, DAY, DAY + dt.timedelta(days=1)), (52, 121, DAY + dt.timedelta(days=1), None)]  # a chain; neighbours that do not overlap
+    kinds = [(e, rng.choice(["s", "s", "s", "s", "f", None])) for e in range(80)] + [(100, "s"), (101, "f"), (110, "s"), (112, "s")]
+    bindings = spark.createDataFrame(rows, "k int, e long, f date, t date")
+    found = identity.overlap_identities(bindings, ["k"], "e", "f", "t", spark.createDataFrame(kinds, "e long, kind string"), "kind")
+    got = {r["e"]: (r["canonical"], r["refused"]) for r in found.collect()}
+    parent = {r[1]: r[1] for r in rows if r[1] is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    whole = [r for r in rows if None not in r[:3] and (r[3] is None or r[3] > r[2])]
+    for a in whole:
+        for b in whole:
+            if a[0] == b[0] and a[2] < (b[3] or dt.date.max) and b[2] < (a[3] or dt.date.max):
+                u, v = sorted((root(a[1]), root(b[1])))
+                parent[v] = u
+    seen = {}
+    for e, kind in kinds:
+        if kind and e in parent:
+            seen.setdefault(root(e), set()).add(kind)
+    want = {e: (e, True) if len(seen.get(root(e), ())) > 1 else (root(e), False) for e in parent}
+    assert got == want and got[101] == (101, True) and got[112] == (110, False) and got[121] == (121, False)
+    moved = identity.remapped(spark.createDataFrame([(112, 1), (101, 2), (999, 3)], "e long, v int"), found, "e").collect()
+    assert sorted(tuple(r) for r in moved) == [(101, 2, True), (110, 1, False), (999, 3, False)]
+    edges = identity.overlap_edges(bindings, ["k"], "e", "f", "t")
+    assert edges.count() < len(whole)
