@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import ordered
+from .series import expanding_median, ordered
 
 # The ratios that count as splits, of a price jump, and of a jump of the share count, either way.
 PRICE_SPLITS = (4, 3, 2, 1.5, 1 / 2, 1 / 3, 1 / 4, 1 / 5, 1 / 10, 1 / 20, 1 / 30, 1 / 40, 1 / 50, 1 / 80, 1 / 100)
@@ -42,18 +42,18 @@ def split_candidates(
     df: DataFrame, key: Sequence[str], time: str, raw: str, adjusted: str, volume: str, jump: float = 0.25, flat: float = 0.05, volume_factor: float = 1.5,
     ratios: Sequence[float] = PRICE_SPLITS, tolerance: float = PRICE_TOLERANCE, max_gap_days: int | None = None,
 ) -> DataFrame:
-    """``(key, time, ratio)``: raw jumps near a known ratio where the adjusted series is flat and volume is high for its past.
+    """``(key, time, ratio)``: raw jumps near a known ratio where the adjusted series is flat, far from the raw one, and volume is high for its past.
 
+    The past is all bars before, whose median :func:`~chronoframe.operators.series.expanding_median` keeps up to date.
     With ``max_gap_days`` only where the bar before is no further away.
     """
     w = ordered(key, time)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    observed = F.lag(raw).over(w) / F.col(raw)
-    c = df.select(
-        *key, time, observed.alias("_o"), (F.col(adjusted) / F.lag(adjusted).over(w) - 1).alias("_a"), (F.col(volume) / F.percentile(volume, 0.5).over(before)).alias("_v"),
-        F.datediff(F.col(time), F.lag(time).over(w)).alias("_gap"),
+    step, own = F.col(raw) / F.lag(raw).over(w), F.col(adjusted) / F.lag(adjusted).over(w)
+    c = df.repartition(*(F.col(k) for k in key)).select(
+        *key, time, F.col(volume).alias("_volume"), step.alias("_s"), own.alias("_a"), (F.lag(raw).over(w) / F.col(raw)).alias("_o"), F.datediff(F.col(time), F.lag(time).over(w)).alias("_gap"),
     )
-    c = c.where((F.abs(F.lit(1.0) / F.col("_o") - 1) > jump) & (F.abs("_a") <= flat) & (F.col("_v") >= volume_factor))
+    c = expanding_median(c, key, time, "_volume", "_median", placed=True)
+    c = c.where((F.abs(F.lit(1.0) / F.col("_o") - 1) > jump) & (F.abs(F.col("_a") - 1) <= flat) & (F.abs(F.col("_s") - F.col("_a")) > jump) & (F.col("_volume") / F.col("_median") >= volume_factor))
     if max_gap_days is not None:
         c = c.where(F.col("_gap") <= max_gap_days)
     return c.withColumn("ratio", nearest_split_ratio(F.col("_o"), ratios, tolerance)).where("ratio IS NOT NULL").select(*key, time, "ratio")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,39 @@ def sma(value: str, key: Sequence[str], time: str, n: int) -> Column:
     return full_window(F.col(value), F.avg, key, time, n)
 
 
+def expanding_median(df: DataFrame, key: Sequence[str], time: str, value: str, out: str, placed: bool = False) -> DataFrame:
+    """``df`` with the median of ``value`` over all rows of the key before each in ``out``; null where there is none.
+
+    Nulls and NaN count for nothing. Rows pass in order of time, in Arrow batches: the values so far lie in two heaps, the lower half and
+    the upper, so that a row costs the logarithm of the rows before it, and a task holds the values of one key
+    (some 60 bytes each), not its rows. Rows of equal time are in no particular order. ``placed`` says that
+    rows of a key already lie in one partition, so that none are shuffled.
+    """
+    keys = list(key)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, low, high = None, [], []  # low holds negated values
+        for pdf in batches:
+            found = np.full(len(pdf), np.nan)
+            values = pdf["_value"].to_numpy(dtype=float, na_value=np.nan).tolist()
+            for n, (k, v) in enumerate(zip(pdf[keys].itertuples(index=False, name=None), values, strict=True)):
+                k = tuple(None if pd.isna(x) else x for x in k)
+                if k != now:
+                    now, low, high = k, [], []
+                if low:
+                    found[n] = -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2
+                if v == v:
+                    heapq.heappush(high, -heapq.heappushpop(low, -v))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+            yield pdf.drop(columns="_value").assign(**{out: pd.array(found, dtype="Float64")})
+
+    rows = df.drop(out).withColumn("_value", F.col(value).cast("double"))
+    rows = rows if placed else rows.repartition(*(F.col(k) for k in keys))
+    types = df.drop(out).schema.add(out, "double")
+    return rows.sortWithinPartitions(*keys, time).mapInPandas(walk, types).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
+
 def simple_return(value: str, key: Sequence[str], time: str, lag: int = 1) -> Column:
     return F.col(value) / F.lag(value, lag).over(ordered(key, time)) - 1
 

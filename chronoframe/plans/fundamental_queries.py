@@ -164,15 +164,16 @@ def e15(spark, d):
     return out.select("security_id", "session", r(F.log("factor")).alias("log_factor"))
 
 
-_E16 = """SELECT security_id, session, p / close AS o FROM (SELECT security_id, session, close, volume, lag(close) OVER w AS p, session - lag(session) OVER w AS gap,
+_E16 = """SELECT security_id, session, p / close AS o FROM (SELECT security_id, session, close, volume, high / lag(high) OVER w AS a, lag(close) OVER w AS p, session - lag(session) OVER w AS gap,
  median(volume) OVER (PARTITION BY security_id ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mid FROM bars WINDOW w AS (PARTITION BY security_id ORDER BY session))
- WHERE abs(1.0 / (p / close) - 1) > 0.25 AND volume / mid >= 1.5 AND gap <= 5"""
+ WHERE abs(1.0 / (p / close) - 1) > 0.25 AND abs(a - 1) <= 0.25 AND abs(close / p - a) > 0.25 AND volume / mid >= 1.5 AND gap <= 5"""
 
 
 @query("e16_split_candidates", g.split_ratio_sql(_E16, "security_id, session", pr.PRICE_SPLITS, pr.PRICE_TOLERANCE))
 def e16(spark, d):
-    b = g.bars(spark, d).withColumn("flat", F.lit(1.0))
-    return pr.split_candidates(b, ["security_id"], "session", "close", "flat", "volume", max_gap_days=5).withColumn("ratio", r(F.col("ratio")))
+    # highs stand for the adjusted series
+    found = pr.split_candidates(g.bars(spark, d), ["security_id"], "session", "close", "high", "volume", flat=0.25, max_gap_days=5)
+    return found.withColumn("ratio", r(F.col("ratio")))
 
 
 _E17 = """SELECT company_id, q, v / p AS o FROM (SELECT company_id, q, orders AS v, lag(orders) OVER w AS p, lag(orders, 2) OVER w AS p2, lead(orders) OVER w AS n FROM quarters WINDOW w AS (PARTITION BY company_id ORDER BY q))

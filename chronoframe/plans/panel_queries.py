@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cross_section as x
+from ..operators import index_aware as ia
 from ..operators import selection as sel
 from ..operators import series as s
 from . import registry as g
@@ -346,6 +347,43 @@ def f3(spark, d):
     return sel.select_constrained(candidates(spark, d), ["month"], "score", "security_id", "sector", 15, 2)
 
 
+# Four passes around an index core; the SQL tries one candidate of one pass after another, with what a cycle has picked as its state.
+@query("f3_index_aware", f"""WITH RECURSIVE {_W8}, u AS (SELECT month, avg(price) AS level FROM months GROUP BY 1), h AS (SELECT month, level, lag(level, 3) OVER (ORDER BY month) AS old FROM u),
+p AS (SELECT security_id, month, price, lag(price, 3) OVER (PARTITION BY security_id ORDER BY month) AS old FROM months),
+c AS (SELECT n.month, n.security_id, n.sector, n.security_id % 7 = 0 AS held, n.security_id % 4 <> 0 AS core, n.security_id % 10 = 0 AS bank, n.security_id % 5 = 0 AS sleeve, round(n.score, 4) AS base,
+ CASE WHEN p.old > 0 AND h.old > 0 THEN round(greatest(0.0, least(100.0, 50 + (p.price / p.old - h.level / h.old) * 200)), 4) ELSE 50.0 END AS relative FROM n JOIN p USING (security_id, month) JOIN h USING (month)),
+d AS (SELECT *, round((base * 0.75 + relative * 0.35 + 50.0 * 0.05) / (0.75 + 0.35 + 0.05), 4) AS score FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, security_id) AS k, count(*) FILTER (WHERE core) OVER (PARTITION BY month) AS n_core FROM d),
+t AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY stage, k) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS stage FROM k WHERE n_core >= 8)
+ WHERE stage = 4 OR (stage = 1 AND k <= 18 AND held AND base >= 70) OR (stage = 2 AND core) OR (stage = 3 AND core AND sleeve AND score >= 60 AND relative >= 50)),
+m AS (SELECT month, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS stages, CAST([] AS BIGINT[]) AS sectors, 0 AS banks, 0 AS outs, 0 AS cores, 0 AS sleeves FROM t GROUP BY 1
+ UNION ALL SELECT month, i, CASE WHEN ok THEN list_append(ids, security_id) ELSE ids END, CASE WHEN ok THEN list_append(stages, stage) ELSE stages END, CASE WHEN ok THEN list_append(sectors, sector) ELSE sectors END,
+ banks + (ok AND bank)::INT, outs + (ok AND NOT core)::INT, cores + (ok AND core)::INT, sleeves + (ok AND sleeve)::INT
+ FROM (SELECT t.*, m.ids, m.stages, m.sectors, m.banks, m.outs, m.cores, m.sleeves, NOT list_contains(m.ids, t.security_id) AND len(list_filter(m.sectors, lambda s: s = t.sector)) < 2 AND (NOT t.bank OR m.banks < 1) AND (t.core OR m.outs < 2)
+ AND (t.stage <> 2 OR m.cores < 3) AND (t.stage <> 3 OR m.sleeves = 0) AS ok FROM m JOIN t ON t.month = m.month AND t.i = m.i + 1 WHERE len(m.ids) < 10)),
+e AS (SELECT month, arg_max(ids, i) AS ids, arg_max(stages, i) AS stages, arg_max(sectors, i) AS sectors, arg_max(banks, i) AS banks, arg_max(outs, i) AS outs FROM m GROUP BY 1)
+SELECT k.month, security_id, CASE WHEN list_contains(ids, security_id) THEN CASE WHEN held THEN 'hold' ELSE 'enter' END WHEN len(list_filter(sectors, lambda s: s = k.sector)) >= 2 THEN 'sector_cap' WHEN bank AND banks >= 1 THEN 'bank_cap'
+ WHEN NOT core AND outs >= 2 THEN 'outside_cap' ELSE 'no_slot' END AS action, ['incumbent', 'core', 'sleeve', 'fill'][stages[list_position(ids, security_id)]] AS stage FROM k JOIN e ON e.month = k.month""")
+def f3_index_aware(spark, d):
+    return ia.select_with_core(core_candidates(spark, d), ["month"], "security_id", "score", CORE_RULES).select("month", "security_id", "action", "stage")
+
+
+#: Limits of the index-aware queries.
+CORE_RULES = ia.CoreRules(slots=10, min_core=3, max_outside=2, window=18, incumbent_base=70.0, sleeve_score=60.0, sleeve_relative=50.0, per_sector=2, banks=1, correlation=0.7)
+
+
+def core_candidates(spark, d):
+    """Each month's candidates of the choice around a core: normalised price blended with the strength against the mean price over three months."""
+    m = x.normalize_factor(g.months(spark, d), "price", ["month"], "sector", "base").withColumn("base", r(F.col("base"), 4))
+    level = g.months(spark, d).groupBy("month").agg(F.avg("price").alias("level"))
+    level = level.withColumn("level_then", F.lag("level", 3).over(Window.orderBy("month")))  # one row a month
+    then = g.months(spark, d).select("security_id", "month", F.col("price").alias("now"), F.lag("price", 3).over(s.ordered(K, "month")).alias("then"))
+    i = F.col("security_id")
+    c = m.join(then, ["security_id", "month"]).join(level, "month").withColumn("relative", r(ia.relative_strength(F.col("then"), F.col("now"), F.col("level_then"), F.col("level")), 4))
+    c = c.withColumn("score", ia.blended_score(F.col("base"), F.col("relative"), F.lit(50.0)))
+    return c.withColumn("held", i % 7 == 0).withColumn("core", i % 4 != 0).withColumn("bank", i % 10 == 0).withColumn("sleeve", i % 5 == 0)
+
+
 # Caps on sectors, large ones and a sleeve at once: the tests compare it with a plain loop.
 @query("b18_portfolio_caps")
 def b18_caps(spark, d):

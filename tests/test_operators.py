@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.operators import asof, audit, fundamentals, history, identity, intervals, prices, risk, rules, screening, selection, series, skew
+from chronoframe.operators import asof, audit, fundamentals, history, identity, index_aware, intervals, prices, risk, rules, screening, selection, series, skew
 from chronoframe.sources import readers, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -73,6 +75,86 @@ def test_constrained_selection_holds_its_caps(spark):
     assert max(sum(e % 3 == s for e in taken) for s in range(3)) == 2
 
 
+def _core_loop(rows, near, rules):
+    """One cycle in plain steps; rows are (entity, score, sector, held, core, bank, sleeve, base, relative)."""
+    if sum(bool(x[4]) for x in rows) < max(rules.min_core, rules.slots - rules.max_outside):
+        return {}
+    rows = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    out, picks = {}, []
+
+    def bar(x, among):
+        if x[2] is not None and [y[2] for y in among].count(x[2]) >= rules.per_sector:
+            return "sector_cap"
+        if x[5] and sum(bool(y[5]) for y in among) >= rules.banks:
+            return "bank_cap"
+        if not x[4] and sum(not y[4] for y in among) >= rules.max_outside:
+            return "outside_cap"
+        return None
+
+    def add(x, stage):
+        if len(picks) < rules.slots and x not in picks and bar(x, picks) is None:
+            picks.append(x)
+            out[x[0]] = ("hold" if x[3] else "enter", stage, None)
+
+    for x in rows[: rules.window]:
+        if x[3] and x[7] is not None and x[7] >= rules.incumbent_base:
+            add(x, "incumbent")
+    for x in rows:
+        if x[4] and sum(bool(y[4]) for y in picks) < rules.min_core:
+            add(x, "core")
+    for x in rows:
+        if x[4] and x[6] and not any(y[6] for y in picks) and x[1] is not None and x[1] >= rules.sleeve_score and (50 if x[8] is None else x[8]) >= rules.sleeve_relative:
+            add(x, "sleeve")
+    for x in rows:
+        add(x, "fill")
+    gone, moved = [], True
+    while moved:
+        moved = False
+        for weak in [x for x in rows if x in picks and any(y in picks and frozenset((x[0], y[0])) in near for y in rows[: rows.index(x)])]:
+            others = [y for y in picks if y != weak]
+            best = next((x for x in rows if x not in picks and x not in gone and bar(x, others) is None and not any(frozenset((x[0], y[0])) in near for y in others)), None)
+            if best is not None:
+                picks[picks.index(weak)], moved = best, True
+                gone.append(weak)
+                out[weak[0]], out[best[0]] = ("correlation_cap", out[weak[0]][1], None), ("hold" if best[3] else "enter", "replacement", weak[0])
+                break
+    return {x[0]: out.get(x[0]) or (bar(x, picks) or "no_slot", None, None) for x in rows}
+
+
+@pytest.mark.parametrize("correlated", [False, True])
+def test_choice_around_a_core_equals_loop(spark, correlated):
+    rng = random.Random(21)
+    rules = index_aware.CoreRules(slots=6, min_core=2, max_outside=2, window=9, incumbent_base=60.0, sleeve_score=40.0, per_sector=2, banks=1)
+    maybe = lambda v: rng.choice([v, v, v, None])
+    rows = []
+    for p in range(12):  # the last cycles have too little of a core
+        for e in range(70):
+            core = (e < 3 if p >= 10 else rng.random() < 0.5) or (None if rng.random() < 0.5 else False)
+            rows.append((p, e, maybe(float(rng.randrange(40) * 2)), rng.choice([None, *"abcde"]), rng.choice([True, False, None]), core, rng.random() < 0.3, rng.random() < 0.2, maybe(float(rng.randrange(100))), maybe(float(rng.randrange(30, 100)))))
+    pairs = sorted({tuple(sorted(rng.sample(range(70), 2))) for _ in range(500)}) if correlated else []
+    corr = [(a, b, rng.choice([0.9, 0.7, None, -0.9])) for a, b in pairs]
+    near = {frozenset((a, b)) for a, b, v in corr if v is not None and v > 0.7}
+    df = spark.createDataFrame(rows, "p int, e int, score double, sector string, held boolean, core boolean, bank boolean, sleeve boolean, base double, relative double").withColumn("extra", F.lit(1))
+    given = spark.createDataFrame(corr, "a int, b int, corr double") if correlated else None
+    got = {(r["p"], r["e"]): (r["action"], r["stage"], r["replaces"]) for r in index_aware.select_with_core(df, ["p"], "e", "score", rules, given).collect()}
+    want = {}
+    for p in range(12):
+        want |= {(p, e): v for e, v in _core_loop([x[1:] for x in rows if x[0] == p], near, rules).items()}
+    assert got == want and {p for p, _ in got} == set(range(10))
+    assert ("replacement" in {v[1] for v in got.values()}) == correlated
+    assert index_aware.select_with_core(df.limit(0), ["p"], "e", "score", rules, given).count() == 0
+
+
+def test_relative_strength_and_blend(spark):
+    one = lambda *v: spark.range(1).select(index_aware.relative_strength(*(F.lit(x).cast("double") for x in v)).alias("x")).first()["x"]
+    assert one(100, 110, 50, 50) == pytest.approx(70) and one(100, 300, 50, 50) == 100 and one(100, 1, 50, 50) == 0
+    assert one(None, 110, 50, 50) == one(0, 110, 50, 50) == one(100, 110, None, 50) == 50
+    blend = spark.range(1).select(index_aware.blended_score(F.lit(99.0), F.lit(50.0), F.lit(None).cast("double")).alias("x")).first()["x"]
+    assert blend == pytest.approx((99 * 0.75 + 50 * 0.35 + 50 * 0.05) / 1.15, abs=1e-4)
+    with pytest.raises(ValueError):
+        index_aware.blended_score(F.lit(1.0), F.lit(1.0), F.lit(1.0), (0, 0, 0))
+
+
 def test_constrained_selection_equals_loop_on_all_candidates(spark):
     rng = random.Random(8)
     rows = [(p, e, rng.choice([None, 1, 2, 3]) if p else int(e > 250), rng.choice([None, float(rng.randrange(60))]) if p else float(300 - e), rng.random() < 0.1, rng.random() < 0.5) for p in range(4) for e in range(300)]
@@ -305,6 +387,35 @@ def test_wanted_files_only(spark, tmp_path):
     assert {(r["cik"], r["value"]) for r in got} == {(2, '{"i": 2}'), (3, '{"i": 3}')}
 
 
+def test_expanding_median_equals_sorting(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), DAY + dt.timedelta(days=i), rng.choice([None, float("nan"), *(float(rng.randrange(9)) for _ in range(8))]), "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, d date, v double, m string")
+    got = {r["d"]: r["m"] for r in series.expanding_median(df, ["k"], "d", "v", "m").collect()}  # a column of that name is replaced
+    for n, (k, d, _, _) in enumerate(rows):
+        past = sorted(x[2] for x in rows[:n] if x[0] == k and x[2] is not None and x[2] == x[2])
+        assert got[d] == (statistics.median(past) if past else None)
+    assert series.expanding_median(df.limit(0), ["k"], "d", "v", "m").count() == 0
+
+
+def test_expanding_median_of_a_long_key(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("t"), (F.xxhash64("id") % 1000003).cast("double").alias("v"))
+    began = time.time()
+    got = series.expanding_median(df, ["k"], "t", "v", "m").where(F.col("t").isin(1, 77_777, n - 1)).collect()
+    assert time.time() - began < 30
+    values = [r["v"] for r in df.orderBy("t").collect()]
+    assert {r["t"]: r["m"] for r in got} == {t: statistics.median(values[:t]) for t in (1, 77_777, n - 1)}
+
+
+@pytest.mark.parametrize(("at_split", "found"), [((50.0, 100.0), True), ((100.0, 100.0), False), ((50.0, 50.0), False), ((50.0, 70.0), False)])
+def test_split_needs_a_flat_adjusted_series(spark, at_split, found):
+    raw, adjusted = at_split
+    rows = [(1, DAY + dt.timedelta(days=i), 100.0 if i < 10 else raw, 100.0 if i < 10 else adjusted, 40.0 if i == 10 else 10.0) for i in range(20)]
+    c = prices.split_candidates(spark.createDataFrame(rows, "k int, d date, raw double, adj double, vol double"), ["k"], "d", "raw", "adj", "vol", flat=0.25).collect()
+    assert [r["ratio"] for r in c] == ([2.0] if found else [])
+
+
 def test_splits(spark):
     a = spark.createDataFrame([(1, dt.date(2024, 6, 10), dt.date(2024, 6, 1), 10.0, True)], "k int, e date, known date, ratio double, ok boolean")
     p = spark.createDataFrame([(1, dt.date(2024, 6, 7)), (1, dt.date(2024, 6, 10))], "k int, d date")
