@@ -117,6 +117,24 @@ def j7(spark, d):
     return twins.freshness(table(spark, d, "events"), ["user_id"], "ts", F.lit("2024-02-01").cast("date"), 3)
 
 
+# A feed's cadence is one to four days; what its table says is what the stream says of any replay.
+@query("j7_silent_feeds", """WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS t FROM events WHERE ts IS NOT NULL), g AS (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt, t + (user_id % 4 + 1) * 86400000 AS due FROM e)
+SELECT user_id, make_timestamp(t * 1000) AS last, make_timestamp(due * 1000) AS due FROM g WHERE (nxt IS NULL OR nxt > due) AND due + 1 < (SELECT max(t) - 3600000 FROM e)""")
+def j7_silent(spark, d):
+    return twins.silent_feeds(table(spark, d, "events"), _feeds(spark, d), "user_id", "ts", "cadence", 3_600_000)
+
+
+@query("j7_overdue_share", """WITH f AS (SELECT DISTINCT user_id FROM events), l AS (SELECT user_id, max(ts) AS last FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1),
+r AS (SELECT user_id, last, coalesce(epoch_ms(TIMESTAMP '2024-01-20') - epoch_us(last) // 1000 > (user_id % 4 + 1) * 86400000, true) AS red FROM f LEFT JOIN l USING (user_id)) SELECT user_id, last, red, round(avg(red::INT) OVER (), 6) AS red_share FROM r""")
+def j7_overdue(spark, d):
+    out = twins.overdue(table(spark, d, "events"), _feeds(spark, d), "user_id", "ts", "cadence", F.lit("2024-01-20").cast("timestamp"))
+    return out.withColumn("red_share", F.round("red_share", 6))
+
+
+def _feeds(spark, d):
+    return table(spark, d, "events").select("user_id", ((F.col("user_id") % 4 + 1) * 86_400_000).alias("cadence")).distinct()
+
+
 @query("j9_running_high", "SELECT user_id, max(value) AS high, count(*) AS rows FROM events GROUP BY 1")
 def j9(spark, d):
     return twins.running_high(table(spark, d, "events"), "user_id", "ts", "value")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import content_fingerprint, snapshot_id
 from ..operators.history import keep_row
+from ..storage import materialise, scratch
+from ..streaming.twins import stale_dates
 
 
 def write_sorted(df: DataFrame, path: str, key: Sequence[str], mode: str = "errorifexists") -> None:
@@ -69,6 +71,32 @@ def export_state(tables: dict[str, DataFrame], root: str, inputs: Sequence[tuple
     return write_snapshot(tables, root, inputs, keys)[0]
 
 
+def rebuild_stale(spark: SparkSession, path: str, date: str, version: str, current: str, compute: Callable[[DataFrame], DataFrame], wanted: DataFrame | None = None) -> int:
+    """Replace the dates of the table at ``path`` (a folder a date) that have a row of another version, or a null one, and add the ``wanted`` dates that it lacks; how many dates.
+
+    ``compute`` turns a table of dates into rows of the current version. They are written to the shared folder
+    first and refused, before the table is touched, if a date gets no row, another date gets one, or a
+    version differs. Only the folders of those dates are overwritten; files of the others stay as they
+    are, and where nothing is stale nothing is written. A run that broke off is run again.
+    """
+    table = spark.read.parquet(path)
+    stale = stale_dates(table, date, version, current)
+    if wanted is not None:
+        stale = stale.unionByName(wanted.select(date).distinct().join(table.select(date).distinct(), date, "left_anti"))
+    with scratch():
+        dates = materialise(stale, "stale")
+        count = dates.count()
+        if not count:
+            return 0
+        fresh = materialise(compute(dates).select(table.columns), "rebuilt")
+        lacking, other = dates.join(fresh, date, "left_anti").count(), fresh.join(dates, date, "left_anti").count()
+        wrong = fresh.where(~F.col(version).eqNullSafe(F.lit(current))).count()
+        if lacking or other or wrong:
+            raise ValueError(f"{lacking} stale dates without rows, {other} rows of other dates, {wrong} rows of another version")
+        fresh.repartition(date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
+    return count
+
+
 def upsert(base: DataFrame, new: DataFrame, key: Sequence[str], update: bool = True) -> DataFrame:
     """``base`` with ``new`` rows: replacing rows of the same key, or only added where the key is new."""
     both = base.withColumn("_p", F.lit(1 if update else 0)).unionByName(new.withColumn("_p", F.lit(0 if update else 1)))
