@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cross_section as x
 from ..operators import index_aware as ia
+from ..operators import segments
 from ..operators import selection as sel
 from ..operators import series as s
 from . import registry as g
@@ -221,6 +222,32 @@ def e37(spark, d):
     return s.state_machine(b, K, T, "raw", "state")
 
 
+# The same recursions for every row, over series that are cut into segments.
+_SERIES_ROWS = 150
+
+
+@query("e27_ema_rows", f"""WITH k AS (SELECT *, row_number() {_W}) AS i FROM bars), w AS (SELECT a.security_id, a.session, a.i, sum(CASE WHEN b.i <= 12 THEN b.close / 12 * pow(11.0 / 13, greatest(a.i - 12, 0)) ELSE b.close * (2.0 / 13) * pow(11.0 / 13, a.i - b.i) END) AS s
+FROM k a JOIN k b ON b.security_id = a.security_id AND b.i <= a.i GROUP BY ALL) SELECT security_id, session, CASE WHEN i >= 12 THEN round(s, 6) END AS ema FROM w""")
+def e27_rows(spark, d):
+    return segments.ema_rows(g.bars(spark, d).select("security_id", "session", "close"), "close", K, T, 12, rows=_SERIES_ROWS).select("security_id", "session", r("ema").alias("ema"))
+
+
+@query("e26_rsi_rows", f"""WITH c AS (SELECT *, close - lag(close) {_W}) AS d, row_number() {_W}) - 1 AS i FROM bars), w AS (SELECT a.security_id, a.session, a.i, sum(greatest(b.d, 0.0) / 14 * pow(13.0 / 14, CASE WHEN b.i <= 14 THEN greatest(a.i - 14, 0) ELSE a.i - b.i END)) AS up,
+sum(greatest(-b.d, 0.0) / 14 * pow(13.0 / 14, CASE WHEN b.i <= 14 THEN greatest(a.i - 14, 0) ELSE a.i - b.i END)) AS down FROM c a LEFT JOIN c b ON b.security_id = a.security_id AND b.i <= a.i AND b.i > 0 GROUP BY ALL)
+SELECT security_id, session, CASE WHEN i < 14 THEN NULL WHEN down = 0 THEN 100.0 ELSE round(100 - 100 / (1 + up / down), 6) END AS rsi FROM w""")
+def e26_rows(spark, d):
+    return segments.rsi_rows(g.bars(spark, d).select("security_id", "session", "close"), "close", K, T, rows=_SERIES_ROWS).select("security_id", "session", r("rsi").alias("rsi"))
+
+
+_LEVEL = "CASE WHEN close > 1600 THEN 2 WHEN close > 1450 THEN 1 ELSE 0 END"
+
+
+@query("e37_state_rows", g.state_machine_sql(f"SELECT security_id, session AS t, {_LEVEL} AS raw FROM bars", "security_id", last="SELECT security_id, t AS session, state FROM m JOIN raw USING (security_id, i)"))
+def e37_rows(spark, d):
+    b = g.bars(spark, d).select("security_id", "session", F.expr(_LEVEL).alias("raw"))
+    return segments.state_rows(b, K, T, "raw", "state", rows=_SERIES_ROWS).select("security_id", "session", "state")
+
+
 _N = "count(price) OVER (PARTITION BY month)"
 _AVG = "(rank() OVER (PARTITION BY month ORDER BY price) + (count(*) OVER (PARTITION BY month, price) - 1) / 2.0)"
 

@@ -135,14 +135,14 @@ def rsi_sql(name: str) -> str:
 {name} AS (SELECT a.security_id, CASE WHEN coalesce(n, 0) < 14 THEN NULL WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / down) END AS rsi FROM (SELECT DISTINCT security_id FROM bars) a LEFT JOIN {name}_s USING (security_id))"""
 
 
-def state_machine_sql(rows: str, key: str, confirm: int = 3, cooldown_days: int = 10) -> str:
-    """The state after each key's last row of ``rows``, a query that gives ``(key, t, raw)``: one recursion step a row."""
+def state_machine_sql(rows: str, key: str, confirm: int = 3, cooldown_days: int = 10, last: str | None = None) -> str:
+    """The state after each key's last row of ``rows``, a query that gives ``(key, t, raw)``: one recursion step a row. ``last`` takes another query's place at the end, over ``m`` and ``raw``."""
     return f"""WITH RECURSIVE raw AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY t) AS i FROM ({rows})),
 m AS (SELECT {key}, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS run, 0 AS side, CAST(NULL AS DATE) AS moved FROM raw GROUP BY 1
 UNION ALL SELECT {key}, i, CASE WHEN mv THEN state + s ELSE state END, CASE WHEN mv THEN 0 ELSE rn END, CASE WHEN mv THEN 0 ELSE s END, CASE WHEN mv THEN t ELSE moved END FROM (
 SELECT *, s <> 0 AND rn >= {confirm} AND (moved IS NULL OR t - moved >= {cooldown_days}) AS mv FROM (SELECT *, CASE WHEN s = 0 THEN 0 WHEN s = side THEN run + 1 ELSE 1 END AS rn FROM (
 SELECT m.{key}, r.i, r.t, state, run, side, moved, CAST(sign(r.raw - state) AS INTEGER) AS s FROM m JOIN raw r ON r.{key} = m.{key} AND r.i = m.i + 1))))
-SELECT {key}, max_by(state, i) AS state FROM m GROUP BY 1"""
+{last or f"SELECT {key}, max_by(state, i) AS state FROM m GROUP BY 1"}"""
 
 
 def split_ratio_sql(rows: str, keys: str, ratios, tolerance: float, either_way: bool = False, digits: int = 6) -> str:
