@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, fundamentals, identity, rules, screening
+from ..operators import asof, fundamentals, hygiene, identity, rules, screening
 from ..operators import cross_section as x
 from ..operators import series as s
 from ..operators.components import connected_components
@@ -292,6 +292,72 @@ def i24(spark, d):
     return p.select("company_id", "q", F.array_join(flags, ",").alias("flags"))
 
 
+# Suppliers under seven gates as of a day: their documents, shipments (as splits, filings, instruments, suspensions, changes of name) and yearly volumes are the sources.
+_GATES = """WITH li AS (SELECT *, l_suppkey AS e, CAST(l_shipdate AS DATE) AS t, DATE '1998-06-30' AS upto FROM lineitem),
+doc AS (SELECT doc_id, doc_id % 90 + 1 AS e, DATE '1998-01-01' + CAST(doc_id % 300 AS INTEGER) AS t, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS p FROM documents),
+piece AS (SELECT doc_id, unnest(string_split(p, 'that')) AS x, generate_subscripts(string_split(p, 'that'), 1) AS k FROM doc),
+pos AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(x) + 4) OVER (PARTITION BY doc_id ORDER BY k) - 3 AS i FROM piece),
+span AS (SELECT doc_id, substr(p, CAST(greatest(i - 60, 1) AS BIGINT), CAST(i + 64 - greatest(i - 60, 1) AS BIGINT)) AS x FROM pos JOIN doc USING (doc_id) WHERE k < n),
+hit AS (SELECT DISTINCT doc_id FROM span WHERE contains(x, 'with') AND NOT contains(x, 'this')),
+latest AS (SELECT e, max((t, CAST(doc_id AS VARCHAR))) AS w FROM doc WHERE t <= DATE '1998-06-30' GROUP BY 1),
+split AS (SELECT e, t, upto, CASE WHEN l_quantity >= 48 THEN 0.5 ELSE 2.0 END AS ratio FROM li WHERE l_linenumber = 4),
+cover AS (SELECT e, max(CASE WHEN l_partkey % 997 = 5 THEN CAST(l_orderkey AS VARCHAR) END) AS ever, max((t, CAST(l_orderkey AS VARCHAR), l_quantity > 45)) FILTER (l_linenumber = 1) AS w FROM li WHERE t <= upto GROUP BY 1),
+closing AS (SELECT security_id AS e, max_by(close, session) AS c FROM bars WHERE session <= DATE '1998-06-30' GROUP BY 1),
+recent AS (SELECT e, max(t) AS s, any_value(upto) AS upto FROM split WHERE t <= upto AND ratio < 1 GROUP BY 1),
+kinds AS (SELECT e, greatest(min(t) FILTER (l_returnflag = 'A') + 0, CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0 THEN min(t) FILTER (l_returnflag = 'R') END) AS g,
+ count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0 AS two, max(t) FILTER (l_returnflag = 'N') AS c FROM li WHERE t <= upto AND l_partkey % 50 = 1 GROUP BY 1),
+tool AS (SELECT e, max((CASE WHEN l_linenumber = 1 THEN 2 WHEN t + CAST(l_quantity * 10 AS INTEGER) > upto AND l_returnflag = 'A' THEN 3 ELSE 0 END, CAST(l_orderkey AS VARCHAR))) AS w FROM li WHERE t <= upto AND l_partkey % 100 = 3 GROUP BY 1),
+held AS (SELECT e, max(t) AS h FROM li WHERE t <= upto AND l_partkey % 100 = 7 AND (l_linenumber = 2 OR t + 10 > upto) GROUP BY 1),
+named AS (SELECT e, count(*) FILTER (t >= upto - INTERVAL 36 MONTH) AS k, max(t) AS m FROM li WHERE t <= upto AND l_partkey % 100 = 11 GROUP BY 1),
+yearly AS (SELECT e, max(t) AS t, any_value(upto) AS upto, sum(l_quantity) AS q FROM li GROUP BY e, year(t)),
+steps AS (SELECT *, lag(q) OVER (PARTITION BY e ORDER BY t) AS pq, lag(t) OVER (PARTITION BY e ORDER BY t) AS pt FROM yearly WHERE t <= upto),
+jumps AS (SELECT e, max(t) AS j FROM steps s WHERE q > pq * 1.2 AND NOT EXISTS (SELECT 1 FROM split x WHERE x.e = s.e AND x.ratio < 1 AND x.t > s.pt AND x.t <= s.t) GROUP BY 1),
+raw(entity, gate, severity, evidence) AS (SELECT e, 'going_concern', CASE WHEN struct_extract(w, 2) IN (SELECT CAST(doc_id AS VARCHAR) FROM hit) THEN 3 ELSE 0 END, struct_extract(w, 2) FROM latest
+UNION ALL SELECT e, 'shell', CASE WHEN ever IS NOT NULL OR coalesce(struct_extract(w, 3), FALSE) THEN 3 ELSE 0 END, coalesce(ever, struct_extract(w, 2)) FROM cover
+UNION ALL SELECT e, 'listing_risk', CASE WHEN c < 1500 AND s >= upto - INTERVAL 12 MONTH THEN 3 WHEN s >= upto - INTERVAL 24 MONTH THEN 1 ELSE 0 END, CAST(s AS VARCHAR) FROM closing LEFT JOIN recent USING (e)
+UNION ALL SELECT e, 'atm_dilution', CASE WHEN NOT two THEN 0 WHEN c >= g THEN 3 ELSE 1 END, CAST(g AS VARCHAR) FROM kinds
+UNION ALL SELECT e, 'variable_price', struct_extract(w, 1), struct_extract(w, 2) FROM tool
+UNION ALL SELECT e, 'enforcement', CASE WHEN h IS NOT NULL THEN 3 WHEN k >= 2 THEN 1 ELSE 0 END, CAST(coalesce(h, m) AS VARCHAR) FROM held FULL JOIN named USING (e)
+UNION ALL SELECT s.e, 'data_integrity', CASE WHEN any_value(j) IS NOT NULL OR any_value(upto) - max(t) > 185 THEN 2 ELSE 0 END, CAST(coalesce(any_value(j), max(t)) AS VARCHAR) FROM steps s LEFT JOIN jumps USING (e) GROUP BY 1),
+known AS (SELECT r.entity, gate, severity, CASE WHEN severity > 0 THEN evidence END AS evidence FROM raw r JOIN supplier ON s_suppkey = r.entity),
+need AS (SELECT s_suppkey AS entity, m.i, m.g FROM supplier, (VALUES (1, 'going_concern'), (2, 'shell'), (3, 'listing_risk'), (4, 'data_integrity')) m(i, g)),
+gates AS (SELECT * FROM known UNION ALL SELECT entity, 'evidence_completeness', 2, 'missing-evidence:' || string_agg(g, ',' ORDER BY i) FROM need WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.entity = need.entity AND gate = g) GROUP BY 1)"""
+
+
+def _gate_rows(spark, d):
+    at, order = F.lit("1998-06-30").cast("date"), F.col("l_orderkey").cast("string")
+    li = table(spark, d, "lineitem").withColumn("e", F.col("l_suppkey")).withColumn("t", F.to_date("l_shipdate"))
+    splits = li.where("l_linenumber = 4").select("e", F.col("t").alias("s"), F.when(F.col("l_quantity") >= 48, 0.5).otherwise(2.0).alias("ratio"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 90 + 1).alias("e"), "text", F.col("doc_id").cast("string").alias("why"), F.expr("date_add(DATE '1998-01-01', CAST(doc_id % 300 AS INT))").alias("t"))
+    covers = li.select("e", "t", order.alias("why"), (F.col("l_partkey") % 997).alias("code"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity") > 45).alias("flag"))
+    closes = g.bars(spark, d).select(F.col("security_id").alias("e"), "session", "close")
+    tools = li.where("l_partkey % 100 = 3").select("e", "t", F.expr("CASE WHEN l_linenumber <> 1 THEN date_add(t, CAST(l_quantity * 10 AS INT)) END").alias("due"), (F.col("l_returnflag") == "A").alias("sure"), order.alias("why"))
+    held = li.where("l_partkey % 100 = 7").select("e", "t", F.expr("CASE WHEN l_linenumber <> 2 THEN date_add(t, 10) END").alias("until"))
+    yearly = li.groupBy("e", F.year("t").alias("y")).agg(F.max("t").alias("t"), F.sum("l_quantity").alias("q")).drop("y")
+    gates = [
+        hygiene.going_concern(docs, "e", "text", "why", "t", at, subject="that", doubt="with", negations=("this",), window=60),
+        hygiene.shell(covers, "e", "code", "flag", "why", "t", at, 5),
+        hygiene.listing_risk(closes, splits, "e", "session", "close", "s", "ratio", at, 1500.0),
+        hygiene.atm_dilution(li.where("l_partkey % 50 = 1"), "e", "l_returnflag", "t", at, "A", "R", "N"),
+        hygiene.variable_price(tools, "e", "t", "due", "sure", "why", at),
+        hygiene.enforcement(held, li.where("l_partkey % 100 = 11"), "e", "t", "until", "t", at),
+        hygiene.data_integrity(yearly, splits.where("ratio < 1"), "e", "t", "q", "s", at, 0.2, 185),
+    ]
+    return hygiene.evidence_rows(table(spark, d, "supplier"), "s_suppkey", gates)
+
+
+@query("i25_hygiene_gates", f"{_GATES} SELECT * FROM gates")
+def i25_gates(spark, d):
+    return _gate_rows(spark, d)
+
+
+@query("i25_hygiene_verdicts", f"""{_GATES}, placed AS (SELECT *, list_position(['evidence_completeness', 'going_concern', 'shell', 'listing_risk', 'atm_dilution', 'variable_price', 'enforcement', 'data_integrity'], gate) AS i FROM gates)
+SELECT entity, max(severity) AS severity, CASE WHEN max(severity) > 0 THEN max_by(gate, severity * 100 - i) END AS gate, CASE WHEN max(severity) > 0 THEN max_by(evidence, severity * 100 - i) END AS evidence,
+coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (severity > 0), '') AS firing, max(severity) >= 2 AS blocked FROM placed GROUP BY 1""")
+def i25_verdicts(spark, d):
+    return hygiene.verdicts(_gate_rows(spark, d))
+
+
 @query("i25_worst_verdict", "WITH v AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS gate, max(CASE WHEN l_quantity > 45 THEN 3 WHEN l_quantity > 35 THEN 1 ELSE 0 END) AS sev FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, greatest(max(sev), CASE WHEN count(*) < 3 THEN 2 ELSE 0 END) AS severity, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE sev > 0), '') AS firing FROM v GROUP BY 1")
 def i25(spark, d):
     sev = F.max(F.when(F.col("l_quantity") > 45, 3).when(F.col("l_quantity") > 35, 1).otherwise(0))
