@@ -52,6 +52,11 @@ def _placed(df: DataFrame, key: Sequence[str], time: str, value: str) -> DataFra
     return out.select(*df.columns, (F.col("_offset") + F.count(value).over(upto)).alias("_n"), F.coalesce(F.last(value, ignorenulls=True).over(behind), F.col("_carried")).alias("_before"))
 
 
+def _spread(df: DataFrame, part: Sequence[str]) -> DataFrame:
+    """By segment, into as many tasks as the session has shuffle partitions: few bytes are much work here, so they are not merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *part)
+
+
 def linear_scan(df: DataFrame, key: Sequence[str], time: str, keep: Column, add: Mapping[str, Column], ties: Sequence[str] = ()) -> DataFrame:
     """``df`` (with ``_seg``) and for each name of ``add`` a column ``s = keep * s + add`` in order of time, from 0.
 
@@ -83,7 +88,7 @@ def linear_scan(df: DataFrame, key: Sequence[str], time: str, keep: Column, add:
             chunk[n] = out
         return chunk[[*columns, *names]]
 
-    return rows.join(carried, part).groupBy(*part).applyInPandas(walk, schema)
+    return _spread(rows.join(carried, part), part).groupBy(*part).applyInPandas(walk, schema)
 
 
 def _smoothing(n: Column, known: Column, period: int, alpha: float) -> tuple[Column, Column]:
@@ -187,6 +192,6 @@ def state_rows(df: DataFrame, key: Sequence[str], time: str, raw: str, out: str,
 
     heads = [kinds[c] for c in key] + [StructField("_seg", IntegerType())]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in heads)
-    maps = chunks.groupBy(*part).applyInPandas(reduced, f"{head}, _first long, _from array<int>, _to array<int>")
+    maps = _spread(chunks, part).groupBy(*part).applyInPandas(reduced, f"{head}, _first long, _from array<int>, _to array<int>")
     entering = maps.groupBy(*key).applyInPandas(joined, f"{head}, _in array<int>")
-    return chunks.join(entering, part).groupBy(*part).applyInPandas(walk, StructType([*df.schema.fields, StructField(out, IntegerType())]))
+    return _spread(chunks.join(entering, part), part).groupBy(*part).applyInPandas(walk, StructType([*df.schema.fields, StructField(out, IntegerType())]))
