@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
+from ..storage import materialise
 from .series import ordered
 from .skew import small
 
@@ -34,11 +38,128 @@ def beta(df: DataFrame, benchmark: DataFrame, key: Sequence[str], time: str, ret
     return both.groupBy(*key).agg(F.count("*").alias("n"), F.try_divide(F.covar_samp(ret, bench_ret), F.var_samp(bench_ret)).alias("beta"), F.avg(F.col(ret) - F.col(bench_ret)).alias("alpha"))
 
 
-def pair_correlations(df: DataFrame, key: str, time: str, ret: str, least: int, within: Sequence[str] = ()) -> DataFrame:
-    """``(a, b, n, corr)`` of all pairs of series, on common dates; with ``within``, of pairs alike in these columns."""
-    side = lambda n: df.where(F.col(ret).isNotNull()).select(F.col(key).alias(n), time, *within, F.col(ret).alias(f"_{n}"))
-    pair = side("a").join(side("b"), [time, *within]).where("a < b")
-    return pair.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("corr")).where(F.col("n") >= least)
+#: Series of a block; the pairs of two blocks are counted together, so a task holds this number squared at a time.
+PAIR_BLOCK = 1024
+
+
+def _instant(column: str, kind: DataType) -> Column:
+    """A time as a number where it is a date or a timestamp: the same order and equality, cheaper to hand over."""
+    if isinstance(kind, DateType):
+        return F.unix_date(column)
+    return F.unix_micros(F.col(column).cast("timestamp")) if isinstance(kind, TimestampType | TimestampNTZType) else F.col(column)
+
+
+def series_rows(df: DataFrame, key: str, time: str, ret: str, within: Sequence[str] = ()) -> DataFrame:
+    """``(within, key, _times, _counts, _sums, _spreads)``: a row a series, with arrays by time of its values' number, sum and squared deviations; nulls give none."""
+    known = df.where(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(ret).isNotNull())
+    for c in within:
+        known = known.where(F.col(c).isNotNull())
+    value = F.col(ret).cast("double")
+    cells = known.groupBy(*within, key, time).agg(F.count("*").alias("_c"), F.sum(value).alias("_s"), (F.var_pop(value) * F.count("*")).alias("_v"))
+    listed = F.collect_list(F.struct(_instant(time, df.schema[time].dataType).alias("t"), "_c", "_s", "_v"))
+    return cells.groupBy(*within, key).agg(listed.alias("_l")).select(*within, key, F.col("_l.t").alias("_times"), F.col("_l._c").alias("_counts"), F.col("_l._s").alias("_sums"), F.col("_l._v").alias("_spreads"))
+
+
+def dense_series(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of :func:`series_rows` as matrices, a row a series and a column a time: numbers, sums, squared deviations."""
+    sizes = pdf["_times"].map(len).to_numpy()
+    times, at = np.unique(np.concatenate(pdf["_times"].tolist()), return_inverse=True)
+    row = np.repeat(np.arange(len(pdf)), sizes)
+    out = np.zeros((3, len(pdf), len(times)))
+    for m, c in zip(out, ("_counts", "_sums", "_spreads"), strict=True):
+        m[row, at] = np.concatenate(pdf[c].tolist())
+    return tuple(out)
+
+
+def cross_correlations(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(n, corr)`` of each series of ``a`` with each of ``b`` on common times; NaN where a value is, where one does not vary, or under ``least``.
+
+    The sums of all pairs are products of matrices of values about each series' own mean. Where a pair's variance is so
+    small beside these sums that digits are lost, it is taken again from the values about the pair's own mean.
+    """
+
+    def centred(x):
+        c, s, v = x
+        bad = (c > 0) & ~np.isfinite(s + v)
+        mean = np.where(bad, 0.0, s).sum(axis=1) / np.maximum(np.where(bad, 0.0, c).sum(axis=1), 1)
+        s = np.where(bad, 0.0, s - c * mean[:, None])
+        return c, s, np.where(bad, 0.0, v) + np.divide(s * s, c, out=np.zeros_like(s), where=c > 0), bad
+
+    (ca, sa, qa, bad_a), (cb, sb, qb, bad_b) = centred(a), centred(b)
+    n, x, y, xy, xx, yy = ca @ cb.T, sa @ cb.T, ca @ sb.T, sa @ sb.T, qa @ cb.T, ca @ qb.T
+    enough = n >= max(least, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = xx - x * x / n, yy - y * y / n
+        corr = (xy - x * y / n) / np.sqrt(vx * vy)
+    doubtful = np.argwhere(enough & ((vx <= 1e-6 * xx) | (vy <= 1e-6 * yy)))
+    for at in range(0, len(doubtful), 1 + (1 << 20) // ca.shape[1]):
+        i, j = doubtful[at : at + 1 + (1 << 20) // ca.shape[1]].T
+
+        def own(m, of, other):
+            c, s, v = (z[of] for z in m)
+            weight = c * other
+            level = np.divide(s, c, out=np.zeros_like(s), where=c > 0)
+            first = level[np.arange(len(of)), (weight > 0).argmax(axis=1)]
+            level = np.where(weight > 0, level - first[:, None], 0.0)
+            level = np.where(weight > 0, level - ((level * weight).sum(axis=1) / weight.sum(axis=1))[:, None], 0.0)
+            return level, (weight * level * level).sum(axis=1) + (v * other).sum(axis=1)
+
+        with np.errstate(divide="ignore", invalid="ignore"):
+            (dx, ex), (dy, ey) = own(a, i, b[0][j]), own(b, j, a[0][i])
+            corr[i, j] = (a[0][i] * b[0][j] * dx * dy).sum(axis=1) / np.sqrt(ex * ey)
+    if bad_a.any() or bad_b.any():
+        corr[(bad_a.astype(float) @ (cb > 0).T + (ca > 0).astype(float) @ bad_b.T) > 0] = np.nan
+    return n, np.where(enough, np.clip(corr, -1.0, 1.0), np.nan)
+
+
+def pair_correlations(df: DataFrame, key: str, time: str, ret: str, least: int, within: Sequence[str] = (), block: int = PAIR_BLOCK) -> DataFrame:
+    """``(a, b, n, corr)`` of all pairs of series, on common dates; with ``within``, of pairs alike in these columns.
+
+    The pairs' common dates are never rows: series are cut into blocks, each block meets each of its group once, and a
+    task takes the pairs of two blocks by products of matrices. What is shuffled is the series, as often as its group has blocks;
+    what is returned grows with the pairs. ``corr`` is NaN where a series does not vary. Pairs of series both of whose columns
+    ``within`` change with time can meet in several groups; these alone are joined by date.
+    """
+    series = materialise(series_rows(df, key, time, ret, within), "pair-series")
+    moving = series.groupBy(key).agg(F.count("*").alias("_groups")).where("_groups > 1").select(key, F.lit(True).alias("_moves")) if within else None
+    if moving is not None and moving.isEmpty():
+        moving = None
+    number = series.groupBy(*within).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")) if within else series.agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    placed = series.join(number, list(within)) if within else series.crossJoin(F.broadcast(number))  # one row
+    placed = placed if moving is None else placed.join(moving, key, "left")
+    own = placed.withColumn("_own", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select(key, "_times", "_counts", "_sums", "_spreads", "_own", *(["_moves"] if moving is not None else []), *within, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    kind, some_move = df.schema[key].dataType.simpleString(), moving is not None
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        c, s, v = dense_series(pdf)
+        ids, own = pdf[key].to_numpy(), pdf["_own"].to_numpy()
+        left, right = np.flatnonzero(own == pdf["_i"].iloc[0]), np.flatnonzero(own == pdf["_j"].iloc[0])
+        n, corr = cross_correlations((c[left], s[left], v[left]), (c[right], s[right], v[right]), least)
+        keep = n >= least
+        if pdf["_i"].iloc[0] == pdf["_j"].iloc[0]:
+            keep &= left[:, None] < right[None, :]
+        if some_move:
+            moves = pdf["_moves"].eq(True).to_numpy()
+            keep &= ~(moves[left][:, None] & moves[right][None, :])
+        i, j = np.nonzero(keep)
+        lo, hi = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+        return pd.DataFrame({"a": ids[lo], "b": ids[hi], "n": n[i, j].astype("int64"), "corr": corr[i, j]})
+
+    spread = met.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *within, "_i", "_j")
+    out = spread.groupBy(*within, "_i", "_j").applyInPandas(pairs, f"a {kind}, b {kind}, n long, corr double")
+    out = out.withColumn("corr", F.coalesce("corr", F.lit(float("nan"))))  # pandas hands NaN back as null
+    if moving is None:
+        return out
+    rows = df.where(F.col(ret).isNotNull()).join(moving, key)
+    side = lambda n: rows.select(F.col(key).alias(n), time, *within, F.col(ret).alias(f"_{n}"))
+    both = side("a").join(side("b"), [time, *within]).where("a < b").groupBy("a", "b")
+    flat = (F.min("_a") == F.max("_a")) | (F.min("_b") == F.max("_b"))
+    terms = both.agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_ab"), F.var_pop("_a").alias("_aa"), F.var_pop("_b").alias("_bb"), flat.alias("_flat"))
+    corr = F.when(~F.col("_flat"), F.try_divide("_ab", F.sqrt(F.col("_aa") * F.col("_bb")))).otherwise(F.lit(float("nan")))
+    return out.unionByName(terms.where(F.col("n") >= least).select("a", "b", "n", corr.alias("corr")))
 
 
 def log_growth(df: DataFrame, key: Sequence[str], time: str, value: str) -> DataFrame:
