@@ -140,8 +140,8 @@ def e25(spark, d):
 def f12(spark, d):
     m = candidates(spark, d)
     acted = m.join(selection.select_constrained(m, ["month"], "score", "security_id", "sector", 15, 2), ["month", "security_id"])
-    pairs = risk.pair_correlations(g.months(spark, d).withColumn("ret", s.log_return("price", K, "month")), "security_id", "month", "ret", 20)
-    return selection.replace_correlated_picks(acted, pairs, ["month"], "score", "security_id", "sector", 2, 0.1)
+    returns = g.months(spark, d).withColumn("ret", s.log_return("price", K, "month"))
+    return selection.replace_picks_by_returns(acted, returns, ["month"], "score", "security_id", "sector", 2, 0.1, "month", "ret", 20)
 
 
 @query("g7_common_dates", "SELECT session FROM bars WHERE security_id = 1 INTERSECT SELECT session FROM bars WHERE security_id = 2")

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from chronoframe.operators import risk
+from chronoframe.operators import risk, selection
 
 
 def _plain(rows, least):
@@ -42,3 +42,18 @@ def test_pair_correlations_by_blocks(spark, block, grouped):
     for r in got:
         expected = want[r["a"], r["b"]][1]
         assert math.isnan(r["corr"]) if math.isnan(expected) else abs(r["corr"] - expected) < 1e-7, (r, expected)
+
+
+@pytest.mark.parametrize("head", [1, 5, 1000])
+def test_picks_are_replaced_without_forming_the_pairs(spark, head, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(selection, "HEAD_GROWS", 3)
+    rows = [(p, e, rng.choice([None, 1, 2, 3, 4]), rng.choice([None, math.nan, float(rng.randrange(30))]), rng.random() < 0.1, rng.random() < 0.7) for p in range(5) for e in range(60)]
+    df = spark.createDataFrame(rows, "p int, e int, sector int, score double, held boolean, stays boolean")
+    acted = df.join(selection.select_constrained(df, ["p"], "score", "e", "sector", 8, 2), ["p", "e"])
+    common = [rng.gauss(0, 1) for _ in range(30)]
+    returns = spark.createDataFrame([(e, t, common[t] * (e % 3) + rng.gauss(0, 1)) for e in range(55) for t in range(30) if rng.random() < 0.9], "e int, t int, v double")
+    pairs = risk.pair_correlations(returns, "e", "t", "v", 20).where("NOT isnan(corr)")
+    want = selection.replace_correlated_picks(acted, pairs, ["p"], "score", "e", "sector", 2, 0.3).collect()
+    got = selection.replace_picks_by_returns(acted, returns, ["p"], "score", "e", "sector", 2, 0.3, "t", "v", 20, head=head).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(r["action"] == "replace" for r in got)
