@@ -9,7 +9,7 @@ they go in the order of their values. Rows with a null key or time are left out,
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,6 +57,39 @@ def _spread(df: DataFrame, part: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *part)
 
 
+def _starts(chunk: pd.DataFrame, part: Sequence[str]) -> np.ndarray:
+    """Places at which a part begins in rows that are sorted by it."""
+    new = np.zeros(len(chunk), dtype=bool)
+    new[:1] = True
+    for c in part:
+        own = chunk[c].to_numpy()
+        new[1:] |= own[1:] != own[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_parts(batches: Iterator[pd.DataFrame], part: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Rows that are sorted by ``part``, as frames of many parts none of which is divided; one part at most is held back."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if b.empty:
+            continue
+        if held and all(held[-1][c].iloc[-1] == b[c].iloc[0] for c in part):
+            cut = _starts(b, part)[1:]
+            if not len(cut):
+                held.append(b)
+                continue
+            yield pd.concat([*held, b.iloc[: cut[0]]], ignore_index=True)
+            b, held = b.iloc[cut[0] :], []
+        elif held:
+            yield pd.concat(held, ignore_index=True)
+        last = _starts(b, part)[-1]
+        if last:
+            yield b.iloc[:last].reset_index(drop=True)
+        held = [b.iloc[last:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def linear_scan(df: DataFrame, key: Sequence[str], time: str, keep: Column, add: Mapping[str, Column], ties: Sequence[str] = ()) -> DataFrame:
     """``df`` (with ``_seg``) and for each name of ``add`` a column ``s = keep * s + add`` in order of time, from 0.
 
@@ -77,18 +110,20 @@ def linear_scan(df: DataFrame, key: Sequence[str], time: str, keep: Column, add:
     schema = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)])
     columns = df.columns
 
-    def walk(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(order, kind="stable", na_position="first")
-        a = chunk["_a"].to_numpy()
-        for n in names:
-            b, s, out = chunk[f"_b_{n}"].to_numpy(), float(chunk[f"_in_{n}"].iloc[0]), np.empty(len(a))
-            for i in range(len(a)):
-                s = a[i] * s + b[i]
-                out[i] = s
-            chunk[n] = out
-        return chunk[[*columns, *names]]
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _whole_parts(batches, part):
+            starts = _starts(chunk, part)
+            bounds, a = [*starts.tolist(), len(chunk)], chunk["_a"].tolist()
+            for n in names:
+                b, enter, out = chunk[f"_b_{n}"].tolist(), chunk[f"_in_{n}"].to_numpy()[starts].tolist(), []
+                for s, first, last in zip(enter, bounds, bounds[1:], strict=False):
+                    for i in range(first, last):
+                        s = a[i] * s + b[i]
+                        out.append(s)
+                chunk[n] = out
+            yield chunk[[*columns, *names]]
 
-    return _spread(rows.join(carried, part), part).groupBy(*part).applyInPandas(walk, schema)
+    return _spread(rows.join(carried, part), part).sortWithinPartitions(*part, *order).mapInPandas(walk, schema)
 
 
 def _smoothing(n: Column, known: Column, period: int, alpha: float) -> tuple[Column, Column]:
@@ -119,25 +154,43 @@ def rsi_rows(df: DataFrame, close: str, key: Sequence[str], time: str, period: i
     return done.select(*df.columns, F.when(F.col("_n") > period, strength).alias(out))
 
 
-def _steps(level: np.ndarray, day: np.ndarray, state: np.ndarray, run: np.ndarray, side: np.ndarray, moved: np.ndarray, confirm: int, cooldown: int):
-    """The machine of ``series.state_machine`` over a chunk, for several entering states (lanes) at once.
+#: Segments and rows that are reduced together.
+REDUCED_SEGMENTS, REDUCED_ROWS = 512, 200_000
+
+
+def _step(x, t, state, run, side, moved, confirm: int, cooldown: int):
+    """A row of the machine of ``series.state_machine`` for many states at once, each with its own level and day; an unknown level changes nothing."""
+    now = np.sign(x - state)
+    known = now == now
+    now = np.where(known, now, 0).astype("int64")
+    ran = np.where(now == 0, 0, np.where(now == side, np.minimum(run + 1, confirm), 1))
+    moves = (now != 0) & (ran >= confirm) & (t - moved >= cooldown)
+    return state + np.where(moves, now, 0), np.where(known, np.where(moves, 0, ran), run), np.where(known, np.where(moves, 0, now), side), np.where(moves, t, moved)
 
-    Gives the first lane's state after each row, the states at the end, and for each lane which of them is its own:
-    lanes that have met are walked as one.
+
+def _reduced(levels: list[np.ndarray], days: list[np.ndarray], entering: list[np.ndarray], confirm: int, cooldown: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment the states ``(state, run, side, moved)`` that leave it, and for each state that enters, which of them is its own.
+
+    Segments are walked side by side, each with all its states; of one segment, those that have met are walked as one.
     """
-    lane, seen = np.arange(len(state)), []
-    for i, (x, t) in enumerate(zip(level, day, strict=True)):
-        if x == x:  # an unknown level changes nothing
-            now = np.sign(x - state).astype("int64")
-            run = np.where(now == 0, 0, np.where(now == side, np.minimum(run + 1, confirm), 1))
-            moves = (now != 0) & (run >= confirm) & (t - moved >= cooldown)
-            state, run, side, moved = state + np.where(moves, now, 0), np.where(moves, 0, run), np.where(moves, 0, now), np.where(moves, t, moved)
-            if len(state) > 1 and (i < 16 or i % 64 == 0):
-                rested = np.maximum(moved, t - cooldown)  # how long ago a move was matters only within the cooldown
-                whole, back = np.unique(np.stack([state, run, side, rested]), axis=1, return_inverse=True)
-                (state, run, side, moved), lane = whole, back.reshape(-1)[lane]
-        seen.append(int(state[lane[0]]))
-    return seen, (state, run, side, moved), lane
+    longest, width = max(map(len, levels)), len(levels)
+    x, t = np.full((width, longest), np.nan), np.zeros((width, longest), dtype="int64")
+    for i, (own, day) in enumerate(zip(levels, days, strict=True)):
+        x[i, : len(own)], t[i, : len(own)] = own, day
+    seg = np.repeat(np.arange(width), [len(e) for e in entering])
+    every = np.concatenate(entering)
+    now, lane = (every[:, 0], every[:, 1], every[:, 2], t[seg, 0] - every[:, 3]), np.arange(len(every))
+    latest = t[:, 0].copy()
+    for i in range(longest):
+        now = _step(x[seg, i], t[seg, i], *now, confirm, cooldown)
+        latest = np.maximum(latest, t[:, i])
+        if len(seg) > width and (i < 4 or i in (7, 11, 15) or i % 64 == 63 or i == longest - 1):
+            rested = np.maximum(now[3], latest[seg] - cooldown)  # how long ago a move was matters only within the cooldown
+            whole, back = np.unique(np.stack([seg, *now[:3], rested]), axis=1, return_inverse=True)
+            (seg, *now), lane = whole, back.reshape(-1)[lane]
+    cut, leaving = np.cumsum([len(e) for e in entering])[:-1], np.stack(now).T
+    first = np.searchsorted(seg, np.arange(width + 1))
+    return [(leaving[first[i] : first[i + 1]], own - first[i]) for i, own in enumerate(np.split(lane, cut))]
 
 
 def state_rows(df: DataFrame, key: Sequence[str], time: str, raw: str, out: str, confirm: int = 3, cooldown_days: int = 10, rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -154,44 +207,61 @@ def state_rows(df: DataFrame, key: Sequence[str], time: str, raw: str, out: str,
     chunks = cut.join(reach, part)
     columns, kinds = df.columns, {f.name: f for f in cut.schema.fields}
 
-    def days(x: pd.Series) -> np.ndarray:
-        return pd.to_datetime(x).to_numpy().astype("datetime64[D]").astype("int64")
-
-    def lanes(low: int, high: int, first_day: int, nth: int):
+    def lanes(low: int, high: int, nth: int) -> np.ndarray:
         if nth == 1:
-            grid = np.array([[0, 0, 0, cooldown_days]])
-        else:
-            grid = np.stack(np.meshgrid(np.arange(low, high + 1), np.arange(confirm + 1), np.arange(-1, 2), np.arange(cooldown_days + 1), indexing="ij")).reshape(4, -1).T
-        return grid, (grid[:, 0], grid[:, 1], grid[:, 2], first_day - grid[:, 3])
-
-    def reduced(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values([time, raw], kind="stable", na_position="first")
-        t = days(chunk[time])
-        grid, entering = lanes(int(chunk["_low"].iloc[0]), int(chunk["_high"].iloc[0]), int(t[0]), int(chunk["_nth"].iloc[0]))
-        _, (state, run, side, moved), lane = _steps(chunk[raw].to_numpy(), t, *entering, confirm, cooldown_days)
-        leaving = np.stack([state, run, side, moved])[:, lane].T
-        return pd.DataFrame({**{c: [chunk[c].iloc[0]] for c in part}, "_first": [int(t[0])], "_from": [grid.reshape(-1).tolist()], "_to": [leaving.reshape(-1).tolist()]})
-
-    def joined(maps: pd.DataFrame) -> pd.DataFrame:
-        maps, now, found = maps.sort_values("_seg"), (0, 0, 0, None), []
-        for first, before, after in zip(maps["_first"], maps["_from"], maps["_to"], strict=True):
-            state, run, side, moved = now
-            age = cooldown_days if moved is None else min(int(first) - moved, cooldown_days)
-            found.append((state, run, side, age))
-            at = int(np.flatnonzero((np.asarray(before).reshape(-1, 4) == found[-1]).all(axis=1))[0])
-            now = tuple(int(v) for v in np.asarray(after).reshape(-1, 4)[at])
-        return pd.DataFrame({**{c: maps[c].to_numpy() for c in part}, "_in": [list(map(int, f)) for f in found]})
-
-    def walk(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values([time, raw], kind="stable", na_position="first")
-        t, (state, run, side, age) = days(chunk[time]), chunk["_in"].iloc[0]
-        one = [np.array([v]) for v in (state, run, side, int(t[0]) - age)]
-        seen, _, _ = _steps(chunk[raw].to_numpy(), t, *one, confirm, cooldown_days)
-        chunk[out] = seen
-        return chunk[[*columns, out]]
+            return np.array([[0, 0, 0, cooldown_days]])
+        return np.stack(np.meshgrid(np.arange(low, high + 1), np.arange(confirm + 1), np.arange(-1, 2), np.arange(cooldown_days + 1), indexing="ij")).reshape(4, -1).T
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _whole_parts(batches, part):
+            starts = _starts(chunk, part)
+            bounds, levels, t = [*starts.tolist(), len(chunk)], chunk[raw].to_numpy(dtype="float64", na_value=np.nan), chunk["_day"].to_numpy()
+            heads = chunk.iloc[starts].reset_index(drop=True)
+            sizes, at = np.diff(bounds), 0
+            while at < len(heads):
+                end = at + 1
+                while end < min(len(heads), at + REDUCED_SEGMENTS) and sizes[at : end + 1].max() * (end + 1 - at) <= REDUCED_ROWS:
+                    end += 1
+                own, many = [slice(bounds[i], bounds[i + 1]) for i in range(at, end)], heads.iloc[at:end]
+                grids = [lanes(*map(int, r)) for r in many[["_low", "_high", "_nth"]].itertuples(index=False)]
+                found = _reduced([levels[o] for o in own], [t[o] for o in own], grids, confirm, cooldown_days)
+                yield pd.DataFrame({**{c: many[c] for c in part}, "_low": many["_low"], "_nth": many["_nth"], "_first": many["_day"], "_to": [x.reshape(-1) for x, _ in found], "_lane": [x for _, x in found]})
+                at = end
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for maps in _whole_parts(batches, key):
+            found, now = [], (0, 0, 0, None)
+            for low, nth, first, to, lane in zip(maps["_low"], maps["_nth"], maps["_first"], maps["_to"], maps["_lane"], strict=True):
+                state, run, side, moved = (0, 0, 0, None) if nth == 1 else now
+                age = cooldown_days if moved is None else min(int(first) - moved, cooldown_days)
+                found.append([state, run, side, age])
+                at = 0 if nth == 1 else (((state - int(low)) * (confirm + 1) + run) * 3 + side + 1) * (cooldown_days + 1) + age  # its place among ``lanes``
+                now = tuple(int(v) for v in np.asarray(to).reshape(-1, 4)[int(lane[at])])
+            yield pd.DataFrame({**{c: maps[c] for c in part}, "_in": found})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _whole_parts(batches, part):
+            starts = _starts(chunk, part)
+            bounds, x, t, seen = [*starts.tolist(), len(chunk)], chunk[raw].to_numpy(dtype="float64", na_value=np.nan).tolist(), chunk["_day"].tolist(), []
+            for (state, run, side, age), first, last in zip(chunk["_in"].iloc[starts], bounds, bounds[1:], strict=False):
+                state, run, side, moved = int(state), int(run), int(side), t[first] - int(age)
+                for i in range(first, last):
+                    level = x[i]
+                    if level == level:  # an unknown level changes nothing
+                        now = 0 if level == state else 1 if level > state else -1
+                        run = 0 if now == 0 else min(run + 1, confirm) if now == side else 1
+                        side = now
+                        if now and run >= confirm and t[i] - moved >= cooldown_days:
+                            state, run, side, moved = state + now, 0, 0, t[i]
+                    seen.append(state)
+            chunk[out] = seen
+            yield chunk[[*columns, out]]
 
     heads = [kinds[c] for c in key] + [StructField("_seg", IntegerType())]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in heads)
-    maps = _spread(chunks, part).groupBy(*part).applyInPandas(reduced, f"{head}, _first long, _from array<int>, _to array<int>")
-    entering = maps.groupBy(*key).applyInPandas(joined, f"{head}, _in array<int>")
-    return _spread(chunks.join(entering, part), part).groupBy(*part).applyInPandas(walk, StructType([*df.schema.fields, StructField(out, IntegerType())]))
+    dated = chunks.withColumn("_day", F.unix_date(F.col(time).cast("date")))
+    lean = _spread(dated, part).sortWithinPartitions(*part, time, raw).select(*part, raw, "_low", "_high", "_nth", "_day")
+    maps = lean.mapInPandas(reduced, f"{head}, _low int, _nth int, _first long, _to array<int>, _lane array<int>")
+    entering = maps.repartition(*key).sortWithinPartitions(*part).mapInPandas(joined, f"{head}, _in array<int>")
+    own = _spread(cut.withColumn("_day", F.unix_date(F.col(time).cast("date"))).join(entering, part), part)
+    return own.sortWithinPartitions(*part, time, raw).mapInPandas(walk, StructType([*df.schema.fields, StructField(out, IntegerType())]))
