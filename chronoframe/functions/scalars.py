@@ -43,7 +43,8 @@ def fold(text: Column) -> Column:
     letters, plain, several = _foldings()
     each = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
     found = F.rlike(text, F.lit("[" + "".join(several) + "]"))
-    spelt = F.when(found, F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(each, c), c)), "")).otherwise(text)
+    spell = lambda c: F.when(c < F.lit("\u0080"), c).otherwise(F.coalesce(F.try_element_at(each, c), c))  # noqa: E731  # the map is searched entry by entry
+    spelt = F.when(found, F.array_join(F.transform(F.split(text, ""), spell), "")).otherwise(text)
     return F.lower(F.translate(spelt, letters, plain))
 
 
