@@ -34,8 +34,10 @@ def detect_events(df: DataFrame, key: Sequence[str], time: str, price: str, low:
 def nearest_split_ratio(observed: Column, ratios: Sequence[float] = PRICE_SPLITS, tolerance: float = PRICE_TOLERANCE, either_way: bool = False) -> Column:
     """The one of ``ratios`` (or, ``either_way``, of their inverses) nearest to ``observed`` within a relative tolerance, else null."""
     known = [float(v) for x in ratios for v in ((x, 1 / x) if either_way else (x,))]
-    best = F.array_min(F.array(*(F.struct(F.abs(observed / v - 1).alias("e"), F.lit(v).alias("r")) for v in known)))
-    return F.when((observed > 0) & (best["e"] <= tolerance), best["r"])
+    errors = F.transform(F.array(*map(F.lit, known)), lambda v: F.struct(F.abs(observed / v - 1).alias("e"), v.alias("r")))
+    # one array that is looked at once: an expression a ratio makes methods too long for the JVM to compile
+    near = F.filter(F.array(F.array_min(errors)), lambda best: (observed > 0) & (best["e"] <= tolerance))
+    return F.get(near, F.lit(0))["r"]
 
 
 def split_candidates(
