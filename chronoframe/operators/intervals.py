@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import bounded
+from .skew import bounded, small
 
 
 def covers(at: Column, start: Column, end: Column, inclusive_end: bool = False) -> Column:
@@ -70,18 +70,34 @@ def resolve_unique(points: DataFrame, intervals: DataFrame, key: Sequence[str],
     return found.select(*row_id, F.when(n == 1, F.element_at("candidates", 1)).alias(entity), n.cast("bigint").alias("candidates"), status.alias("status"))
 
 
-def overlaps(intervals: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, differ: str) -> DataFrame:
+#: Intervals of a key beyond which they are met by bins.
+CROWD = 64
+
+
+def overlaps(intervals: DataFrame, key: Sequence[str], start: str, end: str, row_id: str, differ: str, crowd: int = CROWD) -> DataFrame:
     """Pairs of overlapping intervals of one key that differ in column ``differ``, with the overlap's range.
 
     Of two that overlap, the later start lies in the other interval, so starts are looked up by :func:`dyadic_join`: a key with
-    many intervals and few overlaps costs little more than reading it. A null start, id or value gives no pair.
+    many intervals and few overlaps costs little more than reading it. Keys of ``crowd`` intervals at most are joined as they are,
+    each interval shuffled once a side and not once a bin. A null start, id or value gives no pair.
     """
     far = F.lit("9999-12-31").cast("date")
-    side = intervals.select(*key, F.col(row_id).alias("id"), F.col(differ).alias("what"), F.col(start).alias("s"), F.col(end).alias("e"), F.coalesce(F.col(end), far).alias("last"))
-    a, b = (side.select(*(c if c in key else F.col(c).alias(f"{p}_{c}") for c in side.columns)) for p in "ab")
-    pair = dyadic_join(b, a, key, "b_s", "a_s", "a_e").where((F.col("a_s") < F.col("b_s")) | (F.col("a_id") < F.col("b_id")))
-    pair = pair.where((F.col("a_id") != F.col("b_id")) & (F.col("a_what") != F.col("b_what")) & (F.col("a_s") < F.col("b_last")))
-    until = F.least("a_last", "b_last")
+    side = intervals.select(*key, F.col(row_id).alias("id"), F.col(differ).alias("what"), F.col(start).alias("s"), F.col(end).alias("e"))
+    side = side.where(F.col("s").isNotNull() & F.col("id").isNotNull() & F.col("what").isNotNull())
+    for k in key:
+        side = side.where(F.col(k).isNotNull())
+    crowded = small(side.groupBy(*key).count().where(F.col("count") > crowd).select(*key))
+
+    def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select(*(c if c in key else F.col(c).alias(f"{p}_{c}") for c in side.columns)) for p in "ab")
+
+    (a, b), (few_a, few_b) = halves(side.join(crowded, list(key), "left_semi")), halves(side.join(crowded, list(key), "left_anti"))
+    inside = (F.col("a_s") <= F.col("b_s")) & (F.col("a_e").isNull() | (F.col("b_s") < F.col("a_e")))
+    pair = dyadic_join(b, a, key, "b_s", "a_s", "a_e").unionByName(few_a.join(few_b, list(key)).where(inside))
+    last = lambda p: F.coalesce(f"{p}_e", far)
+    pair = pair.where((F.col("a_s") < F.col("b_s")) | (F.col("a_id") < F.col("b_id")))
+    pair = pair.where((F.col("a_id") != F.col("b_id")) & (F.col("a_what") != F.col("b_what")) & (F.col("a_s") < last("b")))
+    until = F.least(last("a"), last("b"))
     return pair.select(*key, F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), F.greatest("a_s", "b_s").alias("overlap_from"), F.when(until < far, until).alias("overlap_to"))
 
 
