@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +25,9 @@ def standardize(facts: DataFrame, chains: DataFrame, key: Sequence[str], tag: st
 
 def sum_components(facts: DataFrame, key: Sequence[str], tag: str, value: str, tags: Sequence[str], out: str) -> DataFrame:
     """Sum of several tags where all of them are there, else null."""
-    there = F.count_distinct(F.when(F.col(tag).isin(*tags) & F.col(value).isNotNull(), F.col(tag)))
+    there = [F.coalesce(F.bool_or((F.col(tag) == t) & F.col(value).isNotNull()), F.lit(False)) for t in tags]  # a flag a tag: no set of tags is kept a key
     total = F.sum(F.when(F.col(tag).isin(*tags), F.col(value)))
-    return facts.groupBy(*key).agg(F.when(there == len(tags), total).alias(out))
+    return facts.groupBy(*key).agg(F.when(reduce(and_, there), total).alias(out))
 
 
 def recover_single_candidate(candidates: DataFrame, key: Sequence[str], tag: str) -> DataFrame:
