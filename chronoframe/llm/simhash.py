@@ -220,14 +220,33 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return own.drop("text_hash", "size").transform(named_rows, texts, id_col).select(id_col, "component")
 
 
+def _linked_by_fingerprints(docs: DataFrame, own: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """``texts`` with roots that are also shared by sets which texts of linked fingerprints have: see :func:`fingerprint_links`."""
+    text = F.col(text_col).cast("string")
+    seen = materialise(fingerprints(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("_own")), "text_hash", "_own").distinct(), "copies-fingerprints")
+    sets = own.select("text_hash", "set_a", "set_b").distinct().join(texts.select("set_a", "set_b", "root"), ["set_a", "set_b"])
+    held = materialise(seen.join(sets, "text_hash").select("fp", F.col("root").alias("_root")).distinct(), "copies-held")
+    linked = connected_components(fingerprint_links(held.select("fp").distinct())).select(F.col("node").alias("fp"), F.col("root").alias("_group"))
+    named = materialise(held.join(linked, "fp", "left").select("_root", F.coalesce("_group", "fp").alias("_group")).distinct(), "copies-groups")
+    least = materialise(named.groupBy("_group").agg(F.min("_root").alias("v"), F.count("*").alias("_n")), "copies-least")
+    roots = connected_components(join_unique(named, least, ["_group"], "_n").select(F.col("_root").alias("u"), "v"))
+    moved = materialise(roots.select(F.col("node").alias("_node"), F.col("root").alias("_to")), "copies-moved")
+    joined = texts.join(moved, F.col("root") == F.col("_node"), "left").withColumn("root", F.coalesce("_to", "root"))
+    return materialise(joined.select(*texts.columns), "copies-linked")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = COPY_BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id, then of the smallest hash of its text.
 
+    Copies are texts whose SimHash fingerprints differ in three bits at most, and those of :func:`near_copy_components`, which
+    lie further apart in these bits.
+
     Rows are told by id and text: of two different texts under one id each stays that has no copy with
     a smaller id, and repeated rows stay once. Rows without an id stay, as nothing names them. Rejected
     rows up to :data:`BROADCAST_REJECTED` are broadcast, so that no text is shuffled; more are joined once.
     """
     own, texts = _copy_classes(docs, id_col, text_col, similarity, block)
+    texts = _linked_by_fingerprints(docs, own, texts, text_col)
     kept = texts.groupBy("root").agg(F.min("lowest").alias("k")).where("k IS NOT NULL").select(F.col("k.id").alias(id_col), F.col("k.text_hash").alias("text_hash"))
     rows = own.where(F.col(id_col).isNotNull()).groupBy(id_col, "text_hash").agg(F.count("*").alias("_rows"))
     marked = materialise(rows.join(kept.withColumn("_kept", F.lit(True)), [id_col, "text_hash"], "left").where("_kept IS NULL OR _rows > 1"), "copies-marked")

@@ -411,3 +411,13 @@ def test_pipeline_on_odd_tables(spark, sf, nasty, empty, tmp_path):
             assert stage.columns == docs.columns
         out = p.run(spark, folder)
         assert out.count() == 0 if name == "empty" else {r["doc_id"] for r in out.collect()} >= {4, 2**60 + 1}
+
+
+def test_near_duplicates_link_by_fingerprints(spark, monkeypatch):
+    """Texts of one fingerprint are copies, however alike their sets are."""
+    def run(docs, id_col, text_col, shingle=3):
+        return docs.select(F.col(id_col), F.when(F.col(text_col).startswith("a"), F.lit(7)).when(F.col(text_col).startswith("b"), F.lit(4)).otherwise(F.lit(-1)).cast("long").alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", run)
+    rows = [(i, " ".join(f"{x}{i}" for i in range(60))) for i, x in ((1, "b"), (2, "a"), (3, "c"))]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
