@@ -699,3 +699,21 @@ def test_identities_by_overlap_equal_plain(spark):
     assert sorted(tuple(r) for r in moved) == [(101, 2, True), (110, 1, False), (999, 3, False)]
     edges = identity.overlap_edges(bindings, ["k"], "e", "f", "t")
     assert edges.count() < len(whole)
+
+
+def test_overlapping_runs_are_stars_in_small_tasks(spark, monkeypatch):
+    rows = [(k, 1000 * k + i, DAY + dt.timedelta(days=i), DAY + dt.timedelta(days=i + 2)) for k in range(4) for i in range(30)]  # each reaches the next alone
+    bindings = spark.createDataFrame(rows, "k int, e long, f date, t date")
+    monkeypatch.setattr(skew, "TASK_ROWS", 20)
+    edges = identity.overlap_edges(bindings, ["k"], "e", "f", "t")
+    assert edges.rdd.getNumPartitions() == 6
+    assert sorted(tuple(r) for r in edges.collect()) == [(1000 * k + i, 1000 * k) for k in range(4) for i in range(1, 30)]
+    moved = identity.remapped(bindings.select("e"), spark.createDataFrame([(1, 0, False)], "e long, canonical long, refused boolean"), "e")
+    assert moved.rdd.getNumPartitions() == 6 and moved.where("e = 0").count() == 2
+
+
+def test_classes_of_one_entity_may_repeat_and_contradict(spark):
+    bindings = spark.createDataFrame([(1, 5, DAY, DAY + dt.timedelta(days=1)), (2, 6, DAY, None), (3, 7, DAY, None), (3, 8, DAY, None)], "k int, e long, f date, t date")
+    classes = spark.createDataFrame([(5, "s"), (5, "f"), (6, "s"), (6, "s"), (7, "s"), (7, "s"), (9, "s")], "e long, kind string")
+    got = identity.overlap_identities(bindings, ["k"], "e", "f", "t", classes, "kind").collect()
+    assert sorted(tuple(r) for r in got) == [(5, 5, True), (6, 6, False), (7, 7, False), (8, 7, False)]
