@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import asof, fundamentals, hygiene, identity, rules, screening
+from ..operators import asof, fundamentals, hygiene, identity, rules, screening, skew
 from ..operators import cross_section as x
 from ..operators import series as s
 from ..operators.components import connected_components
@@ -42,7 +42,7 @@ i AS (SELECT u AS entity, CASE WHEN bad.r IS NULL THEN roots.r ELSE u END AS can
 def _identities(spark, d):
     entity = (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).cast("long").alias("entity")
     b = table(spark, d, "lineitem").select("l_partkey", entity, F.to_date("l_shipdate").alias("f"), F.date_add(F.to_date("l_shipdate"), F.expr("cast(l_quantity AS int) % 20")).alias("t"))
-    kinds = b.select("entity").distinct().withColumn("s_suppkey", F.col("entity") % 1_000_000).join(table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3).alias("kind")), "s_suppkey")
+    kinds = b.select("entity").withColumn("s_suppkey", F.col("entity") % 1_000_000).join(table(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") % 3).alias("kind")), "s_suppkey")
     return b, identity.overlap_identities(b, ["l_partkey"], "entity", "f", "t", kinds, "kind")
 
 
@@ -54,7 +54,7 @@ def c12_overlap(spark, d):
 @query("c12_remapped_rows", _IDENTITY + " SELECT canonical AS entity, refused, count(*) AS lines FROM b JOIN i ON b.e = i.entity GROUP BY 1, 2")
 def c12_remapped(spark, d):
     b, found = _identities(spark, d)
-    return identity.remapped(b, found, "entity").groupBy("entity", "refused").agg(F.count("*").alias("lines"))
+    return skew.spread(identity.remapped(b.select("entity"), found, "entity"), b.count(), "entity").groupBy("entity", "refused").agg(F.count("*").alias("lines"))
 
 
 @query("c16_exact_names", "WITH k AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS n, count(DISTINCT p_partkey) AS c, min(p_partkey) AS e FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) SELECT p.p_partkey AS row_id, CASE WHEN c = 1 THEN e END AS entity, CASE WHEN c IS NULL THEN 'unmatched' WHEN c = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM part p LEFT JOIN k ON k.n = regexp_replace(lower(p.p_name), '[^a-z0-9]', '', 'g')")
